@@ -1,0 +1,279 @@
+"""Operators on single rows and whole tables against plain Python."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import html_text, language_id, mixing, personal_data, quality_rules, sharding, topk
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_words string, shard int"
+ODD = [
+    (1, None, "en", "a", "x", 1),
+    (2, "", None, None, None, None),
+    (3, "one two three " * 30, "en", "a", "x", 1),
+    (3, "one two three " * 30, "en", "a", "x", 1),
+    (4, " \t\n\v\f\r", "en", "a", "x", 1),
+    (5, " ".join(f"w{i}" for i in range(60)), "en", "b", "x", 1),
+    (6, "w\n" * 4 + " ".join(f"w{i}" for i in range(60)), "en", "b", "x", 1),
+    (None, "déjà vu " * 3, "fr", "b", "x", 1),
+    (8, "ab " * 200_000, "en", "c", "x", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+def plain_counts(text: str | None) -> tuple[int, ...]:
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(windows)
+    covered = {j for i, x in enumerate(windows) if n[x] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_quality_counts(spark, odd):
+    rows = quality_rules.quality_rules(odd).collect()
+    got = sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows)
+    assert got == sorted((str(x[0]), *plain_counts(x[1])) for x in ODD)
+    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) for r in rows)
+    assert not any(r["kept"] and r["base_failed"] for r in rows)
+    assert [r["kept"] for r in rows if r["doc_id"] == 5] == [True]
+    assert quality_rules.quality_rules(odd.limit(0)).count() == 0
+
+
+def test_quality_counts_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: plain_counts(r["text"]) for r in docs.collect()}
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in quality_rules.query(spark, SF).collect()}
+    assert got == want
+
+
+def test_beta_prior():
+    a, b = quality_rules.beta_prior(100, 20, 20 * 0.2, 10)
+    assert a / (a + b) == pytest.approx(0.2) and a + b == 10_000
+    a, b = quality_rules.beta_prior(200, 100, 100.0, 2)
+    assert a + b == pytest.approx(1.0, abs=0.1)
+    assert quality_rules.beta_prior(0, 0, 0.0, 0) == (1.0, 1.0)
+
+
+def test_blocked_host(spark):
+    junk = [(i, "x", "en", "bad", "", 0) for i in range(2000)] + [(5000, ODD[5][1], "en", "bad", "", 0)]
+    good = [(10_000 + i, " ".join(f"g{i}x{j}" for j in range(60)), "en", "good", "", 0) for i in range(500)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(junk + good, DOCS)).collect()}
+    assert out[5000]["host_state"] == "blocked" and not out[5000]["kept"]
+    assert all(out[10_000 + i]["kept"] for i in range(500))
+
+
+@pytest.mark.parametrize("shards", [8, 5, 1])
+def test_shards(spark, shards):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sharding.shard_documents(docs, shards).toPandas()
+    text = docs.toPandas().set_index("doc_id")["text"]
+    assert (rows["size"] == [len(text[i].encode()) + 1 for i in rows["doc_id"]]).all()
+    assert (rows["text_crc32"] == [zlib.crc32(text[i].encode()) for i in rows["doc_id"]]).all()
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(sizes) == shards and sorted(rows["doc_id"]) == sorted(text.index)
+    assert sizes.max() - sizes.min() <= 3 * rows["size"].max()
+    for _, own in rows.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+
+
+def test_shards_odd_rows(spark, odd):
+    rows = sharding.shard_documents(odd).collect()
+    assert len(rows) == len(ODD) and {r["law"] for r in rows} == {"bytes"}
+    by = Counter(r["shard"] for r in rows)
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in by.items())
+    assert sharding.shard_documents(odd.limit(0)).count() == 0
+
+
+def test_shards_hot_copies(spark):
+    docs = spark.createDataFrame([(i, "same text" if i % 3 else f"own {i} " * 3) for i in range(3000)], "doc_id long, text string")
+    sizes = [r["s"] for r in sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 100
+
+
+def test_mixing_reaches_targets(spark):
+    docs = spark.createDataFrame([(i, "abcd" * (1 + i % 50), ["en", "de"][i % 3 == 0], f"s{i % 4}") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 4, "s1": 3, "s2": 2, "s3": 1}, "lang": {"en": 0.5, "de": 0.5}}
+    rows = mixing.mix(docs, targets, fraction=0.2).toPandas()
+    mass = rows["tokens"] * rows["weight"]
+    assert np.allclose(mass.groupby(rows["source"]).sum() / mass.sum(), [0.4, 0.3, 0.2, 0.1], atol=1e-5)
+    assert np.allclose(mass.groupby(rows["lang"]).sum() / mass.sum(), [0.5, 0.5], atol=1e-5)
+    assert np.isclose((rows["tokens"] * rows["probability"]).sum() / rows["tokens"].sum(), 0.2, atol=1e-6)
+    assert abs(rows.loc[rows["kept"], "tokens"].sum() / rows["tokens"].sum() - 0.2) < 0.02
+
+
+def test_mixing_odd_rows(spark, odd):
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["probability"] <= 1 for r in rows)
+    assert {r["kept"] for r in rows if r["doc_id"] == 3} in ({True}, {False})
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t: str) -> list[tuple[int, int, str]]:
+    out = [(*m.span(), "email") for m in EMAIL.finditer(t)]
+    out += [(*m.span(), "ip") for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        double = sum(sum(divmod(2 * x, 10)) for x in d[-2::-2]) + sum(d[-1::-2])
+        if 14 <= len(d) <= 19 and double % 10 == 0:
+            out.append((*m.span(), "card"))
+    out += [(*m.span(), "phone") for m in PHONE.finditer(t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out, key=lambda x: (x[0], ["email", "ip", "card", "phone"].index(x[2])))
+
+
+HARD = [
+    "a@b.c d@e.f@g.h x@y z@w.de. a@b..c a@-.- @x.y",
+    "a" * 200 + "@mail.example.com" + "b@c.d",
+    "1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.256 01.002.0003.4 1.2.3",
+    "4111 1111 1111 1111 4111-1111-1111-1111-1 4111111111111111 42 4111  1111",
+    "+1 (555) 010-1234 +15550101234567890 +1 ( ) +12 345 678 90 ++1 555 010 1234",
+    "é@b.c ü1.2.3.4ü x+1 555 010 1234@mail.de",
+]
+
+
+@pytest.mark.parametrize("text", HARD)
+def test_base_spans(text):
+    assert personal_data.strict(text) == plain_spans(text)
+
+
+def test_base_spans_random():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("a1.@+-( )9é4"), 40))
+        assert personal_data.strict(t) == plain_spans(t), t
+
+
+def test_personal_data_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in personal_data.query(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        want = plain_spans(d["text"] or "")
+        text = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        import hashlib
+
+        assert got[d["doc_id"]]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(got[d["doc_id"]]["spans"].split(",")) | {""}
+        assert got[d["doc_id"]]["n_email"] == sum(k == "email" for _, _, k in want)
+
+
+def test_weak_labels_prefer_context(spark):
+    token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    rows = [(i, f'x token = "{token[i % 7:]}ab{i:04d}" y') for i in range(60)] + [(100 + i, f"version ABCDEFGHIJABCDEFGHIJABCDE{i:04d}Z page") for i in range(60)]
+    out = {r["doc_id"]: r["spans"] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(out[i]) for i in range(60)) == 60
+    assert sum(len(out[100 + i]) for i in range(60)) == 0
+
+
+def test_redact(spark, odd):
+    docs = spark.createDataFrame([(1, "mail a@b.cd or +1 555 010 1234 now", 0, "z"), (2, None, 5, "z"), (3, "", 0, "z")], "doc_id long, text string, n_chars long, spans string")
+    out = {r["doc_id"]: r for r in personal_data.redact(docs, length="n_chars").collect()}
+    assert out[1]["text"] == "mail <EMAIL> or <PHONE> now" and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[2]["text"] is None and out[3]["text"] == "" and out[3]["spans"] == "z"
+    assert personal_data.find(odd).count() == len(ODD) and personal_data.find(odd.limit(0)).count() == 0
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = language_id.query(spark, sf).join(docs, "doc_id").toPandas()
+    assert (rows["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in rows["doc_id"]]).all()
+    own = rows[rows["held_out"]]
+    assert (own["lang"] == own["lang_pred"]).mean() > 0.97
+    assert rows["score"].between(0, 1).all()
+
+
+def test_language_odd_rows(spark, odd):
+    rows = language_id.identify(odd).collect()
+    assert sorted(r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 4)) == ["und"] * 3
+    assert len(rows) == len(ODD)
+    assert language_id.identify(odd.limit(0)).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_language_pieces_agree():
+    text = "Wörter und Sätze. " * 10
+    model = language_id.Model({"de": np.arange(language_id.BUCKETS) % 7, "en": np.arange(language_id.BUCKETS) % 5}, {"de": 1, "en": 2})
+    one = model.score([text])[1]
+    assert model.score([None, text, ""])[1] == [0.0, *one, 0.0]
+
+
+def test_topk_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)] + [(300 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(900)]
+    rows += [(2000, None), (2001, [1.0, None, 1.0, 1.0]), (2050, [float("nan")] * 4), (None, [1.0] * 4), (2002, [1.0, 1.0]), (2003, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    want = {}
+    good = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    for i, q in good:
+        if i % 50 == 0:
+            best = sorted((-int(q @ v), j) for j, v in good if j != i and len(v) == len(q))[:5]
+            want[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for block in (1024, 7):
+        got = {}
+        for r in topk.exact_topk(frame, F.col("vec_id") % 50 == 0, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert got == want
+    assert topk.exact_topk(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.exact_topk(frame.filter("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
+
+
+PAGES = [
+    ("<html><body><nav><a>Menu</a></nav><article><h1>Title</h1><p><b>One, two &amp; three.<br><p>Four\n  five</p></article><footer>Foot</footer></body></html>", "Title\nOne, two & three.\nFour five"),
+    ("<div id=main><p>" + "Long text, with commas, and more. " * 5 + "</p><p>Second part, also long enough to count.</p></div><div class='sidebar'><p>Not, this, one, at, all.</p></div><div class=comments><p>A reader, says, much, here.</p></div>", None),
+    ("", ""),
+    (None, ""),
+    ("plain text, no markup", "plain text, no markup"),
+    ("<p>a<script>var t='</p>';</script>b<style>p{}</style><!-- x --><form>no</form></p>", "ab"),
+    ("<article><p>T&#233;xt&nbsp;here</p><aside>no</aside><ul><li>x<li>y</ul></article>", "Téxt here\nx\ny"),
+    ("<body><div class='cookie-notice'>We, use, cookies.</div><p>Kept, the only text.</p><div role=complementary>no</div>", "Kept, the only text."),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), PAGES)
+def test_main_text(html, text):
+    got = html_text.main_text(html)
+    if text is None:
+        assert got.startswith("Long text") and got.endswith("enough to count.") and got.count("\n") == 1
+    else:
+        assert got == text
+
+
+def test_main_text_of_pages(spark):
+    from html import unescape
+
+    for r in html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), keep=("page_id", "url", "html")).collect():
+        article = re.search("<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        blocks = re.split("</?(?:p|h1|ul|li|div)[^>]*>", article)
+        want = [" ".join(unescape(re.sub("<[^>]+>", " " if b == "<br>" else "", b)).split()) for b in blocks]
+        assert r["text"] == "\n".join(x for x in want if x) and r["n_chars"] == len(r["text"])
+
+
+def test_deep_and_broken_pages():
+    assert html_text.main_text("<div>" * 5000 + "deep text" + "</div>" * 10).strip() == "deep text"
+    assert html_text.main_text("<p class=\"a>b\">x</p><p title='>'>y").split() == ["x", "y"]
+    assert html_text.main_text("a < b and c > d") == "a < b and c > d"
+    assert html_text.main_text("<!-- never closed <p>x</p>") == ""
+    assert html_text.main_text("<table><tr><td>a<td>b<tr><td>c</table>") == "a b\nc"

@@ -38,6 +38,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|outbrain|taboola|sidebar\w*|sidenav|menu\w*|nav|navbar|navigation|breadcrumbs?|footer\w*|header|masthead|topbar|notice\w*|cookies?|consent|gdpr|popup|modal|overlay|alert\w*|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|comments?|commentlist|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|widgets?|toolbar|pagination|pager|skip|disclaimer|paywall)(?=$|[\s_\d-])",
     re.IGNORECASE,
 )
+#: Elements that are nested deeper become siblings, as browsers do it.
+DEPTH = 512
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0}
 
 
@@ -59,6 +61,8 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.up, self.out = ["html"], [-1], [False]
         self.links: list[bool] = [False]
+        #: Whether a node is part of an article or of the main part, and its depth.
+        self.inside, self.depth = [False], [0]
         #: (node, text, in a link) by run; a run ends where a block starts or ends.
         self.runs: list[list[tuple[int, str, bool]]] = [[]]
         self.parse(html)
@@ -72,7 +76,7 @@ class Page:
             self.runs.append([])
 
     def parse(self, html: str) -> None:
-        at, here, semantic = 0, 0, []
+        at, here = 0, 0
         while m := TAG.search(html, at):
             self.add(here, html[at : m.start()])
             at = m.end()
@@ -100,22 +104,17 @@ class Page:
                 self.add(here, " ")
             if name in VOID or name == "html":
                 continue
-            semantic = self.up[here] >= 0 and self.within(here)
+            if self.depth[here] >= DEPTH:
+                here = self.up[here]
             self.tag.append(name)
             self.up.append(here)
-            self.out.append(self.out[here] or unwanted(name, m["rest"], semantic))
+            self.depth.append(self.depth[here] + 1)
+            self.out.append(self.out[here] or unwanted(name, m["rest"], self.inside[here]))
+            self.inside.append(self.inside[here] or name in ("article", "main"))
             self.links.append(self.links[here] or name == "a")
             here = len(self.tag) - 1
         self.add(here, html[at:])
 
-    def within(self, node: int) -> bool:
-        """Whether it is part of an article or of the main part."""
-        while node > 0:
-            if self.tag[node] in ("article", "main"):
-                return True
-            node = self.up[node]
-        return False
-
     def implied(self, here: int, name: str) -> int:
         """The open element once those that this tag ends are closed."""
         ends, stop = ENDS.get(name, (set(), set()))

@@ -10,7 +10,9 @@ MODULES = {
     "op3_html_text": "html_text",
     "op4_mixing": "mixing",
     "op5_personal_data": "personal_data",
+    "op6_bagminhash": "near_duplicates",
     "op7_exact_topk": "topk",
+    "op8_byte_bpe": "byte_bpe",
     "op9_language_id": "language_id",
     "op10_kd_shards": "sharding",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,17 +22,41 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable folder of spark.checkpoint.dir.
+_folders: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables, inside spark.checkpoint.dir.
 
     A folder of our own is set only where none is set and everything runs in one process.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not top:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            top = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+            atexit.register(shutil.rmtree, top, ignore_errors=True)
+        _folders[sc.applicationId] = f"{top.rstrip('/')}/lectern-{sc.applicationId}"
+    return _folders[sc.applicationId]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the folder of spark.checkpoint.dir.
+
+    Executors may be lost, its rows are not. Unlike after DataFrame.checkpoint(), the size that joins are planned by is
+    that of the files, not the product of all joins before. Tables stay until release() or the end of the folder.
+    """
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

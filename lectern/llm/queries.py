@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query: its module. A module has query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_quality_model": "quality_model",
     "op3_html_text": "html_text",
     "op4_mixing": "mixing",
     "op5_personal_data": "personal_data",

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import blocks, relational, text
+from .plans.tables import oracle, sql_query
+
+QUERIES = text.QUERIES | blocks.QUERIES | {name: sql_query(sql) for name, sql in relational.QUERIES.items()}
+ORACLES: dict[str, str] = text.SQL | blocks.SQL | {name: oracle(sql) for name, sql in relational.QUERIES.items()}

@@ -147,14 +147,23 @@ def contains_any(text: Column, markers: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))
 
 
+def chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def windows(c: Column, n: int) -> Column:
+    """Runs of n of an array of characters, joined. Taking them from a text by place would walk it each time."""
+    return F.array_compact(F.transform(c, lambda x, i: F.concat(x, *[F.get(c, i + k) for k in range(1, n)])))
+
+
 def bigrams(text: Column) -> Column:
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))))
+    return F.array_distinct(let(chars(text), lambda c: windows(c, 2)))
 
 
 def grounding(content: Column, source: Column, common: list[str] = ()) -> Column:
     """Share of the content's pairs of characters, but for common ones, that the source has; null if there is none."""
     own = F.array_except(bigrams(content), F.array(*map(F.lit, common)).cast("array<string>"))
-    return let(own, lambda g: F.when(F.size(g) > 0, F.size(F.filter(g, lambda x: F.contains(source, x))) / F.size(g)))
+    return let(source, lambda s: let(own, lambda g: F.when(F.size(g) > 0, F.size(F.filter(g, lambda x: F.contains(s, x))) / F.size(g))))
 
 
 def first_link(cell: Column) -> Column:

@@ -26,8 +26,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simple(**columns):
-    """A query of columns over documents."""
-    return lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    """A query of columns over documents, each a function of the text."""
+    return lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", *[c(F.col("text")).alias(n) for n, c in columns.items()])
 
 
 def char_ngram_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,6 @@ def contamination_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.join(b.withColumn("head", F.substring("c", 1, 24)), "head").filter(F.contains("s", F.col("c"))).select("doc_id", "item_id")
 
 
-text = F.col("text")
 QUERIES = {
     "char_ngram_tf": char_ngram_tf,
     "gram_document_frequency": gram_document_frequency,
@@ -129,22 +128,22 @@ QUERIES = {
     "jaccard_sets": jaccard_sets,
     "weighted_score": weighted_score,
     "title_ratio": title_ratio,
-    "content_hash": simple(hash=T.content_hash(text)),
-    "utf8_byte_length": simple(bytes=F.octet_length(text).cast("long"), chars=F.length(text).cast("long")),
-    "normal_form": simple(length=F.length(T.normal(text)).cast("long"), hash=F.sha2(T.normal(text), 256)),
-    "extract_headings": simple(headings=F.array_join(T.line_headings(text), "|")),
-    "extract_parameters": simple(parameters=F.array_join(T.parameters(text), "|")),
-    "technical_entities": simple(entities=F.array_join(T.technical_entities(text), "|")),
-    "stable_unique_cap": simple(words=F.array_join(T.unique(F.split(text, r"[ \n]+"), 40), " ")),
-    "clean_body_dedup": simple(body=F.sha2(T.clean_body(text), 256)),
-    "clean_content": simple(hash=F.sha2(T.clean_content(text), 256)),
-    "keyword_first_position": simple(keywords=F.array_join(T.terms_by_position(text, TERMS), ",")),
-    "evenly_sampled_segments": simple(sample=F.sha2(F.array_join(T.evenly(F.filter(F.transform(T.lines(text), F.trim), lambda x: x != ""), 5), "\n"), 256)),
-    "fixed_chunk_1200": lambda s, d: documents(s, d).select("doc_id", F.posexplode(T.cuts(text, 1200)).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("chunk").alias("hash"), F.length("chunk").cast("long").alias("chars")),
-    "reliable_text_filter": lambda s, d: documents(s, d).select("doc_id", T.meaningful_chars(text).cast("long").alias("n")).filter("n >= 20"),
-    "valid_text_filter": lambda s, d: documents(s, d).select("doc_id", T.meaningful_chars(text).cast("long").alias("n")).filter("n >= 1"),
-    "marker_filter": lambda s, d: documents(s, d).filter(T.contains_any(text, MARKERS)).select("doc_id"),
-    "ordered_distinct_union": simple(parts=F.array_join(F.array_distinct(F.concat(T.line_headings(text), F.slice(T.lines(text), 1, 2))), "|")),
+    "content_hash": simple(hash=lambda text: T.content_hash(text)),
+    "utf8_byte_length": simple(bytes=lambda text: F.octet_length(text).cast("long"), chars=lambda text: F.length(text).cast("long")),
+    "normal_form": simple(length=lambda text: F.length(T.normal(text)).cast("long"), hash=lambda text: F.sha2(T.normal(text), 256)),
+    "extract_headings": simple(headings=lambda text: F.array_join(T.line_headings(text), "|")),
+    "extract_parameters": simple(parameters=lambda text: F.array_join(T.parameters(text), "|")),
+    "technical_entities": simple(entities=lambda text: F.array_join(T.technical_entities(text), "|")),
+    "stable_unique_cap": simple(words=lambda text: F.array_join(T.unique(F.split(text, r"[ \n]+"), 40), " ")),
+    "clean_body_dedup": simple(body=lambda text: F.sha2(T.clean_body(text), 256)),
+    "clean_content": simple(hash=lambda text: F.sha2(T.clean_content(text), 256)),
+    "keyword_first_position": simple(keywords=lambda text: F.array_join(T.terms_by_position(text, TERMS), ",")),
+    "evenly_sampled_segments": simple(sample=lambda text: F.sha2(F.array_join(T.evenly(F.filter(F.transform(T.lines(text), F.trim), lambda x: x != ""), 5), "\n"), 256)),
+    "fixed_chunk_1200": lambda s, d: documents(s, d).select("doc_id", F.posexplode(T.cuts(F.col("text"), 1200)).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("chunk").alias("hash"), F.length("chunk").cast("long").alias("chars")),
+    "reliable_text_filter": lambda s, d: documents(s, d).select("doc_id", T.meaningful_chars(F.col("text")).cast("long").alias("n")).filter("n >= 20"),
+    "valid_text_filter": lambda s, d: documents(s, d).select("doc_id", T.meaningful_chars(F.col("text")).cast("long").alias("n")).filter("n >= 1"),
+    "marker_filter": lambda s, d: documents(s, d).filter(T.contains_any(F.col("text"), MARKERS)).select("doc_id"),
+    "ordered_distinct_union": simple(parts=lambda text: F.array_join(F.array_distinct(F.concat(T.line_headings(text), F.slice(T.lines(text), 1, 2))), "|")),
     "bigram_grounding_ratio": bigram_grounding_ratio,
     "ungrounded_terms": ungrounded_terms,
     "overview_validation": overview_validation,

@@ -15,6 +15,7 @@ whose texts have little to do with each other is split by the texts' other bands
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ SMALL = 16
 #: How often a bucket of unlike texts is split by the other bands, before its members take turns.
 SPLITS = 3
 #: Bytes of text that a task works on at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+#: Rows of an Arrow batch of texts.
+BATCH = 1500
 #: Ids up to which a set is broadcast to pick rows of documents; larger sets meet them in a shuffle.
 FEW_IDS = 1_000_000
 
@@ -235,6 +238,18 @@ def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH rows at most, for jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pick(rows: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     """Rows whose id is (or is not) among ids, by broadcast where these are few."""
     few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
@@ -246,7 +261,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = pick(docs, ids)
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
-    return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(overlap, "a long, b long, similarity double"))
+    with small_batches(pairs.sparkSession):
+        return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(overlap, "a long, b long, similarity double"))
 
 
 def links_of(members: DataFrame, docs: DataFrame, bands: DataFrame, least: float) -> DataFrame:
@@ -309,7 +325,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     are neither read nor returned.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = checkpoint(rows.mapInArrow(sketch, "id long, fp binary, bands array<long>"))
+    with small_batches(rows.sparkSession):
+        sketches = checkpoint(rows.mapInArrow(sketch, "id long, fp binary, bands array<long>"))
     known = sketches.select("id", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"))
     groups = checkpoint(known.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     bands = sketches.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("bands").alias("band"))

@@ -28,7 +28,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that are compared with all others at once.
+#: Members of a bucket that are compared with all others at once, four times as many in each further turn: what is left
+#: by then are texts that share bands without a link, each pair of which has to be compared.
 SMALL = 16
 #: How often a bucket of unlike texts is split by the other bands, before its members take turns.
 SPLITS = 3
@@ -276,7 +277,8 @@ def links_of(members: DataFrame, docs: DataFrame, bands: DataFrame, least: float
     while True:
         size = live.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("free"), F.min(F.when(~F.col("linked"), F.col("id"))).alias("pivot")).filter("n > 1 and free > 0")
         live = checkpoint(live.join(size, "bucket"))
-        few, many = live.filter(F.col("free") <= SMALL), live.filter(F.col("free") > SMALL)
+        most = SMALL * 4**turn
+        few, many = live.filter(F.col("free") <= most), live.filter(F.col("free") > most)
         free = few.filter(~F.col("linked")).select("bucket", F.col("id").alias("other"))
         pairs = few.join(free, "bucket").filter("id <> other and (linked or id < other)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         star = many.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))

@@ -20,8 +20,8 @@ LEAST_SCORE = 0.5
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified, learnt from those that are not held out; lang is what was found."""
     model = language_id.fit(docs.filter(~language_id.held_out("doc_id")))
-    found = language_id.predict(docs, model).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = language_id.predict(docs, model, names=("_lang", "_score")).filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.col("_lang")).select(docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by the calibrated probabilities of the mix."""
     some = mixing.mix(docs)
     gone = checkpoint(some.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct())
-    return pick(docs.withColumnRenamed("doc_id", "id"), gone, keep=False).withColumnRenamed("id", "doc_id").select(docs.columns)
+    return pick(docs, gone, keep=False, key="doc_id")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,20 +140,20 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred, `und` for a text that is null or has no letter, and score, the posterior (und: 0).
 
-    Texts may be empty or very long, rows may repeat. docs must not have columns of these two names.
+    Texts may be empty or very long, rows may repeat. docs must not have columns of these two names; others can be given.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, place = [*docs.columns, "lang_pred", "score"], docs.columns.index(text)
+    columns, place = [*docs.columns, *names], docs.columns.index(text)
 
     def add(batches):
         for batch in batches:
             langs, scores = shared.value.score(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=columns)
 
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
     return docs.mapInArrow(add, schema)
 
 

@@ -251,10 +251,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def pick(rows: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows whose id is (or is not) among ids, by broadcast where these are few."""
+def pick(rows: DataFrame, ids: DataFrame, keep: bool = True, key: str = "id") -> DataFrame:
+    """Rows whose key is (or is not) among the column id of ids, by broadcast where these are few."""
     few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi" if keep else "left_anti")
+    ids = ids.withColumnRenamed("id", key)
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi" if keep else "left_anti").select(rows.columns)
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -345,7 +346,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """docs without those that are not kept, with its own columns; of repeated rows of a key, one stays."""
     found = checkpoint(near_duplicates(docs, text=text, key=key))
     gone = checkpoint(found.filter("not kept").select(F.col(key).alias("id")).distinct())
-    out = pick(docs.withColumn("id", F.col(key).cast("long")), gone, keep=False).drop("id") if "id" not in docs.columns else docs.join(gone.withColumnRenamed("id", key), key, "left_anti").select(docs.columns)
+    out = pick(docs, gone, keep=False, key=key)
     again = found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty()
     return out if again else out.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.filter(F.col(key).isNull()))
 

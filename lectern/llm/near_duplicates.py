@@ -8,18 +8,21 @@ Jaccard similarity. Points are only made up to the time at which all registers o
 
 Registers are joined to bands, equal bands put texts in a bucket, and the members of buckets are verified by the exact
 overlap of their multisets. In a bucket of more than SMALL texts not all pairs are made: all members are compared with
-one of them, those that are linked to it need no comparison with each other, and so on until few are left. A bucket
-whose texts have little to do with each other is split by the texts' other bands. No bucket and no group is capped.
+one of them, and those that are linked to it need no comparison with each other. Buckets that stay large hold texts
+that share a passage but are not alike. Their members meet by prefixes: two texts of the similarity, the words of each
+sorted by how few texts have them, have one of their first and rarest shingles in common, which a passage of many texts
+is not. This is exact, so no bucket and no group is capped and no link between texts of a bucket is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import attach_groups, checkpoint, read
@@ -28,11 +31,10 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that are compared with all others at once, four times as many in each further turn: what is left
-#: by then are texts that share bands without a link, each pair of which has to be compared.
+#: Members of a bucket, not linked yet, that are compared with all others at once.
 SMALL = 16
-#: How often a bucket of unlike texts is split by the other bands, before its members take turns.
-SPLITS = 3
+#: Turns of comparisons with one member of a large bucket, before what is left of it meets by prefixes.
+TURNS = 3
 #: Bytes of text that a task works on at a time.
 CHUNK = 1 << 20
 #: Rows of an Arrow batch of texts.
@@ -189,7 +191,7 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows id, text become id, fingerprint of the words in their order (null: no word) and bands."""
+    """Rows id, text become id, fingerprint of the words in their order (null: no word), bands and number of shingles."""
     for batch in batches:
         data, at = text_bytes(batch.column(1))
         for i, j, w, of in chunks(data, at):
@@ -198,6 +200,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.searchsorted(there, so)
             bands = np.zeros((j - i, BANDS), dtype=np.int64)
             mark = np.zeros((j - i, 2), dtype=U)
+            size = np.bincount(so, n, j - i).astype(np.int64)
             if len(there):
                 bands[there] = bands_of(signatures(s, place, n, len(there)))
                 first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -207,7 +210,21 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.isin(np.arange(j - i), there)
             prints = [m.tobytes() if ok else None for m, ok in zip(mark, has, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(prints, pa.binary()), lists], names=["id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(prints, pa.binary()), lists, pa.array(size)], names=["id", "fp", "bands", "n"])
+
+
+def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows id, text become id and the shingles of the text; the second of equal ones differs from the first, and so on."""
+    for batch in batches:
+        data, at = text_bytes(batch.column(1))
+        for i, j, w, of in chunks(data, at):
+            s, so, n = counted(*shingles(w, of))
+            again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            s, so = np.repeat(s, n), np.repeat(so, n)
+            s = np.where(again > 0, mix(s + again.astype(U) * GOLDEN), s)
+            end = np.cumsum(np.bincount(so, minlength=j - i))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], names=["id", "x"])
 
 
 def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,39 +284,80 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(overlap, "a long, b long, similarity double"))
 
 
-def links_of(members: DataFrame, docs: DataFrame, bands: DataFrame, least: float) -> DataFrame:
+def prefixes(ids: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """id, n (its shingles), x (a shingle), pos and core, for the rarest shingles of the texts of ids.
+
+    A shingle's place in the order of its text is pos. Shingles that one text alone has come first, count, and are not
+    returned. Of two texts of at least the similarity, the first shingle in common is among these rows for both, and
+    core for the smaller of them.
+    """
+    with small_batches(docs.sparkSession):
+        sets = checkpoint(pick(docs, ids).mapInArrow(elements, "id long, x array<long>"))
+    rows = sets.select("id", F.size("x").alias("n"), F.explode("x").alias("x"))
+    often = rows.groupBy("x").agg(F.count("*").alias("texts")).filter("texts > 1")
+    shared = rows.join(often, "x").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("texts", "x"))).alias("shared"))
+    own = F.col("n") - F.size("shared")
+    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    core = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9) + 1
+    some = shared.select("id", "n", own.alias("own"), core.alias("until"), F.slice("shared", F.lit(1), F.greatest(F.lit(0), first - own).cast("int")).alias("shared"))
+    return some.select("id", "n", "own", "until", F.posexplode("shared").alias("k", "one")).select("id", "n", F.col("one.x").alias("x"), (F.col("own") + F.col("k")).alias("pos"), (F.col("own") + F.col("k") < F.col("until")).alias("core"))
+
+
+def crowd_pairs(crowd: DataFrame, docs: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of crowd (id, free), one of them free, that may have the similarity and are not connected by edges."""
+    label = components(edges)
+    ids = checkpoint(crowd.groupBy("id").agg(F.max("free").alias("free")).join(label, "id", "left").select("id", "free", F.coalesce("label", "id").alias("label")))
+    rows = checkpoint(prefixes(ids.select("id"), docs, least).join(ids, "id"))
+    left = rows.filter("free").select(*[F.col(c).alias(f"l_{c}") for c in ("x", "id", "n", "pos", "core", "label")])
+    short = F.when(F.col("n") < F.col("l_n"), F.col("core")).otherwise(F.col("l_core"))
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("l_n")) - 1e-9)
+    meet = (F.col("x") == F.col("l_x")) & (F.col("label") != F.col("l_label")) & (~F.col("free") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
+    return left.join(rows, meet).select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
+
+
+def alike(n: Column, m: Column, least: float) -> Column:
+    """Whether texts of n and m shingles can have the similarity."""
+    return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
+
+
+def links_of(members: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Edges a < b of at least the similarity, enough to connect all texts that share a bucket and a link.
 
-    members: bucket, id. A member is `linked` once it is connected to all other linked ones of its bucket; two of these
-    are not compared any more, all other pairs are, or share another bucket that is.
+    members: bucket, id, n. A member is `linked` once it is connected to all other linked ones of its bucket; two of
+    these are not compared any more, all other pairs are, or share another bucket that is.
     """
     live = checkpoint(members.withColumn("linked", F.lit(False)))
-    edges, turn = None, 0
-    while True:
-        size = live.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("free"), F.min(F.when(~F.col("linked"), F.col("id"))).alias("pivot")).filter("n > 1 and free > 0")
+    edges = live.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    crowd = []
+    for turn in range(TURNS + 1):
+        size = live.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free"), F.min(F.when(~F.col("linked"), F.col("id"))).alias("pivot")).filter("m > 1 and free > 0")
         live = checkpoint(live.join(size, "bucket"))
-        most = SMALL * 4**turn
-        few, many = live.filter(F.col("free") <= most), live.filter(F.col("free") > most)
-        free = few.filter(~F.col("linked")).select("bucket", F.col("id").alias("other"))
-        pairs = few.join(free, "bucket").filter("id <> other and (linked or id < other)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        star = many.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = checkpoint(pairs.unionByName(star).distinct())
-        if pairs.isEmpty():
-            break
-        found = verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        if many.isEmpty():
+        few, many = live.filter(F.col("free") <= SMALL), live.filter(F.col("free") > SMALL)
+        free = few.filter(~F.col("linked")).select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"))
+        pairs = few.join(free, "bucket").filter(F.expr("id <> other and (linked or id < other)") & alike(F.col("n"), F.col("other_n"), least)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        if turn == TURNS:
+            crowd.append(many.select("id", (~F.col("linked")).alias("free")))
+        else:
+            star = many.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            pairs = pairs.unionByName(star)
+        pairs = checkpoint(pairs.distinct())
+        if not pairs.isEmpty():
+            found = verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b")
+            edges = edges.unionByName(found)
+        if turn == TURNS or many.isEmpty():
             break
         near = found.select("a", "b", F.lit(True).alias("hit"))
-        now = many.filter("id <> pivot").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}).join(near, ["a", "b"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))).select("bucket", "id", "linked", "hit", "free")
+        now = many.filter("id <> pivot").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}).join(near, ["a", "b"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))).select("bucket", "id", "n", "linked", "hit", "free")
         state = now.groupBy("bucket").agg(F.bool_or(F.col("linked") & F.col("hit")).alias("joins"), F.bool_or("linked").alias("any"), F.count_if(F.col("hit") & ~F.col("linked")).alias("hits"))
-        now = now.join(state, "bucket").withColumn("linked", F.col("linked") | F.col("hit") & (F.col("joins") | ~F.col("any")))
+        now = checkpoint(now.join(state, "bucket").withColumn("linked", F.col("linked") | F.col("hit") & (F.col("joins") | ~F.col("any"))))
         loose = 4 * F.col("hits") < F.col("free")
-        rest = now.filter(~loose).select("bucket", "id", "linked")
-        apart = now.filter(loose).select("bucket", "id", "linked")
-        split = apart.join(bands, "id").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "linked").distinct() if turn < SPLITS else apart
-        live, turn = checkpoint(rest.unionByName(split)), turn + 1
-    return live.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if edges is None else edges.distinct()
+        crowd.append(now.filter(loose).select("id", (~F.col("linked")).alias("free")))
+        live = now.filter(~loose).select("bucket", "id", "n", "linked")
+    edges = checkpoint(edges.distinct())
+    if not crowd:
+        return edges
+    pairs = checkpoint(crowd_pairs(reduce(DataFrame.unionByName, crowd), docs, edges, least))
+    return edges.unionByName(verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,12 +387,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     with small_batches(rows.sparkSession):
-        sketches = checkpoint(rows.mapInArrow(sketch, "id long, fp binary, bands array<long>"))
+        sketches = checkpoint(rows.mapInArrow(sketch, "id long, fp binary, bands array<long>, n long"))
     known = sketches.select("id", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"))
     groups = checkpoint(known.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    bands = sketches.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    members = checkpoint(bands.distinct())
-    edges = links_of(members.select(F.col("band").alias("bucket"), "id"), rows, members, least)
+    members = sketches.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select(F.explode("bands").alias("bucket"), "id", "n").distinct()
+    edges = links_of(members, rows, least)
     label = components(edges)
     classes = groups.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("class_id"), "n")
     sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_docs"))

@@ -16,7 +16,7 @@ is not. This is exact, so no bucket and no group is capped and no link between t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 SMALL = 16
 #: Turns of comparisons with one member of a large bucket, before what is left of it meets by prefixes.
 TURNS = 3
+#: A shingle is hot when it is at least one in this many of those that are counted; there are never more hot ones.
+HOT = 10_000
 #: Bytes of text that a task works on at a time.
 CHUNK = 1 << 20
 #: Rows of an Arrow batch of texts.
@@ -227,6 +229,34 @@ def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], names=["id", "x"])
 
 
+def parted(hot: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows id, x become id, n (how many x), those of x that are not in hot, and of those that are, in the order of hot,
+    as many as the prefix of the similarity has left."""
+    order = np.argsort(hot)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size, x = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            of = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(hot, x, sorter=order), max(len(hot) - 1, 0))
+            rank = order[at] if len(hot) else at
+            known = hot[rank] == x if len(hot) else np.zeros(len(x), bool)
+            others = np.bincount(of[~known], minlength=len(size))
+            left = np.maximum(size - np.ceil(least * size - 1e-9).astype(np.int64) + 1 - others, 0)
+            text, rank = of[known], rank[known]
+            by = np.lexsort((rank, text))
+            text, rank = text[by], rank[by]
+            taken = np.arange(len(text)) - np.searchsorted(text, text) < left[text]
+            out = []
+            for owner, values in ((of[~known], x[~known]), (text[taken], hot[rank[taken]])):
+                end = np.cumsum(np.bincount(owner, minlength=len(size)))
+                out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(values, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *out], names=["id", "n", "rare", "hot"])
+
+    return parts
+
+
 def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows a, b, a_text, b_text become a, b and the weighted Jaccard similarity of their shingles."""
     for batch in batches:
@@ -293,14 +323,18 @@ def prefixes(ids: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """
     with small_batches(docs.sparkSession):
         sets = checkpoint(pick(docs, ids).mapInArrow(elements, "id long, x array<long>"))
-    rows = sets.select("id", F.size("x").alias("n"), F.explode("x").alias("x"))
-    often = rows.groupBy("x").agg(F.count("*").alias("texts")).filter("texts > 1")
-    shared = rows.join(often, "x").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("texts", "x"))).alias("shared"))
-    own = F.col("n") - F.size("shared")
-    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    core = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9) + 1
-    some = shared.select("id", "n", own.alias("own"), core.alias("until"), F.slice("shared", F.lit(1), F.greatest(F.lit(0), first - own).cast("int")).alias("shared"))
-    return some.select("id", "n", "own", "until", F.posexplode("shared").alias("k", "one")).select("id", "n", F.col("one.x").alias("x"), (F.col("own") + F.col("k")).alias("pos"), (F.col("own") + F.col("k") < F.col("until")).alias("core"))
+    often = checkpoint(sets.select(F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("texts")).filter("texts > 1"))
+    total = sets.agg(F.sum(F.size("x"))).first()[0] or 0
+    is_hot = F.col("texts") * HOT >= total
+    hot = np.array([r["x"] for r in often.filter(is_hot).orderBy("texts", "x").collect()], dtype=np.int64)
+    rows = sets.mapInArrow(parted(hot, least), "id long, n long, rare array<long>, hot array<long>")
+    others = F.size("rare").alias("others")
+    rare = rows.select("id", "n", others, F.explode("rare").alias("x")).join(often.filter(~is_hot), "x").groupBy("id", "n", "others").agg(F.sort_array(F.collect_set(F.struct("texts", "x"))).alias("shared"))
+    # Of the rare ones, those of one text alone come first; the hot ones come after all others.
+    rare = rare.select("id", "n", F.col("shared.x").alias("x"), (F.col("others") - F.size("shared")).alias("from"))
+    both = rare.unionByName(rows.select("id", "n", F.col("hot").alias("x"), others.alias("from"))).select("id", "n", "from", F.posexplode("x").alias("k", "x"))
+    first, core = (F.col("n") - F.ceil(F.lit(x) * F.col("n") - 1e-9) + 1 for x in (least, 2 * least / (1 + least)))
+    return both.withColumn("pos", F.col("from") + F.col("k")).filter(F.col("pos") < first).select("id", "n", "x", "pos", (F.col("pos") < core).alias("core")).distinct()
 
 
 def crowd_pairs(crowd: DataFrame, docs: DataFrame, edges: DataFrame, least: float) -> DataFrame:

@@ -145,3 +145,15 @@ def test_components(spark):
     got = {r["id"]: r["label"] for r in nd.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     linked = {i for a, b in pairs if a != b for i in (a, b)}
     assert got == {i: up[i] for i in linked if up[i] != i}
+
+
+@pytest.mark.parametrize("hot", [1, 100, 10_000])
+def test_prefixes_meet(spark, heap, hot, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", hot)
+    docs = spark.createDataFrame(list(heap.items()), "id long, text string")
+    crowd = docs.select("id", (docs.id % 2 == 0).alias("free"))
+    got = {(r["a"], r["b"]) for r in nd.crowd_pairs(crowd, docs, spark.createDataFrame([], "a long, b long"), nd.SIMILARITY).collect()}
+    sets = {i: multiset(t) for i, t in heap.items()}
+    want = {(i, j) for i in sets for j in sets if i < j and (i % 2 == 0 or j % 2 == 0) and jaccard(sets[i], sets[j]) >= nd.SIMILARITY}
+    assert want <= got
+    assert not [p for p in got if set(p) & set(range(300, 420))], "texts with no more than a passage in common"

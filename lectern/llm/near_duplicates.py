@@ -37,6 +37,10 @@ SMALL = 16
 TURNS = 3
 #: A shingle is hot when it is at least one in this many of those that are counted; there are never more hot ones.
 HOT = 10_000
+#: Bits by which shingles that one text alone has are told before the rest is counted by a join.
+BITS = 1 << 23
+#: Shingles that a task counts at a time.
+TALLY = 1 << 21
 #: Bytes of text that a task works on at a time.
 CHUNK = 1 << 20
 #: Rows of an Arrow batch of texts.
@@ -229,9 +233,27 @@ def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], names=["id", "x"])
 
 
-def parted(hot: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows id, x become id, n (how many x), those of x that are not in hot, and of those that are, in the order of hot,
-    as many as the prefix of the similarity has left."""
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows x become the values of x and how many there are, for about TALLY of them at a time."""
+    some, many = [], 0
+
+    def counts() -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(some), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64())], names=["x", "texts"])
+
+    for batch in batches:
+        some.append(batch.column(0).flatten().to_numpy())
+        many += len(some[-1])
+        if many >= TALLY:
+            yield counts()
+            some, many = [], 0
+    if many:
+        yield counts()
+
+
+def parted(hot: np.ndarray, seen: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows id, x become id, n (how many x), how many are not in hot, those of these whose bit is in seen, and of those
+    in hot, in its order, as many as the prefix of the similarity has left."""
     order = np.argsort(hot)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +271,12 @@ def parted(hot: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]]
             text, rank = text[by], rank[by]
             taken = np.arange(len(text)) - np.searchsorted(text, text) < left[text]
             out = []
-            for owner, values in ((of[~known], x[~known]), (text[taken], hot[rank[taken]])):
+            bit = x % BITS
+            two = ~known & (seen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0)
+            for owner, values in ((of[two], x[two]), (text[taken], hot[rank[taken]])):
                 end = np.cumsum(np.bincount(owner, minlength=len(size)))
                 out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(values, pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *out], names=["id", "n", "rare", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(others, pa.int64()), *out], names=["id", "n", "others", "rare", "hot"])
 
     return parts
 
@@ -322,17 +346,20 @@ def prefixes(ids: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     core for the smaller of them.
     """
     with small_batches(docs.sparkSession):
-        sets = checkpoint(pick(docs, ids).mapInArrow(elements, "id long, x array<long>"))
-    often = checkpoint(sets.select(F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("texts")).filter("texts > 1"))
+        sets = checkpoint(pick(docs, ids).repartition("id").mapInArrow(elements, "id long, x array<long>"))
+        often = checkpoint(sets.select("x").mapInArrow(tally, "x long, texts long").groupBy("x").agg(F.sum("texts").alias("texts")).filter("texts > 1"))
     total = sets.agg(F.sum(F.size("x"))).first()[0] or 0
     is_hot = F.col("texts") * HOT >= total
     hot = np.array([r["x"] for r in often.filter(is_hot).orderBy("texts", "x").collect()], dtype=np.int64)
-    rows = sets.mapInArrow(parted(hot, least), "id long, n long, rare array<long>, hot array<long>")
-    others = F.size("rare").alias("others")
-    rare = rows.select("id", "n", others, F.explode("rare").alias("x")).join(often.filter(~is_hot), "x").groupBy("id", "n", "others").agg(F.sort_array(F.collect_set(F.struct("texts", "x"))).alias("shared"))
+    bit = (F.pmod("x", F.lit(BITS)) + 1).alias("bit")
+    seen = np.zeros(BITS >> 3, dtype=np.uint8)
+    for r in often.filter(~is_hot).select(bit).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
+        seen[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    rows = sets.mapInArrow(parted(hot, seen, least), "id long, n long, others long, rare array<long>, hot array<long>")
+    rare = rows.select("id", "n", "others", F.explode("rare").alias("x")).join(often.filter(~is_hot), "x").groupBy("id", "n", "others").agg(F.sort_array(F.collect_set(F.struct("texts", "x"))).alias("shared"))
     # Of the rare ones, those of one text alone come first; the hot ones come after all others.
     rare = rare.select("id", "n", F.col("shared.x").alias("x"), (F.col("others") - F.size("shared")).alias("from"))
-    both = rare.unionByName(rows.select("id", "n", F.col("hot").alias("x"), others.alias("from"))).select("id", "n", "from", F.posexplode("x").alias("k", "x"))
+    both = rare.unionByName(rows.select("id", "n", F.col("hot").alias("x"), F.col("others").alias("from"))).select("id", "n", "from", F.posexplode("x").alias("k", "x"))
     first, core = (F.col("n") - F.ceil(F.lit(x) * F.col("n") - 1e-9) + 1 for x in (least, 2 * least / (1 + least)))
     return both.withColumn("pos", F.col("from") + F.col("k")).filter(F.col("pos") < first).select("id", "n", "x", "pos", (F.col("pos") < core).alias("core")).distinct()
 

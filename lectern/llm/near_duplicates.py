@@ -38,7 +38,7 @@ TURNS = 3
 #: A shingle is hot when it is at least one in this many of those that are counted; there are never more hot ones.
 HOT = 10_000
 #: Bits by which shingles that one text alone has are told before the rest is counted by a join.
-BITS = 1 << 23
+BITS = 1 << 22
 #: Shingles that a task counts at a time.
 TALLY = 1 << 21
 #: Bytes of text that a task works on at a time.

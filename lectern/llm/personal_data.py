@@ -32,7 +32,9 @@ LOOSE = (
     ("phone", re.compile(r"(?<![\w+])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?!\w)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")),
     ("national_id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("secret", re.compile(r"(?<![\w+/])(?=[a-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9_]{24,}(?![\w+/])")),
+    # A run with a digit and a letter anywhere in it; shorter ones only as the value of a word for secrets.
+    ("secret", re.compile(r"(?<![\w+/-])(?=[\w+/-]{20})(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?![\w+/=-]))?(?![\w+/-])")),
+    ("secret", re.compile(r"(?i:token|secret|passw(?:or)?d|key|bearer|credential)s?[\"'\]]{0,2}\x20{0,4}(?:[:=]{1,2}>?|(?<=[Bb]earer\x20))\x20{0,4}[\"']?(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])([A-Za-z0-9_+/-]{8,19}+(?:={1,2}(?![\w+/=-]))?)(?![\w+/-])")),
 )
 # Words that go before personal data or before other numbers, and common ends of host names.
 BEFORE = {
@@ -44,6 +46,10 @@ BEFORE = {
     "national_id": "ssn social security id insurance",
     "secret": "token secret password passwd key apikey bearer credential",
 }
+PREFIXES = tuple("AKIA ASIA AIza ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk_live_ sk_test_ rk_live_ rk_test_ pk_live_ pk_test_ sk- xoxb- xoxp- xoxa- xoxr- eyJ npm_ pypi- hf_ dop_v1_".split())
+#: Parts written like words, capitals or short numbers, with marks between them: names, paths, slugs.
+PART = r"(?:[A-Z]?[a-z]{2,}+(?:[0-9]{0,4}+[A-Z][a-z]++)*+[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[a-z][0-9]{0,4}+|[0-9]{1,8}+)"
+SPELLED = re.compile(rf"[_+/-]*+(?:{PART}[_+/-]++)*+{PART}?")
 NUMBERS = "version section figure isbn page chapter release doi commit sha hash checksum md5 serial model part"
 ENDINGS = "com org net edu gov io co info biz de fr es it uk nl eu ch at be pl ru cn jp in br us ca au"
 WORD = re.compile(r"[A-Za-z]+")
@@ -75,6 +81,13 @@ def checked(kind: str, s: str) -> int:
     return 0
 
 
+def looks_secret(s: str) -> int:
+    """1 for a known prefix, long hexadecimals or many different characters that are no words, else -1."""
+    if s.startswith(PREFIXES) or len(s) >= 16 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+        return 1
+    return 1 if not SPELLED.fullmatch(s) and len(set(s)) >= min(16, 2 * len(s) // 3) else -1
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches: the part before the sign reaches back as far as it can, but not into the match before."""
     done, sign = 0, text.find("@")
@@ -104,7 +117,7 @@ def loose(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
         return []
     out, own = [], list(taken)
     for kind, pattern in LOOSE:
-        new = [(*m.span(), kind) for m in pattern.finditer(text)]
+        new = [(*m.span(pattern.groups), kind) for m in pattern.finditer(text)]
         own.sort()
         ends, starts = np.array([x[1] for x in own]), np.array([x[0] for x in own])
         if len(own):
@@ -127,7 +140,7 @@ def votes(text: str, a: int, b: int, kind: str, base: bool) -> tuple[int, ...]:
     elif kind == "ip":
         gazetteer = -1 if s.startswith(("0.", "127.")) else 1
     elif kind == "secret":
-        gazetteer = 1 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) or len(set(s)) >= 16 else -1
+        gazetteer = looks_secret(s)
     context = 1 if near & set(BEFORE[kind].split()) else -1 if near & set(NUMBERS.split()) else 0
     left, right = text[a - 1 : a], text[b : b + 1]
     touch = -1 if left.isalnum() or right.isalnum() else 1 if base or (left in "\"'=:([<" and right in "\"')]>;,.") else 0

@@ -1,9 +1,9 @@
 """Mixing sources to target weights: raked token weights, then a sample by calibrated probabilities.
 
-Documents are summed to cells (source, language, topic). Iterative proportional fitting multiplies the tokens of the
+Documents are summed to cells (source, language, topic). Iterative proportional fitting multiplies the weights of the
 cells by one factor a source, a language and a topic until each marginal has its target share. Each half step is one
-aggregation of the cells; what reaches the driver and goes back by broadcast are the factors, at most HOT + 1 a
-dimension, since categories below a thousandth of the tokens share one factor.
+aggregation of the cells, whose factors are joined to them: those of large categories by broadcast, others by shuffle.
+No category is folded into another; only totals reach the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import HOT, checkpoint, read
+from .shared import HOT, attach_groups, checkpoint, discard, read
 
 DIMS = ("source", "lang", "topic")
 #: Exponents that draw the shares of each dimension together: 1 leaves them, 0 makes them equal.
@@ -35,52 +35,74 @@ def category(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
 
+def own_value(value: Column) -> Column:
+    """What category() was made of, as text."""
+    return F.when(value != "null", F.substr(value, F.lit(2)))
+
+
 def table(spark: SparkSession, dim: str, of: dict[str, float], name: str) -> DataFrame:
-    """The factors of a dimension, at most HOT + 1 rows, to be broadcast."""
+    """The targets that a caller gives for a dimension, to be broadcast."""
     rows = json.dumps([{"k": k, "v": v} for k, v in of.items()])
     one = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<k:string,v:double>>")))
     return F.broadcast(one.select(F.col("k").alias(dim), F.col("v").alias(name)))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
-    """Factors by dimension and category, so that the weighted tokens of each category have its target share.
+def attach(rows: DataFrame, groups: DataFrame, key: str, n: str, many: int) -> DataFrame:
+    """groups, of which there are many, joined to rows by key, which is never null; n counts the rows of a group."""
+    return rows.join(F.broadcast(groups.drop(n)), key, "left") if many <= HOT else attach_groups(rows, groups, key, n).drop(n)
+
+
+def aim(cells: DataFrame, targets: dict[str, dict] | None, total: int) -> DataFrame:
+    """cells with a weight to begin with, and each dimension's target share as want_source, want_lang and want_topic."""
+    cells = cells.withColumn("weight", F.lit(1.0))
+    for d in DIMS:
+        want = f"want_{d}"
+        if targets and d in targets:
+            given = {"null" if k is None else f"={k}": v for k, v in targets[d].items()}
+            goal = table(cells.sparkSession, d, {k: v / sum(given.values()) for k, v in given.items()}, want)
+            cells = cells.join(goal, d, "left").withColumn(want, F.coalesce(want, F.lit(0.0)))
+            cells = cells.withColumn("weight", F.when(F.col(want) > 0, F.col("weight")).otherwise(0.0))
+        else:
+            share = F.sum("tokens") / (total or 1)
+            own = checkpoint(cells.groupBy(d).agg(F.when(share > 0, F.pow(share, F.lit(TEMPER[d]))).otherwise(0.0).alias(want), F.count("*").alias("_n")))
+            many, heat = own.agg(F.count("*"), F.sum(want)).first()
+            cells = attach(cells, own.withColumn(want, F.col(want) / (heat or 1)), d, "_n", many)
+    return checkpoint(cells)
+
+
+def rake(cells: DataFrame, total: int) -> DataFrame:
+    """cells with new weights, so that the weighted tokens of each category have its target share.
 
     It ends when a whole sweep has moved no share by more than TOLERANCE, or after SWEEPS (targets that contradict
     each other have no solution; the last dimension's marginals then hold).
     """
-    spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    factors = {d: dict.fromkeys(targets[d], 1.0) for d in targets}
     for _ in range(SWEEPS):
         worst = 0.0
-        for d in targets:
-            now = cells
-            for e in targets:
-                now = now.join(table(spark, e, factors[e], f"_{e}"), e)
-            mass = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("_source") * F.col("_lang") * F.col("_topic")).alias("m")).collect()
-            for r in mass:
-                if r["m"] > 0:
-                    want = targets[d][r[d]] * total
-                    worst = max(worst, abs(r["m"] - want) / total)
-                    factors[d][r[d]] *= want / r["m"]
+        for d in DIMS:
+            mass = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_m"), F.max(f"want_{d}").alias("_want"), F.count("*").alias("_n"))
+            ratio = F.when(F.col("_m") > 0, F.col("_want") * total / F.col("_m")).otherwise(1.0)
+            moved = F.when(F.col("_m") > 0, F.abs(F.col("_m") - F.col("_want") * total) / total).otherwise(0.0)
+            steps = checkpoint(mass.select(d, "_n", ratio.alias("_ratio"), moved.alias("_moved")))
+            many, most = steps.agg(F.count("*"), F.max("_moved")).first()
+            worst = max(worst, most)
+            new = checkpoint(attach(cells, steps.drop("_moved"), d, "_n", many).withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio"))
+            discard(steps)
+            discard(cells)
+            cells = new
         if worst <= TOLERANCE:
             break
-    return factors
+    return cells
 
 
-def calibrate(cells: DataFrame, factors: dict[str, dict[str, float]], want: float) -> float:
+def calibrate(cells: DataFrame, want: float) -> float:
     """The number by which weights become probabilities, at most 1, that sample as many tokens as wanted.
 
     Cells at 1 are set aside and the rest is scaled anew, until no other cell gets there.
     """
-    now = cells
-    for d in factors:
-        now = now.join(table(cells.sparkSession, d, factors[d], f"_{d}"), d)
-    now = now.withColumn("w", F.col("_source") * F.col("_lang") * F.col("_topic"))
     scale, last = 0.0, -1
     while True:
-        full = F.col("w") * F.lit(scale) >= 1
-        r = now.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("w"))).alias("rest")).first()
+        full = F.col("weight") * F.lit(scale) >= 1
+        r = cells.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("weight"))).alias("rest")).first()
         if r["n"] == last or not r["rest"]:
             return scale
         last, new = r["n"], (want - r["full"]) / r["rest"]
@@ -93,7 +115,8 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float
     """One row a document: key, source, lang, topic, tokens, weight, probability and kept.
 
     targets gives shares by dimension and value (None for null; values that it leaves out are dropped, weight 0);
-    dimensions that it leaves out, or all, aim at their own shares raised to TEMPER. tokens defaults to a quarter of the
+    dimensions that it leaves out, or all, aim at their own shares raised to TEMPER. source, lang and topic are the
+    document's own as text, null where it has none. tokens defaults to a quarter of the
     text's bytes, rounded up; a null text has 0, and the weight of its cell like any other. kept follows from a hash of
     the key, the same in every run; repeated rows share their fate. A probability is 1 where the weight asks for more
     copies than there are. No rows in, no rows out. Other columns of docs are neither read nor returned.
@@ -102,31 +125,17 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float
     n = F.ceil(F.octet_length(t) / BYTES_A_TOKEN) if tokens is None else tokens
     rows = docs.select(F.col(key), category(F.col(source)).alias("source"), category(F.col(lang)).alias("lang"), category(default_topic(t) if topic is None else topic).alias("topic"), F.coalesce(n.cast("long"), F.lit(0)).alias("tokens"))
     rows = checkpoint(rows)
-    spark = rows.sparkSession
     total = rows.agg(F.sum("tokens")).first()[0] or 0
-    goals, folded = {}, rows
-    for d in DIMS:
-        own = rows.groupBy(d).agg(F.sum("tokens").alias("n")).filter(F.col("n") * HOT >= total).filter("n > 0").collect()
-        share = {r[d]: r["n"] / total for r in own}
-        if targets and d in targets:
-            given = {"null" if k is None else f"={k}": v for k, v in targets[d].items()}
-            goals[d] = {k: v / sum(given.values()) for k, v in given.items()} | {"rest": 0.0}
-        else:
-            share["rest"] = max(0.0, 1 - sum(share.values()))
-            heat = {k: v ** TEMPER[d] for k, v in share.items() if v > 1e-12}
-            goals[d] = {k: heat.get(k, 0.0) / (sum(heat.values()) or 1) for k in [*share]}
-        known = table(spark, d, dict.fromkeys(goals[d], 0.0), "_known")
-        folded = folded.join(known, d, "left").withColumn(d, F.when(F.col("_known").isNull(), "rest").otherwise(F.col(d))).drop("_known")
-    cells = checkpoint(folded.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
-    factors = rake(cells, goals)
-    scale = calibrate(cells, factors, fraction * total) if total else 1.0
-    out = folded
-    for d in DIMS:
-        out = out.join(table(spark, d, factors[d], f"_{d}"), d, "left")
-    weight = F.coalesce(F.col("_source") * F.col("_lang") * F.col("_topic"), F.lit(0.0))
+    sums = checkpoint(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
+    cells, scale = aim(sums, targets, total), 1.0
+    if total:
+        cells = rake(cells, total)
+        scale = calibrate(cells, fraction * total)
+    groups = cells.select(F.struct(*DIMS).alias("_cell"), "weight", "rows")
+    out = attach(rows.withColumn("_cell", F.struct(*DIMS)), groups, "_cell", "rows", groups.count())
     luck = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) * F.lit(2.0**-53)
-    out = out.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
-    return out.select(key, *[F.regexp_replace(d, "^=", "").alias(d) for d in DIMS], "tokens", "weight", "probability", (luck < F.col("probability")).alias("kept"))
+    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
+    return out.select(key, *[own_value(F.col(d)).alias(d) for d in DIMS], "tokens", "weight", "probability", (luck < F.col("probability")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete one table of checkpoint() that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once no result that reads them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))

@@ -125,6 +125,23 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_rakes_the_tail(spark):
+    names = ["rest", "null", None, "=x", *(f"host{i}" for i in range(1500))]
+    rows = [(10 * i + 2 * j + k, "abcd" * ((i * 7) % 40 + 1 + 3 * k), ["en", "de"][k], name) for i, name in enumerate(names) for j in range(1 + i % 2) for k in range(2)]
+    rows += [(100_000 + i, "abcd" * 400, ["en", "de"][i % 3 == 0], "hot") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(docs, topic=F.lit("t")).toPandas()
+    assert len(out) == len(rows) and (out.set_index("doc_id")["topic"] == "t").all()
+    own = {r[0]: r[3] for r in rows}
+    assert all((None if s != s else s) == own[i] for i, s in zip(out["doc_id"], out["source"], strict=True))
+    for d, power in (("source", mixing.TEMPER["source"]), ("lang", mixing.TEMPER["lang"])):
+        by = out[d].fillna("(none)")
+        heat = out["tokens"].groupby(by).sum() ** power
+        mass = (out["tokens"] * out["weight"]).groupby(by).sum()
+        assert np.allclose(mass / mass.sum(), heat / heat.sum(), rtol=1e-3, atol=0)
+    assert np.isclose((out["tokens"] * out["probability"]).sum() / out["tokens"].sum(), mixing.FRACTION, atol=1e-6)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -3,13 +3,13 @@
 A page becomes a tree, whatever its markup lacks. Subtrees that are menus, notices, adverts, forms or the like by their
 tag, role or names are left out. Each run of text then passes points for its length and its commas to the containers
 around it, less the further they are and the more of the run is links. The container of most points, after a discount
-for its own links, is kept, and its siblings that look like parts of the same article.
+for its own links, is kept, or the whole article or main element around it, and siblings that look like parts of the same text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -31,6 +31,10 @@ LEFT_OUT = set("nav footer aside form button select option datalist dialog menu
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 PARAGRAPHS = set("p pre li dt dd blockquote h1 h2 h3 h4 h5 h6 tr caption figcaption summary address".split())
 NEVER = {"html", "body", "article", "main"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Siblings that are part of a text if they are next to it, and elements that are one as a whole.
+PARTS = PARAGRAPHS - {"address", "summary"} | set("ul ol dl figure table section hgroup details".split())
+WHOLE = {"article", "main"}
 #: An opening tag ends these open elements, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 SCOPE = {"table", "td", "th", "button", "object", "html"}
@@ -166,16 +170,51 @@ class Page:
         pure = lambda i: 1 - linked[i] / size[i] if size[i] else 0.0
         score = [(points[i] + BONUS.get(self.tag[i], 0.0)) * pure(i) if size[i] and self.tag[i] not in PARAGRAPHS and self.tag[i] not in INLINE else 0.0 for i in range(n)]
         top = max(range(n), key=lambda i: (score[i], -i))
-        kept = {top}
-        if self.up[top] >= 0:
+        whole = top
+        while whole > 0 and self.tag[whole] not in WHOLE:
+            whole = self.up[whole]
+        root = whole or top
+        kept = {root}
+        if self.up[root] >= 0:
             least = max(10.0, score[top] * 0.2)
             for i in range(n):
-                if self.up[i] == self.up[top] and i != top and size[i] and (score[i] >= least or self.tag[i] == "p" and pure(i) > 0.75 and size[i] > 80):
+                if self.up[i] == self.up[root] and i != root and size[i] and (score[i] >= least or self.tag[i] == "p" and pure(i) > 0.75 and size[i] > 80):
                     kept.add(i)
+        own = self.neighbours(kept, blocks, self.up[root], pure, bool(whole) and not self.inside[self.up[root]])
         keep = [False] * n
         for i in range(n):
             keep[i] = i in kept or self.up[i] >= 0 and keep[self.up[i]]
-        return "\n".join(t for node, t, _ in blocks if keep[node])
+        return "\n".join(t for j, (node, t, _) in enumerate(blocks) if keep[node] or j in own)
+
+    def neighbours(self, kept: set[int], blocks: list[tuple[int, str, float]], parent: int, pure: Callable[[int], float], marked: bool) -> set[int]:
+        """Adds to kept what stands between its members or next to them, and returns such blocks of the parent's own.
+
+        Between is all from a main heading before them to the last one. Next to them, parts of a text count, or only
+        headings before an element that is marked as an article by itself. Nothing that is mostly links counts.
+        """
+        if parent < 0:
+            return set()
+        items: list[tuple[int, int]] = []
+        child = [-1] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            child[i] = i if self.up[i] == parent else child[self.up[i]]
+        for j, (node, _, _) in enumerate(blocks):
+            if child[node] >= 0 and not (items and items[-1][0] == child[node]):
+                items.append((child[node], -1))
+            elif node == parent:
+                items.append((-1, j))
+        tag = lambda x: self.tag[x[0]] if x[0] >= 0 else "p"
+        fit = lambda x: (pure(x[0]) if x[0] >= 0 else 1 - blocks[x[1]][2]) > 0.5
+        at = [k for k, x in enumerate(items) if x[0] in kept]
+        first, last = at[0], at[-1]
+        first = first if marked else next((k for k in range(first) if tag(items[k]) == "h1" and fit(items[k])), first)
+        while first > 0 and tag(items[first - 1]) in (HEADINGS if marked else PARTS) and fit(items[first - 1]):
+            first -= 1
+        while not marked and last + 1 < len(items) and tag(items[last + 1]) in PARTS and fit(items[last + 1]):
+            last += 1
+        more = [x for x in items[first : last + 1] if fit(x)]
+        kept |= {x[0] for x in more if x[0] >= 0}
+        return {x[1] for x in more if x[0] < 0}
 
     def block(self, node: int) -> int:
         while node > 0 and (self.tag[node] in INLINE or self.tag[node] in CELLS):

@@ -295,6 +295,32 @@ def test_main_text(html, text):
         assert got == text
 
 
+@pytest.mark.parametrize("count", [3, 12, 60])
+@pytest.mark.parametrize("outer", ["article", "main", "div", "body"])
+def test_main_text_drops_no_part(count, outer):
+    body = [f"Part {i}, " + "some words, of a text, that goes on, and on, for long. " * 5 for i in range(count)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    parts = "<h1>Title</h1><div>By someone</div><p>Short.</p>", "<h2>Next</h2><pre>x = 1</pre><ul><li>one<li>two</ul>", "<blockquote>Said.</blockquote><dl><dt>a<dd>b</dl><p>End.</p>"
+    page = f"<nav>Menu</nav><{outer}>{parts[0]}<div>{inner}</div>{parts[1]}<div>{inner}</div>{parts[2]}</{outer}><footer>Foot</footer>"
+    own = [x.strip() for x in body]
+    want = ["Title", "By someone", "Short.", *own, "Next", "x = 1", "one", "two", *own, "Said.", "a", "b", "End."]
+    assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_main_text_keeps_whole_article(outer):
+    body = [f"Part {i}, " + "some words, of a text, that goes on, and on, for long. " * 5 for i in range(40)]
+    page = f"<{outer}><h1>Title</h1><div>{''.join(f'<p>{x}</p>' for x in body)}</div><blockquote>Said.</blockquote><p>End.</p></{outer}>"
+    assert html_text.main_text(page).split("\n") == ["Title", *map(str.strip, body), "Said.", "End."]
+
+
+def test_main_text_leaves_neighbours_out():
+    text = "".join(f"<p>Part {i}, of a text, that goes on, and on, for long, and longer.</p>" for i in range(30))
+    links = "<ul><li><a>Other</a><li><a>Another</a></ul>"
+    assert html_text.main_text(f"<body>{links}<h2>Title</h2><div>{text}</div>{links}<p>Not next to it.</p>").split("\n")[::30] == ["Title", "Part 29, of a text, that goes on, and on, for long, and longer."]
+    assert html_text.main_text(f"<body><p>Before.</p><article>{text}</article><p>After.</p>").count("\n") == 29
+
+
 def test_main_text_of_pages(spark):
     from html import unescape
 

@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 Patterns find candidates: four strict kinds, which always count, and looser ones. Labelers vote on each candidate: its
-checks, its kind's gazetteer, the words before it, and what touches it. Expectation-maximisation over the counts of vote
+checks, its kind's gazetteer (ends of host names, networks, calling and area codes, countries and lengths of IBANs, shapes
+and prefixes of secrets; none for cards and national ids), the words before it, and what touches it. Expectation-maximisation over the counts of vote
 patterns, of all candidates, estimates how reliable each labeler is and how likely each pattern; a logistic model of the
 candidate's features is trained on these and decides on the looser candidates. What reaches the driver are counts of
 patterns of votes and features, whose number is bounded whatever the corpus.
@@ -46,6 +47,9 @@ BEFORE = {
     "national_id": "ssn social security id insurance",
     "secret": "token secret password passwd key apikey bearer credential",
 }
+#: Countries of IBANs with their lengths, and calling codes of one or two digits or the first two of three.
+IBANS = dict(x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20".split())
+CALLING = tuple("1 7 20 21 22 23 24 25 26 27 29 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 49 50 51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 69 80 81 82 84 85 86 87 88 90 91 92 93 94 95 96 97 98 99".split())
 PREFIXES = tuple("AKIA ASIA AIza ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk_live_ sk_test_ rk_live_ rk_test_ pk_live_ pk_test_ sk- xoxb- xoxp- xoxa- xoxr- eyJ npm_ pypi- hf_ dop_v1_".split())
 #: Parts written like words, capitals or short numbers, with marks between them: names, paths, slugs.
 PART = r"(?:[A-Z]?[a-z]{2,}+(?:[0-9]{0,4}+[A-Z][a-z]++)*+[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[a-z][0-9]{0,4}+|[0-9]{1,8}+)"
@@ -81,6 +85,14 @@ def checked(kind: str, s: str) -> int:
     return 0
 
 
+def dialled(s: str) -> int:
+    """1 for a calling code that exists, or without one for an area and an exchange of the North American plan, else -1."""
+    d = re.sub("[^0-9]", "", s)
+    if s.startswith("+"):
+        return 1 if d.startswith(CALLING) else -1
+    return 1 if d[0] not in "01" and d[1:3] != "11" and d[3] not in "01" and d[4:6] != "11" else -1
+
+
 def looks_secret(s: str) -> int:
     """1 for a known prefix, long hexadecimals or many different characters that are no words, else -1."""
     if s.startswith(PREFIXES) or len(s) >= 16 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
@@ -139,6 +151,10 @@ def votes(text: str, a: int, b: int, kind: str, base: bool) -> tuple[int, ...]:
         gazetteer = 1 if s.rpartition(".")[2].lower() in ENDINGS.split() else 0
     elif kind == "ip":
         gazetteer = -1 if s.startswith(("0.", "127.")) else 1
+    elif kind == "phone":
+        gazetteer = dialled(s)
+    elif kind == "iban":
+        gazetteer = 1 if IBANS.get(s[:2]) == str(len(s.replace(" ", ""))) else -1
     elif kind == "secret":
         gazetteer = looks_secret(s)
     context = 1 if near & set(BEFORE[kind].split()) else -1 if near & set(NUMBERS.split()) else 0

@@ -216,6 +216,11 @@ def test_secrets_of_any_shape(spark):
     assert {(r["doc_id"], r["text"]) for r in personal_data.redact(docs).collect()} == set(enumerate(want))
 
 
+def test_gazetteers_vote_on_loose_kinds():
+    for text, vote in [("DE89 3704 0044 0532 0130 00", 1), ("DE89 3704 0044 0532 0130 00AB", -1), ("ZZ89 3704 0044 0532 0130 00", -1), ("212-555-0123", 1), ("012-555-0123", -1), ("911-555-0123", -1), ("+49 30 1234567", 1), ("+28 30 12345678", -1)]:
+        assert [v[1] for *_, v in personal_data.candidates(f"see {text}, there")] == [vote], text
+
+
 def test_secret_patterns_are_linear():
     assert len(personal_data.candidates("a1" * 300_000)) == 1
     assert [v[1] for *_, v in personal_data.candidates("-_" * 100_000 + "1a" + "-")] == [-1]

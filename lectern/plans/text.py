@@ -108,14 +108,25 @@ def overview_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEW = 10_000
 
 
+def contaminated(d: DataFrame, b: DataFrame, few: int = FEW) -> DataFrame:
+    """Candidates of b whose normal form c, if any, is part of a document's normal form s, and not of its source's if d has one.
+
+    By broadcast while candidates are few, else by their first 24 characters, or all of a shorter one.
+    """
+    b = b.filter("c != ''")
+    clean = ~F.contains(F.coalesce("source", F.lit("")), F.col("c")) if "source" in d.columns else F.lit(True)
+    if b.limit(few + 1).count() <= few:
+        return d.join(F.broadcast(b), F.contains("s", F.col("c"))).filter(clean).select("doc_id", "item_id")
+    b = b.withColumn("head", F.substring("c", 1, 24))
+    sizes = tuple(sorted(r[0] for r in b.select(F.length("head")).distinct().collect()))
+    at = d.select("*", F.explode(F.array_distinct(T.let(F.col("s"), lambda x: S.grams(x, sizes)))).alias("head"))
+    return at.join(b, "head").filter(F.contains("s", F.col("c")) & clean).select("doc_id", "item_id")
+
+
 def contamination_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates whose normal form is part of a document's: by broadcast while they are few, else by their first grams."""
+    """Benchmark items within documents, which have no source text here."""
     d = documents(spark, sf_dir).select("doc_id", T.normal(F.col("text")).alias("s"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.normal(F.col("text")).alias("c")).filter("length(c) >= 24")
-    if b.limit(FEW + 1).count() <= FEW:
-        return d.join(F.broadcast(b), F.contains("s", F.col("c"))).select("doc_id", "item_id")
-    at = d.select("doc_id", "s", F.explode(F.array_distinct(T.let(F.col("s"), lambda x: S.grams(x, (24,))))).alias("head"))
-    return at.join(b.withColumn("head", F.substring("c", 1, 24)), "head").filter(F.contains("s", F.col("c"))).select("doc_id", "item_id")
+    return contaminated(d, table(spark, sf_dir, "benchmark").select("item_id", T.normal(F.col("text")).alias("c")))
 
 
 QUERIES = {

@@ -148,3 +148,18 @@ def test_first_events_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("first_events").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["key"] for r in spark.sql("SELECT * FROM first_events").collect()) == ["a", "b"]
+
+
+def test_short_candidates_contaminate(spark):
+    from lectern.plans.text import contaminated
+
+    texts = {1: "abcdefghijklmnopqrstuvwxyz0123456789", 2: "xyz", 3: "", 4: None, 5: "id42"}
+    marks = {1: "abc", 2: "abcdefghijklmnopqrstuvwxyz01", 3: "z", 4: "", 5: None, 6: "id42", 7: "abcdefghijklmnopqrstuvwxzz"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, s string")
+    b = spark.createDataFrame(list(marks.items()), "item_id long, c string")
+    want = sorted((i, j) for i, t in texts.items() for j, m in marks.items() if t and m and m in t)
+    assert len(want) == 5
+    for few in (100, 0):
+        assert sorted(map(tuple, contaminated(d, b, few).collect())) == want
+        own = d.withColumn("source", F.when(F.col("doc_id") == 1, "xabcx"))
+        assert sorted(map(tuple, contaminated(own, b, few).collect())) == [x for x in want if x != (1, 1)]

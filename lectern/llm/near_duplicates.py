@@ -7,44 +7,42 @@ registers, which keep their earliest point. Two texts agree in a register with t
 Jaccard similarity. Points are only made up to the time at which all registers of the text are filled.
 
 Registers are joined to bands, equal bands put texts in a bucket, and the members of buckets are verified by the exact
-overlap of their multisets. In a bucket of more than SMALL texts not all pairs are made: all members are compared with
-one of them, and those that are linked to it need no comparison with each other. Buckets that stay large hold texts
-that share a passage but are not alike. Their members meet by prefixes: two texts of the similarity, the words of each
-sorted by how few texts have them, have one of their first and rarest shingles in common, which a passage of many texts
-is not. This is exact, so no bucket and no group is capped and no link between texts of a bucket is lost.
+overlap of their multisets. Not all pairs are made. First the members of a bucket are compared with its centre, and those
+that are connected then need no comparison with each other. Buckets of more than SMALL texts which are not all connected
+hold texts that share a passage but are not alike, or copies with many changes. Their members meet by prefixes: two texts
+of the similarity, the shingles of each sorted by how few texts have them, have one of their first and rarest shingles in
+common, which a passage of many texts is not. This is exact, so no bucket and no group is capped and no link between texts
+of a bucket is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, checkpoint, read
+from .shared import attach_groups, checkpoint, lean, read
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Members of a bucket, not linked yet, that are compared with all others at once.
+#: Members of a bucket whose pairs are all compared, where they are not connected.
 SMALL = 16
-#: Turns of comparisons with one member of a large bucket, before what is left of it meets by prefixes.
-TURNS = 3
-#: A shingle is hot when it is at least one in this many of those that are counted; there are never more hot ones.
-HOT = 10_000
-#: Bits by which shingles that one text alone has are told before the rest is counted by a join.
-BITS = 1 << 22
-#: Shingles that a task counts at a time.
-TALLY = 1 << 21
+#: Bands by which texts are first compared with the centres of their buckets.
+STARS = 8
+#: Counters of the shingles of texts that meet by prefixes, a byte each where they are broadcast, and those of a block.
+COUNTERS, BLOCK = 1 << 22, 1 << 14
+#: Pairs of one text that a task compares at most.
+SPLIT = 512
 #: Bytes of text that a task works on at a time.
 CHUNK = 1 << 20
-#: Rows of an Arrow batch of texts.
-BATCH = 1500
+#: Rows and bytes of an Arrow batch of texts.
+BATCH, BATCH_BYTES = 1500, 4 << 20
 #: Ids up to which a set is broadcast to pick rows of documents; larger sets meet them in a shuffle.
 FEW_IDS = 1_000_000
 
@@ -233,52 +231,55 @@ def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], names=["id", "x"])
 
 
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows x become the values of x and how many there are, for about TALLY of them at a time."""
-    some, many = [], 0
+def tally(counters: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows x (arrays) become counters of the values of x, in blocks: at, and the places and counts that are not 0."""
 
-    def counts() -> pa.RecordBatch:
-        x, n = np.unique(np.concatenate(some), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64())], names=["x", "texts"])
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, dtype=np.int32)
+        for batch in batches:
+            np.add.at(total, batch.column(0).flatten().to_numpy().view(U) % U(counters), 1)
+        for at, part in enumerate(total.reshape(-1, block)):
+            some = np.flatnonzero(part)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([part[some].tobytes()], pa.binary())], names=["at", "places", "counts"])
 
-    for batch in batches:
-        some.append(batch.column(0).flatten().to_numpy())
-        many += len(some[-1])
-        if many >= TALLY:
-            yield counts()
-            some, many = [], 0
-    if many:
-        yield counts()
+    return blocks
 
 
-def parted(hot: np.ndarray, seen: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows id, x become id, n (how many x), how many are not in hot, those of these whose bit is in seen, and of those
-    in hot, in its order, as many as the prefix of the similarity has left."""
-    order = np.argsort(hot)
+def added(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of tally of the same place become one, in levels: 0 no text, 1 one text, and so on, ever wider."""
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total.setdefault(at, np.zeros(block, dtype=np.int64))[np.frombuffer(places, dtype=np.int32)] += np.frombuffer(counts, dtype=np.int32)
+        for at, n in total.items():
+            level = np.minimum(np.where(n < 2, n, np.log2(np.maximum(n, 1)) * 8 - 6), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([level.tobytes()], pa.binary())], names=["at", "levels"])
+
+    return blocks
+
+
+def prefix(levels: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows id, x become id, n (how many x), and of the first x by level, as many as the prefix of the similarity has,
+    those that more than one text may have, with their places."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             size, x = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
             of = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(hot, x, sorter=order), max(len(hot) - 1, 0))
-            rank = order[at] if len(hot) else at
-            known = hot[rank] == x if len(hot) else np.zeros(len(x), bool)
-            others = np.bincount(of[~known], minlength=len(size))
-            left = np.maximum(size - np.ceil(least * size - 1e-9).astype(np.int64) + 1 - others, 0)
-            text, rank = of[known], rank[known]
-            by = np.lexsort((rank, text))
-            text, rank = text[by], rank[by]
-            taken = np.arange(len(text)) - np.searchsorted(text, text) < left[text]
-            out = []
-            bit = x % BITS
-            two = ~known & (seen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0)
-            for owner, values in ((of[two], x[two]), (text[taken], hot[rank[taken]])):
-                end = np.cumsum(np.bincount(owner, minlength=len(size)))
-                out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(values, pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(others, pa.int64()), *out], names=["id", "n", "others", "rare", "hot"])
-
-    return parts
+            level = levels[x.view(U) % U(len(levels))]
+            order = np.lexsort((x, level, of))
+            x, level = x[order], level[order]
+            pos = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            on = (pos < (size - np.ceil(least * size - 1e-9).astype(np.int64) + 1)[of]) & (level > 1)
+            end = pa.array(np.r_[0, np.cumsum(np.bincount(of[on], minlength=len(size)))], pa.int32())
+            out = [pa.ListArray.from_arrays(end, pa.array(v[on], pa.int64())) for v in (x, pos)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *out], names=["id", "n", "x", "pos"])
+
+    return first
 
 
 def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,14 +313,16 @@ def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH rows at most, for jobs that run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    """Arrow batches of BATCH rows and BATCH_BYTES at most, for jobs that run inside."""
+    before = {f"spark.sql.execution.arrow.{name}": None for name in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    for (name, _), most in zip(list(before.items()), (BATCH, BATCH_BYTES), strict=True):
+        before[name] = spark.conf.get(name)
+        spark.conf.set(name, str(most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def pick(rows: DataFrame, ids: DataFrame, keep: bool = True, key: str = "id") -> DataFrame:
@@ -330,50 +333,56 @@ def pick(rows: DataFrame, ids: DataFrame, keep: bool = True, key: str = "id") ->
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs a, b of ids with the similarity of their texts in docs (id, text)."""
+    """Pairs a, b of ids with the similarity of their texts in docs (id, text).
+
+    A text in more than SPLIT pairs as a is copied for each SPLIT of these, so that no task has all pairs of one text.
+    """
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = pick(docs, ids)
-    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
+    of_a = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    parts = of_a.select("a", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPLIT).cast("int"))).alias("part"))
+    a = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")).join(parts, "a")
+    many = attach_groups(pairs, checkpoint(of_a.filter(F.col("n") > SPLIT)), "a", "n")
+    split = many.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.floor((F.col("n") - 1) / SPLIT) + 1), F.lit(0)).cast("int").alias("part"))
     with small_batches(pairs.sparkSession):
-        return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(overlap, "a long, b long, similarity double"))
+        both = split.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b").join(a, ["a", "part"])
+        return checkpoint(both.select("a", "b", "a_text", "b_text").mapInArrow(lean(overlap), "a long, b long, similarity double"))
 
 
 def prefixes(ids: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """id, n (its shingles), x (a shingle), pos and core, for the rarest shingles of the texts of ids.
 
-    A shingle's place in the order of its text is pos. Shingles that one text alone has come first, count, and are not
-    returned. Of two texts of at least the similarity, the first shingle in common is among these rows for both, and
-    core for the smaller of them.
+    Shingles are ordered by the level of their counter, which others may share, and by their value: one order for all
+    texts. A shingle's place in the order of its text is pos. Those whose counter has one text come first, count, and
+    are not returned. Of two texts of at least the similarity, the first shingle in common is among these rows for
+    both, and core for the smaller of them. Full counters make more rows, never fewer links.
     """
     with small_batches(docs.sparkSession):
-        sets = checkpoint(pick(docs, ids).repartition("id").mapInArrow(elements, "id long, x array<long>"))
-        often = checkpoint(sets.select("x").mapInArrow(tally, "x long, texts long").groupBy("x").agg(F.sum("texts").alias("texts")).filter("texts > 1"))
-    total = sets.agg(F.sum(F.size("x"))).first()[0] or 0
-    is_hot = F.col("texts") * HOT >= total
-    hot = np.array([r["x"] for r in often.filter(is_hot).orderBy("texts", "x").collect()], dtype=np.int64)
-    bit = (F.pmod("x", F.lit(BITS)) + 1).alias("bit")
-    seen = np.zeros(BITS >> 3, dtype=np.uint8)
-    for r in often.filter(~is_hot).select(bit).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
-        seen[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    rows = sets.mapInArrow(parted(hot, seen, least), "id long, n long, others long, rare array<long>, hot array<long>")
-    rare = rows.select("id", "n", "others", F.explode("rare").alias("x")).join(often.filter(~is_hot), "x").groupBy("id", "n", "others").agg(F.sort_array(F.collect_set(F.struct("texts", "x"))).alias("shared"))
-    # Of the rare ones, those of one text alone come first; the hot ones come after all others.
-    rare = rare.select("id", "n", F.col("shared.x").alias("x"), (F.col("others") - F.size("shared")).alias("from"))
-    both = rare.unionByName(rows.select("id", "n", F.col("hot").alias("x"), F.col("others").alias("from"))).select("id", "n", "from", F.posexplode("x").alias("k", "x"))
-    first, core = (F.col("n") - F.ceil(F.lit(x) * F.col("n") - 1e-9) + 1 for x in (least, 2 * least / (1 + least)))
-    return both.withColumn("pos", F.col("from") + F.col("k")).filter(F.col("pos") < first).select("id", "n", "x", "pos", (F.col("pos") < core).alias("core")).distinct()
-
-
-def crowd_pairs(crowd: DataFrame, docs: DataFrame, edges: DataFrame, least: float) -> DataFrame:
-    """Pairs a < b of crowd (id, free), one of them free, that may have the similarity and are not connected by edges."""
-    label = components(edges)
-    ids = checkpoint(crowd.groupBy("id").agg(F.max("free").alias("free")).join(label, "id", "left").select("id", "free", F.coalesce("label", "id").alias("label")))
-    rows = checkpoint(prefixes(ids.select("id"), docs, least).join(ids, "id"))
-    left = rows.filter("free").select(*[F.col(c).alias(f"l_{c}") for c in ("x", "id", "n", "pos", "core", "label")])
+        sets = checkpoint(pick(docs, ids).repartition("id").mapInArrow(lean(elements), "id long, x array<long>"))
+        blocks = sets.select("x").mapInArrow(lean(tally(COUNTERS, BLOCK)), "at long, places binary, counts binary").repartition("at").mapInArrow(lean(added(BLOCK)), "at long, levels binary")
+        levels = np.zeros(COUNTERS, dtype=np.uint8)
+        for r in blocks.collect():
+            levels[r["at"] * BLOCK : (r["at"] + 1) * BLOCK] = np.frombuffer(r["levels"], dtype=np.uint8)
+        rows = checkpoint(sets.mapInArrow(lean(prefix(levels, least)), "id long, n long, x array<long>, pos array<long>").filter(F.size("x") > 0))
+    core = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9) + 1
+    return rows.select("id", "n", F.explode(F.arrays_zip("x", "pos")).alias("e")).select("id", "n", "e.x", "e.pos", (F.col("e.pos") < core).alias("core"))
+
+
+def crowd_pairs(crowd: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of crowd (id, label) of different labels that may have the similarity.
+
+    Of the rows of a shingle, those of its most frequent label are not compared with each other: where most texts are
+    connected, the work is the others times all.
+    """
+    rows = checkpoint(prefixes(crowd.select("id"), docs, least).join(crowd, "id"))
+    by_label = rows.groupBy("x", "label").agg(F.count("*").alias("c"))
+    most = checkpoint(by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).filter("labels > 1").drop("labels"))
+    meet = checkpoint(attach_groups(rows, most, "x", "c", "inner").withColumn("minor", F.col("label") != F.col("top")))
+    left = meet.filter("minor").select(*[F.col(c).alias(f"l_{c}") for c in ("x", "id", "n", "pos", "core", "label")])
     short = F.when(F.col("n") < F.col("l_n"), F.col("core")).otherwise(F.col("l_core"))
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("l_n")) - 1e-9)
-    meet = (F.col("x") == F.col("l_x")) & (F.col("label") != F.col("l_label")) & (~F.col("free") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
-    return left.join(rows, meet).select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
+    on = (F.col("x") == F.col("l_x")) & (F.col("label") != F.col("l_label")) & (~F.col("minor") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
+    return left.join(meet, on).select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
 
 
 def alike(n: Column, m: Column, least: float) -> Column:
@@ -381,43 +390,44 @@ def alike(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
 
 
-def links_of(members: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def stars(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of each text with the centre of each of its buckets of the first STARS bands.
+
+    The centre is the member whose buckets are largest: among copies with changes, the one with the fewest.
+    """
+    first = rows.select("id", "n", F.explode(F.slice("bands", 1, STARS)).alias("bucket"))
+    sizes = checkpoint(first.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"))
+    live = attach_groups(first, sizes, "bucket", "m", "inner")
+    mine = checkpoint(live.groupBy("id", "n").agg(F.sum("m").alias("weight"), F.collect_list("bucket").alias("at")))
+    each = mine.select("id", "n", "weight", F.explode("at").alias("bucket"))
+    centres = checkpoint(each.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.struct("weight", F.col("id").alias("centre"), F.col("n").alias("k"))).alias("top")))
+    pairs = attach_groups(each, centres, "bucket", "m", "inner").filter((F.col("id") != F.col("top.centre")) & alike(F.col("n"), F.col("top.k"), least))
+    return pairs.select(F.least("id", "top.centre").alias("a"), F.greatest("id", "top.centre").alias("b")).distinct()
+
+
+def links_of(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Edges a < b of at least the similarity, enough to connect all texts that share a bucket and a link.
 
-    members: bucket, id, n. A member is `linked` once it is connected to all other linked ones of its bucket; two of
-    these are not compared any more, all other pairs are, or share another bucket that is.
+    rows: id, bands, n. First each text is compared with the centres of some of its buckets. Of the buckets that then
+    hold texts which are not connected, small ones are compared in full, but for connected pairs, and the members of
+    large ones meet by prefixes.
     """
-    live = checkpoint(members.withColumn("linked", F.lit(False)))
-    edges = live.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    crowd = []
-    for turn in range(TURNS + 1):
-        size = live.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("free"), F.min(F.when(~F.col("linked"), F.col("id"))).alias("pivot")).filter("m > 1 and free > 0")
-        live = checkpoint(live.join(size, "bucket"))
-        few, many = live.filter(F.col("free") <= SMALL), live.filter(F.col("free") > SMALL)
-        free = few.filter(~F.col("linked")).select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"))
-        pairs = few.join(free, "bucket").filter(F.expr("id <> other and (linked or id < other)") & alike(F.col("n"), F.col("other_n"), least)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        if turn == TURNS:
-            crowd.append(many.select("id", (~F.col("linked")).alias("free")))
-        else:
-            star = many.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            pairs = pairs.unionByName(star)
-        pairs = checkpoint(pairs.distinct())
-        if not pairs.isEmpty():
-            found = verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b")
-            edges = edges.unionByName(found)
-        if turn == TURNS or many.isEmpty():
-            break
-        near = found.select("a", "b", F.lit(True).alias("hit"))
-        now = many.filter("id <> pivot").withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}).join(near, ["a", "b"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))).select("bucket", "id", "n", "linked", "hit", "free")
-        state = now.groupBy("bucket").agg(F.bool_or(F.col("linked") & F.col("hit")).alias("joins"), F.bool_or("linked").alias("any"), F.count_if(F.col("hit") & ~F.col("linked")).alias("hits"))
-        now = checkpoint(now.join(state, "bucket").withColumn("linked", F.col("linked") | F.col("hit") & (F.col("joins") | ~F.col("any"))))
-        loose = 4 * F.col("hits") < F.col("free")
-        crowd.append(now.filter(loose).select("id", (~F.col("linked")).alias("free")))
-        live = now.filter(~loose).select("bucket", "id", "n", "linked")
-    edges = checkpoint(edges.distinct())
-    if not crowd:
+    done = verify(checkpoint(stars(rows, least)), docs)
+    edges = done.filter(F.col("similarity") >= least).select("a", "b")
+    label = components(edges)
+    known = checkpoint(rows.join(label, "id", "left").select("id", "n", "bands", F.coalesce("label", "id").alias("label")))
+    each = known.select("id", "n", "label", F.explode("bands").alias("bucket"))
+    mixed = checkpoint(each.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high"))
+    live = checkpoint(attach_groups(each, mixed.select("bucket", "m"), "bucket", "m", "inner"))
+    few = live.filter(F.col("m") <= SMALL)
+    other = few.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "label")])
+    pairs = few.join(other, "bucket").filter((F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & alike(F.col("n"), F.col("o_n"), least))
+    pairs = checkpoint(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    edges = edges.unionByName(verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b"))
+    crowd = checkpoint(live.filter(F.col("m") > SMALL).select("id", "label").distinct())
+    if crowd.isEmpty():
         return edges
-    pairs = checkpoint(crowd_pairs(reduce(DataFrame.unionByName, crowd), docs, edges, least))
+    pairs = checkpoint(crowd_pairs(crowd, docs, least).join(done.select("a", "b"), ["a", "b"], "left_anti"))
     return edges.unionByName(verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b"))
 
 
@@ -448,11 +458,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     with small_batches(rows.sparkSession):
-        sketches = checkpoint(rows.mapInArrow(sketch, "id long, fp binary, bands array<long>, n long"))
+        sketches = checkpoint(rows.mapInArrow(lean(sketch), "id long, fp binary, bands array<long>, n long"))
     known = sketches.select("id", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"))
     groups = checkpoint(known.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    members = sketches.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select(F.explode("bands").alias("bucket"), "id", "n").distinct()
-    edges = links_of(members, rows, least)
+    own = sketches.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "n")
+    edges = links_of(checkpoint(own), rows, least)
     label = components(edges)
     classes = groups.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("class_id"), "n")
     sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_docs"))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group is hot when it holds at least one row in this many; there are never more hot groups than this.
 HOT = 1000
+#: Groups up to which all are joined by broadcast.
+FEW = 100_000
 
 #: Words are runs of anything but these (ASCII space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +26,20 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, whose Python worker, which Spark uses again, gives free memory back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library than GNU's
+            return
+
+    return run
+
+
 _folders: dict[str, str] = {}
 
 
@@ -82,20 +100,25 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
-    """Left join of groups, unique by key, to rows, whatever share of the rows one key has.
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "left") -> DataFrame:
+    """Left or inner join of groups, unique by key, to rows, whatever share of the rows one key has.
 
-    n counts the rows of a group. A group with a thousandth of all rows or more is joined by broadcast: there are at
-    most HOT of those at any size. Other groups meet their rows in a shuffle, where none is large. Rows with a null
-    key have no group and take no part in either.
+    n counts the rows of a group. Up to FEW groups are joined by broadcast; they should be narrow and be read cheaply.
+    Of more, a group with a thousandth of all rows or more is joined by broadcast: there are at most HOT of those at any
+    size. Other groups meet their rows in a shuffle, where none is large. Rows with a null key have no group and take no
+    part in either.
     """
+    if groups.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(groups), key, how)
     cols = [c for c in groups.columns if c != key]
     total = groups.agg(F.sum(n)).first()[0] or 0
     is_hot = F.col(n) * HOT >= total
     hot, cold = F.broadcast(groups.filter(is_hot)), groups.filter(~is_hot)
     some = rows.filter(F.col(key).isNotNull())
     out = some.join(hot, key)
-    out = out.unionByName(some.join(F.broadcast(groups.filter(is_hot).select(key)), key, "left_anti").join(cold, key, "left"))
+    out = out.unionByName(some.join(F.broadcast(groups.filter(is_hot).select(key)), key, "left_anti").join(cold, key, how))
+    if how == "inner":
+        return out
     none = rows.filter(F.col(key).isNull())
     kinds = dict(groups.dtypes)
     return out.unionByName(none.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in cols]))

@@ -147,13 +147,25 @@ def test_components(spark):
     assert got == {i: up[i] for i in linked if up[i] != i}
 
 
-@pytest.mark.parametrize("hot", [1, 100, 10_000])
-def test_prefixes_meet(spark, heap, hot, monkeypatch):
-    monkeypatch.setattr(nd, "HOT", hot)
+@pytest.mark.parametrize("counters", [1, 1 << 10, 1 << 22])
+def test_prefixes_meet(spark, heap, counters, monkeypatch):
+    monkeypatch.setattr(nd, "COUNTERS", counters)
+    monkeypatch.setattr(nd, "BLOCK", min(counters, 1 << 8))
     docs = spark.createDataFrame(list(heap.items()), "id long, text string")
-    crowd = docs.select("id", (docs.id % 2 == 0).alias("free"))
-    got = {(r["a"], r["b"]) for r in nd.crowd_pairs(crowd, docs, spark.createDataFrame([], "a long, b long"), nd.SIMILARITY).collect()}
+    label = {i: i % 5 if i < 200 else i for i in heap}
+    crowd = spark.createDataFrame(list(label.items()), "id long, label long")
+    got = {(r["a"], r["b"]) for r in nd.crowd_pairs(crowd, docs, nd.SIMILARITY).collect()}
     sets = {i: multiset(t) for i, t in heap.items()}
-    want = {(i, j) for i in sets for j in sets if i < j and (i % 2 == 0 or j % 2 == 0) and jaccard(sets[i], sets[j]) >= nd.SIMILARITY}
+    want = {(i, j) for i in sets for j in sets if i < j and label[i] != label[j] and jaccard(sets[i], sets[j]) >= nd.SIMILARITY}
     assert want <= got
-    assert not [p for p in got if set(p) & set(range(300, 420))], "texts with no more than a passage in common"
+    if counters > 1 << 10:
+        assert not [p for p in got if set(p) & set(range(300, 420))], "texts with no more than a passage in common"
+
+
+@pytest.mark.parametrize("split", [3, 1000])
+def test_verify_splits_hot_texts(spark, heap, split, monkeypatch):
+    monkeypatch.setattr(nd, "SPLIT", split)
+    docs = spark.createDataFrame(list(heap.items()), "id long, text string")
+    pairs = [(0, i) for i in range(1, 120)] + [(1, 2), (502, 503)]
+    got = {(r["a"], r["b"]): r["similarity"] for r in nd.verify(spark.createDataFrame(pairs, "a long, b long"), docs).collect()}
+    assert got == pytest.approx({(a, b): jaccard(multiset(heap[a]), multiset(heap[b])) for a, b in pairs})

@@ -1,9 +1,11 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree, whatever its markup lacks. Subtrees that are menus, notices, adverts, forms or the like by their
-tag, role or names are left out. Each run of text then passes points for its length and its commas to the containers
+tag, role or names are left out; names that parts of a text have as well count against a subtree only outside an article,
+or if it is mostly links. Each run of text then passes points for its length and its commas to the containers
 around it, less the further they are and the more of the run is links. The container of most points, after a discount
 for its own links, is kept, or the whole article or main element around it, and siblings that look like parts of the same text.
+Time and memory are in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import lean, read
 
-TAG = re.compile(r"<(?:!--(?P<note>-?>)?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|[!?/][^>]*+>)")
+MARK = re.compile(r"<(?:(?P<note>!--)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)|[!?/])")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>"']|$)""", re.IGNORECASE)
 
 # The element names of HTML by kind.
@@ -31,32 +34,42 @@ LEFT_OUT = set("nav footer aside form button select option datalist dialog menu
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 PARAGRAPHS = set("p pre li dt dd blockquote h1 h2 h3 h4 h5 h6 tr caption figcaption summary address".split())
 NEVER = {"html", "body", "article", "main"}
+#: What a head may hold; any other element ends it.
+OF_HEAD = set("title meta link script style base basefont bgsound noscript template noframes".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Siblings that are part of a text if they are next to it, and elements that are one as a whole.
 PARTS = PARAGRAPHS - {"address", "summary"} | set("ul ol dl figure table section hgroup details".split())
 WHOLE = {"article", "main"}
 #: An opening tag ends these open elements, up to the nearest of the second set.
-ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = {"table", "td", "th", "button", "object", "html"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|outbrain|taboola|sidebar\w*|sidenav|menu\w*|nav|navbar|navigation|breadcrumbs?|footer\w*|header|masthead|topbar|notice\w*|cookies?|consent|gdpr|popup|modal|overlay|alert\w*|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|comments?|commentlist|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|widgets?|toolbar|pagination|pager|skip|disclaimer|paywall)(?=$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|outbrain|taboola|sidebar\w*|sidenav|menu\w*|nav|navbar|navigation|breadcrumbs?|footer\w*|masthead|notice\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|comments?|commentlist|comment\w*|disqus\w*|respond|widgets?|toolbar|pagination|pager|skip|paywall)(?=$|[\s_\d-])",
     re.IGNORECASE,
 )
+#: Names of what is left out, but of titles and sections as well.
+MAYBE = re.compile(r"(?:^|[\s_-])(?:banner\w*|header|topbar|overlay|alert\w*|repl(?:y|ies)|responses?|discussions?|disclaimer)(?=$|[\s_\d-])", re.IGNORECASE)
+#: Characters that a box with a main heading has at most to be a title.
+TITLE = 400
 #: Elements that are nested deeper become siblings, as browsers do it.
 DEPTH = 512
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0}
 
 
-def unwanted(tag: str, rest: str, inside: bool) -> bool:
+def unwanted(tag: str, rest: str, inside: bool) -> int:
+    """1 for a subtree to leave out, 2 where that depends on what it holds, else 0."""
     if tag in LEFT_OUT or tag == "header" and not inside:
-        return True
+        return 1
     if len(rest) < 5 or tag in NEVER:
-        return False
+        return 0
+    maybe = 0
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return 1
+        if name in ("class", "id") and MAYBE.search(value):
+            maybe = 2
+    return maybe
 
 
 class Page:
@@ -67,6 +80,10 @@ class Page:
         self.links: list[bool] = [False]
         #: Whether a node is part of an article or of the main part, and its depth.
         self.inside, self.depth = [False], [0]
+        #: Whether what a node holds decides on it.
+        self.maybe = [False]
+        #: Characters that may still be read in vain for a quote that nothing closes.
+        self.patience = 4 * len(html) + 1000
         #: (node, text, in a link) by run; a run ends where a block starts or ends.
         self.runs: list[list[tuple[int, str, bool]]] = [[]]
         self.parse(html)
@@ -79,25 +96,50 @@ class Page:
         if self.runs[-1]:
             self.runs.append([])
 
+    def tag_end(self, html: str, at: int) -> int:
+        """Behind the mark that ends a tag, not counting marks in quotes, unless these are never closed; -1 if none is."""
+        i = at
+        while self.patience > 0 and (m := STOP.search(html, i)):
+            if m[0] == ">":
+                return m.end()
+            i = html.find(m[0], m.end()) + 1
+            if not i:
+                break
+        else:
+            m = None
+        if m or i > at:
+            self.patience -= len(html) - at
+        return html.find(">", at) + 1 or -1
+
     def parse(self, html: str) -> None:
         at, here = 0, 0
-        while m := TAG.search(html, at):
-            self.add(here, html[at : m.start()])
-            at = m.end()
-            name = m["name"]
-            if name is None:
-                if html.startswith("<!--", m.start()) and m["note"] is None:
-                    end = html.find("-->", at)
+        while m := MARK.search(html, at):
+            start = m.start()
+            if m["note"]:
+                self.add(here, html[at:start])
+                if html.startswith((">", "->"), m.end()):
+                    at = html.index(">", m.end()) + 1
+                else:
+                    end = html.find("-->", m.end())
                     at = len(html) if end < 0 else end + 3
                 continue
+            end = self.tag_end(html, m.end())
+            if end < 0:
+                break
+            self.add(here, html[at:start])
+            at, name, rest = end, m["name"], html[m.end() : end]
+            if name is None:
+                continue
             name = name.lower()
             if m["end"]:
                 here = self.close(here, name)
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else len(html)
+                close = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(html, at)
+                at = (html.find(">", close.end()) + 1 if close else 0) or len(html)
                 continue
+            if name not in OF_HEAD:
+                here = self.out_of_head(here)
             if name in CELLS:
                 here = self.implied(here, name)
                 self.add(here, " ")
@@ -113,12 +155,23 @@ class Page:
             self.tag.append(name)
             self.up.append(here)
             self.depth.append(self.depth[here] + 1)
-            self.out.append(self.out[here] or unwanted(name, m["rest"], self.inside[here]))
-            self.inside.append(self.inside[here] or name in ("article", "main"))
+            out = unwanted(name, rest, self.inside[here])
+            self.out.append(self.out[here] or out == 1)
+            self.maybe.append(out == 2)
+            self.inside.append(self.inside[here] or name in WHOLE)
             self.links.append(self.links[here] or name == "a")
             here = len(self.tag) - 1
         self.add(here, html[at:])
 
+    def out_of_head(self, here: int) -> int:
+        """The open element, once a head that is still open is closed."""
+        node = here
+        while node > 0 and self.tag[node] != "head":
+            if self.tag[node] in NEVER:
+                return here
+            node = self.up[node]
+        return self.up[node] if node > 0 else here
+
     def implied(self, here: int, name: str) -> int:
         """The open element once those that this tag ends are closed."""
         ends, stop = ENDS.get(name, (set(), set()))
@@ -145,28 +198,52 @@ class Page:
             node = self.up[node]
         return self.up[node] if node > 0 else here
 
-    def text(self) -> str:
-        """Blocks of the best container and of its siblings, one a line."""
-        blocks = []
+    def sums(self, blocks: list[tuple[int, str, float]]) -> tuple[list[float], list[float], list[int], list[bool]]:
+        """By node: characters, those in links, blocks that are no heading, and whether it holds a main heading."""
+        n = len(self.tag)
+        size, linked, plain, first = [0.0] * n, [0.0] * n, [0] * n, [False] * n
+        for node, t, links in blocks:
+            size[node] += len(t)
+            linked[node] += len(t) * links
+            plain[node] += self.tag[node] not in HEADINGS
+            first[node] = first[node] or self.tag[node] == "h1"
+        for node in range(n - 1, 0, -1):
+            up = self.up[node]
+            size[up] += size[node]
+            linked[up] += linked[node]
+            plain[up] += plain[node]
+            first[up] = first[up] or first[node]
+        return size, linked, plain, first
+
+    def blocks(self) -> list[tuple[int, str, float]]:
+        """Node, text and share of links of each block, but for those in a subtree that is no part of the text."""
+        out = []
         for run in self.runs:
             t = " ".join("".join(x[1] for x in run).split())
             if t:
-                blocks.append((self.block(run[0][0]), t, sum(len(x[1]) for x in run if x[2]) / sum(len(x[1]) for x in run)))
+                out.append((self.block(run[0][0]), t, sum(len(x[1]) for x in run if x[2]) / sum(len(x[1]) for x in run)))
+        if any(self.maybe):
+            size, linked, _, first = self.sums(out)
+            gone = [False] * len(self.tag)
+            for i in range(1, len(gone)):
+                good = linked[i] <= size[i] / 2 and (self.inside[i] or first[i] and size[i] <= TITLE)
+                gone[i] = gone[self.up[i]] or self.maybe[i] and not good
+            out = [x for x in out if not gone[x[0]]]
+        return out
+
+    def text(self) -> str:
+        """Blocks of the best container and of its siblings, one a line."""
+        blocks = self.blocks()
         if not blocks:
             return ""
         n = len(self.tag)
-        points, size, linked = [0.0] * n, [0.0] * n, [0.0] * n
+        points, (size, linked, plain, first) = [0.0] * n, self.sums(blocks)
         for node, t, links in blocks:
-            size[node] += len(t)
-            linked[node] += len(t) * links
             s = (t.count(",") + t.count("，") + t.count("、") + min(len(t) / 100, 3) + (len(t) >= 25)) * (1 - links)
             to, share = (self.up[node] if self.tag[node] in PARAGRAPHS and node else node), 1
             while to >= 0 and share <= 6:
                 points[to] += s / share
                 to, share = self.up[to], share + 1
-        for node in range(n - 1, 0, -1):
-            size[self.up[node]] += size[node]
-            linked[self.up[node]] += linked[node]
         pure = lambda i: 1 - linked[i] / size[i] if size[i] else 0.0
         score = [(points[i] + BONUS.get(self.tag[i], 0.0)) * pure(i) if size[i] and self.tag[i] not in PARAGRAPHS and self.tag[i] not in INLINE else 0.0 for i in range(n)]
         top = max(range(n), key=lambda i: (score[i], -i))
@@ -175,22 +252,25 @@ class Page:
             whole = self.up[whole]
         root = whole or top
         kept = {root}
-        if self.up[root] >= 0:
+        if self.up[root] >= 0 and not whole:
             least = max(10.0, score[top] * 0.2)
             for i in range(n):
                 if self.up[i] == self.up[root] and i != root and size[i] and (score[i] >= least or self.tag[i] == "p" and pure(i) > 0.75 and size[i] > 80):
                     kept.add(i)
-        own = self.neighbours(kept, blocks, self.up[root], pure, bool(whole) and not self.inside[self.up[root]])
+        title = lambda i: first[i] and size[i] <= TITLE
+        kind = lambda i: "h1" if title(i) else "h2" if size[i] and not plain[i] else self.tag[i]
+        own = self.neighbours(kept, blocks, self.up[root], pure, kind, bool(whole) and not self.inside[self.up[root]])
         keep = [False] * n
         for i in range(n):
             keep[i] = i in kept or self.up[i] >= 0 and keep[self.up[i]]
         return "\n".join(t for j, (node, t, _) in enumerate(blocks) if keep[node] or j in own)
 
-    def neighbours(self, kept: set[int], blocks: list[tuple[int, str, float]], parent: int, pure: Callable[[int], float], marked: bool) -> set[int]:
+    def neighbours(self, kept: set[int], blocks: list[tuple[int, str, float]], parent: int, pure: Callable[[int], float], kind: Callable[[int], str], marked: bool) -> set[int]:
         """Adds to kept what stands between its members or next to them, and returns such blocks of the parent's own.
 
-        Between is all from a main heading before them to the last one. Next to them, parts of a text count, or only
-        headings before an element that is marked as an article by itself. Nothing that is mostly links counts.
+        Between is all from a main heading, or a box with one, before them to the last one. Next to them, parts of a text
+        count, or only headings before an element that is marked as an article by itself. Nothing that is mostly links
+        counts.
         """
         if parent < 0:
             return set()
@@ -203,7 +283,7 @@ class Page:
                 items.append((child[node], -1))
             elif node == parent:
                 items.append((-1, j))
-        tag = lambda x: self.tag[x[0]] if x[0] >= 0 else "p"
+        tag = lambda x: kind(x[0]) if x[0] >= 0 else "p"
         fit = lambda x: (pure(x[0]) if x[0] >= 0 else 1 - blocks[x[1]][2]) > 0.5
         at = [k for k, x in enumerate(items) if x[0] in kept]
         first, last = at[0], at[-1]
@@ -223,12 +303,17 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    """The main text of one page; empty for a page that is null, empty or without text."""
+    """The main text of one page; empty for a page that is null, empty or without text. Elements nested deeper than DEPTH
+    count as siblings."""
     return Page(html).text() if html else ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The kept columns with text and n_chars, a row a page, repeated rows as well; no rows in, no rows out."""
+    """The kept columns with text and n_chars, a row a page, repeated rows as well; no rows in, no rows out.
+
+    A null or empty page has an empty text; a page of any length is read whole. Other columns of pages, whatever their
+    names, are neither read nor returned; keep must not name text or n_chars.
+    """
     names = [*keep, "text", "n_chars"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +322,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), size=len(texts))], names=names)
 
     rows = pages.select(*keep, F.col(html).alias("_html"))
-    return rows.mapInArrow(work, rows.withColumns({"text": F.lit("").cast("string"), "n_chars": F.lit(0).cast("long")}).drop("_html").schema)
+    return rows.mapInArrow(lean(work), rows.withColumns({"text": F.lit("").cast("string"), "n_chars": F.lit(0).cast("long")}).drop("_html").schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,13 +60,18 @@ def folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+def new_path(spark: SparkSession) -> str:
+    """Where a new intermediate table may be written."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the folder of spark.checkpoint.dir.
 
     Executors may be lost, its rows are not. Unlike after DataFrame.checkpoint(), the size that joins are planned by is
     that of the files, not the product of all joins before. Tables stay until release() or the end of the folder.
     """
-    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -93,6 +93,68 @@ def test_shards(spark, shards):
         assert sorted(own["slot"]) == list(range(len(own)))
 
 
+def plain_shards(points: list[tuple], leaves: int) -> dict[int, int]:
+    """The leaf of each key by recursion over sorted rows: key, size, checksum and dimensions."""
+    span = [max(1, max(p[3 + d] for p in points) - min(p[3 + d] for p in points)) for d in range(3)]
+    out: dict[int, int] = {}
+
+    def split(rows: list[tuple], k: int, first: int) -> None:
+        if k == 1 or not rows:
+            out.update((r[0], first) for r in rows)
+            return
+        wide = lambda d: (max(r[3 + d] for r in rows) - min(r[3 + d] for r in rows)) / span[d]
+        d = max(range(3), key=lambda d: (wide(d), -d))
+        total = sum(r[1] for r in rows)
+        target, rows = total * (k // 2) // k, sorted(rows, key=lambda r: (r[3 + d], r[2], r[0]))
+        place = lambda r: (r[3 + d], r[2])
+        run = 0
+        for r in rows:
+            run += r[1]
+            if run >= target:
+                break
+        own = [x for x in rows if place(x) == place(r)]
+        left = [x for x in rows if place(x) < place(r)]
+        below = sum(x[1] for x in left)
+        over, under = below + sum(x[1] for x in own) - target, target - below
+        if min(over, under) <= sharding.SLACK * total / k:
+            left += own if over <= under else []
+        else:
+            for x in own:
+                if below + x[1] >= target:
+                    left += [x] if below + x[1] - target <= target - below else []
+                    break
+                below += x[1]
+                left.append(x)
+        go = {x[0] for x in left}
+        split(left, k // 2, first)
+        split([x for x in rows if x[0] not in go], k - k // 2, first + k // 2)
+
+    split(points, leaves, 0)
+    return out
+
+
+@pytest.mark.parametrize("shards", [8, 3])
+def test_shards_against_plain_tree(spark, shards):
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(10**6 + i, rows[5][1]) for i in range(60)] + [(2 * 10**6 + i, "the same") for i in range(3000)]
+    points = [(i, len(t.encode()) + 1, zlib.crc32(t.encode()), len(t.encode()), len(t.encode()) - len(t), t.count("\n")) for i, t in rows]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()}
+    assert got == plain_shards(points, shards)
+
+
+def test_shards_null_keys(spark):
+    docs = spark.createDataFrame([(None, "same")] * 400 + [(7, "own")] * 400, "doc_id long, text string").repartition(3)
+    rows = sharding.shard_documents(docs, 4).collect()
+    by = Counter(r["shard"] for r in rows)
+    assert len(rows) == 800 and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in by.items())
+
+
+def test_many_shards(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 40)) for i in range(6000)], "doc_id long, text string")
+    sizes = [r["s"] for r in sharding.shard_documents(docs, 300).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 300 and max(sizes) - min(sizes) <= 160
+
+
 def test_shards_odd_rows(spark, odd):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == len(ODD) and {r["law"] for r in rows} == {"bytes"}
@@ -118,6 +180,28 @@ def test_mixing_reaches_targets(spark):
     assert abs(rows.loc[rows["kept"], "tokens"].sum() / rows["tokens"].sum() - 0.2) < 0.02
 
 
+def test_mixing_against_plain_raking(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = mixing.mix(docs).toPandas()
+    text = docs.toPandas().set_index("doc_id")["text"].fillna("")
+    out["tokens_"] = [-(-len(text[i].encode()) // 4) for i in out["doc_id"]]
+    assert (out["tokens"] == out["tokens_"]).all()
+    out["weight_"], cell = 1.0, out.fillna("(none)")
+    want = {}
+    for d in mixing.DIMS:
+        heat = (out["tokens"].groupby(cell[d]).sum() / out["tokens"].sum()) ** mixing.TEMPER[d]
+        want[d] = heat / heat.sum()
+    for _ in range(200):
+        for d in mixing.DIMS:
+            mass = (out["tokens"] * out["weight_"]).groupby(cell[d]).sum()
+            out["weight_"] *= cell[d].map(want[d] * out["tokens"].sum() / mass).fillna(1.0)
+    some = out["tokens"] > 0
+    assert np.allclose(out["weight"][some], out["weight_"][some], rtol=1e-4)
+    scale = out["probability"] / out["weight"]
+    assert np.allclose(scale[some & (out["probability"] < 1)], scale[some].max(), rtol=1e-9)
+    assert np.isclose((out["tokens"] * out["probability"]).sum(), mixing.FRACTION * out["tokens"].sum())
+
+
 def test_mixing_odd_rows(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["probability"] <= 1 for r in rows)
@@ -221,6 +305,29 @@ def test_gazetteers_vote_on_loose_kinds():
         assert [v[1] for *_, v in personal_data.candidates(f"see {text}, there")] == [vote], text
 
 
+def test_labelers_are_found_out():
+    rng = np.random.default_rng(8)
+    accuracy, counts = [0.95, 0.9, 0.3, 0.8], Counter()
+    for _ in range(20_000):
+        true = rng.random() < 0.4
+        cast = [int(x) for x in np.where(rng.random(4) < accuracy, 1, -1) * (1 if true else -1)]
+        counts[("phone", *cast, 3, 2, 0, 0)] += 1
+    for _ in range(2000):
+        counts[("phone", *(int(x) for x in np.where(rng.random(4) < accuracy, 1, -1)), 3, 2, 0, 1)] += 1
+    model = personal_data.Model(counts)
+    assert np.abs(model.accuracy[:4] - accuracy).max() < 0.05
+    assert ("phone", 1, 1, -1, 1, 3, 2, 0, 0) in model.accepted and ("phone", -1, -1, 1, -1, 3, 2, 0, 0) not in model.accepted
+
+
+def test_planted_secrets_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("regexp_like(text, 'token = |password=|AKIA')")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {r["doc_id"]: r["spans"] for r in personal_data.find(docs).collect()}
+    planted = [(i, m.span(1)) for i, t in rows.items() for m in re.finditer(r'(?:token = "|password=|(?=AKIA))([0-9A-Za-z]{16,40})', t)]
+    caught = [any(x["kind"] == "secret" and x["start"] <= a and x["end"] >= b for x in found[i]) for i, (a, b) in planted]
+    assert len(planted) > 100 and np.mean(caught) > 0.99
+
+
 def test_secret_patterns_are_linear():
     assert len(personal_data.candidates("a1" * 300_000)) == 1
     assert [v[1] for *_, v in personal_data.candidates("-_" * 100_000 + "1a" + "-")] == [-1]
@@ -252,11 +359,77 @@ def test_language_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_language_pieces_agree():
+def bucket(gram: str) -> int:
+    """The bucket of one to three letters or spaces, number by number."""
+    m = 0xFFFFFFFF
+    x = [ord(c) for c in gram]
+    g = x[0] * 0xB5297A4D & m
+    if len(x) > 1:
+        g = x[0] * 0x9E3779B1 + x[1] * 0x85EBCA77 & m
+    if len(x) > 2:
+        g = (g ^ (g >> 15)) * 0x2C1B3C6D + x[2] * 0xC2B2AE3D & m
+    g = (g ^ (g >> 16)) * 0x7FEB352D & m
+    return ((g ^ (g >> 15)) * 0x846CA68B & m) >> 32 - language_id.BITS
+
+
+def plain_grams(text: str) -> Counter:
+    lower = lambda c: c.lower() if len(c.lower()) == 1 else c
+    t = "".join(lower(c) if c.isalpha() else " " for c in f" {text}  ")
+    n: Counter = Counter()
+    for i in range(len(t) - 2):
+        if t[i] != " ":
+            n[bucket(t[i])] += 1
+        if t[i : i + 2] != "  ":
+            n[bucket(t[i : i + 2])] += 1
+            n[bucket(t[i : i + 3])] += 1
+    return n
+
+
+def test_language_against_plain_bayes(spark):
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"]]
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows}
+    counts: dict = {}
+    docs: Counter = Counter()
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+            docs[r["lang"]] += 1
+    logs = {x: np.log((np.array([n[b] for b in range(language_id.BUCKETS)]) + language_id.SMOOTHING) / (sum(n.values()) + language_id.SMOOTHING * language_id.BUCKETS)) for x, n in counts.items()}
+    got = {r["doc_id"]: r for r in language_id.query(spark, SF).collect()}
+    for r in rows:
+        own = plain_grams(r["text"])
+        score = {x: np.log(docs[x] / sum(docs.values())) + sum(n * logs[x][b] for b, n in own.items()) for x in logs}
+        best = max(sorted(score), key=score.get)
+        if any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == best
+            assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(np.exp(min(0.0, v - score[best])) for v in score.values()), abs=1e-3)
+
+
+def test_language_pieces_agree(monkeypatch):
     text = "Wörter und Sätze. " * 10
     model = language_id.Model({"de": np.arange(language_id.BUCKETS) % 7, "en": np.arange(language_id.BUCKETS) % 5}, {"de": 1, "en": 2})
     one = model.score([text])[1]
     assert model.score([None, text, ""])[1] == [0.0, *one, 0.0]
+    whole = Counter(language_id.grams(next(language_id.pieces([text]))[1])[0].ravel().tolist())
+    for size in (1, 2, 7, len(text) - 1, len(text), len(text) + 1, len(text) + 2):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        parts: Counter = Counter()
+        for _, some in language_id.pieces([text]):
+            parts.update(language_id.grams(some)[0].ravel().tolist())
+        assert {b: n for b, n in parts.items() if b < language_id.BUCKETS} == {b: n for b, n in whole.items() if b < language_id.BUCKETS}
+        assert model.score([text])[1] == pytest.approx(one)
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(6)
+    words = {f"l{i:04d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4)] for i in range(1500)}
+    docs = spark.createDataFrame([(i, " ".join(w), x) for i, (x, w) in enumerate(words.items())], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.langs) == 1500 and model.logs.size <= language_id.CELLS + 1500
+    rows = language_id.predict(docs, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) > 1450
+    with pytest.raises(ValueError, match="other names"):
+        language_id.predict(docs.withColumn("score", F.lit(1)), model)
 
 
 def test_topk_ties_and_odd_vectors(spark):
@@ -270,7 +443,7 @@ def test_topk_ties_and_odd_vectors(spark):
         if i % 50 == 0:
             best = sorted((-int(q @ v), j) for j, v in good if j != i and len(v) == len(q))[:5]
             want[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    for block in (1024, 7):
+    for block in (8192, 7):
         got = {}
         for r in topk.exact_topk(frame, F.col("vec_id") % 50 == 0, block=block).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -279,6 +452,24 @@ def test_topk_ties_and_odd_vectors(spark):
     assert topk.exact_topk(frame.filter("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_topk_repeats_and_clashes(spark):
+    rows = [(1, [1.0, 0.0], 1, 1), (1, [1.0, 0.0], 1, 1), (50, [1.0, 1.0], 1, 1), (50, [1.0, 0.5], 1, 1), (2, [0.5, 0.5], 1, 1)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id int, score int")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(docs, F.col("vec_id") % 50 == 0).collect()]
+    assert got == [(50, 1, 1, 65536), (50, 2, 1, 65536), (50, 3, 2, 49152)]
+
+
+def test_topk_large_numbers(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-(2**21), 2**21, 8)]) for i in range(60)]
+    want = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[0][1], v, strict=True)), i) for i, v in rows if i)[:5]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_topk(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(-r["score"], r["vec_id"]) for r in got] == want
+    with pytest.raises(ValueError, match="2 \\*\\* 63"):
+        topk.exact_topk(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
 PAGES = [
     ("<html><body><nav><a>Menu</a></nav><article><h1>Title</h1><p><b>One, two &amp; three.<br><p>Four\n  five</p></article><footer>Foot</footer></body></html>", "Title\nOne, two & three.\nFour five"),
     ("<div id=main><p>" + "Long text, with commas, and more. " * 5 + "</p><p>Second part, also long enough to count.</p></div><div class='sidebar'><p>Not, this, one, at, all.</p></div><div class=comments><p>A reader, says, much, here.</p></div>", None),
@@ -326,6 +517,68 @@ def test_main_text_leaves_neighbours_out():
     assert html_text.main_text(f"<body><p>Before.</p><article>{text}</article><p>After.</p>").count("\n") == 29
 
 
+LONG = "".join(f"<p>Part {i}, of a text, that goes on, and on, for long, and longer.</p>" for i in range(12))
+OWN = [f"Part {i}, of a text, that goes on, and on, for long, and longer." for i in range(12)]
+SHAPES = [
+    (f"<article><h1>T</h1>{LONG}<section id='discussion'><h2>Discussion</h2><p>What it means.</p></section></article>", ["T", *OWN, "Discussion", "What it means."]),
+    (f"<article>{LONG}<div class='alert-box'>Mind the gap.</div><p>End.</p></article>", [*OWN, "Mind the gap.", "End."]),
+    (f"<article><div class='post-header'><h1>Title</h1></div>{LONG}</article>", ["Title", *OWN]),
+    (f"<div><div class='box'><h1>Title</h1></div><div class='body'>{LONG}</div></div>", ["Title", *OWN]),
+    (f"<div><div class='page-header'><h1>Title</h1><p>By someone</p></div><div class='body'>{LONG}</div></div>", ["Title", "By someone", *OWN]),
+    (f"<html><head><title>x</title><meta name=a><article><h1>T</h1>{LONG}</article>", ["T", *OWN]),
+    (f"<head><title>x</title>{LONG}", OWN),
+    (f"<article><h1>T</h1>{LONG}</article><section id=responses>{LONG.replace('Part', 'Reader')}</section>", ["T", *OWN]),
+    (f"<article><h1>T</h1>{LONG}</article><div>{LONG.replace('Part', 'Other')}</div>", ["T", *OWN]),
+    (f"<article><h1>T</h1>{LONG}<div class='comments'><p>I, too, think, so.</p></div></article>", ["T", *OWN]),
+    (f"<article><h1>T</h1>{LONG}<div class='comment-list'><p>Reader.</p></div><aside>More</aside></article>", ["T", *OWN]),
+    (f"<main><div class='share-buttons'><a>Share</a></div>{LONG}<div class='related-posts'><a>x</a><a>y</a></div></main>", OWN),
+    (f"<main>{LONG}<div class='header-links'><a>One</a> <a>Two</a></div></main>", OWN),
+    (f"<div class='top-banner'>Buy, now, here.</div><div>{LONG}</div>", OWN),
+    (f"<header><h1>Site</h1></header><div>{LONG}</div><footer>Foot</footer>", OWN),
+    (f"<article><header><h1>T</h1></header>{LONG}<footer>Foot</footer></article>", ["T", *OWN]),
+    (f"<table><tr><td><a>Menu</a><td>{LONG}</table>", OWN),
+    (f"<div>{LONG}<form><p>Your, mail, here, please.</p></form></div>", OWN),
+    (f"<div hidden>{LONG}</div><div>{LONG.replace('Part', 'Seen')}</div>", [x.replace("Part", "Seen") for x in OWN]),
+    (f"<div style='display: none'><p>No, not, this.</p></div>{LONG}", OWN),
+    (f"<article><h1>T</h1><figure><img><figcaption>A picture.</figcaption></figure>{LONG}</article>", ["T", "A picture.", *OWN]),
+    (f"<article><h1>T</h1><div><div><div>{LONG}</div></div></div><p>End.</p></article>", ["T", *OWN, "End."]),
+    (f"<article><h1>T</h1>{LONG}<pre>a  b\n c</pre></article>", ["T", *OWN, "a b c"]),
+    (f"<article><h1>T</h1>{LONG}<table><tr><th>k<th>v<tr><td>1<td>2</table></article>", ["T", *OWN, "k v", "1 2"]),
+    (f"<div id='cookie-bar'>We use cookies, all, of them.</div><article>{LONG}</article>", OWN),
+    (f"<div role='navigation'><p>One, two, three.</p></div><article>{LONG}</article>", OWN),
+    (f"<article data-x='a > b'>{LONG}<p title=\"x > y\">End &lt;here&gt;.</p></article>", [*OWN, "End <here>."]),
+    (f"<body><p>Lead, before all.</p>{LONG}</body>", ["Lead, before all.", *OWN]),
+    (f"<article>{LONG}<p>Unclosed <b>bold <i>both</article><p>After", [*OWN, "Unclosed bold both"]),
+    (f"<noscript>{LONG.replace('Part', 'No')}</noscript><svg><text>x</text></svg><div>{LONG}</div>", OWN),
+    (f"<article><h1>T</h1>{LONG}</article><article class='comment'>{LONG[:200]}</article>", ["T", *OWN]),
+]
+
+
+@pytest.mark.parametrize(("html", "blocks"), SHAPES)
+def test_main_text_of_other_shapes(html, blocks):
+    assert html_text.main_text(html).split("\n") == blocks
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<a ", "<a x='\">", "<", "</p ", "<!-- ", "<script>", "</script ", '<p x="y>', "<a'b\"c>", "<p>", "<div class='header'>", "<td>"])
+def test_time_in_proportion(part):
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        start = time.process_time()
+        html_text.main_text(part * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_pages_of_any_kind(spark):
+    rows = [(1, "u", None, "a", 1), (1, "u", None, "a", 1), (2, None, "", "a", 1), (None, "u", "<p>x", "a", 1), (4, "u", "<article>" + "<p>word, word.</p>" * 200_000, "a", 1), (5, "u", "<p>x", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r["page_id"], r["url"], len(r["text"]), r["n_chars"]) for r in html_text.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", 0, 0), (1, "u", 0, 0), (2, None, 0, 0), (None, "u", 1, 1), (4, "u", 200_000 * 12 - 1, 200_000 * 12 - 1), (5, "u", 1, 1)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_main_text_of_pages(spark):
     from html import unescape
 

@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Two passes over the texts, neither with a shuffle of them. The first sums, a language and a bucket, the n-grams of one to
-three letters; the second scores batches against the broadcast matrix of log-probabilities, whose size is BUCKETS times
-the number of languages, MAX_LANGUAGES at most.
+three letters; the second scores batches against the broadcast matrix of log-probabilities. It has at most CELLS of them: up to
+CELLS / BUCKETS languages have BUCKETS buckets each, and each doubling of their number halves the buckets.
 """
 
 from __future__ import annotations
@@ -12,17 +12,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import checkpoint, lean, read
 
 BITS = 15
 BUCKETS = 1 << BITS
-MAX_LANGUAGES = 1024
+CELLS = 1 << 23
 SMOOTHING = 0.5
-#: Characters that are worked on at a time; longer texts are measured in pieces.
-PIECE = 1 << 19
+#: Characters that are worked on at a time; a longer text goes on two characters before the end of the last piece.
+PIECE = 1 << 18
+#: Languages that a task counts at a time.
+LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -39,11 +42,15 @@ def letters() -> np.ndarray:
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Places of texts and the texts or parts of them, about PIECE characters together."""
+    """Places of texts and the texts or parts of them with what comes before and after, about PIECE characters together.
+
+    An n-gram starts at each character of a part but the last two, which the next part begins with.
+    """
     at, some, n = [], [], 0
     for i, text in enumerate(texts):
-        for start in range(0, len(text or ""), PIECE):
-            part = text[start : start + PIECE]
+        for start in range(0, len(text) + 1 if text else 0, PIECE):
+            end = start + PIECE + 1
+            part = (" " if start == 0 else "") + text[max(0, start - 1) : end] + " " * max(0, min(2, end - len(text)))
             at.append(i)
             some.append(part)
             n += len(part)
@@ -56,8 +63,9 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
 
 def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets (three by n characters; BUCKETS: none), where each part starts, and whether it has a letter."""
-    x = letters()[np.frombuffer("".join(f" {p}  " for p in parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-    start = np.cumsum([0, *(len(p) + 3 for p in parts)])[:-1]
+    x = letters()[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    ends = np.cumsum([len(p) for p in parts])
+    start = np.r_[0, ends[:-1]]
     y, z = np.r_[x[1:], 32].astype(np.uint32), np.r_[x[2:], 32, 32].astype(np.uint32)
     blank = x == 32
     g2 = x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA77)
@@ -68,27 +76,43 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row[:] = (g ^ (g >> np.uint32(15))) * np.uint32(0x846CA68B) >> np.uint32(32 - BITS)
     out[0][blank] = BUCKETS
     out[1:, blank & (y == 32)] = BUCKETS
+    out[:, ends - 1] = out[:, ends - 2] = BUCKETS
     return out, start, np.logical_or.reduceat(~blank, start)
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows lang, bucket, n of a task's texts; bucket -1 counts the texts."""
+    """Rows lang, bucket, n of a task's texts; bucket -1 counts the texts. A language may come more than once."""
     total: dict[str, np.ndarray] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, n in total.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.where(some == BUCKETS, -1, some)), pa.array(n[some])], names=["lang", "bucket", "n"])
+        total.clear()
+
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        for lang in langs:
-            total.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))[BUCKETS] += 1
         for at, parts in pieces(texts):
             b, start, _ = grams(parts)
             size = np.diff(np.r_[start, b.shape[1]])
             names = [langs[i] for i in at]
-            for lang in set(names):
+            for lang in dict.fromkeys(names):
                 mine = np.repeat(np.array([x == lang for x in names]), size)
+                own = total.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
                 for row in b:
-                    total[lang][:BUCKETS] += np.bincount(row[mine], minlength=BUCKETS + 1)[:BUCKETS]
-    for lang, n in total.items():
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.where(some == BUCKETS, -1, some)), pa.array(n[some])], names=["lang", "bucket", "n"])
+                    own[:BUCKETS] += np.bincount(row[mine], minlength=BUCKETS + 1)[:BUCKETS]
+                if len(total) > LANGUAGES:
+                    yield from rows()
+        for lang in langs:
+            total.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))[BUCKETS] += 1
+            if len(total) > LANGUAGES:
+                yield from rows()
+    yield from rows()
+
+
+def shift_of(languages: int) -> int:
+    """The last bits of a bucket that so many languages have no room for."""
+    return next(i for i in range(BITS + 1) if max(1, languages) * (BUCKETS >> i) <= CELLS or i == BITS)
 
 
 class Model:
@@ -96,19 +120,20 @@ class Model:
 
     def __init__(self, counts: dict[str, np.ndarray], docs: dict[str, int]):
         self.langs = sorted(counts)
+        self.shift = shift_of(len(self.langs))
         self.prior = np.log(np.array([docs[x] for x in self.langs], dtype=np.float64) / max(1, sum(docs.values())))
-        n = np.array([counts[x] for x in self.langs], dtype=np.float64).reshape(len(self.langs), BUCKETS) + SMOOTHING
-        logs = np.log(n / n.sum(axis=1, keepdims=True)).T
-        self.logs = np.vstack([logs, np.zeros((1, len(self.langs)))]).astype(np.float32)
+        n = np.array([counts[x] for x in self.langs], dtype=np.float64).reshape(len(self.langs), BUCKETS >> self.shift) + SMOOTHING
+        logs = np.log(n / n.sum(axis=1, keepdims=True))
+        self.logs = np.hstack([logs, np.zeros((len(self.langs), 1))]).astype(np.float32)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         total = np.tile(self.prior, (len(texts), 1))
         some = np.zeros(len(texts), dtype=bool)
         for at, parts in pieces(texts):
             b, start, has = grams(parts)
-            for j in range(len(self.langs)):
-                column = np.ascontiguousarray(self.logs[:, j])
-                each = column[b[0]] + column[b[1]] + column[b[2]]
+            b >>= self.shift
+            for j, own in enumerate(self.logs):
+                each = own[b[0]] + own[b[1]] + own[b[2]]
                 np.add.at(total[:, j], at, np.add.reduceat(each, start, dtype=np.float64))
             np.logical_or.at(some, at, has)
         if not self.langs:
@@ -119,20 +144,19 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Counts over all rows of docs that have a language; raises where there are more than MAX_LANGUAGES."""
+    """Counts over all rows of docs that have a language. What reaches the driver are the numbers of texts by language and
+    at most CELLS counts."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null")
-    counts = rows.mapInArrow(count_grams, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = [r[0] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = counts.toArrow()
-    by, size = {x: np.zeros(BUCKETS, dtype=np.int64) for x in names}, dict.fromkeys(names, 0)
-    for x, b, n in zip(table["lang"].to_pylist(), table["bucket"].to_pylist(), table["n"].to_pylist(), strict=True):
-        if b < 0:
-            size[x] = n
-        else:
-            by[x][b] = n
-    return Model(by, size)
+    counts = checkpoint(rows.mapInArrow(lean(count_grams), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    size = {r["lang"]: r["n"] for r in counts.filter("bucket < 0").collect()}
+    shift = shift_of(len(size))
+    cell = F.shiftright("bucket", shift).cast("int")
+    table = counts.filter("bucket >= 0").groupBy("lang", cell.alias("b")).agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(size)
+    by = np.zeros((len(names), BUCKETS >> shift), dtype=np.int64)
+    if table.num_rows:
+        by[pc.index_in(table["lang"], pa.array(names, pa.string())).to_numpy(), table["b"].to_numpy()] = table["n"].to_numpy()
+    return Model(dict(zip(names, by, strict=True)), size)
 
 
 def held_out(key: str) -> Column:
@@ -143,8 +167,11 @@ def held_out(key: str) -> Column:
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred, `und` for a text that is null or has no letter, and score, the posterior (und: 0).
 
-    Texts may be empty or very long, rows may repeat. docs must not have columns of these two names; others can be given.
+    Texts may be empty or very long and are read whole; rows may repeat. docs must not have columns of these two names;
+    others can be given. Of languages that are equally likely the first by name counts. No rows in, no rows out.
     """
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(clash)}; give other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns, place = [*docs.columns, *names], docs.columns.index(text)
 
@@ -154,11 +181,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=columns)
 
     schema = docs.withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(lean(add), schema)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """One row a document: key, held_out, lang_pred and score, learnt from those that are not held out."""
+    """One row a document: key, held_out, lang_pred and score, learnt from those that are not held out.
+
+    Texts and languages may be null; other columns of docs, whatever their names, are neither read nor returned.
+    """
     rows = docs.select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang"))
     model = fit(rows.filter(~held_out(key)))
     return predict(rows.select(key, held_out(key).alias("held_out"), "text"), model).drop("text")

@@ -8,6 +8,7 @@ histogram is of that bin alone, until one value is left. What reaches the driver
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .shared import checkpoint, read
 
 BINS = 1024
-#: Equal texts are not separated by a cut unless they hold more than this share of the node's bytes.
-WHOLE = 0.002
+#: A cut separates equal texts only where keeping them together would move a shard by more than this share of its bytes.
+SLACK = 0.02
 #: Rows that get their slots in one task, about.
 CHUNK = 20_000
 
@@ -29,12 +30,9 @@ def default_dims(text: str) -> dict[str, Column]:
 
 
 def by_node(of: Mapping[int, object], kind: str) -> Column:
-    """The value that each node has in the mapping, null elsewhere."""
-    out = None
-    for node, value in of.items():
-        v = F.lit(value).cast(kind)
-        out = F.when(F.col("_node") == node, v) if out is None else out.when(F.col("_node") == node, v)
-    return F.lit(None).cast(kind) if out is None else out
+    """The value that each node has in the mapping, null elsewhere: a place of one literal array, however many there are."""
+    values = [of.get(i) for i in range(max(of, default=0) + 1)]
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col("_node"))
 
 
 def locate(rows: DataFrame, value: Column, ends: dict[int, list[int]], before: dict[int, int], target: dict[int, int]) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
@@ -76,7 +74,7 @@ def cut(rows: DataFrame, open_: dict[int, int], dims: list[str], span: dict[str,
     crc, below, own = locate(here, F.col("_crc"), {n: [r["crc_lo"], r["crc_hi"]] for n, r in stats.items()}, below, target)
     top = 2**63 - 1
     last = {n: (top if below[n] + own[n] - target[n] <= target[n] - below[n] else -top) for n in stats}
-    split = [n for n in stats if own[n] > WHOLE * stats[n]["s"]]
+    split = [n for n in stats if min(below[n] + own[n] - target[n], target[n] - below[n]) > SLACK * stats[n]["s"] / open_[n]]
     if split:
         ids, below, own = locate(here.filter(F.col("_node").isin(*split) & (F.col("_crc") == by_node(crc, "long"))), F.col("_id"), {n: [stats[n]["id_lo"], stats[n]["id_hi"]] for n in split}, {n: below[n] for n in split}, {n: target[n] for n in split})
         last |= {n: ids[n] if below[n] + own[n] - target[n] <= target[n] - below[n] else ids[n] - 1 for n in split}
@@ -89,15 +87,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, dims: Mapping[str, Column]
     """One row a document: key, size, text_crc32, law, shard, slot and grown_shard.
 
     size is the UTF-8 bytes of the text (null: none) plus 1. Shards are the leaves of the tree, from 0, of nearly equal
-    bytes; at most WHOLE of a node's bytes or one row are on the wrong side of each cut. Ties in a dimension are cut by
+    bytes; at most SLACK of a shard's bytes or one row are on the wrong side of each cut. Ties in a dimension are cut by
     the checksum of the text, so that equal texts stay together unless there are too many, and then by key; rows of
-    equal text and key stay together (keys should be unique). A null key counts as 0, a null in a dimension too. Slots
-    number the rows of a shard from 0 without gaps. A shard may be empty where there are few rows. Other columns of
-    docs are neither read nor returned.
+    equal text and key stay together (keys should be unique). A null key counts as 0, a null in a dimension too, and a
+    null text is empty; a text of any length is one row. Slots number the rows of a shard from 0 without gaps, in an order
+    that follows from how the table is cut into partitions. A shard may be empty where there are few rows. No rows in, no
+    rows out. Other columns of docs are neither read nor returned.
     """
     spark, t = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
     dims = {f"_d{i}": c for i, c in enumerate((dims or default_dims(text)).values())}
-    meta = docs.select(F.col(key), (F.octet_length(t) + 1).cast("long").alias("_size"), F.crc32(t.cast("binary")).alias("_crc"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"), F.lit(1).alias("_node"), *[F.coalesce(c.cast("long"), F.lit(0)).alias(d) for d, c in dims.items()])
+    meta = docs.select(F.col(key), (F.octet_length(t) + 1).cast("long").alias("_size"), F.crc32(t.cast("binary")).alias("_crc"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"), F.lit(1).alias("_node"), F.monotonically_increasing_id().alias("_row"), *[F.coalesce(c.cast("long"), F.lit(0)).alias(d) for d, c in dims.items()])
     meta = checkpoint(meta)
     names = list(dims)
     whole = meta.agg(F.count("*").alias("n"), *[(F.max(d) - F.min(d)).alias(d) for d in names]).first()
@@ -108,12 +107,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, dims: Mapping[str, Column]
         leaves = {n: k for n, k in leaves.items() if k == 1} | new
     depth = max(n.bit_length() for n in leaves)
     order = sorted(leaves, key=lambda n: n << (depth - n.bit_length()))
-    chunks = max(1, -(-whole["n"] // (CHUNK * 1)))
-    rows = meta.withColumn("shard", by_node({n: i for i, n in enumerate(order)}, "int")).withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)))
+    chunks = max(1, -(-whole["n"] // CHUNK))
+    rows = meta.withColumn("shard", by_node({n: i for i, n in enumerate(order)}, "int")).withColumn("_chunk", F.pmod(F.xxhash64("_id", "_crc", "_row"), F.lit(chunks)))
     counts = rows.groupBy("shard", "_chunk").agg(F.count("*").alias("n"))
     start = F.sum("n").over(Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("shard", "_chunk", F.coalesce(start, F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("_id", "_crc", "_size"))
+    place = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("_id", "_crc", "_row"))
     slots = rows.withColumn("_place", place).join(counts, ["shard", "_chunk"])
     return slots.select(key, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

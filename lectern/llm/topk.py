@@ -1,6 +1,6 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Queries are taken in blocks of bounded size, each against all rows. A pass scores everything and counts each query's
+Queries are taken in blocks of bounded size, each against all rows; what a block finds is written before the next. A pass scores everything and counts each query's
 scores in BINS bins of its range; the summed histogram tells in which bin the kth score lies, and the next pass has only
 that bin's range. Once few scores are at or above a bin, or bins are one score wide, a last pass returns the scores from
 there on and ties go to the smaller id. A task sends, per query, bins that hold its own k best and no more than k rows.
@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, read
+from .shared import checkpoint, lean, new_path, read
 
 BINS = 256
-BLOCK = 1024
-ROWS = 2048
+#: Queries that a pass over all rows takes: a task holds BLOCK * BINS counts of 4 bytes, and scores of BLOCK * ROWS.
+BLOCK = 8192
+ROWS = 256
 SCALE = 256
+#: Whole numbers up to this are exact as floating-point sums.
+EXACT = 2.0**53
 LEAST = np.iinfo(np.int64).min
 
 
@@ -44,8 +47,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 class Block:
     """Queries of one block, by the length of their vectors."""
 
-    def __init__(self, ids: list[int], vectors: list[list[float]]):
+    def __init__(self, ids: list[int], vectors: list[list[float]], norm: float):
         self.ids = np.array(ids, dtype=np.int64)
+        self.kind = np.float64 if norm * norm < EXACT else np.int64
         self.of = {}
         for d in {len(v) for v in vectors}:
             own = np.array([i for i, v in enumerate(vectors) if len(v) == d])
@@ -59,7 +63,7 @@ class Block:
         for ids, rows in chunks(batches):
             if rows.shape[1] in self.of:
                 own, q = self.of[rows.shape[1]]
-                s = (q @ rows.T).astype(np.int64)
+                s = (q.astype(self.kind) @ rows.T.astype(self.kind)).astype(np.int64)
                 mine = self.ids[own]
                 near = np.minimum(np.searchsorted(mine, ids), len(mine) - 1)
                 same = np.flatnonzero(mine[near] == ids)
@@ -71,14 +75,14 @@ def histogram(block: Block, low: np.ndarray, width: np.ndarray, k: int):
     """A function for mapInArrow: counts of scores by query and bin, from the top bin (BINS: above the range) down."""
 
     def count(batches):
-        total = np.zeros((len(block.ids), BINS + 1), dtype=np.int64)
+        total = np.zeros((len(block.ids), BINS + 1), dtype=np.int32)
         for own, _, s in block.scores(batches):
             b = np.minimum((s - low[own, None]) // width[own, None], BINS)
             at, ok = (np.arange(len(own)) * (BINS + 1))[:, None] + b, (b >= 0) & (s != LEAST)
             total[own] += np.bincount(at[ok], minlength=len(own) * (BINS + 1)).reshape(len(own), BINS + 1)
-        above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
+        above = np.cumsum(total[:, ::-1], axis=1, dtype=np.int32)[:, ::-1] - total
         q, b = np.nonzero((total > 0) & (above < k))
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(total[q, b])], names=["q", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(total[q, b].astype(np.int64))], names=["q", "b", "n"])
 
     return count
 
@@ -113,7 +117,7 @@ def thresholds(rows: DataFrame, block: Block, norm: float, k: int) -> np.ndarray
     above = np.zeros(len(reach), dtype=np.int64)
     todo = np.ones(len(reach), dtype=bool)
     while todo.any():
-        got = rows.mapInArrow(histogram(block, low, width, k), "q long, b long, n long").groupBy("q", "b").agg(F.sum("n").alias("n")).toArrow()
+        got = rows.mapInArrow(lean(histogram(block, low, width, k)), "q long, b long, n long").groupBy("q", "b").agg(F.sum("n").alias("n")).toArrow()
         count = np.zeros((len(reach), BINS + 1), dtype=np.int64)
         count[got["q"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
         run = np.cumsum(count[:, ::-1], axis=1)[:, ::-1]
@@ -131,8 +135,8 @@ def thresholds(rows: DataFrame, block: Block, norm: float, k: int) -> np.ndarray
 def exact_topk(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """For each query its k rows of highest inner product: query_id, rank, vec_id and score.
 
-    Components become floor(256 * x); scores are exact while they stay below 2 ** 53. Rows with the query's own id are
-    no candidates. Vectors null or with null or non-finite components, and null ids, take no part. Only vectors as long
+    Components become floor(256 * x); scores are exact, and raise where they could pass 2 ** 63. Rows with the query's own
+    id are no candidates. Vectors null or with null or non-finite components, and null ids, take no part. Only vectors as long
     as the query's are compared; empty ones score 0. Of repeated rows each is a candidate; of a query that occurs more
     than once the least vector counts. No rows in, no rows out. Other columns are neither read nor returned.
     """
@@ -141,27 +145,25 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", co
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(SCALE * x) * F.floor(SCALE * x).cast("double"))
     norm = float(np.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0))
-    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    last, parts = None, []
+    if not norm * norm < 2.0**62:
+        raise ValueError("scores of these vectors may pass 2 ** 63")
+    queries = checkpoint(rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).sort("vec_id"))
+    order, last, path = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), None, None
     while True:
         got = (queries if last is None else queries.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(block).collect()
-        if not got:
-            break
-        own = Block([r[0] for r in got], [r[1] for r in got])
-        found = rows.mapInArrow(select(own, thresholds(rows, own, norm, k), k), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        last = got[-1][0]
+        if not got and last is None:
+            return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        if got:
+            own = Block([r[0] for r in got], [r[1] for r in got], norm)
+            found = rows.mapInArrow(lean(select(own, thresholds(rows, own, norm, k), k)), "query_id long, vec_id long, score long")
+            found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if last is None and len(got) < block:
+                return found
+            path = path or new_path(rows.sparkSession)
+            found.write.mode("append").parquet(path)
+            last = got[-1][0]
         if len(got) < block:
-            parts.append(found)
-            break
-        parts.append(checkpoint(found))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return rows.sparkSession.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

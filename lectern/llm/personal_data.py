@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import lean, read
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 STRICT = 4
@@ -191,18 +191,23 @@ class Model:
         return [1.0, *(float(kind == k) for k in KINDS), *(float(v[i]) for i in range(LABELERS)), *(float(v[i] != 0) for i in range(LABELERS)), v[4] / 7, v[5] / 4, float(v[6]), float(v[7])]
 
     def agree(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Posterior of each pattern and each labeler's accuracy where it votes; the first guess is the majority."""
+        """Posterior of each pattern and each labeler's accuracy where it votes; the first guess is the majority.
+
+        A labeler that is wrong more often than right then counts the other way round. That a base span is one is certain
+        and fixes which of the two classes is which.
+        """
         kinds = np.array([KINDS.index(p[0]) for p in self.names], dtype=int)
         v = np.array([[*p[1 : 1 + LABELERS], p[8]] for p in self.names], dtype=int).reshape(len(self.names), LABELERS + 1)
         q = 1 / (1 + np.exp(-v.sum(axis=1).astype(float)))
         right = np.full(LABELERS + 1, 0.8)
+        right[LABELERS] = 0.98
         for _ in range(STEPS):
-            for j in range(LABELERS + 1):
+            for j in range(LABELERS):
                 cast = v[:, j] != 0
                 good = (n * np.where(v[:, j] > 0, q, 1 - q))[cast].sum()
-                right[j] = np.clip((good + 8) / (n[cast].sum() + 10), 0.55, 0.98)
+                right[j] = np.clip((good + 8) / (n[cast].sum() + 10), 0.02, 0.98)
             prior = np.array([((n * q)[kinds == k].sum() + 1) / (n[kinds == k].sum() + 2) for k in range(len(KINDS))])
-            prior = np.clip(prior, 0.05, 0.95)
+            prior = np.clip(prior, 0.001, 0.999)
             logit = np.log(prior / (1 - prior))[kinds] + v @ np.log(right / (1 - right))
             q = 1 / (1 + np.exp(-logit))
         return q, right
@@ -229,7 +234,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 n.update((k, *v) for _, _, k, _, v in candidates(t))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in n], pa.string()), pa.array([x[1:] for x in n], pa.list_(pa.int32())), pa.array(n.values(), pa.int64(), size=len(n))], names=["kind", "v", "n"])
 
-    rows = docs.select(F.col(text)).mapInArrow(tally, "kind string, v array<int>, n long").groupBy("kind", "v").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text)).mapInArrow(lean(tally), "kind string, v array<int>, n long").groupBy("kind", "v").agg(F.sum("n").alias("n")).collect()
     return Model(Counter({(r["kind"], *r["v"]): r["n"] for r in rows}))
 
 
@@ -241,8 +246,8 @@ def spans_of(text: str | None, model: Model) -> list[tuple[int, int, str, bool]]
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None) -> DataFrame:
     """One row a document: key and spans, an array of kind, start, end (code points, exclusive) and base.
 
-    A text that is null, empty or without personal data has an empty array; repeated rows each get theirs. The model is
-    fitted on docs unless given. Other columns of docs are neither read nor returned.
+    A text that is null, empty or without personal data has an empty array; a text of any length is searched whole, and
+    repeated rows each get theirs. No rows in, no rows out. The model is fitted on docs unless given. Other columns of docs are neither read nor returned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -253,7 +258,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Model
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[key, "spans"])
 
     rows = docs.select(key, text)
-    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return rows.mapInArrow(lean(work), f"`{key}` {dict(rows.dtypes)[key]}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def redacted(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
@@ -267,7 +272,11 @@ def redacted(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
-    """docs with its personal data replaced; length names a column that holds the text's code points. Nulls stay."""
+    """docs with its personal data replaced; length names a column that holds the text's code points.
+
+    A null text stays null, an empty one empty; texts of any length are redacted whole, repeated rows alike. All other
+    columns, whatever their names, stay as they are. No rows in, no rows out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
     names = docs.columns
     at, size = names.index(text), names.index(length) if length else None
@@ -281,7 +290,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> Da
                 columns[size] = pa.array([None if t is None else len(t) for t in new], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def digest(spans: Column) -> Column:

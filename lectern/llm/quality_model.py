@@ -1,14 +1,19 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A logistic model of measures of the text, fitted on all labelled documents by Newton steps whose sums are aggregated over
-the cluster, gives each document's evidence. Sites and paths of sites have rates of good documents: a label counts as
-itself, other documents by their evidence. Path rates are shrunk to their site's, site rates to that of all, each by as
-much as the spread between sites, or between the paths of sites, tells (moments of the beta distribution). A document's
-posterior odds are its evidence times the odds of its path over those of all.
+A document's own evidence has two sources. Words are hashed to buckets, and one aggregation over the labelled documents
+counts in how many good and bad ones each bucket occurs; the mean log odds of a text's words is one measure, which leaves
+out what the text's own label has added. Others are counts of marks, lines and repetitions. A logistic model of these,
+fitted on all labelled documents by Newton steps whose sums are aggregated over the cluster, gives the evidence.
+
+Sites and paths of sites have rates of good documents: a label counts as itself, other documents by their evidence. Path
+rates are shrunk to their site's, site rates to that of all, each by as much as the spread between sites, or between the
+paths of sites, tells (moments of the beta distribution). A document's posterior odds are its evidence times the odds of
+its path over those of all, where the rates are those of the other documents.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -19,15 +24,45 @@ from .shared import attach_groups, checkpoint, let, read, words
 
 STEPS = 8
 RIDGE = 1.0
-#: The concentration of a beta prior stays between these.
-FIRM = (2.0, 5_000.0)
-#: Odds of a path count at most so many times more or less than those of all.
-MOST_ODDS = 4.0
+#: The concentration of a beta prior where groups do not differ at all: as good as their common mean alone.
+FIRM = 1e12
+#: Buckets of hashed words, and what each is counted more in good and bad documents.
+BUCKETS, SMOOTHING = 1 << 15, 1.0
 THRESHOLD = 0.5
 
 
-def measures(text: Column) -> Column:
-    """An array of measures of a text, each about 0 to 1; the first is constant."""
+def buckets(w: Column) -> Column:
+    """The distinct buckets of words."""
+    return F.array_distinct(F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(BUCKETS)).cast("int")))
+
+
+def word_counts(rows: DataFrame) -> tuple[list[list[float]], float, float]:
+    """By bucket the weights of good and bad documents of rows (text, y) that have it, and all of them.
+
+    What reaches the driver is one row a bucket at most.
+    """
+    each = rows.select("y", F.explode(buckets(words(F.col("text")))).alias("b"))
+    out = [[0.0, 0.0] for _ in range(BUCKETS)]
+    for r in each.groupBy("b").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).collect():
+        out[r["b"]] = [r["good"], r["bad"]]
+    s = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    return out, s[0] or 0.0, s[1] or 0.0
+
+
+def measures(text: Column, y: Column, known: tuple[list[list[float]], float, float]) -> Column:
+    """An array of measures of a text, each about 0 to 1 but the last two; the first is constant. y: its label or null."""
+    table, good, bad = known
+    counts = F.from_json(F.lit(json.dumps(table)), "array<array<double>>")
+    odds = [math.log((g + SMOOTHING) / (good + 2 * SMOOTHING)) - math.log((x + SMOOTHING) / (bad + 2 * SMOOTHING)) for g, x in table]
+    weights = F.from_json(F.lit(json.dumps(odds)), "array<double>")
+
+    def left_out(b: Column) -> Column:
+        n = F.get(counts, b)
+        return F.log(F.greatest(F.get(n, F.lit(0)) - y + SMOOTHING, F.lit(SMOOTHING)) / F.greatest(F.lit(good) - y + 2 * SMOOTHING, F.lit(SMOOTHING))) - F.log(F.greatest(F.get(n, F.lit(1)) - (1 - y) + SMOOTHING, F.lit(SMOOTHING)) / F.greatest(F.lit(bad) - (1 - y) + 2 * SMOOTHING, F.lit(SMOOTHING)))
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(values), F.lit(1))
+
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
 
@@ -36,7 +71,14 @@ def measures(text: Column) -> Column:
         kinds = F.size(F.array_distinct(w)) / k
         chars = F.length(F.array_join(w, "")) / k
         part = lambda pattern, most: F.least(F.lit(1.0), F.regexp_count(t, F.lit(pattern)) / k * most)
-        return F.array(F.lit(1.0), kinds, kinds * kinds, F.least(F.lit(1.0), chars / 12), part("[#*$%&<>]", 1.0), part("[|]", 2.0), part("!!", 1.0), F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\p{Lu}{2}")) / n * 4), part("[0-9]{2}", 2.0), part(r"[.](?:\s|$)", 4.0), F.log1p(k) / 10)
+        marks = F.array(F.lit(1.0), kinds, kinds * kinds, F.least(F.lit(1.0), chars / 12), part("[#*$%&<>]", 1.0), part("[|]", 2.0), part("!!", 1.0), F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\p{Lu}{2}")) / n * 4), part("[0-9]{2}", 2.0), part(r"[.](?:\s|$)", 4.0), F.log1p(k) / 10)
+        return F.concat(marks, evidence(w))
+
+    def evidence(w: Column) -> Column:
+        if not good or not bad:
+            return F.array(F.lit(0.0), F.lit(0.0))
+        m = let(buckets(w), lambda b: F.when(y.isNull(), mean(F.transform(b, lambda i: F.get(weights, i)))).otherwise(mean(F.transform(b, left_out))))
+        return let(m, lambda x: F.array(x, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x * 4))))
 
     return let(words(text), of).cast("array<double>")
 
@@ -68,9 +110,9 @@ def firmness(n: float, around: float, spread: float, groups: int) -> float:
     """Concentration of the beta prior: n rows, the variance of their group rates around the prior mean times n, the sum
     over rows of p * (1 - p) at the prior mean, and the number of groups."""
     if n <= 0 or spread <= 0:
-        return FIRM[1]
+        return FIRM
     between = around / n - spread / n * groups / n
-    return FIRM[1] if between <= 1e-9 else min(FIRM[1], max(FIRM[0], spread / n / between - 1))
+    return FIRM if between <= 0 else min(FIRM, max(1e-6, spread / n / between - 1))
 
 
 def logit(p: Column) -> Column:
@@ -82,15 +124,17 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", host: str =
     """One row a document: key, evidence, host_rate, path_rate, quality (the posterior) and kept (quality of THRESHOLD).
 
     labels has the key and 0 or 1, or null; of several for a key the mean counts. path tells parts of a host apart
-    (default: its language). A null text is measured as empty. Documents with a null host count in no site and are at the
-    rate of all; a null path is a part of its own. Without any label evidence is a half everywhere. Repeated rows each
-    get a row; no rows in, no rows out. Other columns of docs are neither read nor returned.
+    (default: its language). A null text is measured as empty, a text of any length whole. Documents with a null host
+    count in no site and are at the rate of all; a null path is a part of its own. Without any label evidence is a half
+    everywhere. host_rate and path_rate count the document itself; quality does not. Repeated rows each get a row; no
+    rows in, no rows out. Other columns of docs are neither read nor returned.
     """
     part = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), part.alias("part"), measures(F.col(text)).alias("x"))
     given = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    rows = checkpoint(rows.join(given, "id", "left"))
-    size = 11
+    rows = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), part.alias("part"), F.col(text).alias("text")).join(given, "id", "left")
+    known = word_counts(rows.filter("y is not null"))
+    rows = checkpoint(rows.select("id", "host", "part", "y", measures(F.col("text"), F.col("y"), known).alias("x")))
+    size = 13
     weights = fit(rows.filter("y is not null"), size)
     z = sum((F.get("x", F.lit(i)) * F.lit(v) for i, v in enumerate(weights)), F.lit(0.0))
     rows = rows.select("id", "host", F.concat_ws("\u0001", "host", "part").alias("path"), (1 / (1 + F.exp(-z))).alias("evidence"), "y")
@@ -101,18 +145,18 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", host: str =
     n = s["n"] or 0
     mean = min(1 - 1e-6, max(1e-6, s["good"] / n)) if n else 0.5
     firm = firmness(n, (s["q"] or 0) - mean * mean * n, mean * (1 - mean) * n, s["h"])
-    hosts = hosts.withColumn("host_rate", (F.col("host_good") + F.lit(mean * firm)) / (F.col("host_n") + F.lit(firm)))
+    host_rate = lambda own, one: (F.col("host_good") - own + F.lit(mean * firm)) / (F.col("host_n") - one + F.lit(firm))
     paths = checkpoint(attach_groups(paths, hosts, "host", "host_n"))
-    rate, own = F.col("host_rate"), F.col("good") / F.col("n")
+    rate, own = host_rate(F.lit(0.0), F.lit(0)), F.col("good") / F.col("n")
     s = paths.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (own - rate) * (own - rate)).alias("a"), F.sum(F.col("n") * rate * (1 - rate)).alias("v"), F.count("*").alias("k")).first()
-    firm = firmness(s["n"] or 0, s["a"] or 0, s["v"] or 0, s["k"])
-    paths = checkpoint(paths.select("path", "n", "host_rate", ((F.col("good") + F.lit(firm) * rate) / (F.col("n") + F.lit(firm))).alias("path_rate")))
-    out = attach_groups(rows, paths, "path", "n")
-    host_rate, path_rate = (F.coalesce(c, F.lit(mean)) for c in ("host_rate", "path_rate"))
-    odds = math.log(MOST_ODDS)
-    lift = F.least(F.greatest(logit(path_rate) - F.lit(math.log(mean / (1 - mean))), F.lit(-odds)), F.lit(odds))
+    path_firm = firmness(s["n"] or 0, s["a"] or 0, s["v"] or 0, s["k"])
+    path_rate = lambda own, one: (F.col("good") - own + F.lit(path_firm) * host_rate(own, one)) / (F.col("n") - one + F.lit(path_firm))
+    out = attach_groups(rows, checkpoint(paths.drop("host")), "path", "n")
+    self = F.coalesce("y", "evidence")
+    others = F.coalesce(path_rate(self, F.lit(1)), F.lit(mean))
+    lift = logit(others) - F.lit(math.log(mean / (1 - mean)))
     quality = 1 / (1 + F.exp(-(logit(F.col("evidence")) + lift)))
-    out = out.select(F.col("id").alias(key), "evidence", host_rate.alias("host_rate"), path_rate.alias("path_rate"), quality.alias("quality"))
+    out = out.select(F.col("id").alias(key), "evidence", F.coalesce(host_rate(F.lit(0.0), F.lit(0)), F.lit(mean)).alias("host_rate"), F.coalesce(path_rate(F.lit(0.0), F.lit(0)), F.lit(mean)).alias("path_rate"), quality.alias("quality"))
     return out.withColumn("kept", F.col("quality") >= THRESHOLD)
 
 

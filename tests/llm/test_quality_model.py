@@ -24,6 +24,52 @@ def test_held_out_labels(spark):
     assert rows.loc[y == 1, "kept"].mean() > 0.98
 
 
+def test_words_are_evidence(spark):
+    """Good and bad texts of one shape, told apart by their words alone."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda k: " ".join(words[i] for i in rng.integers(200 * k, 200 * k + 300, 60) % 400)
+    rows = [(i, text(i % 2), "s", "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = {r["doc_id"]: r["evidence"] for r in quality_model.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")).collect()}
+    assert auc(np.array([out[i] for i in range(300, 600)]), np.array([i % 2 for i in range(300, 600)])) > 0.95
+    noise = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(0, 2, 300))], "doc_id long, quality int")
+    own = {r["doc_id"]: r["y"] for r in noise.withColumnRenamed("quality", "y").collect()}
+    out = {r["doc_id"]: r["evidence"] for r in quality_model.classify(docs, noise).collect()}
+    assert auc(np.array([out[i] for i in range(300)]), np.array([own[i] for i in range(300)])) < 0.65, "a label is no evidence of itself"
+
+
+def test_against_plain_posteriors(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    y = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None}
+    out = {r["doc_id"]: r for r in quality_model.query(spark, sf).collect()}
+    good = {i: float(y.get(i, out[i]["evidence"])) for i in docs}
+    part = lambda i, k: (docs[i]["source"], docs[i]["lang"] or "")[:k]
+    n, s = ({k: {} for k in (1, 2)} for _ in range(2))
+    for i in docs:
+        for k in (1, 2):
+            n[k][part(i, k)] = n[k].get(part(i, k), 0) + 1
+            s[k][part(i, k)] = s[k].get(part(i, k), 0.0) + good[i]
+    total = len(docs)
+    mean = sum(good.values()) / total
+
+    def firm(rates, spread):
+        between = (sum(n[k][g] * (s[k][g] / n[k][g] - r) ** 2 for (k, g), r in rates.items()) - spread * len(rates) / total) / total
+        return quality_model.FIRM if between <= 0 else max(1e-6, spread / total / between - 1)
+
+    f1 = firm({(1, g): mean for g in n[1]}, mean * (1 - mean) * total)
+    host = lambda g, own, one: (s[1][g] - own + mean * f1) / (n[1][g] - one + f1)
+    f2 = firm({(2, g): host(g[:1], 0, 0) for g in n[2]}, sum(n[2][g] * host(g[:1], 0, 0) * (1 - host(g[:1], 0, 0)) for g in n[2]))
+    odds = lambda p: min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p)))
+    for i, r in out.items():
+        g = part(i, 2)
+        assert np.isclose(r["host_rate"], host(g[:1], 0, 0)) and np.isclose(r["path_rate"], (s[2][g] + f2 * host(g[:1], 0, 0)) / (n[2][g] + f2))
+        others = (s[2][g] - good[i] + f2 * host(g[:1], good[i], 1)) / (n[2][g] - 1 + f2)
+        o = odds(r["evidence"]) * odds(others) / odds(mean)
+        assert np.isclose(r["quality"], o / (1 + o)) and r["kept"] == (r["quality"] >= 0.5)
+
+
 def test_sparse_sites_shrink(spark):
     good = " ".join(f"word{i}" for i in range(80)) + "."
     rows = [(i, good, "big", "en") for i in range(400)] + [(1000 + i, "junk " * 50, "bad", "en") for i in range(400)] + [(2000, good, "new", "en"), (2001, "junk " * 50, "new2", "de")]

@@ -22,14 +22,15 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import let, read
+from .shared import checkpoint, lean, let, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The table of encoded pieces has so many rows at most.
-MOST = 1 << 18
+MOST = 1 << 19
 #: Bytes of a piece up to which merges are folded by higher-order functions, which take time with the square of it.
 LONG = 48
 #: The rank map is an array of so many small maps, since looking up in a map literal is linear.
@@ -68,28 +69,33 @@ def rank_of(table: Column, part: Column) -> Column:
 
 
 def fold(word: Column, table: Column) -> Column:
-    """The ids of a word of at least one byte."""
+    """The ids of a word of at least one byte.
 
-    def merge(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank_of(table, F.concat(F.get(parts, i), F.get(parts, i + 1))))
+    The state has the parts of the word and the ranks of neighbours. A merge makes one part of two, whose ranks with the
+    parts around it are the only new ones.
+    """
 
-        def joined(r: Column) -> Column:
-            low = F.array_min(r)
-            at = F.array_position(r, low).cast("int")
-            both = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
-            return F.when(low == NONE, parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), both, F.slice(parts, at + 2, F.size(parts))))
+    def merge(parts: Column, r: Column, at: Column) -> Column:
+        def joined(both: Column) -> Column:
+            before = F.when(at > 1, rank_of(table, F.concat(F.get(parts, at - 2), both)))
+            behind = F.when(at < F.size(r), rank_of(table, F.concat(both, F.get(parts, at + 1))))
+            ranks_ = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array_compact(F.array(before, behind)), F.slice(r, at + 2, F.size(r)))
+            return F.struct(F.concat(F.slice(parts, F.lit(1), at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts))).alias("parts"), ranks_.alias("r"))
 
-        return let(pairs, joined)
+        return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
 
     def step(state: Column, _: Column) -> Column:
-        parts, done = state["parts"], state["done"]
-        new = let(merge(parts), lambda p: F.struct(p.alias("parts"), (F.size(p) == F.size(parts)).alias("done")))
-        return F.when(done | (F.size(parts) < 2), F.struct(parts.alias("parts"), F.lit(True).alias("done"))).otherwise(new)
+        parts, r = state["parts"], state["r"]
+        low = F.array_min(r)
+        return F.when(F.coalesce(low, F.lit(NONE)) == NONE, state).otherwise(merge(parts, r, F.array_position(r, low).cast("int")))
+
+    def first(letters: Column) -> Column:
+        pairs = F.filter(F.transform(letters, lambda x, i: F.when(i + 1 < F.size(letters), rank_of(table, F.concat(x, F.get(letters, i + 1))))), lambda x: x.isNotNull())
+        return F.struct(letters.alias("parts"), pairs.alias("r"))
 
-    letters = F.filter(F.split(word, ""), lambda x: x != "")
-    start = F.struct(letters.alias("parts"), F.lit(False).alias("done"))
+    start = let(F.filter(F.split(word, ""), lambda x: x != ""), first)
     parts = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: s["parts"])
-    return F.when(rank_of(table, word) != NONE, F.array(rank_of(table, word))).otherwise(F.transform(parts, lambda p: rank_of(table, p)))
+    return let(rank_of(table, word), lambda own: F.when(own != NONE, F.array(own)).otherwise(F.transform(parts, lambda p: rank_of(table, p))))
 
 
 def merged(data: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -136,8 +142,6 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
 
 def table_of(rows: DataFrame, path: str, most: int) -> pa.Table:
     """Frequent pieces of a column of arrays `p`, and their ids."""
-    from .shared import checkpoint
-
     words = checkpoint(rows.select(F.explode("p").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")))
     some = frequent(words, most).filter(F.octet_length("piece") <= LONG)
     word = F.decode(F.col("piece").cast("binary"), "ISO-8859-1")
@@ -148,31 +152,32 @@ class Encoder:
     """Looks pieces up, and encodes those that are not there."""
 
     def __init__(self, table: pa.Table, path: str, pattern: str):
-        self.table, self.path, self.pattern, self.ready = table, path, pattern, False
+        self.table, self.path, self.pattern, self.rank = table.combine_chunks(), path, pattern, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"ready": False, "known": None, "rank": None}
-
-    def prepare(self) -> None:
-        if not self.ready:
-            ids = self.table["ids"].combine_chunks()
-            at, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
-            self.known = {p: flat[at[i] : at[i + 1]] for i, p in enumerate(self.table["piece"].to_pylist())}
-            self.rank = ranks(self.path)
-            self.ready = True
-
-    def ids(self, piece: str) -> np.ndarray:
-        found = self.known.get(piece)
-        return np.array(merged(piece.encode(), self.rank), dtype=np.int32) if found is None else found
+        return self.__dict__ | {"rank": None}
+
+    def lists(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another: where those of each start, how many they are, and all of them."""
+        self.rank = self.rank or ranks(self.path)
+        if self.table.num_rows:
+            known, ids = self.table["piece"].chunk(0), self.table["ids"].chunk(0)
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            found = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+            start, size = at[found].astype(np.int64), (at[found + 1] - at[found]).astype(np.int64)
+        else:
+            flat, found = np.zeros(0, np.int32), np.full(len(words), -1)
+            start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        rare = np.flatnonzero(found < 0)
+        own = [merged(x.encode(), self.rank) for x in words.take(pa.array(rare)).to_pylist()]
+        size[rare] = [len(x) for x in own]
+        start[rare] = len(flat) + np.cumsum(size[rare]) - size[rare]
+        return start, size, np.concatenate([flat, np.array([i for x in own for i in x], dtype=np.int32)])
 
     def encode(self, p: pa.ListArray) -> pa.ListArray:
         """The ids of each array of pieces."""
-        self.prepare()
         coded = p.flatten().dictionary_encode()
-        each = [self.ids(x) for x in coded.dictionary.to_pylist()]
-        size = np.array([len(x) for x in each], dtype=np.int64)
-        start = np.cumsum(size) - size
-        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+        start, size, flat = self.lists(coded.dictionary)
         code = coded.indices.to_numpy()
         n = size[code]
         run = np.cumsum(n)
@@ -198,8 +203,11 @@ def slices(p: pa.ListArray) -> Iterator[pa.ListArray]:
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str = public_tokenizers.PATTERN, most: int = MOST) -> DataFrame:
     """The kept columns and ids, an array that is empty for a text that is null or empty; repeated rows each get theirs.
 
-    path names a vocabulary of lines of base64 and rank. No special tokens are looked for.
+    path names a vocabulary of lines of base64 and rank. No special tokens are looked for. A text of any length is encoded
+    whole. No rows in, no rows out. keep must not name ids; other columns of docs, whatever their names, are not returned.
     """
+    if "ids" in keep:
+        raise ValueError("ids is the name of the result")
     path = path or public_tokenizers.path(VOCABULARY)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, pieces(t, pattern).alias("p"), t.alias("_t"))
@@ -216,7 +224,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             ids = pa.concat_arrays([shared.value.encode(x) for x in slices(p)] or [pa.array([], pa.list_(pa.int32()))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], ids], names=[*keep, "ids"])
 
-    return rows.mapInArrow(work, rows.select(*keep, F.array(F.lit(0)).alias("ids")).schema)
+    return rows.mapInArrow(lean(work), rows.select(*keep, F.array(F.lit(0)).alias("ids")).schema)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

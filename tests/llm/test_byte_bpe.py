@@ -59,5 +59,30 @@ def test_query(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_long_texts_and_slices(spark, monkeypatch):
+    t = library(PATH)
+    texts = ["word " * 200_000 + "end", "x" * 100_000, " ".join(f"w{i}" for i in range(60_000)), None, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(byte_bpe, "SLICE", 1000)
+    rows = byte_bpe.encode(docs).collect()
+    assert sorted((r["doc_id"], len(r["ids"])) for r in rows) == sorted((i, len(t.encode_ordinary(x or ""))) for i, x in enumerate(texts) for _ in range(2))
+    with pytest.raises(ValueError, match="ids"):
+        byte_bpe.encode(docs.withColumn("ids", docs.text), keep=("doc_id", "ids"))
+
+
+def test_folded_words(spark):
+    """The expression alone, over words of all lengths."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    t, rng = library(PATH), random.Random(3)
+    words = ["".join(rng.choice("abcdeinorst éß") for _ in range(n)).strip() or "x" for n in list(range(1, 48)) * 6]
+    words = [w for w in words if len(w.encode()) <= byte_bpe.LONG]
+    word = F.decode(F.col("w").cast("binary"), "ISO-8859-1")
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", byte_bpe.fold(word, byte_bpe.rank_map(PATH)).alias("ids")).collect()
+    assert all(list(r["ids"]) == t._encode_single_piece(r["w"].encode()) for r in rows)
+
+
 def test_empty(spark):
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -30,7 +30,7 @@ from .shared import checkpoint, lean, let, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The table of encoded pieces has so many rows at most.
-MOST = 1 << 19
+MOST = 1 << 18
 #: Bytes of a piece up to which merges are folded by higher-order functions, which take time with the square of it.
 LONG = 48
 #: The rank map is an array of so many small maps, since looking up in a map literal is linear.

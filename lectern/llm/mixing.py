@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import HOT, attach_groups, checkpoint, discard, read
+from .shared import attach_groups, checkpoint, discard, read
 
 DIMS = ("source", "lang", "topic")
 #: Exponents that draw the shares of each dimension together: 1 leaves them, 0 makes them equal.
@@ -22,6 +22,8 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 FRACTION = 0.5
 BYTES_A_TOKEN = 4
 SWEEPS, TOLERANCE = 40, 1e-6
+#: Categories of a dimension up to which their factors are joined to the cells by broadcast.
+FEW = 10_000
 SEED = 17
 
 
@@ -47,11 +49,6 @@ def table(spark: SparkSession, dim: str, of: dict[str, float], name: str) -> Dat
     return F.broadcast(one.select(F.col("k").alias(dim), F.col("v").alias(name)))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, n: str, many: int) -> DataFrame:
-    """groups, of which there are many, joined to rows by key, which is never null; n counts the rows of a group."""
-    return rows.join(F.broadcast(groups.drop(n)), key, "left") if many <= HOT else attach_groups(rows, groups, key, n).drop(n)
-
-
 def aim(cells: DataFrame, targets: dict[str, dict] | None, total: int) -> DataFrame:
     """cells with a weight to begin with, and each dimension's target share as want_source, want_lang and want_topic."""
     cells = cells.withColumn("weight", F.lit(1.0))
@@ -65,8 +62,8 @@ def aim(cells: DataFrame, targets: dict[str, dict] | None, total: int) -> DataFr
         else:
             share = F.sum("tokens") / (total or 1)
             own = checkpoint(cells.groupBy(d).agg(F.when(share > 0, F.pow(share, F.lit(TEMPER[d]))).otherwise(0.0).alias(want), F.count("*").alias("_n")))
-            many, heat = own.agg(F.count("*"), F.sum(want)).first()
-            cells = attach(cells, own.withColumn(want, F.col(want) / (heat or 1)), d, "_n", many)
+            heat = own.agg(F.sum(want)).first()[0]
+            cells = attach_groups(cells, own.withColumn(want, F.col(want) / (heat or 1)), d, "_n").drop("_n")
     return checkpoint(cells)
 
 
@@ -74,21 +71,23 @@ def rake(cells: DataFrame, total: int) -> DataFrame:
     """cells with new weights, so that the weighted tokens of each category have its target share.
 
     It ends when a whole sweep has moved no share by more than TOLERANCE, or after SWEEPS (targets that contradict
-    each other have no solution; the last dimension's marginals then hold).
+    each other have no solution; the last dimension's marginals then hold). A sweep is one job and one table where no
+    dimension has more than FEW categories, else one for each dimension.
     """
+    few = max(cells.agg(*[F.count_distinct(d) for d in DIMS]).first()) <= FEW
     for _ in range(SWEEPS):
-        worst = 0.0
+        new = cells.withColumn("_worst", F.lit(0.0))
         for d in DIMS:
-            mass = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_m"), F.max(f"want_{d}").alias("_want"), F.count("*").alias("_n"))
+            mass = new.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_m"), F.max(f"want_{d}").alias("_want"), F.count("*").alias("_n"))
             ratio = F.when(F.col("_m") > 0, F.col("_want") * total / F.col("_m")).otherwise(1.0)
             moved = F.when(F.col("_m") > 0, F.abs(F.col("_m") - F.col("_want") * total) / total).otherwise(0.0)
-            steps = checkpoint(mass.select(d, "_n", ratio.alias("_ratio"), moved.alias("_moved")))
-            many, most = steps.agg(F.count("*"), F.max("_moved")).first()
-            worst = max(worst, most)
-            new = checkpoint(attach(cells, steps.drop("_moved"), d, "_n", many).withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio"))
-            discard(steps)
-            discard(cells)
-            cells = new
+            steps = mass.select(d, "_n", ratio.alias("_ratio"), moved.alias("_moved"))
+            both = new.join(F.broadcast(steps), d, "left") if few else attach_groups(new, checkpoint(steps), d, "_n")
+            new = both.withColumns({"weight": F.col("weight") * F.col("_ratio"), "_worst": F.greatest("_worst", "_moved")}).drop("_ratio", "_moved", "_n")
+            new = new if few else checkpoint(new)
+        new = checkpoint(new)
+        discard(cells)
+        cells, worst = new.drop("_worst"), new.agg(F.max("_worst")).first()[0]
         if worst <= TOLERANCE:
             break
     return cells
@@ -119,7 +118,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float
     document's own as text, null where it has none. tokens defaults to a quarter of the
     text's bytes, rounded up; a null text has 0, and the weight of its cell like any other. kept follows from a hash of
     the key, the same in every run; repeated rows share their fate. A probability is 1 where the weight asks for more
-    copies than there are. No rows in, no rows out. Other columns of docs are neither read nor returned.
+    copies than there are. A text of any length is one row. No rows in, no rows out. Other columns of docs are neither read nor returned.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.ceil(F.octet_length(t) / BYTES_A_TOKEN) if tokens is None else tokens
@@ -132,7 +131,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float
         cells = rake(cells, total)
         scale = calibrate(cells, fraction * total)
     groups = cells.select(F.struct(*DIMS).alias("_cell"), "weight", "rows")
-    out = attach(rows.withColumn("_cell", F.struct(*DIMS)), groups, "_cell", "rows", groups.count())
+    out = attach_groups(rows.withColumn("_cell", F.struct(*DIMS)), groups, "_cell", "rows").drop("rows")
     luck = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) * F.lit(2.0**-53)
     out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
     return out.select(key, *[own_value(F.col(d)).alias(d) for d in DIMS], "tokens", "weight", "probability", (luck < F.col("probability")).alias("kept"))

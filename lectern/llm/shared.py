@@ -26,16 +26,21 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than GNU's
+        return
+
+
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """work for mapInArrow, whose Python worker, which Spark uses again, gives free memory back when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library than GNU's
-            return
+        trim()
 
     return run
 
@@ -73,6 +78,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     path = new_path(df.sparkSession)
     df.write.parquet(path)
+    trim()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

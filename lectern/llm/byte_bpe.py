@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, lean, let, read
+from .shared import checkpoint, lean, let, read, short_plans
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The table of encoded pieces has so many rows at most.
@@ -72,9 +72,12 @@ def fold(word: Column, table: Column) -> Column:
     """The ids of a word of at least one byte.
 
     The state has the parts of the word and the ranks of neighbours. A merge makes one part of two, whose ranks with the
-    parts around it are the only new ones.
+    parts around it are the only new ones. The table is named once, so that a plan holds one copy of it.
     """
+    return let(table, lambda t: folded(word, t))
 
+
+def folded(word: Column, table: Column) -> Column:
     def merge(parts: Column, r: Column, at: Column) -> Column:
         def joined(both: Column) -> Column:
             before = F.when(at > 1, rank_of(table, F.concat(F.get(parts, at - 2), both)))
@@ -145,7 +148,8 @@ def table_of(rows: DataFrame, path: str, most: int) -> pa.Table:
     words = checkpoint(rows.select(F.explode("p").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")))
     some = frequent(words, most).filter(F.octet_length("piece") <= LONG)
     word = F.decode(F.col("piece").cast("binary"), "ISO-8859-1")
-    return some.select("piece", fold(word, rank_map(path)).alias("ids")).toArrow()
+    with short_plans(rows.sparkSession):
+        return some.select("piece", fold(word, rank_map(path)).alias("ids")).toArrow()
 
 
 class Encoder:

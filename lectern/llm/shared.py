@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,18 @@ def folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Descriptions of plans, which the driver keeps, are cut for jobs that run inside: literal tables make them long."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def new_path(spark: SparkSession) -> str:
     """Where a new intermediate table may be written."""
     return f"{folder(spark)}/{uuid.uuid4().hex}"
@@ -77,7 +90,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     that of the files, not the product of all joins before. Tables stay until release() or the end of the folder.
     """
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    with short_plans(df.sparkSession):
+        df.write.parquet(path)
     trim()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,9 +1,10 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A document's own evidence has two sources. Words are hashed to buckets, and one aggregation over the labelled documents
+A document's own evidence has two sources. Words are hashed to buckets, and one aggregation over labelled documents
 counts in how many good and bad ones each bucket occurs; the mean log odds of a text's words is one measure, which leaves
 out what the text's own label has added. Others are counts of marks, lines and repetitions. A logistic model of these,
-fitted on all labelled documents by Newton steps whose sums are aggregated over the cluster, gives the evidence.
+fitted by Newton steps whose sums are aggregated over the cluster, gives the evidence. Both learn from MOST labelled
+documents, so that texts need no shuffle to meet their labels; all labels count in the rates of sites.
 
 Sites and paths of sites have rates of good documents: a label counts as itself, other documents by their evidence. Path
 rates are shrunk to their site's, site rates to that of all, each by as much as the spread between sites, or between the
@@ -26,14 +27,15 @@ STEPS = 8
 RIDGE = 1.0
 #: The concentration of a beta prior where groups do not differ at all: as good as their common mean alone.
 FIRM = 1e12
+#: Labelled documents that words and the logistic model are learnt from, by a hash of their keys; about, and no more.
+MOST = 200_000
 #: Buckets of hashed words, and what each is counted more in good and bad documents.
 BUCKETS, SMOOTHING = 1 << 15, 1.0
 THRESHOLD = 0.5
 
 
-def buckets(w: Column) -> Column:
-    """The distinct buckets of words."""
-    return F.array_distinct(F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(BUCKETS)).cast("int")))
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def word_counts(rows: DataFrame) -> tuple[list[list[float]], float, float]:
@@ -41,7 +43,7 @@ def word_counts(rows: DataFrame) -> tuple[list[list[float]], float, float]:
 
     What reaches the driver is one row a bucket at most.
     """
-    each = rows.select("y", F.explode(buckets(words(F.col("text")))).alias("b"))
+    each = rows.select("y", F.explode(F.array_distinct(F.transform(words(F.col("text")), bucket))).alias("b"))
     out = [[0.0, 0.0] for _ in range(BUCKETS)]
     for r in each.groupBy("b").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).collect():
         out[r["b"]] = [r["good"], r["bad"]]
@@ -60,27 +62,28 @@ def measures(text: Column, y: Column, known: tuple[list[list[float]], float, flo
         n = F.get(counts, b)
         return F.log(F.greatest(F.get(n, F.lit(0)) - y + SMOOTHING, F.lit(SMOOTHING)) / F.greatest(F.lit(good) - y + 2 * SMOOTHING, F.lit(SMOOTHING))) - F.log(F.greatest(F.get(n, F.lit(1)) - (1 - y) + SMOOTHING, F.lit(SMOOTHING)) / F.greatest(F.lit(bad) - (1 - y) + 2 * SMOOTHING, F.lit(SMOOTHING)))
 
-    def mean(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(values), F.lit(1))
+    def mean(of: Column, value) -> Column:
+        return F.aggregate(of, F.lit(0.0), lambda a, x: a + value(bucket(x))) / F.greatest(F.size(of), F.lit(1))
+
+    def both(w: Column, kinds: Column) -> Column:
+        return marks_of(w, F.size(kinds)) if not good or not bad else F.concat(marks_of(w, F.size(kinds)), evidence(kinds))
 
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
 
-    def of(w: Column) -> Column:
+    def marks_of(w: Column, n_kinds: Column) -> Column:
         k = F.greatest(F.size(w), F.lit(1))
-        kinds = F.size(F.array_distinct(w)) / k
+        kinds = n_kinds / k
         chars = F.length(F.array_join(w, "")) / k
         part = lambda pattern, most: F.least(F.lit(1.0), F.regexp_count(t, F.lit(pattern)) / k * most)
-        marks = F.array(F.lit(1.0), kinds, kinds * kinds, F.least(F.lit(1.0), chars / 12), part("[#*$%&<>]", 1.0), part("[|]", 2.0), part("!!", 1.0), F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\p{Lu}{2}")) / n * 4), part("[0-9]{2}", 2.0), part(r"[.](?:\s|$)", 4.0), F.log1p(k) / 10)
-        return F.concat(marks, evidence(w))
+        none = [] if good and bad else [F.lit(0.0), F.lit(0.0)]
+        return F.array(F.lit(1.0), kinds, kinds * kinds, F.least(F.lit(1.0), chars / 12), part("[#*$%&<>]", 1.0), part("[|]", 2.0), part("!!", 1.0), F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\p{Lu}{2}")) / n * 4), part("[0-9]{2}", 2.0), part(r"[.](?:\s|$)", 4.0), F.log1p(k) / 10, *none)
 
-    def evidence(w: Column) -> Column:
-        if not good or not bad:
-            return F.array(F.lit(0.0), F.lit(0.0))
-        m = let(buckets(w), lambda b: F.when(y.isNull(), mean(F.transform(b, lambda i: F.get(weights, i)))).otherwise(mean(F.transform(b, left_out))))
+    def evidence(kinds: Column) -> Column:
+        m = F.when(y.isNull(), mean(kinds, lambda b: F.get(weights, b))).otherwise(mean(kinds, left_out))
         return let(m, lambda x: F.array(x, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x * 4))))
 
-    return let(words(text), of).cast("array<double>")
+    return let(words(text), lambda w: let(F.array_distinct(w), lambda kinds: both(w, kinds))).cast("array<double>")
 
 
 def fit(rows: DataFrame, size: int) -> list[float]:
@@ -131,13 +134,17 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", host: str =
     """
     part = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     given = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    rows = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), part.alias("part"), F.col(text).alias("text")).join(given, "id", "left")
-    known = word_counts(rows.filter("y is not null"))
-    rows = checkpoint(rows.select("id", "host", "part", "y", measures(F.col("text"), F.col("y"), known).alias("x")))
+    given = checkpoint(given)
+    n = given.count()
+    some = given if n <= MOST else given.filter(F.pmod(F.xxhash64("id"), F.lit(10**6)) < int(0.98 * 10**6 * MOST / n))
+    texts = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), part.alias("part"), F.col(text).alias("text"))
+    texts = texts.join(F.broadcast(some.withColumnRenamed("y", "own")), "id", "left")
+    known = word_counts(texts.filter("own is not null").withColumnRenamed("own", "y"))
+    rows = checkpoint(texts.select("id", "host", "part", "own", measures(F.col("text"), F.col("own"), known).alias("x")))
     size = 13
-    weights = fit(rows.filter("y is not null"), size)
+    weights = fit(rows.filter("own is not null").withColumnRenamed("own", "y"), size)
     z = sum((F.get("x", F.lit(i)) * F.lit(v) for i, v in enumerate(weights)), F.lit(0.0))
-    rows = rows.select("id", "host", F.concat_ws("\u0001", "host", "part").alias("path"), (1 / (1 + F.exp(-z))).alias("evidence"), "y")
+    rows = rows.select("id", "host", F.concat_ws("\u0001", "host", "part").alias("path"), (1 / (1 + F.exp(-z))).alias("evidence")).join(given, "id", "left")
     rows = rows.withColumn("path", F.when(F.col("host").isNotNull(), F.col("path")))
     paths = checkpoint(rows.filter("host is not null").groupBy("path").agg(F.first("host").alias("host"), F.count("*").alias("n"), F.sum(F.coalesce("y", "evidence")).alias("good")))
     hosts = checkpoint(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, lean, let, read, short_plans
+from .shared import bound_batches, checkpoint, lean, let, read, short_plans
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The table of encoded pieces has so many rows at most.
@@ -36,7 +36,7 @@ LONG = 48
 #: The rank map is an array of so many small maps, since looking up in a map literal is linear.
 SHELVES = 1 << 13
 #: Pieces that a task works on at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 NONE = 2**31 - 1
 
 
@@ -212,6 +212,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     """
     if "ids" in keep:
         raise ValueError("ids is the name of the result")
+    bound_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, pieces(t, pattern).alias("p"), t.alias("_t"))

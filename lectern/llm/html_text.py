@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lean, read
+from .shared import bound_batches, lean, read
 
 MARK = re.compile(r"<(?:(?P<note>!--)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)|[!?/])")
 STOP = re.compile(r"[>\"']")
@@ -314,6 +314,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     A null or empty page has an empty text; a page of any length is read whole. Other columns of pages, whatever their
     names, are neither read nor returned; keep must not name text or n_chars.
     """
+    bound_batches(pages.sparkSession)
     names = [*keep, "text", "n_chars"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, lean, read
+from .shared import bound_batches, checkpoint, lean, read
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -146,6 +146,7 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts over all rows of docs that have a language. What reaches the driver are the numbers of texts by language and
     at most CELLS counts."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null")
     counts = checkpoint(rows.mapInArrow(lean(count_grams), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     size = {r["lang"]: r["n"] for r in counts.filter("bucket < 0").collect()}
@@ -172,6 +173,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     """
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"docs has columns {sorted(clash)}; give other names")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns, place = [*docs.columns, *names], docs.columns.index(text)
 

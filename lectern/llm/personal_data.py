@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lean, read
+from .shared import bound_batches, lean, read
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret")
 STRICT = 4
@@ -226,6 +226,7 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Counts the candidates of all rows by pattern."""
+    bound_batches(docs.sparkSession)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -249,6 +250,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Model
     A text that is null, empty or without personal data has an empty array; a text of any length is searched whole, and
     repeated rows each get theirs. No rows in, no rows out. The model is fitted on docs unless given. Other columns of docs are neither read nor returned.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 

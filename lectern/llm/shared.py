@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: A group is hot when it holds at least one row in this many; there are never more hot groups than this.
 HOT = 1000
+#: Rows and bytes of an Arrow batch.
+BATCH, BATCH_BYTES = 2000, 8 << 20
+
 #: Groups up to which all are joined by broadcast.
 FEW = 100_000
 
@@ -66,6 +69,20 @@ def folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have BATCH rows and BATCH_BYTES at most from now on, unless they are smaller already.
+
+    A DataFrame that goes through Python is executed later, by its caller, and Spark then reads these settings. With
+    Spark's own, two tasks of long texts take some hundred MB outside the heap.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    rows, most = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH:
+        spark.conf.set(rows, str(BATCH))
+    if not 0 < size(spark.conf.get(most)) <= BATCH_BYTES:
+        spark.conf.set(most, str(BATCH_BYTES))
+
+
 @contextmanager
 def short_plans(spark: SparkSession) -> Iterator[None]:
     """Descriptions of plans, which the driver keeps, are cut for jobs that run inside: literal tables make them long."""

@@ -85,7 +85,7 @@ def clean_body(text: Column) -> Column:
     """Lines without list marks, headings, fences, placeholders or repetitions."""
     bare = F.replace(F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), r"(?m)^```[^\n]*$", ""), F.lit("【表格】"), F.lit(""))
     body = F.filter(lines(bare), lambda x: ~x.rlike(r"^\s*#{1,6}\s+"))
-    parts = F.transform(body, lambda x: F.btrim(squeezed(F.regexp_replace(x, r"^\s*(?:[-+*>]|\d+[.)])\s*", "")), F.lit(" |\t")))
+    parts = F.transform(body, lambda x: F.btrim(squeezed(F.regexp_replace(x, r"^\s*(?:[-+*>]|\d+[.)]|#{1,6})\s*", "")), F.lit(" |\t")))
 
     def once(p: Column) -> Column:
         keys = F.transform(p, packed)

@@ -62,31 +62,22 @@ def heading_kind(line: Column) -> Column:
 
 
 def split_message(text: str, most: int) -> list[str]:
-    """Parts of a message within so many bytes: whole paragraphs while they fit, longer ones cut between characters."""
-    parts: list[str] = []
-    room, current = 0, []
-
-    def flush() -> None:
-        if current:
-            parts.append("\n\n".join(current))
-            current.clear()
-
+    """Parts of a message within so many bytes, at least four: paragraphs together while they fit, without white space at
+    the ends of what is together; longer ones are cut between characters, and their rest takes in what follows."""
+    if most < 4:
+        raise ValueError("a character may take four bytes")
+    parts, current = [], ""
     for paragraph in text.split("\n\n"):
-        size = len(paragraph.encode())
-        if current and room + 2 + size <= most:
-            current.append(paragraph)
-            room += 2 + size
+        both = f"{current}\n\n{paragraph}".strip()
+        if len(both.encode()) <= most:
+            current = both
             continue
-        flush()
-        while size > most:
-            cut = paragraph.encode()[:most].decode("utf-8", "ignore")
-            parts.append(cut)
-            paragraph = paragraph[len(cut) :]
-            size = len(paragraph.encode())
-        if paragraph:
-            current.append(paragraph)
-            room = size
-    flush()
+        parts += [current] if current else []
+        current = paragraph
+        while len(current.encode()) > most:
+            parts.append(current.encode()[:most].decode("utf-8", "ignore"))
+            current = current[len(parts[-1]) :]
+    parts += [current] if current else []
     return [f"（{i}/{len(parts)}）\n{p}" for i, p in enumerate(parts, 1)] if len(parts) > 1 else parts
 
 

@@ -1,7 +1,8 @@
 """Similar articles: exact TF-IDF over character n-grams, set similarities, weights and ranks.
 
-Grams are counted by document before any shuffle. Document frequencies are one aggregation; scores are an equi-join on
-grams of the queries' rows with all rows, summed by pair, so that no pair without a common gram is made.
+A document's grams are counted in its own row, so that only distinct ones leave it. Document frequencies are one
+aggregation; scores are an equi-join on grams of the queries' rows with all rows, summed by pair, so that no pair without a
+common gram is made.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.text import chars, let, normal, windows
 
 SIZES = (2, 3, 4)
-#: Shares of the seven parts of a score.
+# Shares of the seven parts of a score, the threshold and how many are selected.
 WEIGHTS = {"text": 0.60, "title": 0.10, "topics": 0.10, "entities": 0.05, "parameters": 0.05, "methods": 0.05, "scenarios": 0.05}
 THRESHOLD, TOP = 0.35, 5
 
@@ -26,9 +27,19 @@ def grams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
     return let(chars(text), lambda c: F.concat(*[windows(c, n) for n in sizes]))
 
 
+def tallied(values: Column) -> Column:
+    """Distinct values of an array with their counts, by one sort of it: structs of gram and c."""
+
+    def runs(v: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(v, i).alias("gram"), (F.coalesce(F.get(f, k + 1), F.size(v)) - i).cast("long").alias("c"))))
+
+    return F.when(F.size(values) > 0, let(F.sort_array(values), runs))
+
+
 def term_counts(articles: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows key, gram, c of the normal form of a text."""
-    return articles.select(key, F.explode(let(normal(F.col(text)), lambda s: grams(s))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+    """Rows key, gram, c of the normal form of a text, counted within its row; keys should be unique."""
+    return articles.select(key, F.inline(tallied(let(normal(F.col(text)), lambda s: grams(s)))))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -61,7 +72,8 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rounded(score: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6)
+    """Between 0 and 1, to six places; halves go to the even digit."""
+    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6)
 
 
 def final_score(parts: dict[str, Column]) -> Column:

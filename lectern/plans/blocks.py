@@ -73,7 +73,7 @@ def greedy_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rect_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = items(spark, sf_dir).withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 20})
-    out = V.boxes_grouped(boxes, "doc", [F.col("id")], 8.0)
+    out = V.boxes_grouped(boxes, "doc", [F.col("id")], 12.0, page=(140.0, 140.0))
     return out.select("doc", F.explode("groups").alias("g")).select("doc", "g.*")
 
 

@@ -68,11 +68,13 @@ QUERIES: dict[str, str] = {
     "verdict_normalise": f"{VERDICTS} SELECT doc, outcome, decision, similarity, candidate_count, blocking_count, major_count, minor_count, {NEXT} AS next_action, CASE WHEN outcome = 'pass' THEN 'kept' ELSE '' END AS pass_reason FROM verdicts",
     "next_action": f"{VERDICTS} SELECT {NEXT} AS next_action, outcome, decision, count(*) AS n FROM verdicts GROUP BY 1, 2, 3",
     "outcome_status_map": f"{VERDICTS} SELECT doc, CASE outcome WHEN 'pass' THEN 'AI通过待确认' WHEN 'need_revision' THEN '需修改' WHEN 'reject' THEN '已拒稿' ELSE '待分配人工审稿' END AS table_status FROM verdicts",
-    "handoff_target": f"{VERDICTS} SELECT doc, CASE WHEN outcome IN ('recommend_human_review', 'incomplete_review') OR outcome = 'need_revision' AND round_no >= 5 THEN '待分配人工审稿' WHEN outcome = 'pass' THEN 'AI通过待确认' WHEN outcome = 'reject' THEN '已拒稿' ELSE '需修改' END AS target, round_no + 1 AS next_round FROM verdicts",
+    "handoff_target": f"{VERDICTS} SELECT doc, CASE WHEN outcome IN ('recommend_human_review', 'incomplete_review') OR outcome = 'need_revision' AND round_no + 1 >= 3 THEN '待分配人工审稿' WHEN outcome = 'pass' THEN 'AI通过待确认' WHEN outcome = 'reject' THEN '已拒稿' ELSE '需修改' END AS target, round_no + 1 AS next_round FROM verdicts",
     "verdict_violations": f"""WITH {ISSUES}, {RULED}, {COUNTS}, {ASKED},
-      c AS (SELECT asked.*, coalesce(blocking_count, 0) AS b, coalesce(major_count, 0) AS m, coalesce(minor_count, 0) AS mi, coalesce(direct_reject, false) AS dr, doc % 8 AS claimed FROM asked LEFT JOIN counts USING (doc))
-      SELECT doc, claimed <> b + m + mi AS counts_differ, requested = 'need_revision' AND b + m = 0 AS revision_without_cause, requested = 'pass' AND b + m > 0 AS pass_with_cause, requested = 'reject' AND NOT dr AS reject_without_cause,
-        requested IN ('pass', 'reject') AND (NOT visual_complete OR truncated OR missing_sources > 0) AS coverage_forbids, raw_similarity IN ('merge_recommended', 'duplicate_reject_recommended') AND raw_candidates = 0 AS merge_without_candidate FROM c""",
+      c AS (SELECT asked.*, coalesce(blocking_count, 0) AS b, coalesce(major_count, 0) AS m, coalesce(minor_count, 0) AS mi, coalesce(direct_reject, false) AS dr, doc % 2 AS claimed_b, doc % 3 AS claimed_m, doc % 4 AS claimed_mi,
+        CASE doc % 3 WHEN 0 THEN 'merge_required' WHEN 1 THEN 'keep_independent' ELSE 'reject_independent_submission' END AS decision FROM asked LEFT JOIN counts USING (doc))
+      SELECT doc, claimed_b <> b OR claimed_m <> m OR claimed_mi <> mi AS counts_differ, requested = 'need_revision' AND b + m = 0 AS revision_without_cause, requested = 'pass' AND b + m > 0 AS pass_with_cause, requested = 'reject' AND NOT dr AS reject_without_cause,
+        requested IN ('pass', 'reject') AND (NOT visual_complete OR truncated OR missing_sources > 0) AS coverage_forbids,
+        decision <> CASE raw_similarity WHEN 'merge_recommended' THEN 'merge_required' WHEN 'duplicate_reject_recommended' THEN 'reject_independent_submission' ELSE 'keep_independent' END AS status_decision_differ, decision <> 'keep_independent' AND raw_candidates = 0 AS merge_without_candidate FROM c""",
     "resolution_coverage": f"""WITH {ISSUES}, {RULED}, wanted AS (SELECT doc, part_id FROM ruled WHERE level IN ('blocking', 'major') GROUP BY doc, part_id),
       given AS (SELECT l_orderkey AS doc, l_partkey AS part_id, count(*) AS n FROM {{lineitem}} WHERE l_quantity < 16 GROUP BY 1, 2)
       SELECT doc, count(*) FILTER (WHERE g.part_id IS NULL) AS missing, count(*) FILTER (WHERE w.part_id IS NULL) AS extra, count(*) FILTER (WHERE n > 1) AS repeated,
@@ -96,16 +98,17 @@ QUERIES: dict[str, str] = {
       last_row AS (SELECT sheet, max(row_no) AS last_no FROM r WHERE cell <> '' GROUP BY sheet) SELECT r.sheet, r.row_no, r.cell FROM r JOIN last_row l ON r.sheet = l.sheet AND r.row_no <= l.last_no""",
     "sort_needed": """WITH s AS (SELECT o_custkey AS grp, o_orderkey AS pos, coalesce(nullif(o_orderpriority, '4-NOT SPECIFIED'), '9999') AS k FROM {orders}),
       p AS (SELECT grp, k, lag(k) OVER (PARTITION BY grp ORDER BY pos) AS before_k FROM s) SELECT grp, coalesce(bool_or(k < before_k), false) AS sort_needed FROM p GROUP BY grp""",
-    "cascaded_key_match": """WITH d AS (SELECT c_custkey AS doc, 'n' || cast(c_custkey AS string) AS node, 'o' || cast(c_nationkey AS string) AS obj, c_mktsegment AS link FROM {customer}),
-      r AS (SELECT s_suppkey AS rec, 'n' || cast(s_suppkey * 3 AS string) AS node, 'o' || cast(s_suppkey + 5 AS string) AS obj, s_name AS link FROM {supplier}),
-      m AS (SELECT doc, rec, 1 AS level FROM d JOIN r ON d.node = r.node UNION ALL SELECT doc, rec, 2 FROM d JOIN r ON d.obj = r.obj UNION ALL SELECT doc, rec, 3 FROM d JOIN r ON d.link = r.link),
+    "cascaded_key_match": """WITH d AS (SELECT c_custkey AS doc, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'n' || cast(c_custkey AS string) END AS node, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'o' || cast(c_custkey % 300 AS string) END AS obj, c_mktsegment AS link, 'T ' || cast(c_custkey % 40 AS string) AS title, '@a' || cast(c_nationkey % 5 AS string) AS author, cast(c_nationkey % 3 AS string) AS wiki FROM {customer}),
+      r AS (SELECT s_suppkey AS rec, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'n' || cast(s_suppkey * 3 AS string) END AS node, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'o' || cast(s_suppkey + 5 AS string) END AS obj, s_name AS link, 't' || cast(s_suppkey % 40 AS string) AS title, 'a' || cast(s_nationkey % 5 AS string) AS author, cast(s_nationkey % 3 AS string) AS wiki FROM {supplier}),
+      m AS (SELECT doc, rec, 1 AS level FROM d JOIN r ON d.node = r.node WHERE d.node <> '' UNION ALL SELECT doc, rec, 2 FROM d JOIN r ON d.obj = r.obj WHERE d.obj <> '' UNION ALL SELECT doc, rec, 3 FROM d JOIN r ON d.link = r.link WHERE d.link <> ''
+        UNION ALL SELECT doc, rec, 4 FROM d JOIN r ON lower(replace(d.title, ' ', '')) = lower(replace(r.title, ' ', '')) AND trim(LEADING '@' FROM d.author) = trim(LEADING '@' FROM r.author) AND d.wiki = r.wiki),
       f AS (SELECT doc, min(level) AS level FROM m GROUP BY doc)
       SELECT d.doc, f.level, min(m.rec) AS rec, count(m.rec) AS found, count(m.rec) > 1 AS ambiguous FROM d LEFT JOIN f ON d.doc = f.doc LEFT JOIN m ON m.doc = f.doc AND m.level = f.level GROUP BY d.doc, f.level""",
     "enabled_parent_semi_join": """SELECT o_orderkey AS job, o_custkey AS parent FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY'))""",
     "missing_from_scan_anti_join": f"""WITH {SHEET} SELECT row_id, status FROM sheet s WHERE published = '' AND status NOT IN ('已拒稿', '已移出待审核')
       AND NOT EXISTS (SELECT 1 FROM {{lineitem}} l WHERE l.l_orderkey = s.row_id AND l.l_linestatus = 'O')""",
     "fully_scanned_groups": """SELECT n_regionkey AS wiki, bool_and(c_acctbal > -900) AS scanned, count(*) AS directories FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_regionkey""",
-    "sync_merge_plan": f"""WITH {SHEET}, docs AS (SELECT c_custkey AS author, c_name AS title FROM {{customer}} WHERE c_custkey % 3 <> 0), recs AS (SELECT author, max(row_id) AS row_id, max(status) AS status FROM sheet GROUP BY author)
+    "sync_merge_plan": f"""WITH {SHEET}, docs AS (SELECT c_custkey AS author, c_name AS title FROM {{customer}} WHERE c_custkey % 3 <> 0), recs AS (SELECT author, max(row_id) AS row_id, max_by(status, row_id) AS status FROM sheet GROUP BY author)
       SELECT coalesce(d.author, r.author) AS author, CASE WHEN r.author IS NULL THEN 'insert' WHEN d.author IS NULL THEN 'missing' WHEN r.status IN ('已拒稿', '已移出待审核') THEN 'keep' ELSE 'update' END AS action, r.row_id FROM docs d FULL OUTER JOIN recs r ON d.author = r.author""",
     "cell_diff": """WITH old_new AS (SELECT o_orderkey AS row_id, o_orderstatus AS status_old, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS status_new, o_orderpriority AS prio_old, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS prio_new FROM {orders}),
       cells AS (SELECT row_id, 'H' AS col, status_old AS o, status_new AS n FROM old_new UNION ALL SELECT row_id, 'J', prio_old, prio_new FROM old_new)
@@ -115,7 +118,7 @@ QUERIES: dict[str, str] = {
     "rekey_identity": """WITH alias AS (SELECT c_custkey AS old_node, min(c_custkey + 1000000) AS new_node FROM {customer} WHERE c_custkey % 7 = 0 GROUP BY 1) SELECT o_orderkey AS id, coalesce(new_node, o_custkey) AS node FROM {orders} LEFT JOIN alias ON o_custkey = old_node""",
     "json_map_union": "SELECT k AS node, count(*) AS n, bool_or(known) AS known FROM (SELECT o_custkey AS k, true AS known FROM {orders} UNION ALL SELECT user_id, false FROM {events}) t GROUP BY k",
     # Index.
-    "index_scan_excluding_self": "SELECT a.doc_id AS query_id, count(b.doc_id) AS visible FROM {labels} a JOIN {labels} b ON a.toxic = b.toxic AND b.quality = 1 AND a.doc_id <> b.doc_id GROUP BY a.doc_id",
+    "index_scan_excluding_self": "SELECT a.doc_id AS query_id, v.n - CASE WHEN a.quality = 1 THEN 1 ELSE 0 END AS visible FROM {labels} a JOIN (SELECT toxic, count(*) AS n FROM {labels} WHERE quality = 1 GROUP BY toxic) v ON v.toxic = a.toxic WHERE v.n - CASE WHEN a.quality = 1 THEN 1 ELSE 0 END > 0",
     "index_info": "SELECT lang AS summary_source, count(*) AS n FROM {documents} GROUP BY lang ORDER BY lang",
     "index_upsert_latest": "SELECT doc, result, score, seq FROM (SELECT user_id AS doc, event_type AS result, value AS score, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM {events}) t WHERE rn = 1",
     "index_insert_first": "SELECT doc, result, seq FROM (SELECT user_id AS doc, event_type AS result, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) t WHERE rn = 1",
@@ -143,15 +146,18 @@ QUERIES: dict[str, str] = {
     "last_failed_node": "SELECT user_id AS run, max_by(event_type, event_id) FILTER (WHERE value > 80) AS node, max(event_id) FILTER (WHERE value > 80) AS seq FROM {events} GROUP BY user_id",
     "job_state_replay": f"WITH {JOURNAL} SELECT rkey AS job, max_by(kind, seq) AS state, count(*) AS steps, max(seq) AS seq FROM journal GROUP BY rkey",
     "control_default": "SELECT c_custkey AS node, coalesce(s.cycle_no, 0) AS cycle_no, coalesce(s.handoff, false) AS handoff FROM {customer} LEFT JOIN (SELECT user_id, max(event_id % 3) AS cycle_no, bool_or(value > 95) AS handoff FROM {events} GROUP BY user_id) s ON c_custkey = s.user_id",
-    "stale_job_reason": """WITH j AS (SELECT o_orderkey AS job, o_orderstatus AS version, o_custkey AS node FROM {orders}), cur AS (SELECT l_orderkey AS job, max(l_linestatus) AS version, count(*) AS n FROM {lineitem} GROUP BY l_orderkey)
-      SELECT j.job, CASE WHEN cur.job IS NULL THEN 'record_missing' WHEN c.c_custkey IS NULL THEN 'node_missing' WHEN c.c_acctbal < 0 THEN 'parent_disabled' WHEN cur.n > 6 THEN 'round_changed' WHEN cur.version <> j.version THEN 'version_changed' END AS reason
-      FROM j LEFT JOIN cur ON j.job = cur.job LEFT JOIN {customer} c ON c.c_custkey = j.node""",
+    "stale_job_reason": """WITH j AS (SELECT o_orderkey AS job, o_custkey AS node, o_orderstatus AS version, o_orderkey % 4 = 0 AS committed, o_orderkey % 3 AS round_no, o_orderkey % 2 AS cycle_no FROM {orders}),
+      r AS (SELECT l_orderkey AS job, count(*) AS n, max(l_linestatus) AS version, max(l_linenumber) % 3 AS round_no, bool_or(l_returnflag = 'N' AND l_linenumber = 1) AS published FROM {lineitem} GROUP BY l_orderkey)
+      SELECT j.job, CASE WHEN r.job IS NULL OR r.n > 6 THEN 'row_missing_or_duplicate' WHEN c.c_custkey IS NULL OR c.c_nationkey % 9 = 0 THEN 'document_identity_changed_or_not_docx' WHEN c.c_acctbal < 0 THEN 'document_version_changed'
+        WHEN c.c_mktsegment = 'FURNITURE' THEN 'document_not_in_enabled_pending_directory' WHEN r.version <> j.version OR r.published THEN 'sheet_version_or_method_changed' WHEN j.committed AND r.round_no <> j.round_no + 1 THEN 'sheet_result_changed'
+        WHEN NOT j.committed AND r.round_no <> j.round_no THEN 'sheet_review_state_changed' WHEN c.c_custkey % 2 <> j.cycle_no THEN 'review_cycle_changed' END AS reason
+      FROM j LEFT JOIN r ON j.job = r.job LEFT JOIN {customer} c ON c.c_custkey = j.node""",
     # Outbox.
     "all_parts_sent": f"WITH {OUTBOX} SELECT event_key, bool_and(state = 'sent') AS notified, count(*) AS parts FROM outbox GROUP BY event_key",
     "delivery_gate": f"""WITH {OUTBOX} SELECT event_key, part_no, id, CASE WHEN state IN ('sent', 'uncertain') THEN 'never' WHEN state = 'sending' THEN 'mark_uncertain' WHEN o_orderkey IS NULL THEN 'cancel' WHEN o_orderstatus = 'P' THEN 'wait' ELSE 'send' END AS action
       FROM outbox LEFT JOIN {{orders}} ON event_key = o_orderkey""",
     "ordered_delivery_gate": f"""WITH {OUTBOX}, n AS (SELECT *, row_number() OVER (PARTITION BY event_key, role ORDER BY part_no, id, state) AS k FROM outbox)
-      SELECT event_key, role, part_no, id, state, k, coalesce(max(CASE WHEN state IN ('failed', 'uncertain', 'sending') THEN 1 ELSE 0 END) OVER (PARTITION BY event_key, role ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS gated FROM n""",
+      SELECT event_key, role, part_no, id, state, k, coalesce(max(CASE WHEN state IN ('uncertain', 'sending') THEN 1 ELSE 0 END) OVER (PARTITION BY event_key, role ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS gated FROM n""",
     "part_numbering": f"WITH {OUTBOX} SELECT event_key, role, id, part_no, row_number() OVER (PARTITION BY event_key, role ORDER BY part_no, id) AS part, count(*) OVER (PARTITION BY event_key, role) AS parts FROM outbox",
     "fixed_batches": f"WITH {OUTBOX} SELECT event_key, id, part_no, CAST(floor((row_number() OVER (PARTITION BY event_key ORDER BY part_no, id) - 1) / 8) AS bigint) AS batch FROM outbox",
     "guard_then_limit": f"WITH {OUTBOX} SELECT event_key, id FROM (SELECT event_key, id, row_number() OVER (PARTITION BY event_key ORDER BY part_no, id) AS rn FROM outbox WHERE state = 'pending') t WHERE rn <= 2",
@@ -162,8 +168,8 @@ QUERIES: dict[str, str] = {
     # Visual evidence.
     "page_text_source": """SELECT page_id, CASE WHEN n >= 20 THEN 'native' WHEN image_share >= 40 THEN 'scanned' ELSE 'empty' END AS text_source FROM (SELECT l_orderkey * 10 + l_linenumber AS page_id, l_quantity AS n, l_discount * 1000 AS image_share FROM {lineitem}) t""",
     "page_rollup": "SELECT l_orderkey AS doc, count(*) AS pages, count(*) FILTER (WHERE l_quantity >= 20) AS native_pages, count(*) FILTER (WHERE l_quantity < 20 AND l_discount >= 0.05) AS scanned_pages, coalesce(bool_or(l_quantity < 20 AND l_discount < 0.05), false) AS has_empty FROM {lineitem} GROUP BY l_orderkey",
-    "repeated_margin_lines": """WITH lines AS (SELECT l_suppkey AS doc, l_orderkey AS page, l_partkey % 40 AS txt, l_quantity * 20 AS y0, l_quantity * 20 + 10 AS y1 FROM {lineitem}), top AS (SELECT doc, page, greatest(842.0, max(y1)) AS h FROM lines GROUP BY doc, page), n AS (SELECT doc, count(*) AS pages FROM top GROUP BY doc),
-      c AS (SELECT doc, txt, count(DISTINCT page) AS hits FROM lines JOIN top USING (doc, page) WHERE y0 <= h * 0.08 OR y1 >= h * 0.92 GROUP BY doc, txt) SELECT c.doc, c.txt, c.hits FROM c JOIN n ON c.doc = n.doc WHERE c.hits >= greatest(2, ceil(n.pages / 20.0))""",
+    "repeated_margin_lines": """WITH lines AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_returnflag AS txt, l_quantity * 16 AS y0, l_quantity * 16 + 10 AS y1 FROM {lineitem}), top AS (SELECT doc, page, greatest(842.0, max(y1)) AS h FROM lines GROUP BY doc, page), n AS (SELECT doc, count(*) AS pages FROM top GROUP BY doc),
+      c AS (SELECT doc, txt, count(DISTINCT page) AS hits FROM lines JOIN top USING (doc, page) WHERE y0 <= h * 0.08 OR y1 >= h * 0.92 GROUP BY doc, txt) SELECT c.doc, c.txt, c.hits FROM c JOIN n ON c.doc = n.doc WHERE c.hits >= greatest(2, ceil(n.pages / 2.0))""",
     "bbox_overlap_join": """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS id, l_partkey % 100 AS x0, l_suppkey % 100 AS y0, l_partkey % 100 + l_quantity AS x1, l_suppkey % 100 + l_quantity AS y1 FROM {lineitem}),
       o AS (SELECT a.page, a.id AS a_id, c.id AS b_id, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS inter, least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) AS small FROM b a JOIN b c ON a.page = c.page AND a.id < c.id)
       SELECT page, a_id, b_id, round(inter / small, 6) AS ratio, count(*) AS n FROM o WHERE inter > 0 GROUP BY 1, 2, 3, 4""",
@@ -180,3 +186,21 @@ QUERIES: dict[str, str] = {
     "block_tree_unreachable": """WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey + 5 ELSE CAST(floor(p_partkey / 3) AS bigint) END AS parent FROM {part}), r AS (SELECT id, 1 AS depth FROM t WHERE parent = 0 UNION ALL SELECT t.id, r.depth + 1 FROM t JOIN r ON t.parent = r.id WHERE r.depth < 64)
       SELECT id, parent FROM t WHERE id NOT IN (SELECT id FROM r)""",
 }
+
+#: Other formulations of queries, for the other engine alone.
+ORACLES: dict[str, str] = {
+    "index_scan_excluding_self": "SELECT a.doc_id AS query_id, count(b.doc_id) AS visible FROM {labels} a JOIN {labels} b ON a.toxic = b.toxic AND b.quality = 1 AND a.doc_id <> b.doc_id GROUP BY a.doc_id",
+    "handoff_target": f"""{VERDICTS} SELECT doc, CASE outcome WHEN 'pass' THEN 'AI通过待确认' WHEN 'reject' THEN '已拒稿' WHEN 'need_revision' THEN CASE WHEN round_no IN (0, 1) THEN '需修改' ELSE '待分配人工审稿' END ELSE '待分配人工审稿' END AS target, round_no + 1 AS next_round FROM verdicts""",
+    "ordered_delivery_gate": f"""WITH {OUTBOX}, n AS (SELECT *, row_number() OVER (PARTITION BY event_key, role ORDER BY part_no, id, state) AS k FROM outbox),
+      f AS (SELECT event_key, role, min(k) AS first_stop FROM n WHERE state IN ('uncertain', 'sending') GROUP BY ALL) SELECT n.event_key, n.role, part_no, id, state, k, k > coalesce(first_stop, k) AS gated FROM n LEFT JOIN f ON f.event_key = n.event_key AND f.role = n.role""",
+    "sync_merge_plan": f"""WITH {SHEET}, docs AS (SELECT c_custkey AS author FROM {{customer}} WHERE c_custkey % 3 <> 0), recs AS (SELECT author, row_id, status FROM sheet QUALIFY row_number() OVER (PARTITION BY author ORDER BY row_id DESC) = 1),
+      a AS (SELECT author FROM docs UNION SELECT author FROM recs) SELECT a.author, CASE WHEN a.author NOT IN (SELECT author FROM recs) THEN 'insert' WHEN a.author NOT IN (SELECT author FROM docs) THEN 'missing' WHEN status IN ('已拒稿', '已移出待审核') THEN 'keep' ELSE 'update' END AS action, row_id FROM a LEFT JOIN recs USING (author)""",
+    "resolution_coverage": f"""WITH {ISSUES}, {RULED}, w AS (SELECT DISTINCT doc, part_id FROM ruled WHERE level IN ('blocking', 'major')), g AS (SELECT l_orderkey AS doc, l_partkey AS part_id FROM {{lineitem}} WHERE l_quantity < 16),
+      d AS (SELECT doc FROM w UNION SELECT doc FROM g), x AS (SELECT doc, (SELECT count(*) FROM (SELECT part_id FROM w WHERE w.doc = d.doc EXCEPT SELECT part_id FROM g WHERE g.doc = d.doc)) AS missing, (SELECT count(*) FROM (SELECT part_id FROM g WHERE g.doc = d.doc EXCEPT SELECT part_id FROM w WHERE w.doc = d.doc)) AS extra,
+        (SELECT count(*) FROM (SELECT part_id FROM g WHERE g.doc = d.doc GROUP BY part_id HAVING count(*) > 1)) AS repeated FROM d) SELECT *, missing + extra + repeated = 0 AS covered FROM x""",
+    "last_failed_node": "SELECT DISTINCT user_id AS run, first_value(CASE WHEN value > 80 THEN event_type END) OVER w AS node, max(CASE WHEN value > 80 THEN event_id END) OVER (PARTITION BY user_id) AS seq FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY value > 80 DESC, event_id DESC)",
+    "cell_diff": "SELECT o_orderkey AS row_id, 'H' AS col, o_orderstatus AS old_value, 'F' AS new_value FROM {orders} WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'J', o_orderpriority, NULL FROM {orders} WHERE o_orderkey % 4 = 0 AND o_orderpriority IS NOT NULL",
+    "missing_from_scan_anti_join": f"WITH {SHEET} SELECT row_id, status FROM sheet WHERE published = '' AND status NOT IN ('已拒稿', '已移出待审核') AND row_id NOT IN (SELECT l_orderkey FROM {{lineitem}} WHERE l_linestatus = 'O')",
+    "fixed_batches": f"WITH {OUTBOX} SELECT a.event_key, a.id, a.part_no, ((SELECT count(*) FROM outbox b WHERE b.event_key = a.event_key AND (b.part_no, b.id) < (a.part_no, a.id)) // 8)::BIGINT AS batch FROM outbox a",
+    "review_cycles": "SELECT a.user_id AS doc, a.event_id AS seq, (SELECT count(*) FROM {events} b WHERE b.user_id = a.user_id AND b.event_id <= a.event_id AND b.event_type = 'error') AS cycle_no FROM {events} a",
+}

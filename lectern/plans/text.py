@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import overview as O
 from ..operators import similarity as S
 from .tables import table
 
@@ -99,9 +100,10 @@ def ungrounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overview_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.coalesce(T.grounding(F.col("content"), F.col("source")), F.lit(0.0))
-    errors = F.array_compact(F.array(F.when(F.col("content") == "", "empty"), F.when(F.length("content") < 80, "short"), F.when(T.contains_any(F.col("text"), MARKERS), "review_language"), F.when((F.col("content") != "") & (F.col("source") != "") & (g < 0.02), "not_grounded")))
-    return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(errors, ",").alias("errors"), (F.size(errors) == 0).alias("valid"))
+    none = F.array().cast("array<string>")
+    rows = turns(spark, sf_dir).withColumn("raw", T.clean_content(F.col("text")))
+    errors, warnings = O.retrieval_messages(F.col("raw"), F.col("source"), none, none, F.length("source"), MARKERS, least=100, most=1500)
+    return rows.select("conv_id", "turn", errors.alias("e"), warnings.alias("w")).select("conv_id", "turn", F.array_join("e", ",").alias("errors"), F.array_join("w", ",").alias("warnings"), (F.size("e") == 0).alias("valid"))
 
 
 #: Rows of candidates up to which they are broadcast to be looked for in every text.
@@ -204,7 +206,7 @@ SQL = {
     "normal_form": f"WITH {TF} SELECT id AS doc_id, length(s) AS length, sha256(s) AS hash FROM d",
     "extract_headings": f"WITH {HEADINGS} SELECT d.doc_id, coalesce(array_to_string(h, '|'), '') AS headings FROM documents d LEFT JOIN h USING (doc_id)",
     "stable_unique_cap": rf"WITH w AS (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM w){UNIQUE}, r AS (SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS words FROM u WHERE place <= 40 GROUP BY doc_id) SELECT d.doc_id, coalesce(words, '') AS words FROM documents d LEFT JOIN r USING (doc_id)",
-    "clean_body_dedup": rf"WITH {LINES}, e AS (SELECT doc_id, pos, trim(trim(regexp_replace(regexp_replace(line, '^\s*([-+*>]|\d+[.)])\s*', ''), '\s+', ' ', 'g')), ' |' || chr(9)) AS x FROM l WHERE NOT regexp_matches(line, '^\s*#{{1,6}}\s+')), k AS (SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(x, '\s+', '', 'g')) ORDER BY pos) AS rn FROM e WHERE x <> ''), r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) AS body FROM k WHERE rn = 1 GROUP BY doc_id) SELECT d.doc_id, sha256(coalesce(body, '')) AS body FROM documents d LEFT JOIN r USING (doc_id)",
+    "clean_body_dedup": rf"WITH {LINES}, e AS (SELECT doc_id, pos, trim(trim(regexp_replace(regexp_replace(line, '^\s*([-+*>]|\d+[.)]|#{{1,6}})\s*', ''), '\s+', ' ', 'g')), ' |' || chr(9)) AS x FROM l WHERE NOT regexp_matches(line, '^\s*#{{1,6}}\s+')), k AS (SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(x, '\s+', '', 'g')) ORDER BY pos) AS rn FROM e WHERE x <> ''), r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) AS body FROM k WHERE rn = 1 GROUP BY doc_id) SELECT d.doc_id, sha256(coalesce(body, '')) AS body FROM documents d LEFT JOIN r USING (doc_id)",
     "clean_content": rf"WITH {LINES}, e AS (SELECT doc_id, pos, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) AS x FROM l), r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) AS body FROM e WHERE x <> '' GROUP BY doc_id) SELECT d.doc_id, sha256(coalesce(body, '')) AS hash FROM documents d LEFT JOIN r USING (doc_id)",
     "keyword_first_position": f"WITH t AS (SELECT unnest({TERMS!r}) AS term), f AS (SELECT doc_id, string_agg(term, ',' ORDER BY instr(text, term), term) AS keywords FROM documents, t WHERE contains(text, term) GROUP BY doc_id) SELECT d.doc_id, coalesce(keywords, '') AS keywords FROM documents d LEFT JOIN f USING (doc_id)",
     "evenly_sampled_segments": f"WITH {LINES}, e AS (SELECT doc_id, trim(line) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE trim(line) <> ''), s AS (SELECT DISTINCT doc_id, n, round_even(j * (n - 1) / greatest(least(n, 5) - 1, 1), 0)::BIGINT AS i FROM (SELECT DISTINCT doc_id, n FROM e), (SELECT unnest(range(5)) AS j) WHERE j < least(n, 5)), r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM e JOIN s USING (doc_id, n, i) GROUP BY doc_id) SELECT d.doc_id, sha256(coalesce(t, '')) AS sample FROM documents d LEFT JOIN r USING (doc_id)",
@@ -215,8 +217,10 @@ SQL = {
     "ordered_distinct_union": f"WITH {HEADINGS}, o AS (SELECT doc_id, list_concat(coalesce(h, []), string_split(text, chr(10))[1:2]) AS o FROM documents LEFT JOIN h USING (doc_id)), x AS (SELECT doc_id, unnest(o) AS v, generate_subscripts(o, 1) AS pos FROM o), y AS (SELECT doc_id, v, min(pos) AS pos FROM x GROUP BY ALL) SELECT doc_id, string_agg(v, '|' ORDER BY pos) AS parts FROM y GROUP BY doc_id",
     "bigram_grounding_ratio": f"WITH {PAIRS}, {TURNS} SELECT t.conv_id, t.turn, round(ratio, 6) AS ratio FROM t LEFT JOIN gr USING (conv_id, turn)",
     "ungrounded_terms": rf"WITH {PAIRS}, {TURNS}, x AS (SELECT DISTINCT conv_id, turn, source, regexp_replace(lower(unnest(regexp_split_to_array(text, '[ \n]+'))), '[^0-9a-z\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS term FROM t) SELECT conv_id, turn, count(*) AS n, min(term) AS first_term FROM x WHERE length(term) >= 8 AND NOT contains(source, term) GROUP BY ALL",
-    "overview_validation": f"WITH {PAIRS}, {TURNS}, v AS (SELECT t.*, coalesce(ratio, 0.0) AS r FROM t LEFT JOIN gr USING (conv_id, turn)), e AS (SELECT conv_id, turn, list_filter([CASE WHEN content = '' THEN 'empty' END, CASE WHEN length(content) < 80 THEN 'short' END, CASE WHEN {HITS} THEN 'review_language' END, CASE WHEN content <> '' AND source <> '' AND r < 0.02 THEN 'not_grounded' END], lambda x: x IS NOT NULL) AS e FROM v) SELECT conv_id, turn, array_to_string(e, ',') AS errors, len(e) = 0 AS valid FROM e",
-    "contamination_theta_join": f"WITH {TF}, c AS (SELECT item_id, regexp_replace(lower(text), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') AS c FROM benchmark) SELECT id AS doc_id, item_id FROM d, c WHERE length(c) >= 24 AND contains(s, c)",
+    "overview_validation": f"""WITH {PAIRS}, {TURNS}, v AS (SELECT t.*, coalesce(ratio, 0.0) AS r, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS raw FROM t LEFT JOIN gr USING (conv_id, turn)),
+      e AS (SELECT conv_id, turn, list_filter([CASE WHEN content = '' THEN 'retrieval_overview_content_empty' END, CASE WHEN length(raw) > 1500 THEN 'retrieval_overview_exceeds_max_chars' END, CASE WHEN {HITS} THEN 'retrieval_overview_contains_review_language' END, CASE WHEN content <> '' AND source <> '' AND r < 0.02 AND NOT (length(content) = 1 AND contains(source, content)) THEN 'retrieval_overview_not_grounded_in_source' END], lambda x: x IS NOT NULL) AS e,
+        CASE WHEN length(raw) < 100 AND length(source) >= 300 THEN 'retrieval_overview_short_for_source' ELSE '' END AS warnings FROM v) SELECT conv_id, turn, array_to_string(e, ',') AS errors, warnings, len(e) = 0 AS valid FROM e""",
+    "contamination_theta_join": f"WITH {TF}, c AS (SELECT item_id, regexp_replace(lower(text), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') AS c FROM benchmark) SELECT id AS doc_id, item_id FROM d, c WHERE c <> '' AND contains(s, c)",
     "safe_file_key": r"SELECT page_id, substr(regexp_replace(url, '[^\w-]', '_', 'g'), 1, 120) AS key FROM pages",
     "link_token_extract": r"""SELECT page_id, regexp_replace(regexp_extract(url, 'https?://[^\s"'')]+'), '/+$', '') AS link, 'n' || page_id AS token FROM pages""",
     "a1_column_letters": "SELECT p_partkey, CASE WHEN p_partkey > 702 THEN chr((65 + (((p_partkey - 1) // 26 - 1) // 26 - 1) % 26)::INT) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr((65 + ((p_partkey - 1) // 26 - 1) % 26)::INT) ELSE '' END || chr((65 + (p_partkey - 1) % 26)::INT) AS letters FROM part",

@@ -93,7 +93,7 @@ def test_folds(spark):
     assert V.within_budget(rows, "doc", "id", "bytes", [F.col("id")], 3, 10).first()["selected"] == [0, 2, 3]
     assert V.unlike(rows, "doc", "id", "hash", [F.col("id")], 2).first()["kept"] == [0, 2]
     groups = V.boxes_grouped(rows, "doc", [F.col("id")], 1.0).first()["groups"]
-    assert [tuple(g) for g in groups] == [(0.0, 0.0, 14.0, 5.0, 4)]
+    assert [tuple(g) for g in groups] == [(-1.0, -1.0, 15.0, 6.0, 4)]
 
 
 def test_journal(spark):

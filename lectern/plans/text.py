@@ -36,7 +36,7 @@ def char_ngram_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.document_frequency(S.term_counts(documents(spark, sf_dir), "doc_id", "text"))
+    return S.document_frequency_of(documents(spark, sf_dir), "text")
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,11 +119,8 @@ def test_bundles(spark, tmp_path):
             (tmp_path / name / "mock_llm_result.json").write_text(mock)
     (tmp_path / "three" / "mock_llm_result.json").write_text("{not json")
     assert [r[0] for r in bundles.cases(spark, str(tmp_path)).collect()] == ["one", "three", "two"]
-    got = {r["case"]: (r["title"], r["behavior"], r["response"]) for r in bundles.bundles(spark, str(tmp_path)).collect()}
-    assert got["one"] == ("T", "return", "ok") and got["two"][1] == "raw"
-    want = [("one/source_document.json", hashlib.sha256((tmp_path / "one/source_document.json").read_bytes()).hexdigest()), ("two/source_document.json", "0"), ("no.json", "0"), ("../x", "0")]
-    bad = bundles.manifest_violations(spark, str(tmp_path), spark.createDataFrame(want, "path string, sha256 string"))
-    assert {tuple(r) for r in bad.collect()} == {("two/source_document.json", "changed"), ("no.json", "missing"), ("../x", "escapes")}
+    got = {r["case"]: (r["title"], r["review"], r["error"]) for r in bundles.bundles(spark, str(tmp_path)).collect()}
+    assert got == {"one": ("T", "ok", "document_blocks.json"), "two": ("T", None, "document_blocks.json"), "three": ("T", None, "document_blocks.json")}
 
 
 def test_sheet(spark, tmp_path):

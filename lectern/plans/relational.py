@@ -201,6 +201,5 @@ ORACLES: dict[str, str] = {
     "last_failed_node": "SELECT DISTINCT user_id AS run, first_value(CASE WHEN value > 80 THEN event_type END) OVER w AS node, max(CASE WHEN value > 80 THEN event_id END) OVER (PARTITION BY user_id) AS seq FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY value > 80 DESC, event_id DESC)",
     "cell_diff": "SELECT o_orderkey AS row_id, 'H' AS col, o_orderstatus AS old_value, 'F' AS new_value FROM {orders} WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'J', o_orderpriority, NULL FROM {orders} WHERE o_orderkey % 4 = 0 AND o_orderpriority IS NOT NULL",
     "missing_from_scan_anti_join": f"WITH {SHEET} SELECT row_id, status FROM sheet WHERE published = '' AND status NOT IN ('已拒稿', '已移出待审核') AND row_id NOT IN (SELECT l_orderkey FROM {{lineitem}} WHERE l_linestatus = 'O')",
-    "fixed_batches": f"WITH {OUTBOX} SELECT a.event_key, a.id, a.part_no, ((SELECT count(*) FROM outbox b WHERE b.event_key = a.event_key AND (b.part_no, b.id) < (a.part_no, a.id)) // 8)::BIGINT AS batch FROM outbox a",
     "review_cycles": "SELECT a.user_id AS doc, a.event_id AS seq, (SELECT count(*) FROM {events} b WHERE b.user_id = a.user_id AND b.event_id <= a.event_id AND b.event_type = 'error') AS cycle_no FROM {events} a",
 }

@@ -1,7 +1,7 @@
 """Similar articles: exact TF-IDF over character n-grams, set similarities, weights and ranks.
 
-Document frequencies are one aggregation; scores are an equi-join on grams of the queries' rows with all rows, summed by
-pair, so that no pair without a common gram is made.
+Scores of queries against all come from `grams`, in blocks, while the vocabulary can be broadcast; beyond that they are an
+equi-join on grams of the queries' rows with all rows, summed by pair.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import chars, let, normal, windows
+from . import grams as G
 
 SIZES = (2, 3, 4)
 # Shares of the seven parts of a score, the threshold and how many are selected.
@@ -27,16 +28,10 @@ def grams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
 
 
 def term_counts(articles: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows key, gram, c of the normal form of a text. Counting within the row by sorted arrays was measured and is slower
-    (51 s instead of 39 s for the document frequencies of sf0.1)."""
+    """Rows key, gram, c of the normal form of a text. For a vocabulary too large for `grams`."""
     return articles.select(key, F.explode(let(normal(F.col(text)), lambda s: grams(s))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
 
 
-def document_frequency_of(articles: DataFrame, text: str) -> DataFrame:
-    """gram and df straight from the texts: each row sends its distinct grams, in one shuffle (22 s there)."""
-    return articles.select(F.explode(F.array_distinct(let(normal(F.col(text)), lambda s: grams(s)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-
-
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(F.count("*").alias("df"))
 
@@ -55,6 +50,12 @@ def cosines(weights: DataFrame, key: str, is_query: Column) -> DataFrame:
     return out.select("query", key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("text_score"))
 
 
+def article_cosines(articles: DataFrame, key: str, text: str, is_query: Column, least: float = 0.0, top: int | None = None, most: int = G.VOCABULARY) -> DataFrame:
+    """query, key, text_score of pairs that share a gram; least and top are what the caller keeps, as `grams.cosines` says."""
+    found = G.cosines(articles, key, text, is_query, least, top, most)
+    return cosines(tfidf(term_counts(articles, key, text), articles.count()), key, is_query) if found is None else found
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import grams as G
 from ..operators import overview as O
 from ..operators import similarity as S
 from .tables import table
@@ -32,29 +33,30 @@ def simple(**columns):
 
 
 def char_ngram_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.term_counts(documents(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("c").alias("total"), F.max("c").alias("most"))
+    return G.measures(documents(spark, sf_dir), "doc_id", "text")
 
 
 def gram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.document_frequency_of(documents(spark, sf_dir), "text")
-
-
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return S.tfidf(S.term_counts(d, "doc_id", "text"), d.count())
+    return G.gram_frequencies(documents(spark, sf_dir), "text")
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights(spark, sf_dir).groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 4).alias("norm"), F.round(F.max("w"), 4).alias("most"))
+    d = documents(spark, sf_dir)
+    if (words := G.vocabulary(d, "text")) is not None:
+        out = G.norms(d, "doc_id", "text", words)
+    else:
+        out = S.tfidf(S.term_counts(d, "doc_id", "text"), d.count()).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max("w").alias("most"))
+    return out.select("doc_id", F.round("norm", 4).alias("norm"), F.round("most", 4).alias("most"))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, least: float = 0.0, top: int | None = None) -> DataFrame:
     """Every twentieth document against all."""
-    return S.cosines(weights(spark, sf_dir), "doc_id", F.col("doc_id") % 20 == 0).withColumn("score", F.round("text_score", 6))
+    return S.article_cosines(documents(spark, sf_dir), "doc_id", "text", F.col("doc_id") % 20 == 0, least, top).withColumn("score", F.round("text_score", 6))
 
 
 def similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ranked(scores(spark, sf_dir), "query", "doc_id", "score").filter("selected").select("query", "doc_id", F.round("score", 4).alias("score"), "rank")
+    found = scores(spark, sf_dir, S.THRESHOLD, S.TOP)
+    return S.ranked(found, "query", "doc_id", "score").filter("selected").select("query", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,9 @@ def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_audit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ranked(scores(spark, sf_dir), "query", "doc_id", "score").groupBy("query").agg(F.count("*").alias("scored"), F.count_if("over_threshold").alias("over"), F.count_if("selected").alias("selected"))
+    """The best of a query are selected first, so that no rank is needed to count them."""
+    counts = scores(spark, sf_dir).groupBy("query").agg(F.count("*").alias("scored"), F.count_if(F.col("score") >= S.THRESHOLD).alias("over"))
+    return counts.withColumn("selected", F.least("over", F.lit(S.TOP).cast("long")))
 
 
 def words_of(c: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What each report of a delivery makes of its state. A state that is not named stays: what was sent or may have been is
@@ -23,15 +25,30 @@ def after(state: str, report: str) -> str:
 
 
 def replay(reports: DataFrame) -> DataFrame:
-    """The last state of each delivery from all its reports: key, seq and report become key and state."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        state = "pending"
-        for report in rows.sort_values("seq")["report"]:
-            state = after(state, report)
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "state": [state]})
-
-    return reports.select("key", "seq", "report").groupBy("key").applyInPandas(work, "key string, state string")
+    """The last state of each delivery from all its reports: key, seq and report become key and state.
+
+    Reports are sorted by key and seq (nulls last, ties by report) and folded as they come, so that no key's reports are
+    held together; a null key is a delivery as well.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, seen = None, "pending", False
+        for b in batches:
+            done = []
+            for key, report in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if seen and key != last:
+                    done.append((last, state))
+                    state = "pending"
+                last, state, seen = key, after(state, report), True
+            yield rows(done)
+        if seen:
+            yield rows([(last, state)])
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], names=["key", "state"])
+
+    order = reports.select(F.col("key").cast("string").alias("key"), "seq", "report").repartition("key").sortWithinPartitions("key", F.asc_nulls_last("seq"), "report")
+    return order.select("key", "report").mapInArrow(work, "key string, state string")
 
 
 class Deliveries(StatefulProcessor):

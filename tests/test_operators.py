@@ -138,6 +138,22 @@ def test_outbox():
     assert outbox.after("sent", "retry") == "sent" and outbox.after("uncertain", "resolve_retry") == "pending"
 
 
+def test_outbox_replay(spark):
+    reports = ["send", "ok", "fail", "retry", "lost", "cancel", "restart", None]
+    rows = [(None if i % 11 == 0 else f"k{i % 11}", (i * 7919) % 1009, reports[(i * i + i // 5) % len(reports)]) for i in range(1000)]
+    want = {}
+    for key, _, report in sorted(rows, key=lambda r: r[1]):
+        want[key] = outbox.after(want.get(key, "pending"), report)
+    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in outbox.replay(spark.createDataFrame(rows, "key string, seq int, report string").repartition(5)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+    assert len(got) == len(want) == 11 and dict(got) == want
+    assert outbox.replay(spark.createDataFrame([], "key string, seq int, report string")).count() == 0
+
+
 def test_first_events_stream(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:02")]
     spark.createDataFrame(rows, "key string, at string").selectExpr("key", "cast(at as timestamp) as at").write.parquet(f"{tmp_path}/in")

@@ -16,6 +16,7 @@ MODULES = {
     "op8_byte_bpe": "byte_bpe",
     "op9_language_id": "language_id",
     "op10_kd_shards": "sharding",
+    "op11_whitening": "whitening",
 }
 
 

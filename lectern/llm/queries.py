@@ -17,6 +17,8 @@ MODULES = {
     "op9_language_id": "language_id",
     "op10_kd_shards": "sharding",
     "op11_whitening": "whitening",
+    "op12_vector_duplicates": "vector_duplicates",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 

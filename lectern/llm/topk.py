@@ -22,15 +22,38 @@ BINS = 256
 BLOCK = 8192
 ROWS = 256
 SCALE = 256
-#: Whole numbers up to this are exact as floating-point sums.
-EXACT = 2.0**53
-LEAST = np.iinfo(np.int64).min
+#: Whole numbers up to the first are exact as floating-point sums, up to the second as sums of longs.
+EXACT, LONG = 2.0**53, 2.0**62
+#: The largest score, at which larger ones end, and what stands for no score.
+MOST, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+U = np.uint64
 
 
 def whole(values: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * values.astype(np.float64))
 
 
+def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exactly, as long; each by what its own two vectors need.
+
+    No sum of a pair's products, nor a part of it, is beyond the product of their largest entries and their length: that
+    tells whether floating point or longs are exact, else these few pairs are multiplied without a limit.
+    """
+    with np.errstate(all="ignore"):
+        bound = np.abs(q).max(axis=1, initial=0.0)[:, None] * np.abs(rows).max(axis=1, initial=0.0)[None, :] * max(q.shape[1], 1)
+        bound = np.where(np.isnan(bound), np.inf, bound)
+        s = np.where(bound < EXACT, q @ rows.T, 0.0).astype(np.int64)
+    if (bound >= EXACT).any():
+        longs = (bound >= EXACT) & (bound < LONG)
+        a, b = longs.any(axis=1), longs.any(axis=0)
+        if a.any():
+            whole_of = lambda x: np.where(np.abs(x) < LONG, x, 0.0).astype(np.int64)
+            s[np.ix_(a, b)] = np.where(longs[np.ix_(a, b)], whole_of(q[a]) @ whole_of(rows[b]).T, s[np.ix_(a, b)])
+        for i, j in zip(*np.nonzero(bound >= LONG), strict=True):
+            s[i, j] = max(-MOST, min(MOST, sum(int(x) * int(y) for x, y in zip(q[i], rows[j], strict=True))))
+    return s
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and whole-number vectors of equal length, ROWS at most."""
     for batch in batches:
@@ -47,23 +70,25 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 class Block:
     """Queries of one block, by the length of their vectors."""
 
-    def __init__(self, ids: list[int], vectors: list[list[float]], norm: float):
+    def __init__(self, ids: list[int], vectors: list[list[float]], largest: float):
         self.ids = np.array(ids, dtype=np.int64)
-        self.kind = np.float64 if norm * norm < EXACT else np.int64
         self.of = {}
         for d in {len(v) for v in vectors}:
             own = np.array([i for i, v in enumerate(vectors) if len(v) == d])
             self.of[d] = own, whole(np.array([vectors[i] for i in own], dtype=np.float64).reshape(len(own), d))
-        self.norm = np.zeros(len(ids))
+        #: No score of a query is beyond its reach; largest is the largest length of any vector.
+        self.reach = np.zeros(len(ids), dtype=np.int64)
         for own, q in self.of.values():
-            self.norm[own] = np.sqrt((q * q).sum(axis=1))
+            with np.errstate(all="ignore"):
+                most = np.sqrt((q * q).sum(axis=1)) * largest * (1 + 1e-9)
+            self.reach[own] = [MOST if not x < LONG else int(np.ceil(x)) + 1 for x in most]
 
     def scores(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places of queries, ids of rows and whole scores (LEAST: the query's own row)."""
         for ids, rows in chunks(batches):
             if rows.shape[1] in self.of:
                 own, q = self.of[rows.shape[1]]
-                s = (q.astype(self.kind) @ rows.T.astype(self.kind)).astype(np.int64)
+                s = products(q, rows)
                 mine = self.ids[own]
                 near = np.minimum(np.searchsorted(mine, ids), len(mine) - 1)
                 same = np.flatnonzero(mine[near] == ids)
@@ -77,8 +102,8 @@ def histogram(block: Block, low: np.ndarray, width: np.ndarray, k: int):
     def count(batches):
         total = np.zeros((len(block.ids), BINS + 1), dtype=np.int32)
         for own, _, s in block.scores(batches):
-            b = np.minimum((s - low[own, None]) // width[own, None], BINS)
-            at, ok = (np.arange(len(own)) * (BINS + 1))[:, None] + b, (b >= 0) & (s != LEAST)
+            b = np.minimum((s.view(U) - low[own, None].view(U)) // width[own, None], U(BINS)).astype(np.int64)
+            at, ok = (np.arange(len(own)) * (BINS + 1))[:, None] + b, (s >= low[own, None]) & (s != LEAST)
             total[own] += np.bincount(at[ok], minlength=len(own) * (BINS + 1)).reshape(len(own), BINS + 1)
         above = np.cumsum(total[:, ::-1], axis=1, dtype=np.int32)[:, ::-1] - total
         q, b = np.nonzero((total > 0) & (above < k))
@@ -110,10 +135,10 @@ def select(block: Block, least: np.ndarray, k: int):
     return pick
 
 
-def thresholds(rows: DataFrame, block: Block, norm: float, k: int) -> np.ndarray:
+def thresholds(rows: DataFrame, block: Block, k: int) -> np.ndarray:
     """For each query a score at or above which there are at least k rows (or all), and not many more but for ties."""
-    reach = np.ceil(block.norm * norm).astype(np.int64) + 1
-    low, width = -reach, (2 * reach + BINS) // BINS
+    reach = block.reach
+    low, width = -reach, (reach // (BINS // 2) + 1).astype(U)
     above = np.zeros(len(reach), dtype=np.int64)
     todo = np.ones(len(reach), dtype=bool)
     while todo.any():
@@ -125,9 +150,9 @@ def thresholds(rows: DataFrame, block: Block, norm: float, k: int) -> np.ndarray
         at = np.where(enough.any(axis=1), BINS - np.argmax(enough[:, ::-1], axis=1), 0)
         at = np.minimum(at, BINS - 1)
         above, total = run[np.arange(len(at)), at], run[:, 0]
-        low = np.where(todo, low + at * width, low)
+        low = np.where(todo, (low.view(U) + at.astype(U) * width).view(np.int64), low)
         end = ~todo | (width == 1) | (above <= 4 * k) | (total < k)
-        width = np.where(end, width, -(-width // BINS))
+        width = np.where(end, width, (width + U(BINS - 1)) // U(BINS))
         todo = ~end
     return low
 
@@ -135,7 +160,8 @@ def thresholds(rows: DataFrame, block: Block, norm: float, k: int) -> np.ndarray
 def exact_topk(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """For each query its k rows of highest inner product: query_id, rank, vec_id and score.
 
-    Components become floor(256 * x); scores are exact, and raise where they could pass 2 ** 63. Rows with the query's own
+    Components become floor(256 * x); scores are exact for all finite vectors, and one that no long can hold ends at the
+    largest or least long but one. Rows with the query's own
     id are no candidates. Vectors null or with null or non-finite components, and null ids, take no part. Only vectors as long
     as the query's are compared; empty ones score 0. Of repeated rows each is a candidate; of a query that occurs more
     than once the least vector counts. No rows in, no rows out. Other columns are neither read nor returned.
@@ -143,10 +169,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", co
     vectors = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(SCALE * x) * F.floor(SCALE * x).cast("double"))
-    norm = float(np.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0))
-    if not norm * norm < 2.0**62:
-        raise ValueError("scores of these vectors may pass 2 ** 63")
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (SCALE * F.abs(x) + 1) * (SCALE * F.abs(x) + 1))
+    largest = float(np.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0))
     queries = checkpoint(rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).sort("vec_id"))
     order, last, path = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), None, None
     while True:
@@ -154,8 +178,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", co
         if not got and last is None:
             return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
         if got:
-            own = Block([r[0] for r in got], [r[1] for r in got], norm)
-            found = rows.mapInArrow(lean(select(own, thresholds(rows, own, norm, k), k)), "query_id long, vec_id long, score long")
+            own = Block([r[0] for r in got], [r[1] for r in got], largest)
+            found = rows.mapInArrow(lean(select(own, thresholds(rows, own, k), k)), "query_id long, vec_id long, score long")
             found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
             if last is None and len(got) < block:
                 return found

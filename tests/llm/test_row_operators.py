@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -466,8 +467,19 @@ def test_topk_large_numbers(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.exact_topk(frame, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(-r["score"], r["vec_id"]) for r in got] == want
-    with pytest.raises(ValueError, match="2 \\*\\* 63"):
-        topk.exact_topk(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_topk_one_large_vector(spark, k):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(120)] + [(150, [1e8, 1.0]), (151, [-1e300, 1e300]), (152, [3e9, 2e9]), (200, [1e15, 0.25])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    most = (1 << 63) - 1
+    score = lambda a, b: max(-most, min(most, sum(x * y for x, y in zip(whole[a], whole[b], strict=True))))
+    want = {(q, n): x for q in whole if q % 50 == 0 for n, x in enumerate(sorted(((-score(q, i), i) for i in whole if i != q))[:k], 1)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r["query_id"], r["rank"]): (-r["score"], r["vec_id"]) for r in topk.exact_topk(frame, F.col("vec_id") % 50 == 0, k=k).collect()}
+    assert got == want
 
 
 PAGES = [
@@ -559,7 +571,55 @@ def test_main_text_of_other_shapes(html, blocks):
     assert html_text.main_text(html).split("\n") == blocks
 
 
-@pytest.mark.parametrize("part", ['<a x="', "<a ", "<a x='\">", "<", "</p ", "<!-- ", "<script>", "</script ", '<p x="y>', "<a'b\"c>", "<p>", "<div class='header'>", "<td>"])
+SECTION_NAMES = "related-work social-policy social-history notice-period menu-of-the-day login commentary share-of-market promotion-rules skip-list widget-design recommendations consent-of-the-governed pager advertising cookies".split()
+
+
+@pytest.mark.parametrize("name", SECTION_NAMES)
+@pytest.mark.parametrize("attribute", ["id", "class"])
+def test_names_do_not_drop_sections(name, attribute):
+    section = f"<section {attribute}='{name}'><h2>Head</h2><p>It is a part of the text, and has its words.</p></section>"
+    want = ["T", *OWN, "Head", "It is a part of the text, and has its words."]
+    for page in (f"<article><h1>T</h1>{LONG}{section}</article>", f"<body><div><h1>T</h1>{LONG}{section}</div></body>"):
+        assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("form", ["<form id=aspnetForm>", "<form action=x><input type=hidden name=state>", "<form><input name=q><button>Go</button>", "<form class=main-form role=form>"])
+def test_a_form_around_the_page_stays(form):
+    for inner in (f"<article><h1>T</h1>{LONG}</article>", f"<div><h1>T</h1>{LONG}</div>"):
+        page = f"<body>{form}<div class=nav><a>One</a> <a>Two</a></div>{inner}<div class=footer>Foot</div></form></body>"
+        assert html_text.main_text(page).split("\n") == ["T", *OWN]
+
+
+FURNITURE = [
+    "<div class='notice'><h3>Notice</h3><p>Our terms have changed.</p></div>",
+    "<div class='login-box'><input name=u><input name=p><button>Go</button><p>Log in, please, to read on.</p></div>",
+    "<section id='related'><h2>Related</h2><ul><li><a>One of them</a><li><a>Two of them</a></ul></section>",
+    "<div class='social-links'>Follow us, on, all of these</div>",
+    "<section class='comments'><h2>3 comments</h2>" + LONG.replace("Part", "Reader") + "</section>",
+    "<div class='AdSlot ad-slot-3'>Buy this, and that, and more of it, now.</div>",
+    "<form><label>Name <input></label><p>" + "Fill in, please. " * 10 + "</p><textarea></textarea></form>",
+    "<fieldset><legend>Vote</legend><input type=radio> Yes <input type=radio> No</fieldset>",
+    "<div id='newsletter-signup'><h3>News</h3><p>" + "We write, to you, each week. " * 20 + "</p></div>",
+]
+
+
+@pytest.mark.parametrize("part", FURNITURE)
+def test_furniture_in_an_article_goes(part):
+    assert html_text.main_text(f"<article><h1>T</h1>{LONG}{part}<p>End.</p></article>").split("\n") == ["T", *OWN, "End."]
+
+
+def test_names_of_all_there_is():
+    assert html_text.main_text(f"<body><div class='sponsored-content'><h1>T</h1>{LONG}</div></body>").split("\n") == ["T", *OWN]
+    assert html_text.main_text(f"<article>{LONG}<fieldset><p>Kept, as it asks for nothing.</p></fieldset></article>").split("\n") == [*OWN, "Kept, as it asks for nothing."]
+
+
+def test_articles_of_a_kind():
+    two = LONG.replace("Part", "Second")
+    page = f"<main><article><h2>A</h2>{LONG}</article><div class=ad>Buy, this.</div><p>Between, of no article.</p><article><h2>B</h2>{two}</article><article><a>Only a link to another, which is as long as this, and longer than that, by far</a></article></main>"
+    assert html_text.main_text(page.replace("main", "div")).split("\n") == ["A", *OWN, "B", *[x.replace("Part", "Second") for x in OWN]]
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<a ", "<a x='\">", "<", "</p ", "<!-- ", "<script>", "</script ", '<p x="y>', "<a'b\"c>", "<p>", "<div class='header'>", "<td>", "<div><b>", "<b><i></u>", "<ul><b><li>", "<head><b>", "<form><input>"])
 def test_time_in_proportion(part):
     import time
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import blocks, journal, records, relational, text
+from .plans import blocks, journal, records, relational, text, trees
 from .plans.tables import oracle, sql_query
 
-QUERIES = text.QUERIES | blocks.QUERIES | {name: sql_query(sql) for name, sql in relational.QUERIES.items()} | journal.QUERIES | records.QUERIES
-ORACLES: dict[str, str] = text.SQL | blocks.SQL | {name: oracle(relational.ORACLES.get(name, sql)) for name, sql in relational.QUERIES.items()} | records.SQL
+QUERIES = text.QUERIES | blocks.QUERIES | {name: sql_query(sql) for name, sql in relational.QUERIES.items()} | journal.QUERIES | records.QUERIES | trees.QUERIES
+ORACLES: dict[str, str] = text.SQL | blocks.SQL | {name: oracle(relational.ORACLES.get(name, sql)) for name, sql in relational.QUERIES.items()} | records.SQL | trees.SQL

@@ -1,7 +1,7 @@
 """Similar articles: exact TF-IDF over character n-grams, set similarities, weights and ranks.
 
-Scores of queries against all come from `grams`, in blocks, while the vocabulary can be broadcast; beyond that they are an
-equi-join on grams of the queries' rows with all rows, summed by pair.
+Scores of queries against all come from `grams`, in blocks, while the vocabulary can be broadcast; beyond that, and for new
+articles, whose corpus is their own, from `article_index`.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import chars, let, normal, windows
+from . import article_index as A
 from . import grams as G
 
 SIZES = (2, 3, 4)
@@ -53,7 +54,7 @@ def cosines(weights: DataFrame, key: str, is_query: Column) -> DataFrame:
 def article_cosines(articles: DataFrame, key: str, text: str, is_query: Column, least: float = 0.0, top: int | None = None, most: int = G.VOCABULARY) -> DataFrame:
     """query, key, text_score of pairs that share a gram; least and top are what the caller keeps, as `grams.cosines` says."""
     found = G.cosines(articles, key, text, is_query, least, top, most)
-    return cosines(tfidf(term_counts(articles, key, text), articles.count()), key, is_query) if found is None else found
+    return A.cosines(A.build(articles, key, text, most), articles.filter(is_query), text, least, top, own=False) if found is None else found
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -84,32 +85,15 @@ def ranked(scored: DataFrame, query: str, key: str, score: str, top: int = TOP,
     return out.withColumn("selected", F.col("over_threshold") & (F.col("rank") <= top))
 
 
-def score_articles(query: DataFrame, index: DataFrame) -> DataFrame:
-    """Scores of one or more query articles against an index, each over the corpus of the query and its candidates.
+LISTS = ["topics", "technical_entities", "key_parameters", "methods", "application_scenarios", "validation_methods"]
 
-    Both have document_id, title, content and arrays topics, technical_entities, key_parameters, methods,
-    application_scenarios and validation_methods. The corpus of a query is itself and all rows of the index but its own,
-    so that document frequencies are worked out by query; an article without content has no candidates.
-    """
-    arrays = ["topics", "technical_entities", "key_parameters", "methods", "application_scenarios", "validation_methods"]
-    q = query.filter(F.length("content") > 0).select(F.col("document_id").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ["title", "content", *arrays]])
-    pairs = q.select("query").join(index.select("document_id"), F.col("query") != F.col("document_id"))
-    own = q.select("query", F.col("query").alias("document_id"), F.col("q_content").alias("content"))
-    corpus = pairs.join(index.select("document_id", "content"), "document_id").select("query", "document_id", "content").unionByName(own)
-    n = corpus.groupBy("query").agg(F.count("*").alias("n"))
-    c = corpus.select("query", "document_id", F.explode(let(normal(F.col("content")), lambda s: grams(s))).alias("gram")).groupBy("query", "document_id", "gram").agg(F.count("*").alias("c"))
-    df = c.groupBy("query", "gram").agg(F.count("*").alias("df"))
-    w = c.join(df, ["query", "gram"]).join(n, "query").withColumn("w", F.col("c") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
-    norm = w.groupBy("query", "document_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = w.filter("query = document_id").select("query", "gram", F.col("w").alias("qw"))
-    dot = w.filter("query <> document_id").join(asked, ["query", "gram"]).groupBy("query", "document_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    qn = norm.filter("query = document_id").select("query", F.col("norm").alias("qnorm"))
-    text = dot.join(norm, ["query", "document_id"]).join(qn, "query").select("query", "document_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("text"))
-    rows = pairs.join(q, "query").join(index, "document_id").join(text, ["query", "document_id"], "left")
+
+def score_parts(text: Column) -> dict[str, Column]:
+    """The seven parts of the score of a row of a query, whose columns begin with q_, and an article."""
     terms = lambda c: F.array_distinct(F.filter(F.transform(c, normal), lambda x: x != ""))
     of = lambda *names: jaccard(terms(F.concat(*[F.col(f"q_{x}") for x in names])), terms(F.concat(*[F.col(x) for x in names])))
-    parts = {
-        "text": F.coalesce("text", F.lit(0.0)),
+    return {
+        "text": text,
         "title": title_ratio(normal(F.col("q_title")), normal(F.col("title"))),
         "topics": of("topics"),
         "entities": of("technical_entities"),
@@ -117,5 +101,30 @@ def score_articles(query: DataFrame, index: DataFrame) -> DataFrame:
         "methods": of("methods"),
         "scenarios": of("application_scenarios", "validation_methods"),
     }
+
+
+def score_articles(query: DataFrame, index: DataFrame) -> DataFrame:
+    """Scores of one or more query articles with every article of an index, each over the corpus of the query and these.
+
+    Both have document_id, title, content and arrays topics, technical_entities, key_parameters, methods,
+    application_scenarios and validation_methods. The corpus of a query is itself and all rows of the index but its own;
+    an article without content has no candidates. As every pair gets its row, this is for audits of a few queries:
+    new_articles finds those that reach the threshold among any number.
+    """
+    q = query.filter(F.length("content") > 0).select(F.col("document_id").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ["title", *LISTS]])
+    text = A.cosines(A.build(index, "document_id", "content"), query.filter(F.length("content") > 0), "content")
+    rows = q.join(index, F.col("query") != F.col("document_id")).join(text, ["query", "document_id"], "left")
+    parts = score_parts(F.coalesce("text_score", F.lit(0.0)))
     named = rows.select("query", "document_id", *[v.alias(f"_{k}") for k, v in parts.items()])
     return named.select("query", "document_id", *[rounded(F.col(f"_{k}")).alias(k) for k in parts], final_score({k: F.col(f"_{k}") for k in parts}).alias("final"))
+
+
+def new_articles(query: DataFrame, articles: DataFrame, index: A.Index | None = None, threshold: float = THRESHOLD, top: int = TOP) -> DataFrame:
+    """query, document_id, final and rank of the best articles for new or changed ones; columns as score_articles has them.
+
+    index is that of articles, kept from before; each query has the corpus that score_articles gives it.
+    """
+    asked = query.filter(F.length("content") > 0)
+    index = A.build(articles, "document_id", "content") if index is None else index
+    found = A.best_articles(index, articles, asked, "content", LISTS, "title", lambda _: final_score(score_parts(F.col("text_score"))), WEIGHTS, threshold)
+    return ranked(found, "query", "document_id", "final", top, threshold).filter("selected").select("query", "document_id", "final", "rank")

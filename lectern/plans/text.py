@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import article_index as A
 from ..operators import grams as G
 from ..operators import overview as O
 from ..operators import similarity as S
@@ -64,11 +65,24 @@ def tfidf_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_audit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of a query are selected first, so that no rank is needed to count them."""
-    counts = scores(spark, sf_dir).groupBy("query").agg(F.count("*").alias("scored"), F.count_if(F.col("score") >= S.THRESHOLD).alias("over"))
+    """Counted where pairs are scored; the best of a query are selected first, so that no rank is needed to count them."""
+    d = documents(spark, sf_dir)
+    counts = A.tallies(A.build(d, "doc_id", "text"), d.filter(F.col("doc_id") % 20 == 0), "text", S.THRESHOLD, own=False)
     return counts.withColumn("selected", F.least("over", F.lit(S.TOP).cast("long")))
 
 
+def new_article_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth document, changed (with the text of the next one behind its own), against an index of documents.
+
+    Six of seven documents are indexed: some of the changed ones have an old row there, others are new.
+    """
+    d = documents(spark, sf_dir)
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    changed = d.filter(F.col("doc_id") % 20 == 0).join(after, "doc_id", "left").select("doc_id", F.concat("text", F.lit(" "), F.coalesce("next", F.lit(""))).alias("text"))
+    found = A.cosines(A.build(d.filter(F.col("doc_id") % 7 != 3), "doc_id", "text"), changed, "text", S.THRESHOLD, S.TOP)
+    return S.ranked(found.withColumn("score", F.round("text_score", 6)), "query", "doc_id", "score").filter("selected").select("query", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 def words_of(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-zà-ÿ]+"), lambda x: F.length(x) >= 4))
 
@@ -142,6 +156,7 @@ QUERIES = {
     "tfidf_cosine_pairs": tfidf_cosine_pairs,
     "similarity_topk": similarity_topk,
     "retrieval_audit_flags": retrieval_audit_flags,
+    "new_article_topk": new_article_topk,
     "jaccard_sets": jaccard_sets,
     "weighted_score": weighted_score,
     "title_ratio": title_ratio,
@@ -203,6 +218,16 @@ SQL = {
     "tfidf_cosine_pairs": f"WITH {DOTS} SELECT query, doc_id, round(t, 4) AS score FROM sc",
     "similarity_topk": f"WITH {DOTS} SELECT query, doc_id, round(score, 4) AS score, rank FROM rk WHERE rank <= 5 AND score >= 0.35",
     "retrieval_audit_flags": f"WITH {DOTS} SELECT query, count(*) AS scored, count(*) FILTER (WHERE score >= 0.35) AS over, count(*) FILTER (WHERE score >= 0.35 AND rank <= 5) AS selected FROM rk GROUP BY query",
+    "new_article_topk": rf"""WITH t AS (SELECT doc_id AS id, 0 AS q, text FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT d.doc_id, 1, d.text || ' ' || coalesce(n.text, '') FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 WHERE d.doc_id % 20 = 0),
+      s AS (SELECT id, q, regexp_replace(lower(text), '[^0-9a-z\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS s FROM t), g AS (SELECT id, q, unnest(list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))) AS gram FROM s, (VALUES (2), (3), (4)) v(n) WHERE length(s) >= n),
+      tf AS (SELECT id, q, gram, count(*) AS c FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf WHERE q = 0 GROUP BY gram),
+      qs AS (SELECT a.id AS query, (SELECT count(*) FROM t WHERE q = 0 AND id <> a.id) + 1 AS n FROM t a WHERE a.q = 1),
+      c AS (SELECT query, n, tf.id, tf.q, tf.gram, tf.c, coalesce(df.df, 0) - (o.gram IS NOT NULL)::INT + (u.gram IS NOT NULL)::INT AS df FROM qs JOIN tf ON tf.q = 0 AND tf.id <> query OR tf.q = 1 AND tf.id = query
+        LEFT JOIN df ON df.gram = tf.gram LEFT JOIN tf o ON o.id = query AND o.q = 0 AND o.gram = tf.gram LEFT JOIN tf u ON u.id = query AND u.q = 1 AND u.gram = tf.gram),
+      w AS (SELECT query, id, q, gram, c * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM c), l AS (SELECT query, id, q, sqrt(sum(w * w)) AS l FROM w GROUP BY ALL),
+      dot AS (SELECT a.query, b.id AS doc_id, sum(a.w * b.w) AS dot FROM w a JOIN w b ON b.query = a.query AND b.gram = a.gram AND b.q = 0 WHERE a.q = 1 GROUP BY ALL),
+      sc AS (SELECT dot.query, doc_id, round(dot / (x.l * y.l), 6) AS score FROM dot JOIN l x ON x.query = dot.query AND x.q = 1 JOIN l y ON y.query = dot.query AND y.q = 0 AND y.id = doc_id),
+      rk AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id))::INT AS rank FROM sc) SELECT query, doc_id, round(score, 4) AS score, rank FROM rk WHERE rank <= 5 AND score >= 0.35""",
     "jaccard_sets": f"WITH {PAIRS}, {SETS} SELECT conv_id, turn, round(j, 6) AS jaccard FROM j",
     "weighted_score": f"WITH {PAIRS}, {SETS}, x AS (SELECT *, least(length(text), length(other)) / greatest(length(text), length(other), 1) AS l FROM j) SELECT conv_id, turn, round(round(0.60 * l + 0.10 * j + 0.10 * j + 0.05 * l + 0.05 * j + 0.05 * l + 0.05 * j, 6), 4) AS final FROM x",
     "content_hash": r"SELECT doc_id, sha256(lower(regexp_replace(text, '\s+', '', 'g'))) AS hash FROM documents",

@@ -38,7 +38,9 @@ def test_blocks_equal_the_join(spark, monkeypatch):
     d = articles(spark)
     is_query = F.col("id") % 2 == 1
     rows = lambda df: {(r["query"], r["id"]): r["text_score"] for r in df.select("query", "id", "text_score").collect()}
-    want = rows(S.article_cosines(d, "id", "text", is_query, most=3))
+    want = rows(S.cosines(S.tfidf(S.term_counts(d, "id", "text"), d.count()), "id", is_query))
+    indexed = rows(S.article_cosines(d, "id", "text", is_query, most=3))
+    assert indexed.keys() == want.keys() and all(abs(indexed[k] - want[k]) < 1e-9 for k in want)
     assert want and G.cosines(d, "id", "text", is_query, most=3) is None
     for postings, hot in ((G.POSTINGS, G.HOT), (8, G.HOT), (G.POSTINGS, 0), (G.POSTINGS, 2)):
         monkeypatch.setattr(G, "HOT", hot)

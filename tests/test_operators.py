@@ -7,10 +7,13 @@ import math
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import article_index as A
 from lectern.operators import blocks as B
+from lectern.operators import grams as G
 from lectern.operators import journal as J
 from lectern.operators import similarity as S
 from lectern.operators import visual as V
@@ -57,6 +60,40 @@ def test_scores_over_query_and_candidates(spark):
     assert S.score_articles(spark.createDataFrame([("e", "t", "", *[[]] * 6)], ARTICLE), index).count() == 0
 
 
+TERMS = ["frame", "quad", "STM32", "GPS", "test", "log", "indoor", "bench", "飞控", "250 mm"]
+
+
+def some_articles(n, seed):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(40)] + ["飞控", "固件", "the", "of"]
+    pick = lambda k, of: [str(x) for x in rng.choice(of, rng.integers(0, k + 1), replace=False)]
+    return [(f"d{i}", " ".join(pick(3, words)), " ".join(rng.choice(words, rng.integers(0, 25))), *[pick(3, TERMS) for _ in range(6)]) for i in range(n)]
+
+
+def test_new_articles_equal_all_scores(spark, monkeypatch, tmp_path):
+    rows = some_articles(60, 1) + [("e", "", None, *[[]] * 6), ("f", "x", "", *[[]] * 6)]
+    changed = [(f"d{i}", *x[1:]) for i, x in enumerate(some_articles(12, 2))] + [(f"n{i}", *x[1:]) for i, x in enumerate(some_articles(12, 3))] + [("e", "Quad", "w1 w2 w3", *[["frame"]] * 6)]
+    index, asked = spark.createDataFrame(rows, ARTICLE), spark.createDataFrame(changed, ARTICLE)
+    every = S.score_articles(asked, index)
+    corpus = {x[0]: x for x in rows if x[2] is not None}
+    for r in every.filter("query in ('d1', 'n3', 'e')").collect():
+        q = next(x for x in changed if x[0] == r["query"])
+        others = [q, *((*x[:2], x[2] or "", *x[3:]) for x in rows if x[0] != q[0])]
+        if r["document_id"] in corpus:
+            assert abs(r["final"] - plain_score(q, corpus[r["document_id"]], others)) < 2e-6
+    want = sorted(tuple(r) for r in S.ranked(every, "query", "document_id", "final", threshold=0.15).filter("selected").select("query", "document_id", "final", "rank").collect())
+    assert len(want) > 30
+    built = A.build(index, "document_id", "content")
+    A.save(built, f"{tmp_path}/index")
+    for kept, several, hot in ((None, G.QUERIES, G.HOT), (A.load(spark, f"{tmp_path}/index"), 4, 3), (A.build(index, "document_id", "content", most=0), 1000, 0)):
+        monkeypatch.setattr(G, "QUERIES", several)
+        monkeypatch.setattr(G, "HOT", hot)
+        monkeypatch.setattr(G, "TEXTS", 7)
+        got = sorted(tuple(r) for r in S.new_articles(asked, index, kept, 0.15).collect())
+        assert [(q, d, r) for q, d, _, r in got] == [(q, d, r) for q, d, _, r in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+    assert S.new_articles(asked.limit(0), index, built).count() == 0 and S.new_articles(asked, index.limit(0)).count() == 0
+
+
 def test_ranks(spark):
     rows = spark.createDataFrame([("q", "b", 0.5), ("q", "a", 0.5), ("q", "c", 0.9), ("q", "d", 0.34999999), ("q", "e", 0.4), ("q", "f", 0.4), ("q", "g", 0.4)], "query string, id string, s double")
     got = [(r["id"], r["rank"], r["selected"]) for r in S.ranked(rows, "query", "id", "s").orderBy("rank").collect()]

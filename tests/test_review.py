@@ -70,8 +70,6 @@ def block(name, kind=2, text="", **more):
 
 def test_trees(spark):
     good = [block("d", 1, children=["h", "l", "t"]), block("h", 5, "Head"), block("l", 12, "item", children=["k"]), block("k", 2, "kid"), block("t", 31, table={"property": {"column_size": 2}, "cells": ["c1", "c2"]}), block("c1", 32, parent_id="t", children=["x"]), block("c2", 32, parent_id="t"), block("x", 2, "a|b")]
-    flat, _ = trees.flatten(good, "d")
-    assert flat == [{"type": "heading", "level": 3, "text": "Head"}, {"type": "list", "text": "item"}, {"type": "paragraph", "text": "kid"}, {"type": "table", "markdown": "| a\\|b |  |\n| --- | --- |"}]
     broken = {
         "blocks_unavailable": [],
         "block_child_missing": [block("d", 1, children=["no"])],
@@ -85,9 +83,60 @@ def test_trees(spark):
     docs = spark.createDataFrame([(k, json.dumps(v)) for k, v in broken.items()] + [("d", json.dumps(good)), ("n", None)], "doc string, blocks string")
     rows = trees.flattened(docs, "doc", "blocks").collect()
     assert {r["doc"]: r["error"] for r in rows if r["error"]} == {k: k for k in broken} | {"n": "blocks_unavailable"}
-    assert [(r["type"], r["level"]) for r in sorted((r for r in rows if r["doc"] == "d"), key=lambda r: r["pos"])] == [("heading", 3), ("list", None), ("paragraph", None), ("table", None)]
-    old = {"block_type": "text", "text": {"elements": [{"text_run": {"content": "a"}}, {"equation": {"content": "e"}}]}, "table": {"x": {"text_run": {"content": "no"}}}}
-    assert trees.plain_text(old) == "a" and trees.text_of(old) == "aeno"
+    flat = sorted((r for r in rows if r["doc"] == "d"), key=lambda r: r["pos"])
+    assert [(r["type"], r["level"], r["text"]) for r in flat] == [("heading", 3, "Head"), ("list", None, "item"), ("paragraph", None, "kid"), ("table", None, "| a\\|b |  |\n| --- | --- |")]
+
+
+def parts(spark, **docs):
+    rows = trees.flattened(spark.createDataFrame([(k, v if v is None or isinstance(v, str) else json.dumps(v), 1) for k, v in docs.items()], "doc string, blocks string, pos int"), "doc", "blocks").collect()
+    return {k: [(r["type"], r["level"], r["text"]) if r["error"] is None else r["error"] for r in sorted((r for r in rows if r["doc"] == k), key=lambda r: r["pos"])] for k in docs}
+
+
+def test_tree_shapes(spark):
+    table = {"block_id": "t", "block_type": 31, "table": {"cells": ["a", "b"], "column_size": 1}}
+    inner = {"block_id": "i", "block_type": 31, "parent_id": "a", "table": {"property": {"column_size": "1"}}}
+    got = parts(
+        spark,
+        nested=[block("d", 1, children=["t"]), table, block("b", 32, "b", parent_id="t"), block("a", 32, "own", parent_id="t"), inner, block("c", 32, "x\ny", parent_id="i")],
+        sheet=[{"block_id": "s", "type": "sheet", "sheet": {"token": "a_b", "rows": [["h", "k|"], [1]]}}, {"block_id": "f", "type": "file", "file": {"name": "a.zip"}}, {"block_id": "g", "type": "media"}, block("p", 27), block("q", 27, "seen")],
+        empty=[block("d", 1, children=["t"]), {"block_id": "t", "block_type": 31, "table": {"column_size": 2}, "children": ["a", "b"]}, block("a", 32), block("b", 32)],
+        lists=[block("d", 1, children=["h", "l"]), block("h", 11, "deep"), block("l", 13, "one", children=["m"]), block("m", 15, "said")],
+    )
+    assert got["nested"] == [("table", None, "| own<br>\\| x<br>y \\|<br>\\| --- \\| |\n| --- |\n| b |")]
+    assert got["sheet"] == [("table", None, "| h | k\\| |\n| --- | --- |\n| 1 |  |"), ("paragraph", None, "[附件元数据：a.zip；内容未打开]"), ("paragraph", None, "[附件元数据：未命名附件；内容未打开]"), ("image", None, "原始图片见 source.pdf"), ("image", None, "seen")]
+    assert got["empty"] == [("table", None, "|  |  |\n| --- | --- |")]
+    assert got["lists"] == [("heading", 6, "deep"), ("list", None, "one"), ("quote", None, "said")]
+
+
+def test_trees_of_any_json(spark):
+    root = block("d", 1, children=["a"])
+    got = parts(
+        spark,
+        nulls=[{"block_id": "d", "block_type": 1, "children": None, "table": None, "text": None}, {"block_id": "a", "parent_id": "d", "children": [], "text": {"elements": None}, "x": [{"text_run": {"content": "t"}}, None, 3]}],
+        width=[root, {"block_id": "a", "block_type": 31, "table": {"column_size": "wide"}, "children": ["c"]}, block("c", 32)],
+        strings=["a", "b"], number="7", broken="{", nothing=None, few="[]", object='{"block_id": "d"}',
+        loop=[root, block("a", text="x", children=["b"]), block("b", text="y", children=["a"])],
+        apart=[root, block("a", text="x"), block("b", text="y", children=["c"]), block("c", text="z", children=["b"])],
+        below=[root, block("a", text="x"), block("b", text="y", parent_id="lost"), block("c", text="z", parent_id="b")],
+        again=[root, block("a", text="x"), block("a", text="y")],
+        odd=[root, {"block_id": "a", "block_type": {"x": 1}, "children": "b", "text": {"text_run": {"content": 5}}}],
+        cell=[root, {"block_id": "a", "block_type": 31, "table": {"cells": ["no"], "column_size": 1}}],
+        sheet=[root, {"block_id": "a", "block_type": 30, "sheet": {"token": "x"}}], bitable=[root, {"block_id": "a", "block_type": 18, "bitable": {"token": "x_y"}}],
+        deep=[block("d", 1, children=["n0"]), *[block(f"n{i}", text="x", children=[f"n{i + 1}"] if i < 200 else []) for i in range(201)]],
+        edge=[block("n0", 1, children=["n1"]), *[block(f"n{i}", text="x", children=[f"n{i + 1}"] if i < 64 else []) for i in range(1, 65)]],
+    )
+    assert got["nulls"] == [("paragraph", None, "t")] and got["odd"][0][2] == "5"
+    want = {"width": "table_structure_missing", "strings": "block_malformed", "number": "blocks_unavailable", "broken": "blocks_unavailable", "nothing": "blocks_unavailable", "few": "blocks_unavailable", "loop": "blocks_duplicate_or_cycle", "apart": "unreachable_document_blocks", "below": "unreachable_document_blocks", "again": "unreachable_document_blocks", "cell": "table_cell_missing", "sheet": "embedded_sheet_token_invalid", "bitable": "embedded_bitable_unavailable", "deep": "blocks_depth_exceeded"}
+    assert {k: got[k] for k in want} == {k: [v] for k, v in want.items()}
+    assert len(got["edge"]) == 64
+    assert trees.flattened(spark.createDataFrame([], "doc string, blocks string"), "doc", "blocks").count() == 0
+
+
+def test_texts_below_a_value(spark):
+    old = '{"block_type": "text", "text": {"elements": [{"text_run": {"content": "a"}}, {"equation": {"content": "e"}}]}, "table": {"x": {"text_run": {"content": "no"}}}, "children": [{"text_run": {"content": "kid"}}]}'
+    rows = spark.createDataFrame([(1, old), (2, "{}"), (3, None)], "i int, j string").select("i", F.try_parse_json("j").alias("v"))
+    assert [tuple(r) for r in trees.plain_texts(rows, "v").collect()] == [(1, "kida")]
+    assert [tuple(r) for r in trees.texts(rows, "v").collect()] == [(1, "noae")]
 
 
 def test_answers(spark):

@@ -241,7 +241,7 @@ def pair_cosines(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFram
         for b in batches:
             out = []
             for r in b.to_pylist():
-                _, at, of = np.intersect1d(r["codes"], r["q_codes"], assume_unique=True, return_indices=True)
+                _, at, of = np.intersect1d(np.array(r["codes"], dtype=np.int64), np.array(r["q_codes"], dtype=np.int64), assume_unique=True, return_indices=True)
                 c = np.array(r["counts"], dtype=np.float64)[at]
                 square = r["a"] ** 2 * r["s0"] - 2 * r["a"] * r["s1"] + r["s2"] + c * c @ np.array(r["more"])[of]
                 dot = c @ np.array(r["dots"])[of]

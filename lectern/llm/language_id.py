@@ -1,14 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Two passes over the texts, neither with a shuffle of them. The first sums, a language and a bucket, the n-grams of one to
-three letters; the second scores batches against the broadcast matrix of log-probabilities. It has at most CELLS of them: up to
-CELLS / BUCKETS languages have BUCKETS buckets each, and each doubling of their number halves the buckets.
+three letters; the second scores batches against the broadcast matrix of log-probabilities. More than GROUP languages are
+scored in passes of so many, each with a matrix of its own, and the best of the passes so far goes along with a text: the
+numbers are the same as with one matrix of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, checkpoint, lean, read
+from .shared import bound_batches, checkpoint, discard, lean, read
 
 BITS = 15
 BUCKETS = 1 << BITS
-CELLS = 1 << 23
+#: Languages whose matrix is broadcast at a time, 128 KB each.
+GROUP = 256
 SMOOTHING = 0.5
 #: Characters that are worked on at a time; a longer text goes on two characters before the end of the last piece.
 PIECE = 1 << 18
@@ -110,54 +113,71 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def shift_of(languages: int) -> int:
-    """The last bits of a bucket that so many languages have no room for."""
-    return next(i for i in range(BITS + 1) if max(1, languages) * (BUCKETS >> i) <= CELLS or i == BITS)
-
-
 class Model:
     """Languages and, a bucket, their log-probabilities; the last row, of zeros, is for no n-gram."""
 
-    def __init__(self, counts: dict[str, np.ndarray], docs: dict[str, int]):
+    def __init__(self, counts: dict[str, np.ndarray], docs: dict[str, int], total: int | None = None):
         self.langs = sorted(counts)
-        self.shift = shift_of(len(self.langs))
-        self.prior = np.log(np.array([docs[x] for x in self.langs], dtype=np.float64) / max(1, sum(docs.values())))
-        n = np.array([counts[x] for x in self.langs], dtype=np.float64).reshape(len(self.langs), BUCKETS >> self.shift) + SMOOTHING
+        self.prior = np.log(np.array([docs[x] for x in self.langs], dtype=np.float64) / max(1, sum(docs.values()) if total is None else total))
+        n = np.array([counts[x] for x in self.langs], dtype=np.float64).reshape(len(self.langs), BUCKETS) + SMOOTHING
         logs = np.log(n / n.sum(axis=1, keepdims=True))
         self.logs = np.hstack([logs, np.zeros((len(self.langs), 1))]).astype(np.float32)
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities by text and language, and which texts have a letter."""
         total = np.tile(self.prior, (len(texts), 1))
         some = np.zeros(len(texts), dtype=bool)
         for at, parts in pieces(texts):
             b, start, has = grams(parts)
-            b >>= self.shift
             for j, own in enumerate(self.logs):
                 each = own[b[0]] + own[b[1]] + own[b[2]]
                 np.add.at(total[:, j], at, np.add.reduceat(each, start, dtype=np.float64))
             np.logical_or.at(some, at, has)
+        return total, some
+
+    def better(self, texts: list[str | None], best: np.ndarray, langs: list[str | None], rest: np.ndarray) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray]:
+        """Best log-probability, its language, the sum of all probabilities by the best, and which texts have a letter,
+        after these languages and those before them; on a tie the earlier language stays."""
+        total, some = self.totals(texts)
         if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        best = total.argmax(axis=1)
-        odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.langs[i] if ok else UNKNOWN for i, ok in zip(best, some, strict=True)], np.where(some, odds, 0.0).tolist()
+            return best, langs, rest, some
+        at = total.argmax(axis=1)
+        new = np.maximum(best, total[np.arange(len(texts)), at])
+        with np.errstate(invalid="ignore"):
+            rest = np.where(np.isfinite(best), rest * np.exp(best - new), 0.0) + np.exp(total - new[:, None]).sum(axis=1)
+        return new, [self.langs[i] if n > b else x for i, n, b, x in zip(at, new, best, langs, strict=True)], rest, some
+
+
+def found(langs: list[str | None], rest: np.ndarray, some: np.ndarray) -> tuple[list[str], list[float]]:
+    ok = [bool(s) and x is not None for s, x in zip(some, langs, strict=True)]
+    return [x if o else UNKNOWN for o, x in zip(ok, langs, strict=True)], [1 / r if o else 0.0 for o, r in zip(ok, rest, strict=True)]
+
 
+class Fitted(NamedTuple):
+    """How many texts each language has, and counts of it by bucket: lang, bucket, n."""
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Counts over all rows of docs that have a language. What reaches the driver are the numbers of texts by language and
-    at most CELLS counts."""
+    docs: dict[str, int]
+    counts: DataFrame
+
+    def models(self) -> Iterator[Model]:
+        """A model of each GROUP languages, by name; one without languages where there are none."""
+        names = sorted(self.docs)
+        for i in range(0, max(1, len(names)), GROUP):
+            some = names[i : i + GROUP]
+            by = np.zeros((len(some), BUCKETS), dtype=np.int64)
+            table = self.counts.filter((F.col("bucket") >= 0) & (F.col("lang") >= some[0]) & (F.col("lang") <= some[-1])).toArrow() if some else None
+            if table is not None and table.num_rows:
+                by[pc.index_in(table["lang"], pa.array(some, pa.string())).to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
+            yield Model(dict(zip(some, by, strict=True)), self.docs, sum(self.docs.values()))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Fitted:
+    """Counts over all rows of docs that have a language. What reaches the driver are the numbers of texts by language and,
+    at prediction, the counts of GROUP languages at a time."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null")
     counts = checkpoint(rows.mapInArrow(lean(count_grams), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    size = {r["lang"]: r["n"] for r in counts.filter("bucket < 0").collect()}
-    shift = shift_of(len(size))
-    cell = F.shiftright("bucket", shift).cast("int")
-    table = counts.filter("bucket >= 0").groupBy("lang", cell.alias("b")).agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(size)
-    by = np.zeros((len(names), BUCKETS >> shift), dtype=np.int64)
-    if table.num_rows:
-        by[pc.index_in(table["lang"], pa.array(names, pa.string())).to_numpy(), table["b"].to_numpy()] = table["n"].to_numpy()
-    return Model(dict(zip(names, by, strict=True)), size)
+    return Fitted({r["lang"]: r["n"] for r in counts.filter("bucket < 0").collect()}, counts)
 
 
 def held_out(key: str) -> Column:
@@ -165,25 +185,47 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, fitted: Fitted, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred, `und` for a text that is null or has no letter, and score, the posterior (und: 0).
 
-    Texts may be empty or very long and are read whole; rows may repeat. docs must not have columns of these two names;
-    others can be given. Of languages that are equally likely the first by name counts. No rows in, no rows out.
+    Texts may be empty or very long and are read whole; rows may repeat. docs must not have columns of these two names,
+    or _best, _lang and _rest; others can be given for the two. Of languages that are equally likely the first by name
+    counts. Without any language all texts are `und`. No rows in, no rows out.
     """
-    if clash := set(names) & set(docs.columns):
+    if clash := {*names, "_best", "_lang", "_rest"} & set(docs.columns):
         raise ValueError(f"docs has columns {sorted(clash)}; give other names")
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns, place = [*docs.columns, *names], docs.columns.index(text)
-
-    def add(batches):
-        for batch in batches:
-            langs, scores = shared.value.score(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=columns)
-
-    schema = docs.withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
-    return docs.mapInArrow(lean(add), schema)
+    own, place = docs.columns, docs.columns.index(text)
+    passes = -(-max(1, len(fitted.docs)) // GROUP)
+
+    def add(shared, first: bool, last: bool):
+        columns = [*own, *(names if last else ("_best", "_lang", "_rest"))]
+
+        def run(batches):
+            for batch in batches:
+                n = len(batch)
+                best, langs, rest = (np.full(n, -np.inf), [None] * n, np.zeros(n)) if first else (batch.column("_best").to_numpy(), batch.column("_lang").to_pylist(), batch.column("_rest").to_numpy())
+                best, langs, rest, some = shared.value.better(batch.column(place).to_pylist(), best, langs, rest)
+                new = [pa.array(best), pa.array(langs, pa.string()), pa.array(rest)]
+                if last:
+                    langs, scores = found(langs, rest, some)
+                    new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *new], names=columns)
+
+        return run
+
+    on_the_way = docs.withColumns({"_best": F.lit(0.0), "_lang": F.lit("").cast("string"), "_rest": F.lit(0.0)}).schema
+    in_the_end = docs.withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
+    out = docs
+    for i, model in enumerate(fitted.models(), 1):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        before, out = out, out.mapInArrow(lean(add(shared, i == 1, i == passes)), in_the_end if i == passes else on_the_way)
+        if i < passes:
+            out = checkpoint(out)
+            shared.unpersist()
+            if i > 1:
+                discard(before)
+    return out
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

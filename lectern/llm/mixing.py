@@ -67,13 +67,15 @@ def aim(cells: DataFrame, targets: dict[str, dict] | None, total: int) -> DataFr
     return checkpoint(cells)
 
 
-def rake(cells: DataFrame, total: int) -> DataFrame:
-    """cells with new weights, so that the weighted tokens of each category have its target share.
+def rake(cells: DataFrame, total: int) -> tuple[DataFrame, float]:
+    """cells with new weights, so that the weighted tokens of each category have its target share, and the largest part of
+    all tokens by which the last sweep still moved a share.
 
     It ends when a whole sweep has moved no share by more than TOLERANCE, or after SWEEPS (targets that contradict
     each other have no solution; the last dimension's marginals then hold). A sweep is one job and one table where no
     dimension has more than FEW categories, else one for each dimension.
     """
+    worst = 0.0
     few = max(cells.agg(*[F.count_distinct(d) for d in DIMS]).first()) <= FEW
     for _ in range(SWEEPS):
         new = cells.withColumn("_worst", F.lit(0.0))
@@ -90,7 +92,7 @@ def rake(cells: DataFrame, total: int) -> DataFrame:
         cells, worst = new.drop("_worst"), new.agg(F.max("_worst")).first()[0]
         if worst <= TOLERANCE:
             break
-    return cells
+    return cells, worst
 
 
 def calibrate(cells: DataFrame, want: float) -> float:
@@ -111,14 +113,15 @@ def calibrate(cells: DataFrame, want: float) -> float:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float = FRACTION, text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, tokens: Column | None = None, key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """One row a document: key, source, lang, topic, tokens, weight, probability and kept.
+    """One row a document: key, source, lang, topic, tokens, weight, probability, kept and gap.
 
     targets gives shares by dimension and value (None for null; values that it leaves out are dropped, weight 0);
     dimensions that it leaves out, or all, aim at their own shares raised to TEMPER. source, lang and topic are the
     document's own as text, null where it has none. tokens defaults to a quarter of the
     text's bytes, rounded up; a null text has 0, and the weight of its cell like any other. kept follows from a hash of
     the key, the same in every run; repeated rows share their fate. A probability is 1 where the weight asks for more
-    copies than there are. A text of any length is one row. No rows in, no rows out. Other columns of docs are neither read nor returned.
+    copies than there are. gap, one value, is the largest part of all tokens by which a share was off when raking
+    ended: above TOLERANCE the targets contradict each other, and no weights have all of them. A text of any length is one row. No rows in, no rows out. Other columns of docs are neither read nor returned.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.ceil(F.octet_length(t) / BYTES_A_TOKEN) if tokens is None else tokens
@@ -126,15 +129,15 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float
     rows = checkpoint(rows)
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     sums = checkpoint(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
-    cells, scale = aim(sums, targets, total), 1.0
+    cells, scale, gap = aim(sums, targets, total), 1.0, 0.0
     if total:
-        cells = rake(cells, total)
+        cells, gap = rake(cells, total)
         scale = calibrate(cells, fraction * total)
     groups = cells.select(F.struct(*DIMS).alias("_cell"), "weight", "rows")
     out = attach_groups(rows.withColumn("_cell", F.struct(*DIMS)), groups, "_cell", "rows").drop("rows")
     luck = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) * F.lit(2.0**-53)
     out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
-    return out.select(key, *[own_value(F.col(d)).alias(d) for d in DIMS], "tokens", "weight", "probability", (luck < F.col("probability")).alias("kept"))
+    return out.select(key, *[own_value(F.col(d)).alias(d) for d in DIMS], "tokens", "weight", "probability", (luck < F.col("probability")).alias("kept"), F.lit(float(gap)).alias("gap"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

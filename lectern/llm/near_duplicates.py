@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, checkpoint, lean, read
+from .shared import attach_groups, checkpoint, discard, lean, read
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -36,7 +36,10 @@ SMALL = 16
 #: Bands by which texts are first compared with the centres of their buckets.
 STARS = 8
 #: Counters of the shingles of texts that meet by prefixes, a byte each where they are broadcast, and those of a block.
-COUNTERS, BLOCK = 1 << 22, 1 << 14
+#: More than CROWDED shingles a counter are counted by a join instead.
+COUNTERS, BLOCK, CROWDED = 1 << 22, 1 << 14, 8
+#: Rows of one shingle that meet others in one task, on average.
+MEET = 4096
 #: Pairs of one text that a task compares at most.
 SPLIT = 512
 #: Bytes of text that a task works on at a time.
@@ -359,29 +362,50 @@ def prefixes(ids: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """
     with small_batches(docs.sparkSession):
         sets = checkpoint(pick(docs, ids).repartition("id").mapInArrow(lean(elements), "id long, x array<long>"))
+        if (sets.agg(F.sum(F.size("x").cast("long"))).first()[0] or 0) > CROWDED * COUNTERS:
+            return cores(joined_prefixes(sets, least), least)
         blocks = sets.select("x").mapInArrow(lean(tally(COUNTERS, BLOCK)), "at long, places binary, counts binary").repartition("at").mapInArrow(lean(added(BLOCK)), "at long, levels binary")
         levels = np.zeros(COUNTERS, dtype=np.uint8)
         for r in blocks.collect():
             levels[r["at"] * BLOCK : (r["at"] + 1) * BLOCK] = np.frombuffer(r["levels"], dtype=np.uint8)
         rows = checkpoint(sets.mapInArrow(lean(prefix(levels, least)), "id long, n long, x array<long>, pos array<long>").filter(F.size("x") > 0))
+    return cores(rows.select("id", "n", F.explode(F.arrays_zip("x", "pos")).alias("e")).select("id", "n", "e.x", "e.pos"), least)
+
+
+def cores(rows: DataFrame, least: float) -> DataFrame:
     core = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9) + 1
-    return rows.select("id", "n", F.explode(F.arrays_zip("x", "pos")).alias("e")).select("id", "n", "e.x", "e.pos", (F.col("e.pos") < core).alias("core"))
+    return rows.select("id", "n", "x", "pos", (F.col("pos") < core).alias("core"))
+
+
+def joined_prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """id, n, x and pos as prefix() has them, in the order of how many texts have a shingle and its value, each counted by
+    itself: for any number of shingles. Only a text's own shingles meet in one place."""
+    each = sets.select("id", F.explode("x").alias("x"))
+    counts = checkpoint(each.groupBy("x").agg(F.count("*").alias("c")))
+    order = checkpoint(attach_groups(each, counts, "x", "c", "inner").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("own")))
+    n = F.size("own").cast("long")
+    first = F.slice("own", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))
+    rows = order.select("id", n.alias("n"), F.posexplode(first).alias("pos", "e")).filter(F.col("e.c") > 1)
+    return checkpoint(rows.select("id", "n", "e.x", F.col("pos").cast("long").alias("pos")))
 
 
 def crowd_pairs(crowd: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Pairs a < b of crowd (id, label) of different labels that may have the similarity.
 
     Of the rows of a shingle, those of its most frequent label are not compared with each other: where most texts are
-    connected, the work is the others times all.
+    connected, the work is the others times all. The rows of a frequent shingle are dealt to parts, each of which meets
+    these others.
     """
     rows = checkpoint(prefixes(crowd.select("id"), docs, least).join(crowd, "id"))
     by_label = rows.groupBy("x", "label").agg(F.count("*").alias("c"))
     most = checkpoint(by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).filter("labels > 1").drop("labels"))
-    meet = checkpoint(attach_groups(rows, most, "x", "c", "inner").withColumn("minor", F.col("label") != F.col("top")))
-    left = meet.filter("minor").select(*[F.col(c).alias(f"l_{c}") for c in ("x", "id", "n", "pos", "core", "label")])
+    meet = attach_groups(rows, most, "x", "c", "inner").withColumn("minor", F.col("label") != F.col("top")).withColumn("parts", F.ceil(F.col("c") / MEET))
+    meet = checkpoint(meet.withColumn("part", F.pmod(F.xxhash64("id"), "parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = meet.filter("minor").withColumn("part", every).select(*[F.col(c).alias(f"l_{c}") for c in ("x", "part", "id", "n", "pos", "core", "label")])
     short = F.when(F.col("n") < F.col("l_n"), F.col("core")).otherwise(F.col("l_core"))
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("l_n")) - 1e-9)
-    on = (F.col("x") == F.col("l_x")) & (F.col("label") != F.col("l_label")) & (~F.col("minor") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
+    on = (F.col("x") == F.col("l_x")) & (F.col("part") == F.col("l_part")) & (F.col("label") != F.col("l_label")) & (~F.col("minor") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
     return left.join(meet, on).select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
 
 
@@ -432,15 +456,23 @@ def links_of(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and label, the least id that it is connected to, by turns of large and small stars."""
+    """id and label, the least id that it is connected to, by turns of large and small stars.
+
+    The least neighbours of a turn are a table, so that their join, which has all links of a large class under one key,
+    is one that Spark may split. The tables of a turn go with it.
+    """
     e, mark = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = checkpoint(small)
+        large = checkpoint(large)
+        below = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v"))).distinct()
+        new = checkpoint(small)
+        for old in (e, least, large, below):
+            discard(old)
+        e = new
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
@@ -452,7 +484,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
 
     kept is true for one document of each class, the one that gives it its id. Texts of the same words in the same
     order are copies, whatever is between the words. A text without a word, or null, and a document with a null key is
-    a class of its own (class_id is its key) and kept. Keys are whole numbers and should be unique: repeated rows are
+    a class of its own (class_id is its key) and kept; one of any length is read whole, CHUNK bytes at a time. Keys are whole numbers and should be unique: repeated rows are
     copies of each other with one key, and all of them are kept or none. No rows in, no rows out. Other columns of docs
     are neither read nor returned.
     """
@@ -471,7 +503,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without those that are not kept, with its own columns; of repeated rows of a key, one stays."""
+    """docs without those that are not kept, with its own columns; of repeated rows of a key, one stays.
+
+    Texts that are null, empty or of any length, null keys and empty tables are as near_duplicates says: what has no words
+    or no key stays. Columns of docs keep their names, whatever these are.
+    """
     found = checkpoint(near_duplicates(docs, text=text, key=key))
     gone = checkpoint(found.filter("not kept").select(F.col(key).alias("id")).distinct())
     out = pick(docs, gone, keep=False, key=key)

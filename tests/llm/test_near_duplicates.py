@@ -147,9 +147,11 @@ def test_components(spark):
     assert got == {i: up[i] for i in linked if up[i] != i}
 
 
-@pytest.mark.parametrize("counters", [1, 1 << 10, 1 << 22])
-def test_prefixes_meet(spark, heap, counters, monkeypatch):
+@pytest.mark.parametrize(("counters", "crowded"), [(1, 1 << 40), (1 << 10, 1 << 40), (1 << 22, 8), (1 << 21, 0)])
+def test_prefixes_meet(spark, heap, counters, crowded, monkeypatch):
     monkeypatch.setattr(nd, "COUNTERS", counters)
+    monkeypatch.setattr(nd, "CROWDED", crowded)
+    monkeypatch.setattr(nd, "MEET", 7)
     monkeypatch.setattr(nd, "BLOCK", min(counters, 1 << 8))
     docs = spark.createDataFrame(list(heap.items()), "id long, text string")
     label = {i: i % 5 if i < 200 else i for i in heap}

@@ -181,6 +181,15 @@ def test_mixing_reaches_targets(spark):
     assert abs(rows.loc[rows["kept"], "tokens"].sum() / rows["tokens"].sum() - 0.2) < 0.02
 
 
+def test_mixing_says_what_it_could_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SWEEPS", 5)
+    schema = "doc_id long, text string, lang string, source string"
+    gap = lambda own, targets: {r["gap"] for r in mixing.mix(spark.createDataFrame([(i, "abcd" * (1 + i % 7), ["en", "de"][i % 2], f"s{own(i)}") for i in range(400)], schema), targets).collect()}
+    targets = {"source": {"s0": 0.8, "s1": 0.2}, "lang": {"en": 0.3, "de": 0.7}}
+    reached, against = gap(lambda i: i // 2 % 2, targets), gap(lambda i: i % 2, targets)
+    assert len(reached) == len(against) == 1 and reached.pop() < 1e-3 and against.pop() > 0.3
+
+
 def test_mixing_against_plain_raking(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = mixing.mix(docs).toPandas()
@@ -409,8 +418,9 @@ def test_language_against_plain_bayes(spark):
 def test_language_pieces_agree(monkeypatch):
     text = "Wörter und Sätze. " * 10
     model = language_id.Model({"de": np.arange(language_id.BUCKETS) % 7, "en": np.arange(language_id.BUCKETS) % 5}, {"de": 1, "en": 2})
-    one = model.score([text])[1]
-    assert model.score([None, text, ""])[1] == [0.0, *one, 0.0]
+    scores = lambda texts: language_id.found(*model.better(texts, np.full(len(texts), -np.inf), [None] * len(texts), np.zeros(len(texts)))[1:])[1]
+    one = scores([text])
+    assert scores([None, text, ""]) == [0.0, *one, 0.0]
     whole = Counter(language_id.grams(next(language_id.pieces([text]))[1])[0].ravel().tolist())
     for size in (1, 2, 7, len(text) - 1, len(text), len(text) + 1, len(text) + 2):
         monkeypatch.setattr(language_id, "PIECE", size)
@@ -418,19 +428,33 @@ def test_language_pieces_agree(monkeypatch):
         for _, some in language_id.pieces([text]):
             parts.update(language_id.grams(some)[0].ravel().tolist())
         assert {b: n for b, n in parts.items() if b < language_id.BUCKETS} == {b: n for b, n in whole.items() if b < language_id.BUCKETS}
-        assert model.score([text])[1] == pytest.approx(one)
+        assert scores([text]) == pytest.approx(one)
 
 
-def test_many_languages(spark):
+def test_many_languages(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    words = {f"l{i:04d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4)] for i in range(1500)}
-    docs = spark.createDataFrame([(i, " ".join(w), x) for i, (x, w) in enumerate(words.items())], "doc_id long, text string, lang string")
-    model = language_id.fit(docs)
-    assert len(model.langs) == 1500 and model.logs.size <= language_id.CELLS + 1500
-    rows = language_id.predict(docs, model).collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in rows) > 1450
+    words = {f"l{i:04d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4)] for i in range(1000)}
+    rows = [(i, " ".join(w), x) for i, (x, w) in enumerate(words.items())] + [(2000, None, "l0003"), (2001, "", "l0004"), (2002, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language_id.fit(docs)
+    assert len(fitted.docs) == 1000
+    some = {}
+    for group in (256, 1000):
+        monkeypatch.setattr(language_id, "GROUP", group)
+        some[group] = {r["doc_id"]: (r["lang_pred"], r["lang"], r["score"]) for r in language_id.predict(docs, fitted).collect()}
+    assert {k: v[0] for k, v in some[256].items()} == {k: v[0] for k, v in some[1000].items()}
+    assert all(abs(v[2] - some[1000][k][2]) < 1e-9 for k, v in some[256].items())
+    assert all(some[256][k][0] == "und" and some[256][k][2] == 0 for k in (2000, 2001, 2002)) and sum(a == b for a, b, _ in some[256].values()) > 990
     with pytest.raises(ValueError, match="other names"):
-        language_id.predict(docs.withColumn("score", F.lit(1)), model)
+        language_id.predict(docs.withColumn("score", F.lit(1)), fitted)
+
+
+@pytest.mark.parametrize("group", [1, 2])
+def test_language_groups_on_documents(spark, group, monkeypatch):
+    want = {r["doc_id"]: r for r in language_id.query(spark, SF).collect()}
+    monkeypatch.setattr(language_id, "GROUP", group)
+    got = {r["doc_id"]: r for r in language_id.query(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k]["lang_pred"] == want[k]["lang_pred"] and abs(got[k]["score"] - want[k]["score"]) < 1e-9 for k in want)
 
 
 def test_topk_ties_and_odd_vectors(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .machines import replayed
+
 # What each report makes of a job's state. A report that a state does not know leaves it.
 MOVES = {
     "queued": {"start": "reviewing", "stale": "obsolete", "cancel": "cancelled"},
@@ -26,31 +28,9 @@ def after(state: str, report: str) -> str:
     return MOVES.get(state, {}).get(report, state)
 
 
-def moved(state: Column, report: Column) -> Column:
-    """The state after a report."""
-    out = None
-    for old, moves in MOVES.items():
-        for r, new in moves.items():
-            hit = (state == old) & (report == r)
-            out = F.when(hit, new) if out is None else out.when(hit, new)
-    return out.otherwise(state)
-
-
 def replay(reports: DataFrame) -> DataFrame:
-    """job, state and steps (the reports that moved it) from rows job, seq and report.
-
-    The reports of a job are sorted and folded in its row; those that cannot move any state go before.
-    """
-    known = sorted({r for m in MOVES.values() for r in m})
-    some = reports.select("job", F.when(F.col("report").isin(known), F.struct("seq", "report")).alias("r"))
-    start = F.struct(F.lit(FIRST).alias("state"), F.lit(0).cast("long").alias("steps"))
-
-    def step(s: Column, r: Column) -> Column:
-        new = moved(s["state"], r["report"])
-        return F.struct(new.alias("state"), (s["steps"] + (new != s["state"]).cast("long")).alias("steps"))
-
-    out = some.groupBy("job").agg(F.array_sort(F.collect_list("r")).alias("r")).select("job", F.aggregate("r", start, step).alias("s"))
-    return out.select("job", "s.state", "s.steps")
+    """job, state and steps (the reports that moved it) from rows job, seq and report, as `machines.replayed` says."""
+    return replayed(reports, "job", "seq", "report", MOVES, FIRST)
 
 
 def stale_reason(**broken: Column) -> Column:

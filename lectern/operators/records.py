@@ -14,6 +14,7 @@ AI_STATES = ("AI审稿中", "已修改待复审")
 METHODS = {"ai": "AI", "人工+ai": "人工+AI"}
 STATES = {"待分配审稿": "待分配人工审稿", "已驳回": "已拒稿"}
 WIDTH = len(HEADER)
+MOST_ROUNDS = 2**31 - 1
 
 
 def cell_text(cell: Column) -> Column:
@@ -37,33 +38,35 @@ def renamed(value: Column, names: dict[str, str]) -> Column:
 def records_of(rows: DataFrame) -> DataFrame:
     """Records of sheet rows row_no (from 1, the header) and cells; rows without anything behind the first cell go.
 
-    Short rows are filled up. error names a round that is no whole number from 0 on; other fields are then as they are.
+    Short rows are filled up. error names a round that is no whole number from 0 to MOST_ROUNDS; other fields are then as
+    they are. What the cells of a row show is worked out once, and is what all fields are made of.
     """
     header = rows.filter("row_no = 1").select(F.transform(F.slice("cells", 1, WIDTH), cell_text).alias("h")).first()
     if header is None or header["h"] != HEADER:
         raise ValueError("the header of the review sheet is not the agreed one")
     full = rows.filter("row_no > 1").select("row_no", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.get("cells", i), F.lit(""))).alias("c"))
-    full = full.filter(F.exists(F.slice("c", 2, WIDTH - 1), lambda x: cell_text(x) != ""))
-    c = lambda i: F.get("c", F.lit(i))
-    number = F.coalesce(F.nullif(cell_text(c(8)), F.lit("")), F.lit("0")).try_cast("double")
-    whole = number.isNotNull() & (number >= 0) & (number == F.floor(number))
-    method = F.replace(F.replace(cell_text(c(5)), F.lit("＋"), F.lit("+")), F.lit(" "), F.lit(""))
-    link, node = cell_link(c(2)), cell_text(c(12))
-    token = T.node_token(F.when(link != "", link).otherwise(cell_text(c(2))))
+    full = full.select("row_no", F.get("c", F.lit(2)).alias("link_cell"), F.transform("c", cell_text).alias("t"))
+    full = full.select("row_no", "t", cell_link(F.col("link_cell")).alias("link")).filter(F.exists(F.slice("t", 2, WIDTH - 1), lambda x: x != ""))
+    c = lambda i: F.get("t", F.lit(i))
+    number = F.coalesce(F.nullif(c(8), F.lit("")), F.lit("0")).try_cast("double")
+    whole = F.coalesce((number >= 0) & (number <= MOST_ROUNDS) & (number == F.floor(number)), F.lit(False))
+    method = F.replace(F.replace(c(5), F.lit("＋"), F.lit("+")), F.lit(" "), F.lit(""))
+    link, node = F.col("link"), c(12)
+    token = T.node_token(F.when(link != "", link).otherwise(c(2)))
     fields = {
-        "title": cell_text(c(1)),
+        "title": c(1),
         "link": link,
-        "wiki_name": cell_text(c(3)),
-        "author": cell_text(c(4)),
+        "wiki_name": c(3),
+        "author": c(4),
         "method": renamed(method, METHODS),
-        "reviewer": cell_text(c(6)),
-        "status": renamed(cell_text(c(7)), STATES),
-        "round": F.when(whole, number.cast("int")),
-        "updated": T.moment_text(cell_text(c(9))),
-        "reviewed": T.moment_text(cell_text(c(10))),
-        "published": cell_text(c(11)),
+        "reviewer": c(6),
+        "status": renamed(c(7), STATES),
+        "round": F.when(whole, number.try_cast("int")),
+        "updated": T.moment_text(c(9)),
+        "reviewed": T.moment_text(c(10)),
+        "published": c(11),
         "node": F.when(node != "", node).otherwise(token),
-        "obj": cell_text(c(13)),
+        "obj": c(13),
         "error": F.when(~whole, "illegal_round"),
     }
     return full.select("row_no", *[v.alias(k) for k, v in fields.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import jobs, visual
+from ..operators import jobs, nearness, visual
 from ..operators import journal as J
 from .tables import table
 
@@ -25,13 +25,17 @@ def idempotent_append_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of one page, whose number the limits on a page bound, so that the join is small by page."""
+    """Boxes of a page that have an area in common, however many the page has."""
     side = lambda c: F.col(c) % 100
     b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), side("l_partkey").alias("x0"), side("l_suppkey").alias("y0"), (side("l_partkey") + F.col("l_quantity")).alias("x1"), (side("l_suppkey") + F.col("l_quantity")).alias("y1"))
-    box = lambda t: [F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")]
-    both = b.alias("a").join(b.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.id") < F.col("b.id")))
-    out = both.select(F.col("a.page").alias("page"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), visual.overlap_ratio(box("a"), box("b")).alias("r")).filter("r > 0")
-    return out.groupBy("page", "a_id", "b_id", F.round("r", 6).alias("ratio")).agg(F.count("*").alias("n"))
+    out = nearness.overlapping(b, b, "page", "id").filter("a_key < b_key")
+    return out.groupBy("page", F.col("a_key").alias("a_id"), F.col("b_key").alias("b_id"), F.round("ratio", 6).alias("ratio")).agg(F.count("*").alias("n"))
+
+
+def hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("id"), (F.col("l_partkey") * 7919 + F.col("l_suppkey")).alias("h"))
+    near = nearness.near_hashes(h, h, ["doc"], "id", "h").filter("a_key < b_key")
+    return near.groupBy("doc", F.col("a_key").alias("a_id"), F.col("b_key").alias("b_id"), "distance").agg(F.count("*").alias("n"))
 
 
 def dedup_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +61,7 @@ QUERIES = {
     "latest_history_for_round": lambda s, d: J.latest(history(s, d).filter("round_no >= 1"), ["doc", "round_no"], "seq").select("doc", "round_no", "result", "seq"),
     "idempotent_append_plan": idempotent_append_plan,
     "bbox_overlap_join": bbox_overlap_join,
+    "hamming_near_dup": hamming_near_dup,
     "dedup_exact_first": dedup_exact_first,
     "job_lifecycle": job_lifecycle,
     "key_pages": key_pages,

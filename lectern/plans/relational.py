@@ -63,6 +63,10 @@ OUTBOX = """outbox AS (SELECT l_orderkey AS event_key, CASE WHEN l_linenumber %
 
 QUERIES: dict[str, str] = {
     # Verdicts.
+    "ruled_issues": f"""{VERDICTS} SELECT doc, 'issue-' || cast(pos AS string) || '-' || cast(part_id AS string) AS issue_id, level, category FROM ruled
+      UNION ALL SELECT doc, 'similarity-decision', 'major', 'similarity' FROM verdicts WHERE o = 'pass' AND decision <> 'keep_independent'""",
+    "visual_assessment": f"""{VERDICTS}, v AS (SELECT doc, visual_complete, doc % 4 AS pages_reviewed, CASE WHEN doc % 3 = 0 THEN array('blurred') WHEN doc % 3 = 1 THEN array('blurred', 'cut off') ELSE array() END AS own, CASE WHEN truncated THEN array('cut off', 'text_limit') ELSE array('pages_missing') END AS found FROM verdicts)
+      SELECT doc, CASE WHEN visual_complete THEN 'full' WHEN pages_reviewed > 0 THEN 'partial' ELSE 'unavailable' END AS coverage, array_join(CASE WHEN visual_complete THEN own ELSE array_distinct(concat(own, found)) END, '|') AS limitations FROM v""",
     "issue_counts": f"WITH {ISSUES}, {RULED}, {COUNTS} SELECT doc, blocking_count, major_count, minor_count FROM counts",
     "blocking_major_issues": f"WITH {ISSUES}, {RULED} SELECT doc, pos, part_id, level, category FROM ruled WHERE level IN ('blocking', 'major')",
     "verdict_normalise": f"{VERDICTS} SELECT doc, outcome, decision, similarity, candidate_count, blocking_count, major_count, minor_count, {NEXT} AS next_action, CASE WHEN outcome = 'pass' THEN 'kept' ELSE '' END AS pass_reason FROM verdicts",
@@ -118,6 +122,7 @@ QUERIES: dict[str, str] = {
     "rekey_identity": """WITH alias AS (SELECT c_custkey AS old_node, min(c_custkey + 1000000) AS new_node FROM {customer} WHERE c_custkey % 7 = 0 GROUP BY 1) SELECT o_orderkey AS id, coalesce(new_node, o_custkey) AS node FROM {orders} LEFT JOIN alias ON o_custkey = old_node""",
     "json_map_union": "SELECT k AS node, count(*) AS n, bool_or(known) AS known FROM (SELECT o_custkey AS k, true AS known FROM {orders} UNION ALL SELECT user_id, false FROM {events}) t GROUP BY k",
     # Index.
+    "index_rows_excluding_self": "SELECT doc_id, toxic FROM {labels} WHERE doc_id <> 20 AND quality = 1 ORDER BY doc_id",
     "index_scan_excluding_self": "SELECT a.doc_id AS query_id, v.n - CASE WHEN a.quality = 1 THEN 1 ELSE 0 END AS visible FROM {labels} a JOIN (SELECT toxic, count(*) AS n FROM {labels} WHERE quality = 1 GROUP BY toxic) v ON v.toxic = a.toxic WHERE v.n - CASE WHEN a.quality = 1 THEN 1 ELSE 0 END > 0",
     "index_info": "SELECT lang AS summary_source, count(*) AS n FROM {documents} GROUP BY lang ORDER BY lang",
     "index_upsert_latest": "SELECT doc, result, score, seq FROM (SELECT user_id AS doc, event_type AS result, value AS score, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM {events}) t WHERE rn = 1",
@@ -189,6 +194,14 @@ QUERIES: dict[str, str] = {
 
 #: Other formulations of queries, for the other engine alone.
 ORACLES: dict[str, str] = {
+    "ruled_issues": f"""WITH {ISSUES}, {RULED}, {COUNTS}, {ASKED} SELECT doc, 'issue-' || pos || '-' || part_id AS issue_id, level, category FROM ruled
+      UNION ALL SELECT a.doc, 'similarity-decision', 'major', 'similarity' FROM asked a WHERE NOT rereview AND effective_candidates > 0 AND raw_similarity IN ('merge_recommended', 'duplicate_reject_recommended')
+        AND NOT ((NOT visual_complete OR truncated OR missing_sources > 0) AND requested IN ('pass', 'reject')) AND requested NOT IN ('recommend_human_review', 'incomplete_review')
+        AND NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc = a.doc AND r.level IN ('blocking', 'major'))""",
+    "visual_assessment": """SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 10 <> 0 THEN 'full' WHEN o_orderkey % 4 > 0 THEN 'partial' ELSE 'unavailable' END AS coverage,
+      CASE o_orderkey % 3 WHEN 0 THEN 'blurred' WHEN 1 THEN 'blurred|cut off' ELSE '' END || CASE WHEN o_orderkey % 10 <> 0 THEN '' WHEN o_orderkey % 23 <> 0 THEN CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE '|' END || 'pages_missing'
+        WHEN o_orderkey % 3 = 0 THEN '|cut off|text_limit' WHEN o_orderkey % 3 = 1 THEN '|text_limit' ELSE 'cut off|text_limit' END AS limitations FROM {orders}""",
+    "index_rows_excluding_self": "SELECT doc_id, toxic FROM {labels} WHERE quality IN (1) EXCEPT SELECT doc_id, toxic FROM {labels} WHERE doc_id = 20",
     "index_scan_excluding_self": "SELECT a.doc_id AS query_id, count(b.doc_id) AS visible FROM {labels} a JOIN {labels} b ON a.toxic = b.toxic AND b.quality = 1 AND a.doc_id <> b.doc_id GROUP BY a.doc_id",
     "handoff_target": f"""{VERDICTS} SELECT doc, CASE outcome WHEN 'pass' THEN 'AI通过待确认' WHEN 'reject' THEN '已拒稿' WHEN 'need_revision' THEN CASE WHEN round_no IN (0, 1) THEN '需修改' ELSE '待分配人工审稿' END ELSE '待分配人工审稿' END AS target, round_no + 1 AS next_round FROM verdicts""",
     "ordered_delivery_gate": f"""WITH {OUTBOX}, n AS (SELECT *, row_number() OVER (PARTITION BY event_key, role ORDER BY part_no, id, state) AS k FROM outbox),

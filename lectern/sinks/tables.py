@@ -1,4 +1,7 @@
-"""Writes that are safe to repeat. A write is a job of Spark into a new folder, which one rename puts in its place."""
+"""Writes that are safe to repeat. A write is a job of Spark into a new folder, which one rename puts in its place.
+
+Tables that change, by replacing, appending or by key, are those of `versions`.
+"""
 
 from __future__ import annotations
 
@@ -7,33 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.journal import append_plan
-
-
-class Conflict(ValueError):
-    """The same name with other contents."""
-
-
-def _files(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _files(spark, path)
-    return fs.exists(p)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p, fs = _files(spark, path)
-    fs.delete(p, True)
-
-
-def move(spark: SparkSession, old: str, new: str) -> None:
-    (a, fs), (b, _) = _files(spark, old), _files(spark, new)
-    fs.mkdirs(b.getParent())
-    if not fs.rename(a, b):
-        raise OSError(f"{old} could not be moved to {new}")
+from .files import exists, move
+from .versions import Conflict
 
 
 def fingerprint(df: DataFrame) -> tuple:
@@ -57,32 +35,6 @@ def write_once(df: DataFrame, path: str, same_is_fine: bool = True) -> bool:
     return True
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """df in the place of what is at path, which may be what df reads."""
-    spark, staging, old = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(staging)
-    if exists(spark, path):
-        move(spark, path, old)
-    move(spark, staging, path)
-    remove(spark, old)
-
-
-def append_history(new: DataFrame, path: str, key: str, body: str) -> int:
-    """How many rows of new were appended: those of known keys with the same body are not; with another, a Conflict."""
-    spark = new.sparkSession
-    if not exists(spark, path):
-        new.dropDuplicates([key]).write.parquet(path)
-        return spark.read.parquet(path).count()
-    plan = append_plan(spark.read.parquet(path), new.dropDuplicates([key]), key, body)
-    if not plan.filter("action = 'conflict'").isEmpty():
-        raise Conflict(path)
-    rows = plan.filter("action = 'insert'").drop("action")
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(path)
-    return n
-
-
 def publish(tables: dict[str, DataFrame], path: str, errors: str, check=None) -> DataFrame:
     """The manifest (name, rows, fingerprint) of tables that appear at path together, or not at all.
 

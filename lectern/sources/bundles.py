@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 SOURCE = "case_id string, document_id string, node_token string, title string, wiki_name string, author_id string, author string, link string, review_method string, status string, review_round int, updated_at string, last_ai_review_at string"
 
 
-def json_of_cases(spark: SparkSession, root: str, name: str, schema: str, strict: bool = False) -> DataFrame:
-    """The file of this name in each case, with the case; a corrupt one is an error or has _corrupt_record."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    df = reader.schema(schema if strict else f"{schema}, _corrupt_record string").json(root)
-    return df.withColumn("case", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-
-
 def cases(spark: SparkSession, root: str) -> DataFrame:
     """Names of the folders that hold a submission, in order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "source_document.json").load(root)
@@ -36,16 +29,22 @@ FILES = {
 }
 
 
-def texts_of_cases(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """case and text of the file of this name in each case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("case"), F.decode("content", "UTF-8").alias("text"))
+def files_of_cases(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """case and, by name, a struct of text and whether it is good JSON, of the files of these names; one scan of the folder.
+
+    Bytes that are no UTF-8 have no text and are not good, and hold nothing else up.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
+    at = F.split("path", "/")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    rows = files.select(F.element_at(at, -2).alias("case"), F.element_at(at, -1).alias("name"), F.struct(text.alias("text"), F.try_parse_json(text).isNotNull().alias("good")).alias("file"))
+    return rows.groupBy("case").agg(*[F.max_by("file", F.when(F.col("name") == n, F.lit(1))).alias(n.removesuffix(".json")) for n in names])
 
 
 def within(text: Column, fields: tuple[str, ...]) -> Column:
     """JSON text itself, or what is in the first of these fields that an object has."""
     own = F.coalesce(*[F.get_json_object(text, f"$.{f}") for f in fields], F.lit("[]")) if fields else text
-    return F.when(F.trim(text).startswith("["), text).otherwise(own)
+    return F.when(text.isNull(), None).when(F.trim(text).startswith("["), text).otherwise(own)
 
 
 def adapted(mock: Column) -> Column:
@@ -81,14 +80,17 @@ def bundles(spark: SparkSession, root: str) -> DataFrame:
     the canned answer, overview, overview_raw and overview_raise that to the overview. error names a file that is missing
     though it must be there, or is no JSON.
     """
-    out = json_of_cases(spark, root, "source_document.json", f"{SOURCE}, previous_issues array<{ISSUE}>")
-    out = out.withColumn("error", F.when(F.col("_corrupt_record").isNotNull(), "source_document.json")).drop("_corrupt_record")
+    names = ["source_document.json", *FILES]
+    out = files_of_cases(spark, root, names).filter(F.col("source_document").isNotNull())
+    file = lambda name: F.col(name.removesuffix(".json"))
+    source = F.from_json(F.when(file(names[0])["good"], file(names[0])["text"]), f"{SOURCE}, previous_issues array<{ISSUE}>")
+    error = F.when(~file(names[0])["good"], names[0])
+    columns = []
     for name, (column, inside) in FILES.items():
-        rows = texts_of_cases(spark, root, name)
-        good = F.try_parse_json("text").isNotNull()
-        out = out.join(rows.select("case", within(F.col("text"), inside).alias(column), F.when(~good, name).alias("_bad")), "case", "left")
-        missing = F.when(F.col(column).isNull(), name) if name == "document_blocks.json" else F.lit(None).cast("string")
-        out = out.withColumn("error", F.coalesce("error", "_bad", missing)).drop("_bad")
+        columns.append(within(file(name)["text"], inside).alias(column))
+        bad = file(name).isNull() if name == "document_blocks.json" else F.lit(False)
+        error = F.coalesce(error, F.when(bad | ~F.coalesce(file(name)["good"], F.lit(True)), name))
+    out = out.select("case", source.alias("_source"), *columns, error.alias("error")).select("case", "_source.*", *[c for c, _ in FILES.values()], "error")
     answer, overview = adapted(F.coalesce("mock", "fake")), adapted(F.col("mock_overview"))
     older = F.get_json_object(answer["review"], "$.article_overview")
     out = out.withColumn("previous_review", F.coalesce("previous_review", previous_review(out)))

@@ -15,9 +15,9 @@ from lectern.sources import bundles
 
 
 def test_records(spark):
-    rows = [(1, records.HEADER), (2, ["1", " T ", '{"text":"x","link":"https://h/wiki/abc_1"}', "w", "@a", "人工 ＋ai", "", "已驳回", "2", "45000.5", "2024-01-02T03:04:05", "", "", "o"]), (3, ["9"]), (4, []), (5, ["1", "t", "https://h/wiki/n1/", "w", "a", "ai", "", "AI审稿中", "", "", "", "", "", "o"]), (6, ["1", "t", "", "", "", "", "", "", "1.5"]), (7, ["1", '[{"text":"a"},{"name":"b"}]', "", "", "", "", "", "", "-1"])]
+    rows = [(1, records.HEADER), (2, ["1", " T ", '{"text":"x","link":"https://h/wiki/abc_1"}', "w", "@a", "人工 ＋ai", "", "已驳回", "2", "45000.5", "2024-01-02T03:04:05", "", "", "o"]), (3, ["9"]), (4, []), (5, ["1", "t", "https://h/wiki/n1/", "w", "a", "ai", "", "AI审稿中", "", "", "", "", "", "o"]), (6, ["1", "t", "", "", "", "", "", "", "1.5"]), (7, ["1", '[{"text":"a"},{"name":"b"}]', "", "", "", "", "", "", "-1"]), (8, ["1", "t", "", "", "", "", "", "", "1e12"]), (9, ["1", "t", "", "", "", "", "", "", "x"])]
     out = {r["row_no"]: r for r in records.records_of(spark.createDataFrame(rows, "row_no int, cells array<string>")).withColumn("eligible", records.eligible()).collect()}
-    assert sorted(out) == [2, 5, 6, 7]
+    assert sorted(out) == [2, 5, 6, 7, 8, 9] and out[8]["error"] == out[9]["error"] == "illegal_round" and out[8]["round"] is None
     r = out[2]
     assert (r["title"], r["method"], r["status"], r["round"], r["node"], r["updated"], r["reviewed"]) == ("T", "人工+AI", "已拒稿", 2, "abc_1", "2023/03/15 12:00:00", "2024/01/02 03:04:05")
     assert out[5]["eligible"] and out[5]["node"] == "n1" and out[5]["round"] == 0 and out[5]["link"] == "https://h/wiki/n1"
@@ -189,16 +189,9 @@ def test_sinks(spark, tmp_path):
     assert tables.write_once(a, path) and not tables.write_once(a.repartition(3), path)
     with pytest.raises(tables.Conflict):
         tables.write_once(b, path)
-    tables.replace(spark.read.parquet(path).limit(5), path)
-    tables.replace(spark.read.parquet(path).withColumn("v", F.lit("z")), path)
-    assert [tuple(r) for r in spark.read.parquet(path).groupBy("v").count().collect()] == [("z", 5)]
-    log = f"{tmp_path}/log"
-    assert tables.append_history(a.limit(3), log, "id", "v") == 3 and tables.append_history(a.limit(5), log, "id", "v") == 2 and tables.append_history(a.limit(5), log, "id", "v") == 0
-    with pytest.raises(tables.Conflict):
-        tables.append_history(b, log, "id", "v")
     out, errors = f"{tmp_path}/snap", f"{tmp_path}/errors"
     assert {r["name"]: r["rows"] for r in tables.publish({"a": a, "b": b}, out, errors).collect()} == {"a": 20, "b": 20} and tables.verify(spark, out) == []
-    tables.replace(a, f"{out}/b")
+    a.write.mode("overwrite").parquet(f"{out}/b")
     assert tables.verify(spark, out) == ["b"]
 
     def refuse(folder):
@@ -229,3 +222,28 @@ def test_bundles(spark, tmp_path):
     assert [(i["issue_id"], i["level"]) for i in previous["issues"]] == [("previous-1", "major"), ("k", "minor")] and previous["review_round"] == 1
     assert json.loads(out["two"]["overview"]) == {"content": "c"} and json.loads(out["two"]["attachments"]) == [{"name": "f"}] and json.loads(out["two"]["blocks"]) == [{"type": "text"}]
     assert out["three"]["error"] == out["four"]["error"] == "document_blocks.json" and out["three"]["raw"] == ""
+
+
+def test_sync_keys(spark):
+    from lectern.operators import sync
+
+    row = "row_id long, node string, obj string, link string, title string, author string, wiki string, status string, published string"
+    rows = spark.createDataFrame([(1, "n1", "o1", "l1", "A", "x", "w", "s", ""), (2, "n2", "o1", "", "A  b", "@x", "w", "s", ""), (3, "n3", "", "", "c", "y", "w", "s", ""), (4, "", "", "l9", None, None, "v", "已拒稿", ""), (5, "n5", "", "", "q", "q", "v", "s", ""), (6, "n6", "", "", "q", "q", "u", "s", "")], row)
+    doc = "doc string, node string, obj string, link string, title string, author string, wiki string"
+    docs = spark.createDataFrame([("by node", "n1", "zz", "", "", "", ""), ("by obj", "nx", "o1", "", "", "", ""), ("by link", "", "ox", "l9", "c", "y", "w"), ("by title", None, None, None, " a　B", "x", "w"), ("none", "", "new", "", "?", "", ""), ("no obj", "", "", "", "!", "", ""), ("move", "n3", "o", "", "", "", "elsewhere")], doc)
+    got = {r["doc"]: (r["level"], r["row_id"], r["found"], r["ambiguous"]) for r in sync.matches(docs, rows).collect()}
+    assert got == {"by node": (1, 1, 1, False), "by obj": (2, 1, 2, True), "by link": (3, 4, 1, False), "by title": (4, 2, 1, False), "move": (1, 3, 1, False)}
+    scans = spark.createDataFrame([("v", True), ("v", True), ("u", True), ("u", False), ("w", True)], "wiki string, ok boolean")
+    plan = {(r["action"], r["doc"], r["row_id"]) for r in sync.merge_plan(docs, rows, sync.scanned_wikis(scans)).collect()}
+    assert plan == {("move", "by node", 1), ("ambiguous", "by obj", None), ("move", "by link", 4), ("update", "by title", 2), ("insert", "none", None), ("move", "move", 3), ("removed", None, 2), ("removed", None, 5)}
+    assert sync.merge_plan(docs.limit(0), rows.limit(0), scans.limit(0)).count() == 0
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    for case, blocks in (("good", b"[]"), ("bad", b"\xff\xfe[]"), ("none", None)):
+        (tmp_path / case).mkdir()
+        (tmp_path / case / "source_document.json").write_bytes(b'{"case_id": "x", "title": "t"}' if case != "none" else b"\xff")
+        if blocks is not None:
+            (tmp_path / case / "document_blocks.json").write_bytes(blocks)
+    got = {r["case"]: (r["title"], r["blocks"], r["error"]) for r in bundles.bundles(spark, str(tmp_path)).collect()}
+    assert got == {"good": ("t", "[]", None), "bad": ("t", None, "document_blocks.json"), "none": (None, None, "source_document.json")}

@@ -233,7 +233,8 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes of the ids, joined. An id that is no token has none."""
+    """The bytes of the ids, joined, of any number. An id that is null or no token has none; no ids make no bytes, and a
+    null array makes null."""
     tokens = token_array(path or public_tokenizers.path(VOCABULARY))
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""), "ISO-8859-1")
 

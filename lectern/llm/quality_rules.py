@@ -27,8 +27,8 @@ WATCH_RATE, BLOCK_RATE = 0.10, 0.95
 def repeat_words(w: Column) -> Column:
     """Words in windows of three that occur twice or more among the words w.
 
-    A window stands for 96 bits of hashes of its words: among the windows of all texts of a corpus of 10 ** 12 words,
-    two different ones of a text are not expected to agree. Where all are distinct there is none. Where few repeat, they
+    A window stands for 64 bits of a hash of its words, and for 96 where so many repeat that all are sorted: two different
+    ones of a text agree once in 10 ** 19 pairs. Where all are distinct there is none. Where few repeat, they
     are looked up; else all are sorted with their places and those equal to a neighbour are repeated. The places, in
     order, then tell how many words each adds to the ones before it. The last two places hold fewer words, so that no
     other is equal to them.
@@ -95,7 +95,8 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 
     A document that fails a base rule is dropped. On a blocked host all go; on a watched one those that fail any other
     rule; elsewhere those that fail two. A null text has no word and fails. A document with a null host is judged as
-    if it were on a host of its own that nothing is known of: at the rate of all documents. Repeated rows stay, each
+    if it were on a host of its own that nothing is known of: at the rate of all documents. A text of any length is one
+    row, whose words and windows are arrays of it. Repeated rows stay, each
     is counted; no rows in, no rows out. Other columns of docs are neither read nor returned.
     """
     rows = checkpoint(judge(measure(docs, text, host, key)))

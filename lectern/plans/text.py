@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,15 +129,47 @@ def overview_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEW = 10_000
 
 
+#: Bytes of candidates up to which one automaton of all of them is made in each task.
+SMALL = 64 << 20
+
+
+def found_at_once(d: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id and the candidates c of b that are part of s, and not of source if d has one; one pass over each text finds all."""
+    import ahocorasick
+
+    shared = d.sparkSession.sparkContext.broadcast([r["c"] for r in b.select("c").distinct().collect()])
+
+    def work(batches):
+        automaton = ahocorasick.Automaton()
+        for i, c in enumerate(shared.value):
+            automaton.add_word(c, i)
+        names = pa.array(shared.value, pa.string())
+        if shared.value:
+            automaton.make_automaton()
+        for batch in batches:
+            at, of = [], []
+            for i, s in enumerate(batch.column(1).to_pylist() if shared.value else []):
+                hits = {x for _, x in automaton.iter(s)} if s else set()
+                if hits and batch.num_columns > 2 and (source := batch.column(2)[i].as_py()):
+                    hits = {x for x in hits if shared.value[x] not in source}
+                at += [i] * len(hits)
+                of += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), names.take(pa.array(of, pa.int64()))], names=["doc_id", "c"])
+
+    return d.select("doc_id", "s", *(["source"] if "source" in d.columns else [])).mapInArrow(work, f"doc_id {dict(d.dtypes)['doc_id']}, c string")
+
+
 def contaminated(d: DataFrame, b: DataFrame, few: int = FEW) -> DataFrame:
     """Candidates of b whose normal form c, if any, is part of a document's normal form s, and not of its source's if d has one.
 
-    By broadcast while candidates are few, else by their first 24 characters, or all of a shorter one.
+    While candidates are few and small, by an automaton of all of them in each task; else they meet texts by their first
+    24 characters, or all of a shorter one.
     """
     b = b.filter("c != ''")
     clean = ~F.contains(F.coalesce("source", F.lit("")), F.col("c")) if "source" in d.columns else F.lit(True)
-    if b.limit(few + 1).count() <= few:
-        return d.join(F.broadcast(b), F.contains("s", F.col("c"))).filter(clean).select("doc_id", "item_id")
+    n, size = b.select(F.length("c").alias("size")).limit(few + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n <= few and size <= SMALL:
+        return found_at_once(d, b).join(F.broadcast(b), "c").select("doc_id", "item_id")
     b = b.withColumn("head", F.substring("c", 1, 24))
     sizes = tuple(sorted(r[0] for r in b.select(F.length("head")).distinct().collect()))
     at = d.select("*", F.explode(F.array_distinct(T.let(F.col("s"), lambda x: S.grams(x, sizes)))).alias("head"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -86,6 +90,25 @@ def newer(a: Column, b: Column) -> Column:
     return F.coalesce(T.moment(a) > T.moment(b), F.lit(False))
 
 
+@F.pandas_udf(StringType())
+def canonical(texts: pd.Series) -> pd.Series:
+    """JSON text with the names of every object sorted, a space behind each comma and colon, and no ASCII escapes; null for
+    what is no JSON. Numbers are written as Python does, whatever they were written like."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 def digest(value: Column) -> Column:
-    """A hash of a struct or map as JSON; equal within this engine alone."""
-    return F.sha2(F.to_json(value), 256)
+    """The SHA-256 of a struct, map or array as canonical JSON, whose null fields are null."""
+    return text_digest(F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of JSON text in its canonical form."""
+    return F.sha2(canonical(text).cast("binary"), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import json
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern import settings
 from lectern.operators import jobs, model, overview, records, trees, visual
 from lectern.sinks import tables
-from lectern.sources import bundles
+from lectern.sources import bundles, paged, sheet
 
 
 def test_records(spark):
@@ -247,3 +249,51 @@ def test_bytes_that_are_no_text(spark, tmp_path):
             (tmp_path / case / "document_blocks.json").write_bytes(blocks)
     got = {r["case"]: (r["title"], r["blocks"], r["error"]) for r in bundles.bundles(spark, str(tmp_path)).collect()}
     assert got == {"good": ("t", "[]", None), "bad": ("t", None, "document_blocks.json"), "none": (None, None, "source_document.json")}
+
+
+def test_digests(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = {'{"b": [1, 2.0, {"z": null, "a": "飞\\n"}], "a": true}': '{"a": true, "b": [1, 2.0, {"a": "飞\\n", "z": null}]}', '"\\u98de"': '"飞"', "[]": "[]", "{x": None}
+    rows = spark.createDataFrame(list(texts), "string").select("value", records.text_digest(F.col("value")).alias("d")).collect()
+    assert {r["value"]: r["d"] for r in rows} == {k: None if v is None else sha(v) for k, v in texts.items()}
+    mixed = spark.range(1).select(F.struct(F.lit("y").alias("b"), F.create_map(F.lit("k"), F.lit(1), F.lit("c"), F.lit(2)).alias("a"), F.lit(None).cast("string").alias("0")).alias("s"))
+    assert mixed.select(records.digest(F.col("s"))).first()[0] == sha('{"0": null, "a": {"c": 2, "k": 1}, "b": "y"}')
+
+
+def test_pages(spark, tmp_path):
+    put = lambda name, items, following: (tmp_path / f"{name}.json").write_text(json.dumps({"items": items, "next": following}))
+    record = lambda i: {"fields": {"a": f"v{i}", "n": i} if i % 2 else {"b": "é"}}
+    put("first", [record(0), record(1)], "x")
+    put("x", [], "y")
+    put("y", [record(2)], "z")
+    rows = paged.read_pages(spark, str(tmp_path))
+    assert [(r["page"], r["pos"]) for r in rows.orderBy("page", "pos").collect()] == [(0, 0), (0, 1), (2, 0)]
+    sheet_rows = sorted(tuple(r) for r in paged.as_rows(rows, ["a", "b", "n"]).collect())
+    assert sheet_rows == [(1, ["a", "b", "n"]), (2, ["", "é", ""]), (3, ["v1", "", "1"]), (4, ["", "é", ""])]
+
+    def run():
+        query = paged.stream_pages(spark, f"file://{tmp_path}").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        query.stop()
+        return sorted((r["page"], r["pos"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run() == [(0, 0), (0, 1), (2, 0)]
+    put("z", [record(3), record(4)], None)
+    assert run() == run() == [(0, 0), (0, 1), (2, 0), (3, 0), (3, 1)]
+    put("z", [record(3)], "x")
+    with pytest.raises(Exception, match="RepeatedCursor"):
+        paged.read_pages(spark, str(tmp_path)).count()
+    assert paged.read_pages(spark, str(tmp_path), "none").count() == 0
+
+
+def test_ranges_seek(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheet, "ROWS", 7)
+    want = [[f"{i}", f"line\n{i}" if i % 3 else f'say "{i}"', "飞"] for i in range(30)] + [["", "", ""]] * 3
+    with open(tmp_path / "s.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows(want)
+    found = sheet.ranges(f"{tmp_path}/s.csv")
+    assert [r.first for r in found] == [0, 7, 14, 21, 28] and found[-1].end == (tmp_path / "s.csv").stat().st_size
+    got = {r["row_no"]: r["cells"] for r in sheet.read_sheet(spark, f"{tmp_path}/s.csv", 4).collect()}
+    assert got == {i + 1: [*row, ""] for i, row in enumerate(want[:30])}
+    (tmp_path / "none.csv").write_text("")
+    assert sheet.read_sheet(spark, f"{tmp_path}/none.csv").count() == 0

@@ -63,6 +63,11 @@ OUTBOX = """outbox AS (SELECT l_orderkey AS event_key, CASE WHEN l_linenumber %
 
 QUERIES: dict[str, str] = {
     # Verdicts.
+    "visual_source": """SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 THEN 'page_images' WHEN o_orderkey % 11 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 THEN 'unavailable' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'unavailable'
+        WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN CASE WHEN o_totalprice > 300000 THEN 'unavailable' ELSE 'pdf' END WHEN o_custkey % 13 = 0 THEN 'unavailable' ELSE 'generated_pdf' END AS source,
+      CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 THEN '' WHEN o_orderkey % 11 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 THEN 'required_missing' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'declared_missing'
+        WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN CASE WHEN o_totalprice > 300000 THEN 'too_large' ELSE '' END WHEN o_custkey % 13 = 0 THEN 'no_content' ELSE '' END AS reason FROM {orders}""",
+    "input_limits": """SELECT o_orderkey AS doc, o_custkey > 800 AS over_pages, o_totalprice > 350000 AS over_bytes, length(o_orderpriority) * o_custkey > 9000 AS over_chars, CASE WHEN o_totalprice > 350000 THEN 'pdf_too_large' WHEN o_custkey > 800 THEN 'too_many_pages' WHEN length(o_orderpriority) * o_custkey > 9000 THEN 'text_limit' END AS limitation FROM {orders}""",
     "ruled_issues": f"""{VERDICTS} SELECT doc, 'issue-' || cast(pos AS string) || '-' || cast(part_id AS string) AS issue_id, level, category FROM ruled
       UNION ALL SELECT doc, 'similarity-decision', 'major', 'similarity' FROM verdicts WHERE o = 'pass' AND decision <> 'keep_independent'""",
     "visual_assessment": f"""{VERDICTS}, v AS (SELECT doc, visual_complete, doc % 4 AS pages_reviewed, CASE WHEN doc % 3 = 0 THEN array('blurred') WHEN doc % 3 = 1 THEN array('blurred', 'cut off') ELSE array() END AS own, CASE WHEN truncated THEN array('cut off', 'text_limit') ELSE array('pages_missing') END AS found FROM verdicts)
@@ -194,6 +199,11 @@ QUERIES: dict[str, str] = {
 
 #: Other formulations of queries, for the other engine alone.
 ORACLES: dict[str, str] = {
+    "visual_source": """WITH f AS (SELECT o_orderkey AS doc, o_orderkey % 5 = 0 AS pages, o_orderkey % 3 = 0 AS declared, o_orderkey % 7 = 0 AS usual, o_orderkey % 11 = 0 AS required, NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS there, o_totalprice > 300000 AS large, o_custkey % 13 <> 0 AS has_text FROM {orders}),
+      p AS (SELECT *, declared OR usual AS pdf FROM f), t AS (SELECT doc, list_filter([CASE WHEN pages AND NOT pdf THEN 'page_images:' END, CASE WHEN required AND NOT pdf THEN 'unavailable:required_missing' END, CASE WHEN pdf AND NOT there THEN 'unavailable:declared_missing' END, CASE WHEN pdf AND large THEN 'unavailable:too_large' END,
+        CASE WHEN pdf THEN 'pdf:' END, CASE WHEN NOT has_text THEN 'unavailable:no_content' END, 'generated_pdf:'], lambda x: x IS NOT NULL)[1] AS first FROM p) SELECT doc, split_part(first, ':', 1) AS source, split_part(first, ':', 2) AS reason FROM t""",
+    "input_limits": """WITH l AS (SELECT o_orderkey AS doc, greatest(o_custkey - 800, 0) > 0 AS p, NOT o_totalprice <= 350000 AS b, strlen(repeat(o_orderpriority, 1)) * o_custkey / 9000 > 1 AS c FROM {orders})
+      SELECT doc, p AS over_pages, b AS over_bytes, c AS over_chars, coalesce(CASE WHEN b THEN 'pdf_too_large' END, CASE WHEN p THEN 'too_many_pages' END, CASE WHEN c THEN 'text_limit' END) AS limitation FROM l""",
     "ruled_issues": f"""WITH {ISSUES}, {RULED}, {COUNTS}, {ASKED} SELECT doc, 'issue-' || pos || '-' || part_id AS issue_id, level, category FROM ruled
       UNION ALL SELECT a.doc, 'similarity-decision', 'major', 'similarity' FROM asked a WHERE NOT rereview AND effective_candidates > 0 AND raw_similarity IN ('merge_recommended', 'duplicate_reject_recommended')
         AND NOT ((NOT visual_complete OR truncated OR missing_sources > 0) AND requested IN ('pass', 'reject')) AND requested NOT IN ('recommend_human_review', 'incomplete_review')

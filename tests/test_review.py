@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import settings
-from lectern.operators import jobs, model, overview, records, trees, visual
+from lectern.operators import jobs, model, online, overview, records, trees, visual
 from lectern.sinks import tables
 from lectern.sources import bundles, paged, sheet
 
@@ -297,3 +297,22 @@ def test_ranges_seek(spark, tmp_path, monkeypatch):
     assert got == {i + 1: [*row, ""] for i, row in enumerate(want[:30])}
     (tmp_path / "none.csv").write_text("")
     assert sheet.read_sheet(spark, f"{tmp_path}/none.csv").count() == 0
+
+
+def test_published_articles(spark):
+    schema = "document_id string, content string, source_content_hash string, source_updated_at string"
+    entries = spark.createDataFrame([("a", "A", "h", "1", True, True), ("b", "B", "h", "1", True, False), ("c", "C", "h", "1", False, True)], f"{schema}, eligible boolean, publication_confirmed boolean")
+    new = spark.createDataFrame([("a", "A2", "h", "2"), ("a", "A3", "h", "3"), ("d", "D", "h", "1"), ("e", " \u3000", "h", "1"), ("f", "F", "", "1"), ("g", "G", None, "1")], schema)
+    ids = lambda df: sorted((r["document_id"], r["content"]) for r in df.collect())
+    assert ids(online.visible(entries)) == [("a", "A")] and ids(online.visible(entries, F.lit("a"))) == []
+    after = online.published(entries, new)
+    assert ids(after) == [("a", "A3"), ("b", "B"), ("c", "C"), ("d", "D")] and ids(online.visible(after)) == [("a", "A3"), ("d", "D")]
+    assert ids(online.published(entries, new, overwrite=False)) == [("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")]
+    valid = spark.createDataFrame([("a", "3"), ("d", "9"), ("c", "1"), ("b", "1")], "document_id string, version string")
+    assert ids(online.visible(online.invalidated(after, valid))) == [("a", "A3"), ("c", "C")]
+    put = lambda key, own: (key, json.dumps({"article": {"document_id": own, "content": "old", "source_content_hash": "h", "source_updated_at": "0"}, "eligible": True}))
+    legacy = lambda *rows: spark.createDataFrame(list(rows), "key string, payload string")
+    made, archive = online.migrated(legacy(put("a", "a"), put("z", "z")), entries, schema)
+    assert ids(made) == [("a", "A"), ("b", "B"), ("c", "C"), ("z", "old")] and archive.count() == 2 and ids(online.visible(made)) == [("a", "A")]
+    with pytest.raises(ValueError, match="another document"):
+        online.migrated(legacy(put("a", "a"), put("y", "z")), entries, schema)

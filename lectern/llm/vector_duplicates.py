@@ -68,14 +68,14 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and rows of the vectors of each length that can be compared, ROWS at most."""
+def by_length(vectors: pa.ListArray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and rows of the vectors of each length that can be compared, all together or so many at a time."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     size = vectors.value_lengths().fill_null(0).to_numpy()
     at = np.cumsum(size) - size
     for d in np.unique(size[size > 0]):
         own = np.flatnonzero(size == d)
-        for part in np.array_split(own, -(-len(own) // ROWS)):
+        for part in np.array_split(own, -(-len(own) // most) if most else 1):
             rows = flat[at[part][:, None] + np.arange(d)] + 0.0
             ok = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
             if ok.any():
@@ -90,7 +90,7 @@ def sketch(k: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             fp, keys = np.full(len(batch), None, dtype=object), np.zeros((len(batch), tables), dtype=U)
             named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for place, rows in by_length(batch.column(1)):
+            for place, rows in by_length(batch.column(1), ROWS):
                 d = rows.shape[1]
                 if d not in planes:
                     rng = np.random.default_rng([SEED, d])
@@ -199,9 +199,10 @@ def vector_duplicates(vectors: DataFrame, least: float = SIMILARITY, key: str =
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast(kind).alias("v"))
     k, tables = shape(rows.count(), least)
-    sketches = checkpoint(rows.mapInArrow(lean(sketch(k, tables)), "id long, fp binary, keys array<long>, v array<double>").withColumn("node", F.monotonically_increasing_id()))
+    sketches = checkpoint(rows.mapInArrow(lean(sketch(k, tables)), f"id long, fp binary, keys array<long>, v {kind}").withColumn("node", F.monotonically_increasing_id()))
     known = sketches.select("id", "fp")
     groups = checkpoint(sketches.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("node").alias("node")))
     own = checkpoint(sketches.join(groups.select("node", "n"), "node").select("node", "n", "keys", "v"))

@@ -67,6 +67,16 @@ def test_groups_copies_and_chains(spark):
     assert found(spark, rows, 7) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [20, 39, 40, 41, 80])
+def test_parts_of_a_bucket_meet(spark, size, monkeypatch):
+    monkeypatch.setattr(vector_duplicates, "BLOCK", 20)
+    monkeypatch.setattr(vector_duplicates, "ROWS", 16)
+    rng = np.random.default_rng(size)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 0.05 * rng.normal(size=8)).tolist()) for i in range(size)] + [(500 + i, rng.normal(size=8).tolist()) for i in range(30)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(17)
     rows = []

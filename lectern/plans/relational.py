@@ -197,8 +197,45 @@ QUERIES: dict[str, str] = {
       SELECT id, parent FROM t WHERE id NOT IN (SELECT id FROM r)""",
 }
 
+#: Verdicts worked out another way: the first of a list of conditions, decisions by the names of similarities.
+OTHER = f"""WITH {ISSUES}, x AS (SELECT *, CASE WHEN raw_category = 'format' AND position LIKE '%标题%' OR raw_category = 'content_placeholder' AND problem LIKE '%【表格】%' THEN 'minor' ELSE raw_level END AS level FROM issues),
+k AS (SELECT doc, count(CASE level WHEN 'blocking' THEN 1 END) AS b, count(CASE level WHEN 'major' THEN 1 END) AS m, count(CASE level WHEN 'minor' THEN 1 END) AS mi, count(CASE WHEN level = 'blocking' AND raw_category = 'fabricated_content' THEN 1 END) > 0 AS dr FROM x GROUP BY doc),
+a AS (SELECT o_orderkey AS doc, o_orderkey % 5 AS r, o_orderkey % 10 = 0 OR o_orderkey % 23 = 0 OR o_orderkey % 29 = 0 AS inc, o_orderkey % 3 = 0 AS re, o_custkey % 4 AS n, ['no_similar', 'related_but_keep', 'merge_recommended', 'duplicate_reject_recommended', 'same_area_different_direction', 'not_applicable'][o_orderkey % 6 + 1] AS s FROM {{orders}}),
+d AS (SELECT a.doc, r, inc, CASE WHEN re THEN 0 ELSE n END AS candidate_count, CASE WHEN re THEN 'not_applicable' WHEN n = 0 THEN 'no_similar' ELSE s END AS similarity, coalesce(b, 0) AS b, coalesce(m, 0) AS m, coalesce(mi, 0) AS mi, coalesce(dr, false) AS dr FROM a LEFT JOIN k ON k.doc = a.doc),
+o AS (SELECT *, CASE left(similarity, 3) WHEN 'mer' THEN 'merge_required' WHEN 'dup' THEN 'reject_independent_submission' ELSE 'keep_independent' END AS decision,
+  list_filter([CASE WHEN inc AND r IN (0, 4) THEN 'incomplete_review' END, CASE WHEN dr THEN 'reject' END, CASE WHEN b + m > 0 THEN 'need_revision' END, CASE r WHEN 2 THEN 'recommend_human_review' WHEN 3 THEN 'incomplete_review' END, 'pass'], lambda y: y IS NOT NULL)[1] AS o FROM d),
+v AS (SELECT *, o = 'pass' AND decision <> 'keep_independent' AS more, CASE WHEN o = 'pass' AND decision <> 'keep_independent' THEN 'need_revision' ELSE o END AS outcome FROM o),
+w AS (SELECT *, coalesce(CASE decision WHEN 'merge_required' THEN 'merge_with_existing' WHEN 'reject_independent_submission' THEN decision END, MAP {{'pass': 'admin_confirm', 'need_revision': 'author_revise', 'recommend_human_review': 'human_review', 'incomplete_review': 'human_recheck', 'reject': 'reject'}}[outcome]) AS next_action FROM v)"""
+
 #: Other formulations of queries, for the other engine alone.
 ORACLES: dict[str, str] = {
+    "verdict_normalise": f"{OTHER} SELECT doc, outcome, decision, similarity, candidate_count, b AS blocking_count, m + more::INT AS major_count, mi AS minor_count, next_action, if(outcome = 'pass', 'kept', '') AS pass_reason FROM w",
+    "next_action": f"{OTHER} SELECT next_action, outcome, decision, count(*) AS n FROM w GROUP BY ALL",
+    "outcome_status_map": f"{OTHER} SELECT doc, CASE WHEN outcome LIKE 'p%' THEN 'AI通过待确认' WHEN outcome LIKE 'need%' THEN '需修改' WHEN outcome = 'reject' THEN '已拒稿' ELSE '待分配人工审稿' END AS table_status FROM w",
+    "issue_counts": f"{OTHER} SELECT doc, b AS blocking_count, m AS major_count, mi AS minor_count FROM k",
+    "blocking_major_issues": f"WITH {ISSUES} SELECT doc, pos, part_id, raw_level AS level, replace(raw_category, 'novel_kind', 'other') AS category FROM issues WHERE raw_level <> 'minor' AND NOT (raw_category = 'format' AND starts_with(position, '标题')) AND NOT (raw_category = 'content_placeholder' AND part_id % 5 = 0)",
+    "eligible_queue": "SELECT o_orderkey AS row_id, if(o_orderkey % 4 = 0, 'AI', '人工+AI') AS method, if(o_orderkey % 9 = 3, 'AI审稿中', '已修改待复审') AS status, 'n' || o_orderkey AS node, 'o' || o_custkey AS obj FROM {orders} WHERE o_orderkey % 4 < 2 AND o_orderkey % 9 IN (3, 5) AND o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AND o_orderkey % 17 > 0",
+    "sheet_trailing_trim": "WITH r AS (SELECT l_orderkey AS sheet, l_linenumber AS row_no, replace(l_returnflag, 'R', '') AS cell FROM {lineitem}) SELECT * FROM r WHERE EXISTS (SELECT 1 FROM r x WHERE x.sheet = r.sheet AND x.row_no >= r.row_no AND x.cell <> '')",
+    "sort_needed": "WITH s AS (SELECT o_custkey AS grp, list(if(o_orderpriority = '4-NOT SPECIFIED', '9999', o_orderpriority) ORDER BY o_orderkey) AS l FROM {orders} GROUP BY o_custkey) SELECT grp, l <> list_sort(l) AS sort_needed FROM s",
+    "fully_scanned_groups": "SELECT n_regionkey AS wiki, min(c_acctbal) > -900 AS scanned, count(*) AS directories FROM {customer}, {nation} WHERE n_nationkey = c_nationkey GROUP BY ALL",
+    "enabled_parent_semi_join": "SELECT o_orderkey AS job, c_custkey AS parent FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE c_acctbal > 0 AND left(c_mktsegment, 1) IN ('B', 'H', 'M')",
+    "dual_schema_override_union": "SELECT coalesce(s_suppkey, c_custkey) AS id, coalesce(s_name, c_name) AS title, (s_suppkey IS NOT NULL)::INT AS generation FROM {supplier} FULL JOIN {customer} ON c_custkey = s_suppkey",
+    "index_insert_first": "SELECT user_id AS doc, arg_min(event_type, event_id) AS result, min(event_id) AS seq FROM {events} GROUP BY user_id",
+    "latest_history": "SELECT user_id AS doc, event_type AS result, value AS score, event_id AS seq, count(*) OVER (PARTITION BY user_id) AS records FROM {events} QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id)",
+    "dedup_first_event": "SELECT event_type AS kind, user_id AS rkey, min(event_id) AS seq, arg_min(value, event_id) AS payload FROM {events} GROUP BY ALL",
+    "job_state_replay": "SELECT user_id AS job, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS steps, event_id AS seq FROM {events} QUALIFY lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL",
+    "kv_items_in_order": "SELECT event_type AS kind, user_id AS rkey, min(event_id) AS seq, rank() OVER (PARTITION BY event_type ORDER BY min(event_id)) AS place FROM {events} GROUP BY event_type, user_id",
+    "all_parts_sent": f"WITH {OUTBOX} SELECT event_key, count(*) FILTER (WHERE state <> 'sent') = 0 AS notified, count(*) AS parts FROM outbox GROUP BY event_key",
+    "incremental_index_plan": "SELECT o_orderkey AS doc, o_orderstatus AS version FROM {orders} EXCEPT SELECT l_orderkey, l_linestatus FROM {lineitem}",
+    "rekey_identity": "SELECT o_orderkey AS id, if(EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = o_custkey AND c_custkey % 7 = 0), o_custkey + 1000000, o_custkey) AS node FROM {orders}",
+    "index_eligibility": "SELECT doc_id, doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 1 AND (toxic IS NULL OR toxic = 0)) AND text <> '' AS eligible FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels})",
+    "publication_invalidate": "SELECT p_partkey AS obj, p_size AS version, coalesce(p_size = (SELECT max(l_quantity::INT) FROM {lineitem} WHERE l_partkey = p_partkey), false) AS eligible FROM {part}",
+    "simple_table_filter": "WITH t AS (SELECT l_orderkey AS tbl, list(l_returnflag) AS cells FROM {lineitem} GROUP BY l_orderkey, l_linenumber), g AS (SELECT tbl, list(cells) AS rows_ FROM t GROUP BY tbl) SELECT tbl, len(rows_) AS n_rows, len(rows_[1]) AS n_cols FROM g WHERE len(rows_) BETWEEN 2 AND 100 AND len(rows_[1]) <= 20 AND len(list_distinct(list_transform(rows_, lambda r: len(r)))) = 1 AND len(list_filter(flatten(rows_), lambda c: c <> 'R')) >= 0.8 * len(flatten(rows_))",
+    "page_rollup": "SELECT l_orderkey AS doc, count(*) AS pages, count(CASE WHEN l_quantity >= 20 THEN 1 END) AS native_pages, count(CASE WHEN l_quantity < 20 AND l_discount >= 0.05 THEN 1 END) AS scanned_pages, count(*) > count(CASE WHEN l_quantity >= 20 OR l_discount >= 0.05 THEN 1 END) AS has_empty FROM {lineitem} GROUP BY l_orderkey",
+    "backoff_schedule": "SELECT event_id % 6 AS attempt, (CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END)::DOUBLE AS wait_s, count(*) AS n FROM {events} GROUP BY ALL",
+    "input_coverage": "SELECT o_orderkey AS doc, NOT o_orderkey % 10 = 0 AS visual_complete, NOT o_totalprice <= 400000 AS truncated, list_filter([if(o_totalprice > 400000, 'text_limit', NULL), if(o_orderkey % 10 = 0, 'pages_missing', NULL), if(o_orderkey % 29 = 0, 'attachment_unopened', NULL)], lambda x: x IS NOT NULL)[1] AS incomplete_reason FROM {orders}",
+    "delivery_gate": f"WITH {OUTBOX} SELECT event_key, part_no, id, list_filter([if(state = 'sent' OR state = 'uncertain', 'never', NULL), if(state = 'sending', 'mark_uncertain', NULL), if(event_key NOT IN (SELECT o_orderkey FROM {{orders}}), 'cancel', NULL), if(event_key IN (SELECT o_orderkey FROM {{orders}} WHERE o_orderstatus = 'P'), 'wait', NULL), 'send'], lambda x: x IS NOT NULL)[1] AS action FROM outbox",
+    "migration_classify": "WITH n AS (SELECT user_id AS node, count(*) FILTER (WHERE event_type <> 'error') AS h, count(*) FILTER (WHERE event_type = 'error') AS f FROM {events} GROUP BY user_id) SELECT coalesce(c_custkey, node) AS node, CASE WHEN c_custkey IS NULL THEN 'unknown' WHEN coalesce(h, 0) > 0 AND f > h THEN 'failed' WHEN coalesce(h, 0) > 0 THEN 'migrated' ELSE 'untouched' END AS class FROM {customer} FULL JOIN (SELECT * FROM n WHERE h > 0) n ON node = c_custkey",
     "visual_source": """WITH f AS (SELECT o_orderkey AS doc, o_orderkey % 5 = 0 AS pages, o_orderkey % 3 = 0 AS declared, o_orderkey % 7 = 0 AS usual, o_orderkey % 11 = 0 AS required, NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS there, o_totalprice > 300000 AS large, o_custkey % 13 <> 0 AS has_text FROM {orders}),
       p AS (SELECT *, declared OR usual AS pdf FROM f), t AS (SELECT doc, list_filter([CASE WHEN pages AND NOT pdf THEN 'page_images:' END, CASE WHEN required AND NOT pdf THEN 'unavailable:required_missing' END, CASE WHEN pdf AND NOT there THEN 'unavailable:declared_missing' END, CASE WHEN pdf AND large THEN 'unavailable:too_large' END,
         CASE WHEN pdf THEN 'pdf:' END, CASE WHEN NOT has_text THEN 'unavailable:no_content' END, 'generated_pdf:'], lambda x: x IS NOT NULL)[1] AS first FROM p) SELECT doc, split_part(first, ':', 1) AS source, split_part(first, ':', 2) AS reason FROM t""",

@@ -171,3 +171,10 @@ def test_verify_splits_hot_texts(spark, heap, split, monkeypatch):
     pairs = [(0, i) for i in range(1, 120)] + [(1, 2), (502, 503)]
     got = {(r["a"], r["b"]): r["similarity"] for r in nd.verify(spark.createDataFrame(pairs, "a long, b long"), docs).collect()}
     assert got == pytest.approx({(a, b): jaccard(multiset(heap[a]), multiset(heap[b])) for a, b in pairs})
+
+
+def test_long_texts(spark):
+    words = [f"w{(i * 7919) % 4001}" for i in range(120_000)]
+    near = [w if i % 400 else "changed" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "\n".join(words))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}

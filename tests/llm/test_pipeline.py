@@ -52,3 +52,19 @@ def test_stages(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_and_repeated_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").dropDuplicates(["text"])
+    long = " ".join(r["text"] for r in docs.filter("lang = 'en'").collect()) * 12
+    twice = [(10**6, long, "en", "src0", len(long))] * 2 + [(10**6 + 1, long.replace(" the ", " that ", 3), "en", "src1", len(long))]
+    docs = docs.unionByName(spark.createDataFrame(twice, docs.schema))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        if name == "mixing":
+            continue
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        kept = sorted(r["doc_id"] for r in docs.filter("doc_id >= 1000000").select("doc_id").collect())
+        assert kept == ([10**6, 10**6, 10**6 + 1] if name == "language_id" else [10**6])
+    row = docs.filter("doc_id = 1000000").select("decoded_ok", "n_tokens").first()
+    assert row["decoded_ok"] and row["n_tokens"] > 100_000

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import visual as V
-from ..streaming.outbox import replay
+from ..streaming.outbox import FIRST, MOVES, replay
+from .journal import replay_sql
 from .tables import table
 
 
@@ -82,8 +83,11 @@ def message_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.message_parts(d, "doc_id", "text", 1200).select("doc_id", "part", "parts", F.md5("body").alias("hash"))
 
 
+REPORTS = ["send", "ok", "fail", "retry", "lost", "cancel"]
+
+
 def outbox_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = F.element_at(F.array(*map(F.lit, ["send", "ok", "fail", "retry", "lost", "cancel"])), (F.col("event_id") % 6 + 1).cast("int"))
+    report = F.element_at(F.array(*map(F.lit, REPORTS)), (F.col("event_id") % 6 + 1).cast("int"))
     return replay(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), report.alias("report")))
 
 
@@ -103,8 +107,15 @@ QUERIES = {
     "outbox_replay": outbox_replay,
 }
 
+#: Regions of a document one after another, as greedy rules take them.
+ITEMS = """i AS (SELECT l_orderkey AS doc, l_linenumber * 1000000 + l_partkey AS id, l_quantity::BIGINT AS bytes, l_partkey * 7919 AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_quantity, l_linenumber * 1000000 + l_partkey) AS n FROM lineitem)"""
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 SQL = {
+    "outbox_replay": f"{replay_sql(MOVES, FIRST, 'user_id::VARCHAR', REPORTS)} SELECT k AS key, state FROM z",
+    "greedy_budget": f"""WITH RECURSIVE {ITEMS}, s AS (SELECT DISTINCT doc, 0::BIGINT AS n, 0::BIGINT AS used, []::BIGINT[] AS ids FROM i UNION ALL SELECT s.doc, i.n, if(len(ids) < 4 AND used + bytes <= 90, used + bytes, used), if(len(ids) < 4 AND used + bytes <= 90, list_append(ids, id), ids) FROM s JOIN i ON i.doc = s.doc AND i.n = s.n + 1)
+      SELECT doc, array_to_string(ids, ',') AS selected FROM s QUALIFY n = max(n) OVER (PARTITION BY doc)""",
+    "greedy_near_dup": f"""WITH RECURSIVE {ITEMS}, s AS (SELECT DISTINCT doc, 0::BIGINT AS n, []::BIGINT[] AS hs, []::BIGINT[] AS ids FROM i UNION ALL SELECT s.doc, i.n, if(len(list_filter(hs, lambda x: bit_count(xor(x, h)) <= 5)) > 0, hs, list_append(hs, h)), if(len(list_filter(hs, lambda x: bit_count(xor(x, h)) <= 5)) > 0, ids, list_append(ids, id)) FROM s JOIN i ON i.doc = s.doc AND i.n = s.n + 1)
+      SELECT doc, array_to_string(ids, ',') AS kept FROM s QUALIFY n = max(n) OVER (PARTITION BY doc)""",
     "blocks_to_markdown": f"""WITH {LINES}, n AS (SELECT *, sum((pos % 6 = 4)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS img FROM l),
       m AS (SELECT doc_id, pos, x, CASE pos % 6 WHEN 0 THEN repeat('#', greatest(1, least(6, pos % 9))::INT) || ' ' || x WHEN 1 THEN '- ' || x WHEN 3 THEN '1. ' || x WHEN 4 THEN '[image ' || img::BIGINT || ': ' || x || ']' WHEN 5 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x END AS md FROM n)
       SELECT doc_id, md5(string_agg(md, chr(10) || chr(10) ORDER BY pos)) AS hash, count(*) AS blocks, count(*) FILTER (WHERE pos % 6 = 4) AS images, sum(length(x))::BIGINT AS chars FROM m GROUP BY doc_id""",

@@ -43,9 +43,12 @@ def dedup_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.first_of_equal(rows, "doc", "sha", ["id"], "id")
 
 
+REPORTS = ["start", "reviewed", "write", "written", "commit", "fail", "stale", "start"]
+
+
 def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state machine of jobs over the journal, whose kinds and numbers stand for reports."""
-    report = F.element_at(F.array(*map(F.lit, ["start", "reviewed", "write", "written", "commit", "fail", "stale", "start"])), (F.col("event_id") % 8 + 1).cast("int"))
+    report = F.element_at(F.array(*map(F.lit, REPORTS)), (F.col("event_id") % 8 + 1).cast("int"))
     return jobs.replay(table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), report.alias("report")))
 
 
@@ -66,3 +69,18 @@ QUERIES = {
     "job_lifecycle": job_lifecycle,
     "key_pages": key_pages,
 }
+
+
+def replay_sql(moves: dict[str, dict[str, str]], first: str, key: str, reports: list[str]) -> str:
+    """The states of events by recursion, one report after another; reports come round by number."""
+    table_ = ", ".join(f"('{old}', '{report}', '{new}')" for old, own in moves.items() for report, new in own.items())
+    return f"""WITH RECURSIVE m(state, report, new) AS (VALUES {table_}), e AS (SELECT {key} AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, {reports!r}[event_id % {len(reports)} + 1] AS report FROM events),
+      s AS (SELECT DISTINCT k, 0::BIGINT AS n, '{first}' AS state, 0::BIGINT AS steps FROM e UNION ALL SELECT s.k, e.n, coalesce(m.new, s.state), s.steps + if(m.new IS NULL, 0, 1) FROM s JOIN e ON e.k = s.k AND e.n = s.n + 1 LEFT JOIN m ON m.state = s.state AND m.report = e.report),
+      z AS (SELECT * FROM s QUALIFY n = max(n) OVER (PARTITION BY k))"""
+
+
+SQL = {
+    "job_lifecycle": f"{replay_sql(jobs.MOVES, jobs.FIRST, 'user_id', REPORTS)} SELECT k AS job, state, steps FROM z",
+    "key_pages": """WITH p AS (SELECT l_orderkey AS doc, l_partkey % 12 + 1 AS page, min(l_linenumber * 100 + l_partkey % 12 + 1) AS seen FROM lineitem GROUP BY ALL),
+      f AS (SELECT * FROM p WHERE page <> 1 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY seen) <= 7) SELECT doc, concat_ws(',', '1', (SELECT string_agg(page::VARCHAR, ',' ORDER BY seen) FROM f WHERE f.doc = d.doc)) AS pages FROM (SELECT DISTINCT doc FROM p) d""",
+}

@@ -52,8 +52,8 @@ KINDS = [(set(), set()), *ENDS.values()]
 PLACE = {name: i for i, name in enumerate(ENDS, 1)}
 SPECIAL = {"p"} | SCOPE | {name for kinds in KINDS for own in kinds for name in own}
 # Words of the names of page furniture. A name is in doubt if all its words are here and one is no FILLER.
-FIRM = set("ad ads adv advert adverts advertisement advertisements adsense adsbygoogle adslot adbox sponsor sponsored outbrain taboola sidebar sidenav navbar breadcrumb breadcrumbs masthead footer cookie gdpr popup modal newsletter subscribe comment comments commentlist disqus respond paywall".split())
-SOFT = set("menu menus nav navigation consent login signin signup register share sharing social related recommend recommended recommendation recommendations widget widgets toolbar pagination pager skip promo promos promotion promotions advertising sponsors subscription subscriptions cookies".split())
+FIRM = set("ad ads adv advert adverts advertisement advertisements adsense adsbygoogle adslot adbox sponsor sponsored promo promos outbrain taboola sidebar sidenav navbar breadcrumb breadcrumbs masthead footer cookie gdpr popup modal newsletter subscribe comment comments commentlist disqus respond paywall".split())
+SOFT = set("menu menus nav navigation consent login signin signup register share sharing social related recommend recommended recommendation recommendations widget widgets toolbar pagination pager skip promotion promotions advertising sponsors subscription subscriptions cookies".split())
 NOTICE = {"notice", "notices"}
 REPLIES = set("reply replies response responses".split())
 MILD = set("banner banners header headers topbar overlay alert alerts discussion discussions disclaimer disclaimers".split())

@@ -620,6 +620,8 @@ FURNITURE = [
     "<section id='related'><h2>Related</h2><ul><li><a>One of them</a><li><a>Two of them</a></ul></section>",
     "<div class='social-links'>Follow us, on, all of these</div>",
     "<section class='comments'><h2>3 comments</h2>" + LONG.replace("Part", "Reader") + "</section>",
+    "<div class='promo-box'><h3>For you</h3><p>Buy this, and that, and more of it, now.</p></div>",
+    "<div id='reader-comments'><div id='comment-12'><p>I, for one, think so.</p></div></div>",
     "<div class='AdSlot ad-slot-3'>Buy this, and that, and more of it, now.</div>",
     "<form><label>Name <input></label><p>" + "Fill in, please. " * 10 + "</p><textarea></textarea></form>",
     "<fieldset><legend>Vote</legend><input type=radio> Yes <input type=radio> No</fieldset>",

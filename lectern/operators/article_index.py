@@ -141,7 +141,8 @@ class Block:
     def prepare(self) -> None:
         """The postings of common grams as dense matrices; made in a task, as they are larger than what they are from."""
         self.column, self.dots = G.dense(self.begin, self.query, self.dot, len(self.names))
-        self.mores = G.dense(self.begin, self.query, self.more, len(self.names))[1]
+        self.corrected = bool(self.more.any())
+        self.mores = G.dense(self.begin, self.query, self.more, len(self.names))[1] if self.corrected else None
 
     def scores(self, keys: list, codes: list[np.ndarray], counts: list[np.ndarray], s: np.ndarray) -> np.ndarray:
         """Cosines of articles, a row each, with all queries; 0 where no gram is shared, or the article is the query's own."""
@@ -157,9 +158,11 @@ class Block:
             n = self.begin[at + 1] - self.begin[at]
             take = np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
             dot[i] = np.bincount(self.query[take], self.dot[take] * np.repeat(c, n), shape[1])
-            more[i] = np.bincount(self.query[take], self.more[take] * np.repeat(c * c, n), shape[1])
+            if self.corrected:
+                more[i] = np.bincount(self.query[take], self.more[take] * np.repeat(c * c, n), shape[1])
         dot += common @ self.dots
-        more += (common * common) @ self.mores
+        if self.corrected:
+            more += (common * common) @ self.mores
         square = self.a**2 * s[:, :1] - 2 * self.a * s[:, 1:2] + s[:, 2:3] + more
         with np.errstate(all="ignore"):
             out = np.where((dot > 0) & (square > 0), dot / np.sqrt(square) / self.norm, 0.0)

@@ -118,7 +118,7 @@ def cuts(text: Column, size: int) -> Column:
 def segments(text: Column, size: int = 500) -> Column:
     """Sentences by their end marks and by lines, none longer than size."""
     ends = F.flatten(F.transform(lines(text), lambda x: F.split(x, "(?<=[。！？!?；;])")))
-    return F.flatten(F.transform(F.filter(F.transform(ends, F.trim), lambda x: x != ""), lambda x: cuts(x, size)))
+    return F.flatten(F.transform(F.filter(F.transform(ends, lambda x: F.trim(x)), lambda x: x != ""), lambda x: cuts(x, size)))
 
 
 def evenly(values: Column, slots: int) -> Column:

@@ -36,3 +36,16 @@ def test_samples_keep_digits_at_the_ends_of_lines(spark, tmp_path):
     same(spark, sf, "evenly_sampled_segments", "documents")
     rows = spark.createDataFrame([("0 a. b 0\n 1 c 1 ",)], "t string").select(T.segments(F.col("t")))
     assert rows.first()[0] == ["0 a. b 0", "1 c 1"]
+
+
+def test_trees_of_over_a_million_nodes(spark, tmp_path):
+    n = 1_010_000
+    sf = written(tmp_path, part={"p_partkey": pa.array(range(1, n + 1), pa.int64())})
+    found = catalog.QUERIES["block_tree_flatten"](spark, sf)
+    assert found.agg(F.count("*"), F.countDistinct("id"), F.max("pos") > 300_000).first()[:] == (n, n, True)
+
+
+def test_numbers_of_repeated_nodes(spark, tmp_path):
+    sf = written(tmp_path, part={"p_partkey": pa.array([1, 1, 2, 4, 5, 16, 64, 257, 1030, 1031, 4121, 90, None], pa.int64())})
+    same(spark, sf, "block_tree_flatten", "part")
+    same(spark, sf, "block_tree_unreachable", "part")

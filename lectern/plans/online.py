@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import online
 from .tables import oracle, table
@@ -16,7 +17,10 @@ ITEMS = """SELECT l_orderkey AS doc, l_linenumber * 100000 + l_partkey AS pos, C
 
 
 def online_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews, items = (spark.sql(text, **{name: table(spark, sf_dir, name)}) for text, name in ((REVIEWS, "orders"), (ITEMS, "lineitem")))
+    """Items of one place (pos) come in the order of the table's rows, as the other engine reads them."""
+    reviews = spark.sql(REVIEWS, orders=table(spark, sf_dir, "orders"))
+    placed = table(spark, sf_dir, "lineitem").select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("nth"))
+    items = spark.sql(ITEMS.replace("SELECT ", "SELECT nth, ", 1), lineitem=placed).withColumn("pos", F.struct("pos", "nth"))
     resolutions = items.filter("part = 0").selectExpr("doc", "pos", "problem AS issue_id", "level AS status", "suggestion AS evidence")
     candidates = items.filter("part = 1").selectExpr("doc", "pos", "problem AS title", "category AS wiki", "suggestion AS link", "level AS evidence")
     found = online.messages(reviews, items, resolutions, candidates)

@@ -49,3 +49,10 @@ def test_numbers_of_repeated_nodes(spark, tmp_path):
     sf = written(tmp_path, part={"p_partkey": pa.array([1, 1, 2, 4, 5, 16, 64, 257, 1030, 1031, 4121, 90, None], pa.int64())})
     same(spark, sf, "block_tree_flatten", "part")
     same(spark, sf, "block_tree_unreachable", "part")
+
+
+def test_messages_of_items_of_one_place(spark, tmp_path):
+    n = 6
+    items = {"l_orderkey": [3] * n, "l_partkey": [7, 9, 7, 7, 8, 7], "l_suppkey": [50, 1, 40, 30, 6, 20], "l_linenumber": pa.array([1] * n, pa.int32()), "l_quantity": [1.0, 2.0, 3.0, 5.0, 6.0, 1.0], "l_returnflag": ["A"] * n, "l_linestatus": ["O"] * n}
+    orders = {"o_orderkey": [3, 4], "o_custkey": [1, 2], "o_orderstatus": ["F", "O"], "o_orderpriority": ["1", "2"]}
+    same(spark, written(tmp_path, lineitem=items, orders=orders), "online_messages", "lineitem", "orders")

@@ -51,13 +51,15 @@ def lines(text: Column) -> Column:
 
 
 def unique(values: Column, limit: int, key: Callable[[Column], Column] = F.lower) -> Column:
-    """The first of the values of each key, in their order, without blank ones, limit at most."""
+    """The first of the values of each key, in their order, without blank ones, limit at most.
+
+    Keys are met by hash; only those that are returned are looked for, so that long lists take no square of their length.
+    """
 
     def first(v: Column) -> Column:
-        keys = F.transform(v, key)
-        return let(keys, lambda k: F.filter(v, lambda x, i: (key(x) != "") & (F.array_position(k, key(x)) == i + 1)))
+        return let(F.transform(v, lambda x: key(x)), lambda k: F.transform(F.slice(F.filter(F.array_distinct(k), lambda x: x != ""), 1, limit), lambda x: F.element_at(v, F.array_position(k, x).cast("int"))))
 
-    return F.slice(let(F.transform(values, squeezed), first), 1, limit)
+    return let(F.transform(F.array_distinct(values), lambda x: squeezed(x)), first)
 
 
 def markdown_headings(text: Column, limit: int = 20) -> Column:

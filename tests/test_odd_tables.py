@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
+import weakref
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lectern import catalog
 from lectern.functions import text as T
+from lectern.operators import grams as G
 
 
 def written(folder, **tables: dict) -> str:
@@ -56,3 +62,12 @@ def test_messages_of_items_of_one_place(spark, tmp_path):
     items = {"l_orderkey": [3] * n, "l_partkey": [7, 9, 7, 7, 8, 7], "l_suppkey": [50, 1, 40, 30, 6, 20], "l_linenumber": pa.array([1] * n, pa.int32()), "l_quantity": [1.0, 2.0, 3.0, 5.0, 6.0, 1.0], "l_returnflag": ["A"] * n, "l_linestatus": ["O"] * n}
     orders = {"o_orderkey": [3, 4], "o_custkey": [1, 2], "o_orderstatus": ["F", "O"], "o_orderpriority": ["1", "2"]}
     same(spark, written(tmp_path, lineitem=items, orders=orders), "online_messages", "lineitem", "orders")
+
+
+def test_unique_of_many_values_takes_no_square(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    sf = written(tmp_path, documents={"doc_id": [1, 2], "text": [f"a  A b\nB a {words}", "x"]})
+    start = time.perf_counter()
+    rows = dict(map(tuple, catalog.QUERIES["stable_unique_cap"](spark, sf).collect()))
+    assert rows == {1: " ".join(["a", "b", *[f"w{i}" for i in range(38)]]), 2: "x"} and time.perf_counter() - start < 10
+    same(spark, sf, "stable_unique_cap", "documents")

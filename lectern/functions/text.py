@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as content, and what is left out of bodies.
-MEANINGFUL = "[^0-9A-Za-z\\u4e00-\\u9fff]"
+MEANINGFUL = "[^0-9A-Za-z\\u4e00-\\u9fff]+"
 PLACEHOLDER = r"\[图片说明：.*?\]|!\[[^\]]*\]\([^)]*\)"
 UNITS = "V mV A mA W kW Hz kHz MHz GHz ms s min mm cm m km g kg ℃ °C % dB rpm Mbps 层 S"
 TERMS = "无人机 飞控 硬件 控制器 传感器 惯性测量 通信 电源 电源树 原理图 电路板 接口 固件 标定 台架测试 环回测试 振动测试 温升测试 故障排查 实验记录 复现 验证 测试 日志 部署 配置 参数"

@@ -71,3 +71,12 @@ def test_unique_of_many_values_takes_no_square(spark, tmp_path):
     rows = dict(map(tuple, catalog.QUERIES["stable_unique_cap"](spark, sf).collect()))
     assert rows == {1: " ".join(["a", "b", *[f"w{i}" for i in range(38)]]), 2: "x"} and time.perf_counter() - start < 10
     same(spark, sf, "stable_unique_cap", "documents")
+
+
+@pytest.mark.parametrize("name", ["reliable_text_filter", "valid_text_filter"])
+def test_characters_are_counted_once(spark, tmp_path, name):
+    texts = ["a" * 20, "-" * 30 + "b" * 19, "![x](y)" + "c" * 21, "", None, "中" * 20 + "[图片说明：zz]", "; a ;" * 20]
+    sf = written(tmp_path, documents={"doc_id": list(range(7)), "text": texts})
+    same(spark, sf, name, "documents")
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2

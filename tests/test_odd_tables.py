@@ -80,3 +80,18 @@ def test_characters_are_counted_once(spark, tmp_path, name):
     same(spark, sf, name, "documents")
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 2
+
+
+def test_norms_hold_the_grams_of_one_text(monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "coded", lambda text: made.append(weakref.ref(c := np.arange(3))) or (c, np.ones(3)))
+    held = []
+
+    def measured(text):
+        found = G.coded(text)[0]
+        held.append(sum(r() is not None for r in made))
+        return (len(found),)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["abc"] * 50)], names=["k", "s"])
+    assert next(G.by_text(measured, pa.int64(), ["k", "n"])(iter([batch]))).column(1).to_pylist() == [3] * 50
+    assert max(held) <= 2

@@ -95,3 +95,11 @@ def test_norms_hold_the_grams_of_one_text(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["abc"] * 50)], names=["k", "s"])
     assert next(G.by_text(measured, pa.int64(), ["k", "n"])(iter([batch]))).column(1).to_pylist() == [3] * 50
     assert max(held) <= 2
+
+
+def test_manifests_are_summed_in_one_pass(spark, tmp_path):
+    rows = [(1, 1, 5.0, 50, 3), (1, 1, 2.0, 7, 20), (1, 2, 5.0, 7, 40), (1, 3, 5.0, 7, 3), (1, 3, 1.0, 8, 3), (2, 1, None, 50, 1), (None, 1, 4.0, 7, 1), (3, None, 4.0, 7, 1), (4, 1, 4.0, None, 1), (5, 1, 4.0, 7, None), (6, 1, 4.0, 100, 1)]
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"]
+    sf = written(tmp_path, lineitem=dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    same(spark, sf, "manifest_integrity", "lineitem")
+    assert "Join" not in catalog.QUERIES["manifest_integrity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern import catalog
 from lectern.functions import text as T
 from lectern.operators import grams as G
+from lectern.operators import trees
 
 
 def written(folder, **tables: dict) -> str:
@@ -103,3 +104,10 @@ def test_manifests_are_summed_in_one_pass(spark, tmp_path):
     sf = written(tmp_path, lineitem=dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
     same(spark, sf, "manifest_integrity", "lineitem")
     assert "Join" not in catalog.QUERIES["manifest_integrity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_trees_do_not_pass_through_the_driver(spark):
+    docs = spark.createDataFrame([("d", '[{"block_id":"d","block_type":1,"children":["a"]},{"block_id":"a","block_type":2,"text":{"elements":[{"text_run":{"content":"x"}}]}}]')], "doc string, blocks string")
+    found = trees.flattened(docs, "doc", "blocks")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("d", 0, "paragraph", None, "x", None)]

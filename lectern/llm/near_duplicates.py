@@ -11,8 +11,9 @@ overlap of their multisets. Not all pairs are made. First the members of a bucke
 that are connected then need no comparison with each other. Buckets of more than SMALL texts which are not all connected
 hold texts that share a passage but are not alike, or copies with many changes. Their members meet by prefixes: two texts
 of the similarity, the shingles of each sorted by how few texts have them, have one of their first and rarest shingles in
-common, which a passage of many texts is not. This is exact, so no bucket and no group is capped and no link between texts
-of a bucket is lost.
+common, which a passage of many texts is not. Many copies of one text have the same shingles there, linked or not, so they
+meet by what they differ in from one of them instead, its rarest first. This is exact, so no bucket and no group is capped
+and no link between texts of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ REGISTERS = BANDS * ROWS
 SMALL = 16
 #: Bands by which texts are first compared with the centres of their buckets.
 STARS = 8
+#: Similarity from which a text may be described by its differences from the centre of a bucket.
+LOOSE = 0.5
 #: Counters of the shingles of texts that meet by prefixes, a byte each where they are broadcast, and those of a block.
 #: More than CROWDED shingles a counter are counted by a join instead.
 COUNTERS, BLOCK, CROWDED = 1 << 22, 1 << 14, 8
@@ -352,16 +355,21 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return checkpoint(both.select("a", "b", "a_text", "b_text").mapInArrow(lean(overlap), "a long, b long, similarity double"))
 
 
-def prefixes(ids: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """id, n (its shingles), x (a shingle), pos and core, for the rarest shingles of the texts of ids.
+def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and x, the shingles of its text, of the texts of ids."""
+    with small_batches(docs.sparkSession):
+        return checkpoint(pick(docs, ids).repartition("id").mapInArrow(lean(elements), "id long, x array<long>"))
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """id, n (its shingles), x (a shingle), pos and core, for the rarest shingles of sets (id, x).
 
     Shingles are ordered by the level of their counter, which others may share, and by their value: one order for all
     texts. A shingle's place in the order of its text is pos. Those whose counter has one text come first, count, and
     are not returned. Of two texts of at least the similarity, the first shingle in common is among these rows for
     both, and core for the smaller of them. Full counters make more rows, never fewer links.
     """
-    with small_batches(docs.sparkSession):
-        sets = checkpoint(pick(docs, ids).repartition("id").mapInArrow(lean(elements), "id long, x array<long>"))
+    with small_batches(sets.sparkSession):
         if (sets.agg(F.sum(F.size("x").cast("long"))).first()[0] or 0) > CROWDED * COUNTERS:
             return cores(joined_prefixes(sets, least), least)
         blocks = sets.select("x").mapInArrow(lean(tally(COUNTERS, BLOCK)), "at long, places binary, counts binary").repartition("at").mapInArrow(lean(added(BLOCK)), "at long, levels binary")
@@ -389,26 +397,90 @@ def joined_prefixes(sets: DataFrame, least: float) -> DataFrame:
     return checkpoint(rows.select("id", "n", "e.x", F.col("pos").cast("long").alias("pos")))
 
 
-def crowd_pairs(crowd: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Pairs a < b of crowd (id, label) of different labels that may have the similarity.
+def crowd_pairs(crowd: DataFrame, docs: DataFrame, least: float, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of crowd (id, label, maybe family) of different labels and families that may have the similarity.
 
-    Of the rows of a shingle, those of its most frequent label are not compared with each other: where most texts are
-    connected, the work is the others times all. The rows of a frequent shingle are dealt to parts, each of which meets
-    these others.
+    Of the rows of a shingle, those of its most frequent family (label, if there are none) are not compared with each
+    other: where most texts are connected, the work is the others times all. The rows of a frequent shingle are dealt to
+    parts, each of which meets these others. sets: shingle_sets of crowd, if they are there.
     """
-    rows = checkpoint(prefixes(crowd.select("id"), docs, least).join(crowd, "id"))
-    by_label = rows.groupBy("x", "label").agg(F.count("*").alias("c"))
-    most = checkpoint(by_label.groupBy("x").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).filter("labels > 1").drop("labels"))
-    meet = attach_groups(rows, most, "x", "c", "inner").withColumn("minor", F.col("label") != F.col("top")).withColumn("parts", F.ceil(F.col("c") / MEET))
+    sets = shingle_sets(crowd.select("id"), docs) if sets is None else sets
+    crowd = crowd.select("id", "label", crowd["family" if "family" in crowd.columns else "label"].alias("family"))
+    rows = checkpoint(prefixes(sets, least).join(crowd, "id"))
+    by_family = rows.groupBy("x", "family").agg(F.count("*").alias("c"))
+    most = checkpoint(by_family.groupBy("x").agg(F.max_by("family", F.struct("c", "family")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("families")).filter("families > 1").drop("families"))
+    meet = attach_groups(rows, most, "x", "c", "inner").withColumn("minor", F.col("family") != F.col("top")).withColumn("parts", F.ceil(F.col("c") / MEET))
     meet = checkpoint(meet.withColumn("part", F.pmod(F.xxhash64("id"), "parts")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    left = meet.filter("minor").withColumn("part", every).select(*[F.col(c).alias(f"l_{c}") for c in ("x", "part", "id", "n", "pos", "core", "label")])
+    left = meet.filter("minor").withColumn("part", every).select(*[F.col(c).alias(f"l_{c}") for c in ("x", "part", "id", "n", "pos", "core", "label", "family")])
     short = F.when(F.col("n") < F.col("l_n"), F.col("core")).otherwise(F.col("l_core"))
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("l_n")) - 1e-9)
-    on = (F.col("x") == F.col("l_x")) & (F.col("part") == F.col("l_part")) & (F.col("label") != F.col("l_label")) & (~F.col("minor") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
+    on = (F.col("x") == F.col("l_x")) & (F.col("part") == F.col("l_part")) & (F.col("label") != F.col("l_label")) & (F.col("family") != F.col("l_family")) & (~F.col("minor") | (F.col("l_id") < F.col("id"))) & short & alike(F.col("n"), F.col("l_n"), least) & (F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= need)
     return left.join(meet, on).select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
 
 
+def hubs_of(crowd: DataFrame, done: DataFrame) -> DataFrame:
+    """crowd (id, label) with hub and root: hub is, of a text and those that it is known to be loosely like, the one that
+    most are like, and root the hub of the hub. done: verified pairs."""
+    like = done.filter(F.col("similarity") >= LOOSE)
+    both = checkpoint(like.select(F.col("a").alias("id"), F.col("b").alias("hub")).unionByName(like.select(F.col("b").alias("id"), F.col("a").alias("hub"))))
+    near = checkpoint(both.groupBy("hub").agg(F.count("*").alias("m")))
+    every = attach_groups(both, near, "hub", "m", "inner").unionByName(near.select(F.col("hub").alias("id"), "hub", "m"), allowMissingColumns=True)
+    best = checkpoint(every.groupBy("id").agg(F.max(F.struct("m", "hub")).alias("top")).select("id", F.col("top.hub").alias("hub")))
+    roots = checkpoint(best.groupBy("hub").agg(F.count("*").alias("m")).join(best.select(F.col("id").alias("hub"), F.col("hub").alias("root")), "hub"))
+    found = attach_groups(best, roots, "hub", "m", "inner").select("id", "hub", "root")
+    return checkpoint(crowd.join(found, "id", "left").select("id", "label", F.coalesce("hub", "id").alias("hub"), F.coalesce("root", "id").alias("root")))
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, label, family, n, m (shingles of the text and of its family's) and d, the shingles that one of both has.
+
+    members: hubs_of. The family is the root, where the text is loosely like it, else the hub. A text that many others
+    name is copied for each SPLIT of these.
+    """
+    each = checkpoint(members.select("id", "label", "root", F.explode(F.array_distinct(F.array("root", "hub"))).alias("family")))
+    named = checkpoint(each.groupBy("family").agg(F.count("*").alias("c")))
+    parts = named.select("family", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / SPLIT).cast("int"))).alias("part"))
+    of = sets.select(F.col("id").alias("family"), F.col("x").alias("y")).join(parts, "family")
+    split = attach_groups(each, named, "family", "c", "inner").withColumn("part", F.pmod(F.xxhash64("id"), F.floor((F.col("c") - 1) / SPLIT) + 1).cast("int"))
+    both = split.join(sets, "id").join(of, ["family", "part"])
+    d = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    rows = both.select("id", "label", "family", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), d.alias("d"), (F.col("family") == F.col("root")).alias("first"))
+    rows = rows.withColumn("order", F.when(F.col("first") & (likeness(F.col("n"), F.col("m"), F.size("d")) >= LOOSE), 2).when(~F.col("first"), 1).otherwise(0))
+    return checkpoint(rows.groupBy("id").agg(F.max_by(F.struct("label", "family", "n", "m", "d"), "order").alias("r")).select("id", "r.*"))
+
+
+def likeness(n: Column, m: Column, d: Column) -> Column:
+    """The similarity of texts of n and m shingles of which d are in one only; 1 for two texts without any."""
+    return F.coalesce((n + m - d) / (n + m + d), F.lit(1.0))
+
+
+def family_pairs(kin: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of kin (as differences has it) of one family that may have the similarity and are not known to be
+    connected, neither by label nor as both are linked to the text of the family.
+
+    What one of two texts has is what their differences from a third do not share. Of n and m shingles, at most
+    (n + m) (1 - least) / (1 + least) may be in one only. Two texts that may be linked whatever their differences share are both
+    linked to the third. Others share some, the more the larger these are. In one order of a family, rarest first, the
+    first that both have has enough behind it in both; of the text whose differences are fewer for its length, it is
+    among the first ones (core). Copies that each differ in their own way share none of these.
+    """
+    each = kin.select("id", F.explode("d").alias("x"), "family").select("id", F.xxhash64("family", "x").alias("x"))
+    counts = checkpoint(each.groupBy("x").agg(F.count("*").alias("c")))
+    own = checkpoint(attach_groups(each, counts, "x", "c", "inner").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("own")))
+    spare, size = F.lit((1 - least) / (1 + least)) * F.col("n"), F.size("own")
+    rows = kin.select("id", "label", "n", (likeness(F.col("n"), F.col("m"), F.size("d")) >= least).alias("near")).join(own, "id")
+    rows = rows.select("id", "label", "n", "near", (size - spare).alias("far"), (size + spare).alias("reach"), F.posexplode("own").alias("pos", "e")).filter("e.c > 1")
+    rows = rows.select("id", "label", "n", "near", "far", (F.col("reach") - 2 * F.col("pos")).alias("reach"), "e.x", F.ceil(F.col("e.c") / MEET).alias("parts"))
+    rows = checkpoint(rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    core = rows.filter(F.col("reach") >= F.col("far") - 1e-6).withColumn("part", every).select(*[F.col(c).alias(f"l_{c}") for c in ("x", "part", "id", "label", "n", "near", "far", "reach")])
+    fewer = (F.col("l_far") < F.col("far")) | (F.col("l_far") == F.col("far")) & (F.col("l_id") < F.col("id"))
+    enough = (F.col("l_reach") >= F.col("far") - 1e-6) & (F.col("reach") >= F.col("l_far") - 1e-6)
+    on = (F.col("x") == F.col("l_x")) & (F.col("part") == F.col("l_part")) & (F.col("label") != F.col("l_label")) & ~(F.col("near") & F.col("l_near")) & fewer & enough & alike(F.col("n"), F.col("l_n"), least)
+    return core.join(rows, on).select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
+
+
 def alike(n: Column, m: Column, least: float) -> Column:
     """Whether texts of n and m shingles can have the similarity."""
     return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
@@ -434,7 +506,7 @@ def links_of(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     rows: id, bands, n. First each text is compared with the centres of some of its buckets. Of the buckets that then
     hold texts which are not connected, small ones are compared in full, but for connected pairs, and the members of
-    large ones meet by prefixes.
+    large ones meet by their differences from one of their family, and by prefixes those of other families.
     """
     done = verify(checkpoint(stars(rows, least)), docs)
     edges = done.filter(F.col("similarity") >= least).select("a", "b")
@@ -451,7 +523,13 @@ def links_of(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     crowd = checkpoint(live.filter(F.col("m") > SMALL).select("id", "label").distinct())
     if crowd.isEmpty():
         return edges
-    pairs = checkpoint(crowd_pairs(crowd, docs, least).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    members = hubs_of(crowd, done)
+    sets = shingle_sets(checkpoint(members.select(F.explode(F.array("id", "hub", "root")).alias("id")).distinct()), docs)
+    kin = differences(members, sets)
+    near = kin.filter((F.col("id") != F.col("family")) & (likeness(F.col("n"), F.col("m"), F.size("d")) >= least))
+    edges = edges.unionByName(near.select(F.least("id", "family").alias("a"), F.greatest("id", "family").alias("b")))
+    pairs = family_pairs(kin, least).unionByName(crowd_pairs(kin.select("id", "label", "family"), docs, least, sets))
+    pairs = checkpoint(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
     return edges.unionByName(verify(pairs, docs).filter(F.col("similarity") >= least).select("a", "b"))
 
 

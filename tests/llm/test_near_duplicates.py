@@ -178,3 +178,59 @@ def test_long_texts(spark):
     near = [w if i % 400 else "changed" for i, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "\n".join(words))], "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def copies(n: int, words: int = 120, changed: int = 3) -> dict[int, str]:
+    """Texts that each differ in other words from one text, which is not there; few pairs are linked."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(words)]
+    texts = {}
+    for i in range(n):
+        v = list(base)
+        for at in rng.choice(words, changed, replace=False):
+            v[at] = f"c{rng.integers(10**9)}"
+        texts[i] = " ".join(v)
+    return texts
+
+
+def compared(spark, texts: dict[int, str], monkeypatch) -> tuple[int, dict[int, int]]:
+    """How many pairs of texts are verified, and the class of each."""
+    made, verify = [], nd.verify
+    with monkeypatch.context() as m:
+        m.setattr(nd, "verify", lambda pairs, docs: made.append(pairs.count()) or verify(pairs, docs))
+        rows = nd.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return sum(made), {r["doc_id"]: r["class_id"] for r in rows}
+
+
+def test_pairs_of_copies_that_are_not_linked(spark, monkeypatch):
+    few, _ = compared(spark, copies(150), monkeypatch)
+    texts = copies(600)
+    many, got = compared(spark, texts, monkeypatch)
+    assert many <= 4 * few, (few, many)
+    assert got == classes(texts)
+
+
+def test_differences_from_a_family(spark):
+    """Deletions, changes that texts share, chains of them and a text of no family: no link between two labels is lost."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(100)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 240):
+        v, first = list(base), rng.integers(0, 80)
+        for at in range(first, first + rng.integers(1, 14)):
+            v[at] = "" if i % 3 == 0 else f"d{at}" if i % 3 == 1 else f"e{rng.integers(10**9)}"
+        texts[i] = " ".join(x for x in v if x)
+    texts[240] = " ".join(f"z{i}" for i in range(50))
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    sets = {i: multiset(t) for i, t in texts.items()}
+    want = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= nd.SIMILARITY}
+    members = spark.createDataFrame([(i, i, 0 if i < 200 else 230 if i < 240 else i, 0 if i < 240 else i) for i in texts], "id long, label long, hub long, root long")
+    kin = nd.differences(members, nd.shingle_sets(members.select("id"), docs))
+    found = {r["id"]: r for r in kin.collect()}
+    size = lambda i: sum(sets[i].values())
+    for i, r in found.items():
+        c = r["family"]
+        assert (r["n"], r["m"], len(r["d"])) == (size(i), size(c), sum(((sets[i] - sets[c]) + (sets[c] - sets[i])).values()))
+    pairs = {(r["a"], r["b"]) for r in nd.family_pairs(kin, nd.SIMILARITY).collect()}
+    linked = {i for i, r in found.items() if (min(i, r["family"]), max(i, r["family"])) in want or i == r["family"]}
+    assert {p for p in want if found[p[0]]["family"] == found[p[1]]["family"] and not linked >= set(p)} <= pairs

@@ -63,3 +63,58 @@ def test_nothing_to_score(spark):
     assert G.cosines(articles(spark), "id", "text", F.col("id").isin(2, 3, 4)).count() == 0
     twice = articles(spark, {1: "abc", 2: "abd"}).withColumn("query", F.lit("x"))
     assert sorted((r["query"], r["id"]) for r in G.cosines(twice.union(twice), "id", "text", F.col("id") == 1).collect()) == [(1, 2)] * 4
+
+
+def test_normal_forms_by_code_point(spark):
+    points = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000] + ["A\U0001f600b"]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(points)], "id long, text string")
+    want = [r[0] for r in d.select(F.concat(F.lit("0"), T.normal(F.col("text")))).collect()]
+    got = [G.DIGITS[np.minimum(np.frombuffer(c.encode("utf-32-le"), np.uint32), 0xFFFF)] for c in points]
+    assert [G.DIGITS[[ord(x) for x in w[1:]]].tolist() for w in want] == [g[g > 0].tolist() for g in got]
+    assert "regexp" not in G.texts(d, "id", "text")._jdf.queryExecution().toString()
+    broken = d.limit(1).select("id", F.expr("cast(x'61ff4262' as string)").alias("text"))
+    assert [tuple(r) for r in G.measures(broken, "id", "text").collect()] == [(0, 3, 3, 1)]
+
+
+def test_counts_are_made_where_pairs_are_scored(spark, monkeypatch):
+    d, is_query = articles(spark), F.col("id") % 2 == 1
+    pairs = G.cosines(d, "id", "text", is_query).collect()
+    line = round(sorted(r["text_score"] for r in pairs)[len(pairs) // 2], 6)
+    want = {q: (sum(r["query"] == q for r in pairs), sum(r["query"] == q and round(r["text_score"], 6) >= line for r in pairs)) for q in {r["query"] for r in pairs}}
+    for postings, hot in ((G.POSTINGS, G.HOT), (8, G.HOT), (G.POSTINGS, 0), (G.POSTINGS, 2)):
+        monkeypatch.setattr(G, "HOT", hot)
+        got = G.tallies(d, "id", "text", is_query, line, postings=postings)
+        assert {r["query"]: (r["scored"], r["over"]) for r in got.collect()} == want
+    assert G.tallies(d, "id", "text", is_query, line, most=3) is None
+    assert G.tallies(d.limit(0), "id", "text", is_query, line).count() == 0
+
+
+def test_searches_in_single_precision_are_exact():
+    rng = np.random.default_rng(5)
+    grams = []
+    for _ in range(120):
+        at = np.sort(rng.choice(60, 25, replace=False))
+        w = rng.random(25) ** 4
+        grams.append((at, w / np.sqrt(w @ w)))
+    grams[7] = grams[3]
+    asked = range(0, 120, 3)
+    block = G.Block(60, np.concatenate([grams[i][0] for i in asked]), np.repeat(np.arange(40, dtype=np.int32), 25), np.concatenate([grams[i][1] for i in asked]), list(asked))
+    whole = np.zeros((120, 60))
+    for i, (at, w) in enumerate(grams):
+        whole[i, at] = w
+    want = whole @ whole[list(asked)].T
+    want[list(asked), range(40)] = 0
+    block.prepare(np.float32)
+    best, found, sent = G.Best(40, 0.2, 5, block.unsure()), {}, 0
+    for first in range(0, 120, 10):
+        part = grams[first : first + 10]
+        i, j = best.pairs(block.products(list(range(first, first + 10)), part)[0])
+        exact = block.exact(part, i, j)[0]
+        found |= {(a, b): x for a, b, x in zip((i + first).tolist(), j.tolist(), exact.tolist(), strict=True)}
+        sent += len(i)
+    assert all(abs(want[k] - x) < 1e-12 for k, x in found.items())
+    for j in range(40):
+        top = [i for i in np.argsort(-want[:, j], kind="stable")[:5] if want[i, j] >= 0.2]
+        assert all((i, j) in found for i in top)
+    # Batches after the first send only what is better than the best before; ten batches on their own would send 5 of 10.
+    assert sent < 0.75 * 40 * 5 * 12

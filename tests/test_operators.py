@@ -8,6 +8,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -213,3 +214,40 @@ def test_short_candidates_contaminate(spark):
         assert sorted(map(tuple, contaminated(d, b, few).collect())) == want
         own = d.withColumn("source", F.when(F.col("doc_id") == 1, "xabcx"))
         assert sorted(map(tuple, contaminated(own, b, few).collect())) == [x for x in want if x != (1, 1)]
+
+
+def test_lengths_without_corrections_of_hot_grams_are_bounded():
+    rng = np.random.default_rng(8)
+    n, words = 4000, 50
+    counts = rng.integers(1, 4, (200, words)) * (rng.random((200, words)) < 0.6)
+    df = rng.integers(n // 4, n // 2, words)
+    plain = np.log((1.0 + n) / (1.0 + df)) + 1.0
+    idf = np.log((1.0 + n) / (1.0 + df + (np.arange(words) % 2))) + 1.0
+    asked = counts[:20]
+    flat = [np.concatenate([f(q)[q > 0] for q in asked]) for f in (lambda q: np.arange(words), lambda q: q * idf**2, lambda q: idf**2 - plain**2)]
+    cut = np.cumsum([(q > 0).sum() for q in asked])[:-1]
+    lists = [pa.array([x.tolist() for x in np.split(f, cut)]) for f in flat]
+    norm = np.sqrt(((asked * idf) ** 2).sum(axis=1))
+    a = np.full(20, np.log(1.0 + n) + 1.0)
+    block = A.Block(pa.table({"query": [f"q{i}" for i in range(20)], "codes": lists[0], "dots": lists[1], "more": lists[2], "a": a, "norm": norm}))
+    grams = block.met([np.flatnonzero(c) for c in counts], [c[c > 0] for c in counts])
+    logs = np.log(1.0 + df)
+    s = np.stack([(counts**2).sum(axis=1), (counts**2 * logs).sum(axis=1), (counts**2 * logs**2).sum(axis=1)], axis=1)
+    scores = []
+    for kind in (np.float64, np.float32):
+        block.prepare(kind)
+        scores.append(block.cosine((s[:, :1], s[:, 1:2], s[:, 2:]), slice(None), *block.products([""] * 200, grams)))
+    unsure = block.unsure()
+    assert (np.abs(scores[1] - scores[0]) <= unsure * scores[0]).all() and 0 < unsure.max() < 0.01
+    i, j = np.nonzero(scores[1] > 0)
+    assert np.abs(block.exact_cosine(grams, s, i, j) - scores[0][i, j]).max() < 1e-12
+    best = G.Best(20, 0.01, 3, unsure)
+    sent = 0
+    for first in range(0, 200, 10):
+        i, j = best.pairs(scores[1][first : first + 10])
+        sent += len(i)
+        scores[0][i + first, j] = -scores[0][i + first, j]
+    for q in range(20):
+        assert (np.sort(scores[0][:, q])[:3] == -np.sort(np.abs(scores[0][:, q]))[::-1][:3]).all()
+    # Twenty batches with three each, if every batch sent its own best.
+    assert sent < 0.6 * 20 * 3 * 20

@@ -4,7 +4,8 @@ A document's own evidence has two sources. Words are hashed to buckets, and one
 counts in how many good and bad ones each bucket occurs; the mean log odds of a text's words is one measure, which leaves
 out what the text's own label has added. Others are counts of marks, lines and repetitions. A logistic model of these,
 fitted by Newton steps whose sums are aggregated over the cluster, gives the evidence. Both learn from MOST labelled
-documents, so that texts need no shuffle to meet their labels; all labels count in the rates of sites.
+documents, so that texts need no shuffle to meet their labels; all labels count in the rates of sites. Odds are looked up
+and sums made in Arrow batches: no plan names a table or a hundred sums, which the driver would hold and compile.
 
 Sites and paths of sites have rates of good documents: a label counts as itself, other documents by their evidence. Path
 rates are shrunk to their site's, site rates to that of all, each by as much as the spread between sites, or between the
@@ -14,14 +15,16 @@ its path over those of all, where the rates are those of the other documents.
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, checkpoint, let, read, words
+from .shared import attach_groups, bound_batches, checkpoint, lean, let, read, words
 
 STEPS = 8
 RIDGE = 1.0
@@ -32,42 +35,30 @@ MOST = 200_000
 #: Buckets of hashed words, and what each is counted more in good and bad documents.
 BUCKETS, SMOOTHING = 1 << 15, 1.0
 THRESHOLD = 0.5
+#: Measures of a text: eleven of its marks and lines, two of its words.
+SIZE = 13
 
 
 def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def word_counts(rows: DataFrame) -> tuple[list[list[float]], float, float]:
+def word_counts(rows: DataFrame) -> tuple[np.ndarray, float, float]:
     """By bucket the weights of good and bad documents of rows (text, y) that have it, and all of them.
 
     What reaches the driver is one row a bucket at most.
     """
     each = rows.select("y", F.explode(F.array_distinct(F.transform(words(F.col("text")), bucket))).alias("b"))
-    out = [[0.0, 0.0] for _ in range(BUCKETS)]
-    for r in each.groupBy("b").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).collect():
-        out[r["b"]] = [r["good"], r["bad"]]
+    found = each.groupBy("b").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).toArrow()
+    out = np.zeros((BUCKETS, 2))
+    out[found["b"].to_numpy()] = np.stack([found["good"].to_numpy(), found["bad"].to_numpy()], axis=1)
     s = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     return out, s[0] or 0.0, s[1] or 0.0
 
 
-def measures(text: Column, y: Column, known: tuple[list[list[float]], float, float]) -> Column:
-    """An array of measures of a text, each about 0 to 1 but the last two; the first is constant. y: its label or null."""
-    table, good, bad = known
-    counts = F.from_json(F.lit(json.dumps(table)), "array<array<double>>")
-    odds = [math.log((g + SMOOTHING) / (good + 2 * SMOOTHING)) - math.log((x + SMOOTHING) / (bad + 2 * SMOOTHING)) for g, x in table]
-    weights = F.from_json(F.lit(json.dumps(odds)), "array<double>")
-
-    def left_out(b: Column) -> Column:
-        n = F.get(counts, b)
-        return F.log(F.greatest(F.get(n, F.lit(0)) - y + SMOOTHING, F.lit(SMOOTHING)) / F.greatest(F.lit(good) - y + 2 * SMOOTHING, F.lit(SMOOTHING))) - F.log(F.greatest(F.get(n, F.lit(1)) - (1 - y) + SMOOTHING, F.lit(SMOOTHING)) / F.greatest(F.lit(bad) - (1 - y) + 2 * SMOOTHING, F.lit(SMOOTHING)))
-
-    def mean(of: Column, value) -> Column:
-        return F.aggregate(of, F.lit(0.0), lambda a, x: a + value(bucket(x))) / F.greatest(F.size(of), F.lit(1))
-
-    def both(w: Column, kinds: Column) -> Column:
-        return marks_of(w, F.size(kinds)) if not good or not bad else F.concat(marks_of(w, F.size(kinds)), evidence(kinds))
-
+def marks(text: Column) -> tuple[Column, Column]:
+    """An array of measures of a text's marks and lines, each about 0 to 1 but the last, the first constant; the buckets
+    of its different words, one a word."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
 
@@ -76,33 +67,77 @@ def measures(text: Column, y: Column, known: tuple[list[list[float]], float, flo
         kinds = n_kinds / k
         chars = F.length(F.array_join(w, "")) / k
         part = lambda pattern, most: F.least(F.lit(1.0), F.regexp_count(t, F.lit(pattern)) / k * most)
-        none = [] if good and bad else [F.lit(0.0), F.lit(0.0)]
-        return F.array(F.lit(1.0), kinds, kinds * kinds, F.least(F.lit(1.0), chars / 12), part("[#*$%&<>]", 1.0), part("[|]", 2.0), part("!!", 1.0), F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\p{Lu}{2}")) / n * 4), part("[0-9]{2}", 2.0), part(r"[.](?:\s|$)", 4.0), F.log1p(k) / 10, *none)
+        return F.array(F.lit(1.0), kinds, kinds * kinds, F.least(F.lit(1.0), chars / 12), part("[#*$%&<>]", 1.0), part("[|]", 2.0), part("!!", 1.0), F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"\p{Lu}{2}")) / n * 4), part("[0-9]{2}", 2.0), part(r"[.](?:\s|$)", 4.0), F.log1p(k) / 10)
+
+    both = let(words(text), lambda w: let(F.array_distinct(w), lambda kinds: F.struct(marks_of(w, F.size(kinds)).cast("array<double>").alias("marks"), F.transform(kinds, bucket).alias("b"))))
+    return both["marks"], both["b"]
 
-    def evidence(kinds: Column) -> Column:
-        m = F.when(y.isNull(), mean(kinds, lambda b: F.get(weights, b))).otherwise(mean(kinds, left_out))
-        return let(m, lambda x: F.array(x, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x * 4))))
 
-    return let(words(text), lambda w: let(F.array_distinct(w), lambda kinds: both(w, kinds))).cast("array<double>")
+def word_evidence(row: np.ndarray, b: np.ndarray, y: np.ndarray, known: tuple[np.ndarray, float, float]) -> np.ndarray:
+    """Mean log odds of the words of each text, 0 of one without words: word i is of text row[i], in bucket b[i]. y: labels of
+    texts, nan for none, which the counts that known has are freed of."""
+    (table, good, bad), own = known, y[row]
+    g, x = table[b, 0], table[b, 1]
+    has = ~np.isnan(own)
+    one, other = np.where(has, own, 0.0), np.where(has, 1 - own, 0.0)
+    odds = lambda n, all_: np.log(np.maximum(n + SMOOTHING, SMOOTHING) / np.maximum(all_ + 2 * SMOOTHING, SMOOTHING))
+    value = odds(g - one, good - one) - odds(x - other, bad - other)
+    return np.bincount(row, value, len(y)) / np.maximum(np.bincount(row, minlength=len(y)), 1)
+
+
+def measured(texts: DataFrame, known: tuple[np.ndarray, float, float]) -> DataFrame:
+    """id, host, part, own and x, an array of SIZE measures of a text; own: its label or null.
+
+    What words tell is looked up in a broadcast by Arrow batches, so that no plan holds a table of it.
+    """
+    bound_batches(texts.sparkSession)
+    shown, kinds = marks(F.col("text"))
+    keep = ["id", "host", "part", "own"]
+    rows = texts.select(*keep, shown.alias("marks"), kinds.alias("b"))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(5)
+            x = np.zeros((n, SIZE))
+            x[:, : SIZE - 2] = batch.column(4).flatten().to_numpy().reshape(n, SIZE - 2)
+            if known[1] and known[2]:
+                y = pc.fill_null(batch.column(3), np.nan).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+                x[:, SIZE - 2] = word_evidence(row, lists.flatten().to_numpy(), y, known)
+                x[:, SIZE - 1] = np.clip(x[:, SIZE - 2] * 4, -1.0, 1.0)
+            out = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SIZE, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], out], names=[*keep, "x"])
+
+    return rows.mapInArrow(lean(work), rows.select(*keep, F.array(F.lit(0.0)).alias("x")).schema)
+
+
+def sums(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (x, y) the slope and the bend of the log likelihood at weights w, as one row a number and task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            x, y = batch.column(0).flatten().to_numpy().reshape(-1, len(w)), batch.column(1).to_numpy()
+            p = 1 / (1 + np.exp(-(x @ w)))
+            own = np.concatenate([x.T @ (y - p), (x.T @ (x * (p * (1 - p))[:, None])).ravel()])
+            out = own if out is None else out + own
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["i", "v"])
+
+    return work
 
 
 def fit(rows: DataFrame, size: int) -> list[float]:
-    """Weights of the measures x for labels y, over all rows: sums of one row reach the driver at each step."""
+    """Weights of the measures x for labels y, over all rows: size * (size + 1) sums reach the driver at each step."""
     w = np.zeros(size)
     for _ in range(STEPS):
-        z = sum((F.get("x", F.lit(i)) * F.lit(float(v)) for i, v in enumerate(w)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-z))
-        own = rows.select("x", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
-        x = [F.get("x", F.lit(i)) for i in range(size)]
-        pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        r = own.agg(*[F.sum(F.col("g") * x[i]).alias(f"g{i}") for i in range(size)], *[F.sum(F.col("h") * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
-        if r["g0"] is None:
+        found = rows.select("x", "y").mapInArrow(sums(w), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        if not found.num_rows:
             break
-        slope, bend = np.array([r[f"g{i}"] for i in range(size)]) - RIDGE * w, RIDGE * np.eye(size)
-        for i, j in pairs:
-            bend[i, j] += r[f"h{i}_{j}"]
-            bend[j, i] = bend[i, j]
-        step = np.linalg.solve(bend, slope)
+        s = found["v"].to_numpy()[np.argsort(found["i"].to_numpy())]
+        step = np.linalg.solve(RIDGE * np.eye(size) + s[size:].reshape(size, size), s[:size] - RIDGE * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -140,9 +175,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", host: str =
     texts = docs.select(F.col(key).alias("id"), F.col(host).cast("string").alias("host"), part.alias("part"), F.col(text).alias("text"))
     texts = texts.join(F.broadcast(some.withColumnRenamed("y", "own")), "id", "left")
     known = word_counts(texts.filter("own is not null").withColumnRenamed("own", "y"))
-    rows = checkpoint(texts.select("id", "host", "part", "own", measures(F.col("text"), F.col("own"), known).alias("x")))
-    size = 13
-    weights = fit(rows.filter("own is not null").withColumnRenamed("own", "y"), size)
+    rows = checkpoint(measured(texts, known))
+    weights = fit(rows.filter("own is not null").withColumnRenamed("own", "y"), SIZE)
     z = sum((F.get("x", F.lit(i)) * F.lit(v) for i, v in enumerate(weights)), F.lit(0.0))
     rows = rows.select("id", "host", F.concat_ws("\u0001", "host", "part").alias("path"), (1 / (1 + F.exp(-z))).alias("evidence")).join(given, "id", "left")
     rows = rows.withColumn("path", F.when(F.col("host").isNotNull(), F.col("path")))

@@ -86,3 +86,16 @@ def test_odd_rows(spark):
     rows = quality_model.classify(docs, none).collect()
     assert len(rows) == 5 and all(r["evidence"] == 0.5 for r in rows)
     assert quality_model.classify(docs.limit(0), none).count() == 0
+
+
+def test_plans_hold_no_tables(spark, monkeypatch):
+    """A table of words in a plan is held, written out and sent again by the driver at each step; here none has one."""
+    sizes, write = [], quality_model.checkpoint
+
+    def noted(df):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(quality_model, "checkpoint", noted)
+    out = quality_model.query(spark, "/root/testdata/sf0.001")
+    assert out.count() and len(sizes) > 3 and max(sizes) < 50_000, sizes

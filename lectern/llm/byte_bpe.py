@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-A text's pieces, the matches of the tokenizer's pattern, are cut in the JVM. The pieces of the corpus are counted; the
-most frequent ones, at most MOST, are encoded once each: higher-order functions fold merges over the array of a word's
-bytes, always the leftmost of the lowest rank, which a literal rank map gives. Their ids are broadcast, a table of
-bounded size, and the texts' pieces looked up in it, a batch at a time and without a shuffle. A piece that is too rare
-for the table or longer than LONG bytes is encoded where it occurs, by the same merges with a heap. Decoding takes the
-bytes of each id from a literal array and joins them.
+A text's pieces, the matches of the tokenizer's pattern, are cut in the JVM. The pieces of the corpus are counted, by
+batches first; the most frequent ones, at most MOST, are encoded once each: higher-order functions fold merges over the
+array of a word's bytes, always the leftmost of the lowest rank, which a literal rank map gives. Their ids are broadcast, a
+table of bounded size, and the texts' pieces looked up in it, a batch at a time and without a shuffle. Pieces that are too
+rare for the table are encoded where they occur, by the same merges in numpy, many words at once, and those longer than
+LONG bytes with a heap. Decoding takes the bytes of each id from an array and joins them.
 
 Bytes go through expressions as text, one character from U+0000 to U+00FF a byte.
 """
@@ -13,9 +13,11 @@ Bytes go through expressions as text, one character from U+0000 to U+00FF a byte
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -126,9 +128,96 @@ def merged(data: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[data[i : end[i]]] for i in range(n) if not gone[i]]
 
 
+class Merges:
+    """The same merges of many words at once, in numpy.
+
+    Words of one length in bytes go together. Each round merges one pair of every word that still has one, so that all that
+    are left have the same number of parts.
+    """
+
+    def __init__(self, rank: dict[bytes, int]):
+        self.rank = rank
+        self.byte = np.array([rank.get(bytes([i]), NONE) for i in range(256)], np.int32)
+        pairs = {}
+        for token, r in rank.items():
+            for i in range(1, len(token)):
+                left, right = rank.get(token[:i]), rank.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = r
+        self.key = np.array(sorted(pairs), np.int64)
+        self.value = np.array([pairs[k] for k in self.key.tolist()], np.int32)
+        self.two = np.full((256, 256), NONE, np.int32)
+        for token, r in rank.items():
+            if len(token) == 2:
+                self.two[token[0], token[1]] = r
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens, NONE of those that make none."""
+        if not len(self.key):
+            return np.full(len(left), NONE, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.value[at], NONE)
+
+    def one_length(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words, a row of bytes each, and their ids, a row each, as words are done."""
+        place, parts, r = np.arange(len(letters)), self.byte[letters], self.two[letters[:, :-1], letters[:, 1:]]
+        while r.shape[1] and len(place):
+            at = r.argmin(axis=1)
+            low = r[np.arange(len(place)), at]
+            left = low != NONE
+            if not left.all():
+                yield place[~left], parts[~left]
+                place, parts, r, at, low = place[left], parts[left], r[left], at[left], low[left]
+            row, n = np.arange(len(place)), r.shape[1]
+            parts[row, at] = low
+            stay = np.ones(parts.shape, bool)
+            stay[row, at + 1] = False
+            parts = parts[stay].reshape(len(place), n)
+            stay = np.ones(r.shape, bool)
+            stay[row, at] = False
+            r = r[stay].reshape(len(place), n - 1)
+            i = np.flatnonzero(at > 0)
+            r[i, at[i] - 1] = self.rank_of(parts[i, at[i] - 1], low[i])
+            i = np.flatnonzero(at < n - 1)
+            r[i, at[i]] = self.rank_of(low[i], parts[i, at[i] + 1])
+        if len(place):
+            yield place, parts
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them, one after another."""
+        size, found, length = np.zeros(len(words), np.int64), [], defaultdict(list)
+        for i, w in enumerate(words):
+            if (own := self.rank.get(w)) is not None:
+                size[i] = 1
+                found.append((np.array([i]), np.array([[own]])))
+            elif len(w) > LONG or not w:
+                own = merged(w, self.rank)
+                size[i] = len(own)
+                found.append((np.array([i]), np.array([own])))
+            else:
+                length[len(w)].append(i)
+        for n, of in length.items():
+            of = np.array(of)
+            letters = np.frombuffer(b"".join([words[i] for i in of]), np.uint8).reshape(-1, n)
+            if (self.byte[letters] == NONE).any():
+                raise KeyError("a byte has no token")
+            for place, ids in self.one_length(letters):
+                size[of[place]] = ids.shape[1]
+                found.append((of[place], ids))
+        start = np.cumsum(size) - size
+        flat = np.zeros(size.sum(), np.int32)
+        for of, ids in found:
+            flat[start[of][:, None] + np.arange(ids.shape[1])] = ids
+        return size, flat
+
+
 def pieces(text: Column, pattern: str) -> Column:
-    """Matches of the pattern; null where a character is unknown to the JVM, which Python then splits."""
-    return F.when(text.rlike(r"\p{Cn}"), F.lit(None)).otherwise(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), 0))
+    """Matches of the pattern; null where a character is unknown to the JVM, which Python then splits.
+
+    All characters below U+0378 are known to it, so that their kind need not be looked up.
+    """
+    return F.when(text.rlike(r"[\x{378}-\x{10FFFF}&&\p{Cn}]"), F.lit(None)).otherwise(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), 0))
 
 
 def frequent(words: DataFrame, most: int) -> DataFrame:
@@ -143,9 +232,17 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
     return words.filter(level >= least)
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different pieces of each batch of arrays of them, and how often they are there."""
+    for batch in batches:
+        coded = batch.column(0).flatten().dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n, pa.int64())], names=["piece", "n"])
+
+
 def table_of(rows: DataFrame, path: str, most: int) -> pa.Table:
     """Frequent pieces of a column of arrays `p`, and their ids."""
-    words = checkpoint(rows.select(F.explode("p").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")))
+    words = checkpoint(rows.select("p").mapInArrow(lean(counted), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
     some = frequent(words, most).filter(F.octet_length("piece") <= LONG)
     word = F.decode(F.col("piece").cast("binary"), "ISO-8859-1")
     with short_plans(rows.sparkSession):
@@ -156,14 +253,14 @@ class Encoder:
     """Looks pieces up, and encodes those that are not there."""
 
     def __init__(self, table: pa.Table, path: str, pattern: str):
-        self.table, self.path, self.pattern, self.rank = table.combine_chunks(), path, pattern, None
+        self.table, self.path, self.pattern, self.merges = table.combine_chunks(), path, pattern, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rank": None}
+        return self.__dict__ | {"merges": None}
 
     def lists(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces, one after another: where those of each start, how many they are, and all of them."""
-        self.rank = self.rank or ranks(self.path)
+        self.merges = self.merges or Merges(ranks(self.path))
         if self.table.num_rows:
             known, ids = self.table["piece"].chunk(0), self.table["ids"].chunk(0)
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
@@ -173,10 +270,9 @@ class Encoder:
             flat, found = np.zeros(0, np.int32), np.full(len(words), -1)
             start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         rare = np.flatnonzero(found < 0)
-        own = [merged(x.encode(), self.rank) for x in words.take(pa.array(rare)).to_pylist()]
-        size[rare] = [len(x) for x in own]
+        size[rare], own = self.merges.ids(words.take(pa.array(rare)).cast(pa.binary()).to_pylist())
         start[rare] = len(flat) + np.cumsum(size[rare]) - size[rare]
-        return start, size, np.concatenate([flat, np.array([i for x in own for i in x], dtype=np.int32)])
+        return start, size, np.concatenate([flat, own])
 
     def encode(self, p: pa.ListArray) -> pa.ListArray:
         """The ids of each array of pieces."""
@@ -239,7 +335,35 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""), "ISO-8859-1")
 
 
+def digests(coded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, n_tokens, and digests of the ids as decimals joined by spaces and of the bytes that they stand for.
+
+    ids must be tokens, as `encode` gives them; bytes are those of `decode`, joined in Arrow batches.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+    k = len(keep)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = {r: token for token, r in ranks(path).items()}
+        size = max(by, default=-1) + 1
+        tokens, decimals = pa.array([by.get(i, b"") for i in range(size)], pa.large_binary()), pa.array([b"%d " % i for i in range(size)], pa.large_binary())
+        for batch in batches:
+            lists = batch.column(k)
+            ends, ids = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+
+            def hashed(table: pa.Array, last: int) -> pa.Array:
+                """Of each row, the bytes of its ids in the table without the last ones."""
+                found = table.take(ids)
+                at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[ends].tolist()
+                data = memoryview(found.buffers()[2] or b"")
+                return pa.array([hashlib.sha256(data[i : max(i, j - last)]).hexdigest() for i, j in zip(at, at[1:], strict=False)], pa.string())
+
+            n = lists.value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], n, hashed(decimals, 1), hashed(tokens, 0)], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kinds = coded.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    return coded.select(*keep, "ids").mapInArrow(lean(work), kinds)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(read(spark, sf_dir, "documents", "doc_id", "text"))
-    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return digests(encode(read(spark, sf_dir, "documents", "doc_id", "text")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,6 +48,43 @@ def test_heap_merges():
         assert byte_bpe.merged(text.encode(), rank) == t.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("path", [PATH, OTHER])
+def test_rare_words_are_merged_together(path, monkeypatch):
+    """Words that have no row in the table go through numpy at once; only long ones have a heap each."""
+    import random
+
+    t, rng, heap = library(path), random.Random(5), byte_bpe.merged
+    words = ["".join(rng.choice("aabcdeinorst éß日0=\u0085") for _ in range(n)) for n in list(range(1, 24)) * 20] + ["a" * 48, "é" * 30, "ab" * 500, "the", " "]
+    words = list(dict.fromkeys(words))
+    seen = []
+    monkeypatch.setattr(byte_bpe, "merged", lambda data, rank: seen.append(data) or heap(data, rank))
+    table = pa.table({"piece": pa.array(["the"]), "ids": pa.array([t._encode_single_piece(b"the")], pa.list_(pa.int32()))})
+    start, size, flat = byte_bpe.Encoder(table, path, public_tokenizers.PATTERN).lists(pa.array(words))
+    assert [flat[i : i + n].tolist() for i, n in zip(start, size, strict=True)] == [t._encode_single_piece(w.encode()) for w in words]
+    assert sorted(map(len, seen)) == [60, 1000]
+
+
+def test_unknown_characters_are_found(spark):
+    """The shorter search finds the characters that the JVM does not know, and no others."""
+    points = [*range(0x300, 0x600), 0x1FFFF, 0x30000, 0xE0000, 0x10FFFF, 0x1F600]
+    rows = spark.createDataFrame([(i, chr(i)) for i in points], "i int, c string")
+    assert rows.filter(byte_bpe.pieces(rows.c, ".").isNull() != rows.c.rlike(r"\p{Cn}")).count() == 0
+    low = spark.createDataFrame([("".join(map(chr, range(0x378))),)], "c string")
+    assert not low.filter(low.c.rlike(r"\p{Cn}")).count(), "none below U+0378 is unknown"
+
+
+def test_digests(spark):
+    t = library(OTHER)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string").coalesce(1)
+    rows = byte_bpe.digests(byte_bpe.encode(docs, keep=("id",), path=OTHER), OTHER, ("id",)).collect()
+    for r in rows:
+        text = TEXTS[r["id"]] or ""
+        ids = t.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert len(rows) == len(TEXTS)
+    assert byte_bpe.digests(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
+
+
 def test_query(spark):
     t = library(PATH)
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -48,6 +48,13 @@ def test_blocks_equal_the_join(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_texts_are_coded_once_for_all_blocks(spark, tmp_path):
+    articles(spark).write.parquet(str(tmp_path / "articles"))
+    d, is_query = spark.read.parquet(str(tmp_path / "articles")), F.col("id") % 2 == 1
+    for found in (G.cosines(d, "id", "text", is_query, postings=8), G.cosines(d, "id", "text", is_query, 0.1, 2, postings=8), G.tallies(d, "id", "text", is_query, 0.1, postings=8)):
+        assert found.count() > 0 and not [f for f in found.inputFiles() if str(tmp_path) in f]
+
+
 def test_best_scores_keep_ties(spark, monkeypatch):
     monkeypatch.setattr(G, "TEXTS", 4)
     d = articles(spark, {i: "the same text" if i % 3 else f"other words {i}" for i in range(40)})

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import article_index as A
 from lectern.operators import grams as G
 from lectern.operators import similarity as S
 
@@ -125,3 +126,26 @@ def test_searches_in_single_precision_are_exact():
         assert all((i, j) in found for i in top)
     # Batches after the first send only what is better than the best before; ten batches on their own would send 5 of 10.
     assert sent < 0.75 * 40 * 5 * 12
+
+
+def test_queries_of_an_index_make_no_row_a_gram(spark):
+    d = articles(spark)
+    index = A.build(d.filter("id <> 5"), "id", "text")
+    changed = d.filter("id % 2 = 1").withColumn("text", F.concat("text", F.lit(" and more")))
+    for own in (True, False):
+        found = A.asked(index, changed, "text", own)
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got, want = ({r["query"]: r for r in x.collect()} for x in (found, A.asked(index, changed, "text", own, most=0)))
+        assert got.keys() == want.keys() and len(got) > 2
+        for q, r in got.items():
+            assert r["codes"] == want[q]["codes"]
+            assert all(np.allclose(r[c], want[q][c], rtol=1e-12, atol=1e-14) for c in ("dots", "more", "squares", "a", "norm"))
+
+
+def test_lengths_are_corrected_where_it_matters():
+    more, square = np.array([0.9, 1e-4, 0.0, 0.5]), np.array([9.0, 4.0, 4.0, 5.0])
+    block = G.Block(2, np.array([0, 1, 0, 1]), np.array([0, 0, 1, 1], np.int32), np.ones(4), ["a", "b"], more, square)
+    block.prepare(np.float32)
+    assert block.unsure().max() < 1e-4
+    dot, length = block.products(["c"], [(np.array([0, 1], np.int32), np.array([1.0, 2.0]))])
+    assert dot.tolist() == [[3.0, 3.0]] and length.tolist() == [[0.9, 2.0]]
